@@ -34,9 +34,9 @@ from strandlens.llm.store import shared_dir, table
 SIZE, K = 50, 24
 #: Windows from which a trigger is chosen: SIZE - K + 1 places.
 SPREAD = SIZE - K + 1
-BLOCK_BYTES, STEP = 8 << 20, 1 << 20
-#: Text bytes for each shard of the dictionary.
-SHARD_BYTES = 32 << 20
+BLOCK_BYTES, STEP = 2 << 20, 1 << 18
+#: Text bytes for each shard of the dictionary, and parts in which a shard's suffixes are sorted one after the other.
+SHARD_BYTES, PARTS = 16 << 20, 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SALT = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
@@ -264,18 +264,27 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     begin = offsets[found.doc[place]] + found.first[place]
                     sizes = found.last[place] - found.first[place] + SIZE
                     at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                    yield pa.record_batch([pa.array([s]), pa.array([row["block"]]), pa.array([whole[at].tobytes()], pa.binary()), pa.array([sizes.astype(np.uint8).tobytes()]), pa.array([found.least[own].tobytes()])],
-                                          names=["shard", "block", "data", "sizes", "ids"])
+                    part = ((found.trigger[own] * np.uint64(PARTS) * np.uint64(shards)) >> np.uint64(40)) % np.uint64(PARTS)
+                    yield pa.record_batch([pa.array([s]), pa.array([row["block"]]), pa.array([whole[at].tobytes()], pa.binary()), pa.array([sizes.astype(np.uint8).tobytes()]), pa.array([part.astype(np.uint8).tobytes()]), pa.array([found.least[own].tobytes()])],
+                                          names=["shard", "block", "data", "sizes", "parts", "ids"])
 
     def sort_suffixes(given: pa.Table) -> pa.Table:
         rows = given.to_pylist()
-        data = np.frombuffer(b"".join(x["data"] for x in rows), np.uint8)
-        sizes = np.frombuffer(b"".join(x["sizes"] for x in rows), np.uint8).astype(np.int64)
+        data, sizes, parts = (np.frombuffer(b"".join(x[k] for x in rows), np.uint8) for k in ("data", "sizes", "parts"))
+        sizes = sizes.astype(np.int64)
+        ends = np.cumsum(sizes)
         ids = np.frombuffer(b"".join(x["ids"] for x in rows), np.int64)
-        masks = np.split(suffix_replies(data, sizes, ids), np.cumsum([len(x["sizes"]) for x in rows])[:-1])
+        masks = np.zeros(len(sizes), np.uint32)
+        for k in range(PARTS):  # equal windows have one trigger, and so are in one part
+            own = np.flatnonzero(parts == k)
+            if len(own):
+                n = sizes[own]
+                at = np.repeat(ends[own] - np.cumsum(n), n) + np.arange(int(n.sum()))
+                masks[own] = suffix_replies(data[at], n, ids[own])
+        masks = np.split(masks, np.cumsum([len(x["sizes"]) for x in rows])[:-1])
         return pa.table({"shard": given["shard"], "block": given["block"], "reply": pa.array([x.tobytes() for x in masks], pa.binary())})
 
-    sent = with_known.mapInArrow(send_phrases, "shard long, block long, data binary, sizes binary, ids binary")
+    sent = with_known.mapInArrow(send_phrases, "shard long, block long, data binary, sizes binary, parts binary, ids binary")
     sorted_ = by_block(sent.groupBy("shard").applyInArrow(sort_suffixes, reply), "sorted")
     with_both = with_known.join(sorted_.hint("shuffle_hash"), "block", "left")
 
@@ -288,7 +297,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             masks[ask] = joined(row, "sorted", np.searchsorted(ask, found.shards(shards)), np.uint32)
             # windows of an occurrence: all if a smaller document has the phrase, else those in the mask
             all_of = (flags[found.of] & REPEAT > 0) | (found.id > found.least[found.of])
-            step = np.zeros(len(data) + 1, np.int64)
+            step = np.zeros(len(data) + 1, np.int32)
             begin = offsets[found.doc]
             np.add.at(step, (begin + found.first)[all_of], 1)
             np.add.at(step, (begin + found.last)[all_of] + SIZE, -1)
@@ -297,7 +306,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 on = some[masks[found.of[some]] >> np.uint32(k) & np.uint32(1) > 0]
                 np.add.at(step, (begin + found.first)[on] + k, 1)
                 np.add.at(step, (begin + found.first)[on] + k + SIZE, -1)
-            gone = np.cumsum(step[:-1]) > 0
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
             out = []
             for i in range(len(ids)):
                 a, b = int(offsets[i]), int(offsets[i + 1])
