@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from strandlens.llm import license_scan, pieces, quality_rules, repeats, simhash, token_counts
+from strandlens.llm import license_scan, mtree, pieces, quality_rules, repeats, simhash, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_simhash": simhash.op4_simhash,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_exact_top_k": mtree.op8_exact_top_k,
     "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-SQL = {"op2_quality_rules": quality_rules.SQL}
+SQL = {"op2_quality_rules": quality_rules.SQL, "op8_exact_top_k": mtree.SQL}
