@@ -72,7 +72,8 @@ class Parse:
             ats.append(at[first] + low)
             firsts.append(first + low)
             lasts.append(last + low)
-            triggers.append(grams[at[first]] >> np.uint64(24))
+            # chosen for being small, so hashed once more: shards are ranges of equal size
+            triggers.append(tx.mix(grams[at[first]] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(24))
             size = (last - first + SIZE).astype(np.uint64)
             whole = (sums[last + SIZE] - sums[first]) * back[first]
             phrases.append(tx.mix(whole + size * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16))
