@@ -7,7 +7,8 @@ whose expected domain totals, the sum of r n p, match the targets T. Distributed
 r <- max(0, r - p.g) with g = G^-1 (sum(r n p) - T). A pass sums K numbers over all documents; the K-vectors g of all
 passes so far are all the state there is, so a lost executor costs one pass and no rates are kept between passes.
 
-Targets are shares of the budget (all words, unless given); domains without a target get share 0. Documents that no
+Targets are shares of the budget: all words, a number, or LOSSLESS, the smallest for which no domain has to shrink. Domains
+without a target get share 0. If no rates can match the targets, the result is the nearest in the metric of G^-1. Documents that no
 target wants get rate 0. Null and empty texts have no words: they add nothing and their rate follows their posterior
 alike. Without labels every domain is as likely everywhere. An empty table gives no rows.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlens.llm.store import keep, table
 
+LOSSLESS = -1.0
 FEATURES, MAX_TRAIN, PASSES, TOLERANCE = 1 << 13, 6_000, 40, 1e-6
 
 
@@ -45,7 +47,9 @@ class Domains:
             return docs.withColumn("__p", F.array(*[F.lit(1.0 / k)] * k)).drop("__words")
         hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="__words", outputCol="__features").transform(docs)
         made = self.model.transform(hashed.drop("__words"))
-        return made.withColumn("__p", vector_to_array("__posterior")).drop("__features", "__posterior", "__raw")
+        # the regression knows no domain after the last one that has labels
+        found = vector_to_array("__posterior")
+        return made.withColumn("__p", F.array(*[F.coalesce(F.get(found, F.lit(i)), F.lit(0.0)) for i in range(k)])).drop("__features", "__posterior", "__raw")
 
 
 def learn(docs: DataFrame, labelled: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Domains:
@@ -85,6 +89,9 @@ def solve(scored: DataFrame, shares: list[float], budget: float | None = None) -
     for (i, j), x in zip(pairs, row[1:]):
         gram[i, j] = gram[j, i] = x
     inverse = np.linalg.pinv(gram + 1e-9 * total * np.eye(k))
+    if budget == LOSSLESS:
+        now = gram.sum(axis=1)  # each domain's words, as posteriors sum to 1
+        budget = max((w / x for w, x in zip(now, shares) if x > 0), default=total)
     target = np.array(shares) * (total if budget is None else budget)
     steps: list[list[float]] = []
     for _ in range(PASSES):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandlens.llm.store import keep, table
 
-PAGE, LEAF, FAN = 4096, 64, 16
+PAGE, LEAF, FAN = 8192, 512, 16
 MAX_PIVOTS, MAX_PAGES, QUERY_BLOCK = 256, 65_536, 4096
 #: Relative room for rounding in bounds; scores themselves are whole numbers.
 SLACK = 1e-9
@@ -37,11 +37,14 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def products(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def fits_doubles(q: np.ndarray, largest: float) -> bool:
+    """Whether doubles hold all sums of q's products with components up to `largest`."""
+    return bool(np.abs(q).max(initial=0) * largest * len(q) < 2.0**53)
+
+
+def products(q: np.ndarray, rows: np.ndarray, doubles: bool) -> np.ndarray:
     """Exact inner products: in doubles where these hold all sums, else in long arithmetic."""
-    if len(rows) and np.abs(q).max(initial=0) * np.abs(rows).max(initial=0) * len(q) >= 2.0**53:
-        return rows.astype(np.int64) @ q.astype(np.int64)
-    return (rows @ q).astype(np.int64)
+    return (rows @ q if doubles else rows.astype(np.int64) @ q.astype(np.int64)).astype(np.int64)
 
 
 class Node:
@@ -78,7 +81,7 @@ def build(vectors: np.ndarray, ids: np.ndarray, centre: np.ndarray) -> Node:
     return node
 
 
-def best_first(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
+def best_first(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int, floor: float, doubles: bool = True) -> list[tuple[int, int]]:
     """The k best (score, -id) of at least `floor` under the root, but for the query's own id."""
     norm = float(np.sqrt(q @ q))
     found: list[tuple[int, int]] = []
@@ -93,10 +96,13 @@ def best_first(root: Node, centre: np.ndarray, q: np.ndarray, own: int, k: int,
         maybe = np.flatnonzero(reach >= limit)
         if not len(maybe):
             continue
-        scores = products(q, node.vectors[maybe])
+        scores = products(q, node.vectors if len(maybe) == len(reach) else node.vectors[maybe], doubles)
         if node.radii is None:
-            for score, i in zip(scores.tolist(), node.ids[maybe].tolist()):
-                if i != own and score >= limit:
+            high = np.flatnonzero((scores >= limit) & (node.ids[maybe] != own))
+            if len(high) > 4 * k:  # of many, those below the k-th best can't enter
+                high = high[scores[high] >= np.partition(scores[high], len(high) - k)[len(high) - k]]
+            for score, i in zip(scores[high].tolist(), node.ids[maybe[high]].tolist()):
+                if score >= limit:
                     if len(found) < k:
                         heapq.heappush(found, (score, -i))
                     elif (score, -i) > found[0]:
@@ -171,10 +177,11 @@ def top_k(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", is_q
         out: list = []
         if members.num_rows and given.num_rows:
             centre = router.centre(place[0].as_py(), place[1].as_py())
-            root = build(matrix(members["v"]), members["id"].to_numpy(), centre)
+            vectors = matrix(members["v"])
+            root, largest = build(vectors, members["id"].to_numpy(), centre), np.abs(vectors).max()
             floors = given["floor"].to_numpy()
             for i, (own, q) in enumerate(zip(given["id"].to_pylist(), matrix(given["v"]))):
-                out += [(own, -low, score) for score, low in best_first(root, centre, q, own, k, floors[i])]
+                out += [(own, -low, score) for score, low in best_first(root, centre, q, own, k, floors[i], fits_doubles(q, largest))]
         columns = list(zip(*out)) or [[], [], []]
         return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), columns)})
 

@@ -22,8 +22,8 @@ WINDOW = 8
 BUCKETS = 1 << 14
 #: At most so many trusted documents are read for the target counts, those with the smallest hash of their doc_id.
 MAX_TRUSTED = 20_000
-SMOOTH = 0.5
-THRESHOLD = -0.3
+SMOOTH = 4.0
+THRESHOLD = -0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Multipliers of the two-word hash and of the sampling hash (fixed values, stated in the SQL too).
 PAIR = (31_337, 17)

@@ -29,13 +29,14 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, mtree.top_k(frame, page=page).collect())) == brute(rows)
 
 
-def test_bounds_spare_products():
+def test_bounds_spare_products(monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(scale=2000, size=(40, 8))
     rows = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(scale=20, size=(2000, 8)))
+    monkeypatch.setattr(mtree, "LEAF", 64)
     root, seen = mtree.build(rows, np.arange(2000), rows[0]), []
     plain = mtree.products
-    mtree.products = lambda q, x: seen.append(len(x)) or plain(q, x)
+    mtree.products = lambda q, x, d: seen.append(len(x)) or plain(q, x, d)
     try:
         found = mtree.best_first(root, rows[0], rows[7], 7, 5, -np.inf)
     finally:

@@ -50,7 +50,7 @@ def brute_ratios(texts, trusted, buckets=quality_rules.BUCKETS):
     both = [grams(t) for t in texts]
     logs = []
     for k in (0, 1):
-        raw, target = np.full(buckets, 0.5), np.full(buckets, 0.5)
+        raw, target = (np.full(buckets, quality_rules.SMOOTH) for _ in range(2))
         for i, g in enumerate(both):
             np.add.at(raw, g[k], 1)
             if i in trusted:
