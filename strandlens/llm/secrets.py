@@ -73,8 +73,10 @@ def labelled_findings(docs: DataFrame, text: str = "text", path: str = "source",
     mixed letter-digit string assigned to a credential's name, else 0."""
     ids = docs.select(F.col(key).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
     some = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.col(path).alias("path")).join(F.broadcast(ids), F.col("__key") == F.col("__id"))
-    # written once: taken apart in one plan, each field would have all candidates made again
-    rows = keep(with_candidates(some, "text", "path").select(F.explode("__found").alias("c")), "candidates").select("c.*")
+    # written once: taken apart in one plan, each field would have all candidates made again; outer, as a filter on the
+    # array, which explode implies, would split the text again for each of its words
+    rows = with_candidates(some, "text", "path").select(F.explode_outer("__found").alias("c")).filter("c IS NOT NULL")
+    rows = keep(rows, "candidates").select("c.*")
     sure = F.col("before").rlike(f"(?i)(^|\\W)({KEYS})\\W*[=:]\\W*$") & F.col("word").rlike("^\\W*[\"']") & F.col("core").rlike("[0-9]") & F.col("core").rlike("[A-Za-z]")
     rows = rows.withColumn("label", sure.cast("double"))
     # rare labels first, so that a bounded sample holds both
