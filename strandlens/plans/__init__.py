@@ -1,0 +1,5 @@
+"""Registered queries and their SQL, by kind."""
+
+from strandlens.plans import counting
+
+PLANS = [counting]
