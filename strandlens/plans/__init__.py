@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by kind."""
 
-from strandlens.plans import counting
+from strandlens.plans import counting, working
 
-PLANS = [counting]
+PLANS = [counting, working]
