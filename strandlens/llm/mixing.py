@@ -10,21 +10,21 @@ passes so far are all the state there is, so a lost executor costs one pass and
 Targets are shares of the budget: all words, a number, or LOSSLESS, the smallest for which no domain has to shrink. Domains
 without a target get share 0. If no rates can match the targets, the result is the nearest in the metric of G^-1. Documents that no
 target wants get rate 0. Null and empty texts have no words: they add nothing and their rate follows their posterior
-alike. Without labels every domain is as likely everywhere. An empty table gives no rows.
+alike. If the totals come no closer for PATIENCE passes, the closest are kept. Without labels every domain is as likely everywhere. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlens.llm.store import keep, table
 
 LOSSLESS = -1.0
-FEATURES, MAX_TRAIN, PASSES, TOLERANCE = 1 << 13, 6_000, 40, 1e-6
+FEATURES, MAX_TRAIN, PASSES, PATIENCE, TOLERANCE = 1 << 14, 6_000, 40, 6, 1e-6
 
 
 def words(text: str) -> Column:
@@ -33,6 +33,12 @@ def words(text: str) -> Column:
     return F.filter(F.split(plain, "[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"), lambda w: w != "")
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """`docs` with __features from __words: which hashed words occur, at length 1, so that long texts weigh no more."""
+    found = HashingTF(numFeatures=FEATURES, binary=True, inputCol="__words", outputCol="__found").transform(docs)
+    return Normalizer(inputCol="__found", outputCol="__features").transform(found).drop("__words", "__found")
+
+
 class Domains:
     """Domain names, and the trained regression over them (None if fewer than two have labelled documents)."""
 
@@ -45,8 +51,7 @@ class Domains:
         docs = docs.withColumn("__words", words(text)).withColumn("__n", F.size("__words").cast("double"))
         if self.model is None:
             return docs.withColumn("__p", F.array(*[F.lit(1.0 / k)] * k)).drop("__words")
-        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="__words", outputCol="__features").transform(docs)
-        made = self.model.transform(hashed.drop("__words"))
+        made = self.model.transform(hashed(docs))
         # the regression knows no domain after the last one that has labels
         found = vector_to_array("__posterior")
         return made.withColumn("__p", F.array(*[F.coalesce(F.get(found, F.lit(i)), F.lit(0.0)) for i in range(k)])).drop("__features", "__posterior", "__raw")
@@ -59,12 +64,11 @@ def learn(docs: DataFrame, labelled: DataFrame, names: list[str], key: str = "do
     place = F.coalesce(*[F.when(F.col("domain") == x, float(i)) for i, x in enumerate(names)])
     plain = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"))
     rows = plain.join(F.broadcast(known), F.col("__key") == F.col("__id")).select(words("text").alias("__words"), place.alias("__label"))
-    hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="__words", outputCol="__features").transform(rows).select("__features", "__label")
-    hashed = keep(hashed, "labelled")
-    if hashed.select("__label").distinct().count() < 2:
+    known = keep(hashed(rows), "labelled")
+    if known.select("__label").distinct().count() < 2:
         return Domains(names, None)
-    fit = LogisticRegression(family="multinomial", maxIter=15, regParam=0.02, featuresCol="__features", labelCol="__label", predictionCol="", probabilityCol="__posterior", rawPredictionCol="__raw", standardization=False)
-    return Domains(names, fit.fit(hashed))
+    fit = LogisticRegression(family="multinomial", maxIter=30, regParam=0.0003, featuresCol="__features", labelCol="__label", predictionCol="", probabilityCol="__posterior", rawPredictionCol="__raw", standardization=False)
+    return Domains(names, fit.fit(known))
 
 
 def rate(steps: list[list[float]]) -> Column:
@@ -94,13 +98,16 @@ def solve(scored: DataFrame, shares: list[float], budget: float | None = None) -
         budget = max((w / x for w, x in zip(now, shares) if x > 0), default=total)
     target = np.array(shares) * (total if budget is None else budget)
     steps: list[list[float]] = []
+    best, least = 0, np.inf
     for _ in range(PASSES):
         now = small.select("__n", "__p", rate(steps).alias("r")).agg(*[F.sum(F.col("r") * F.col("__n") * F.col("__p")[i]) for i in range(k)]).first()
         off = np.array(list(now)) - target
-        if np.abs(off).max() <= TOLERANCE * target.sum():
+        if (worst := np.abs(off).max()) < least:
+            best, least = len(steps), worst
+        if worst <= TOLERANCE * target.sum() or len(steps) - best >= PATIENCE:
             break
         steps.append((inverse @ off).tolist())
-    return steps
+    return steps[:best]
 
 
 def mix(docs: DataFrame, domains: Domains, targets: dict[str, float], text: str = "text", budget: float | None = None) -> DataFrame:
