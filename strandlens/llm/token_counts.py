@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from strandlens.llm import text as tx
 from strandlens.llm.store import table
 
-BLOCK = 4096
+BLOCK = 256
 
 
 def default_ranks() -> str:
