@@ -112,11 +112,19 @@ def repair_selection(frame: DataFrame, by: str, n: int, share: float = 0.35) ->
 
     def walk(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values(["score", "candidate"])
-        most, used, taken, rest = max(1, int(share * n)), {}, [], []
+        most, used, taken, rest = max(1, int(share * n)), {}, [], {}
         for i, kind in zip(pool.index, pool["kind"]):
-            ok = used.get(kind, 0) < most and len(taken) < n
-            (taken if ok else rest).append(i)
-            used[kind] = used.get(kind, 0) + ok
-        return pool.loc[(taken + rest)[: min(n, len(pool))]]
+            if used.get(kind, 0) < most and len(taken) < n:
+                taken.append(i)
+                used[kind] = used.get(kind, 0) + 1
+            else:
+                rest.setdefault(kind, []).append(i)
+        while len(taken) < n and rest:  # the kind with the fewest so far gives its next best
+            kind = min(rest, key=lambda k: (used.get(k, 0), k))
+            taken.append(rest[kind].pop(0))
+            used[kind] = used.get(kind, 0) + 1
+            if not rest[kind]:
+                del rest[kind]
+        return pool.loc[taken]
 
     return frame.groupBy(by).applyInPandas(walk, frame.schema)

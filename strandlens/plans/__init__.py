@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by kind."""
 
-from strandlens.plans import counting, working
+from strandlens.plans import counting, designs, working
 
-PLANS = [counting, working]
+PLANS = [counting, working, designs]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlens.functions import residues as R
 from strandlens.operators import counts as C, merge as M, score as D, search as G
-from strandlens.plans.counting import CLUSTERS, FAMILY, HALL, SEQS, archetype_sql, hydro_sql, letters_in, seq, with_
+from strandlens.plans.counting import CLUSTERS, SEQS, archetype_sql, letters_in, seq, with_
 from strandlens.sources import sequences as S
 from strandlens.sources.sequences import sequences, table
 

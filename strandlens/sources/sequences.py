@@ -18,7 +18,9 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     letters = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[BJOUXZ]", "")
     aa = F.translate(letters, "EFTRAYNGHLIWSC", "FERTYAGNLHWICS")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring(aa, 1, 128).alias("v")).filter(F.length("v") == 128)
+    # made by a generator, so that later expressions refer to the sequence and don't make it again
+    made = F.explode(F.array(F.substring(aa, 1, 128))).alias("v")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", made).filter(F.length("v") == 128)
     return rows.select("*", R.hallmarks("v").alias("hallmarks"), R.family("v").alias("family"), R.region("v", "cdr3").alias("cdr3"))
 
 
@@ -38,13 +40,15 @@ def read_annotated(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = None
     for path in sorted(set(paths)):
         frame = spark.read.option("header", True).csv(path)
+        plain = ["".join(c if c.isascii() and (c.isalnum() or c == "_") else "_" for c in raw.strip().lower()) for raw in frame.columns]
+        # Spark adds their place to repeated names
+        short = [x.removesuffix(str(i)) for i, x in enumerate(plain)]
+        plain = [y if x != y and short.count(y) > 1 else x for x, y in zip(plain, short)]
         names, picked = set(), []
-        for i, raw in enumerate(frame.columns):
-            name = "".join(c if c.isascii() and (c.isalnum() or c == "_") else "_" for c in raw.strip().lower())
-            base = name.removesuffix(str(i)) if name.removesuffix(str(i)) in names else name
-            if base not in names:
-                names.add(base)
-                picked.append(R.norm_cell(F.col(f"`{raw}`")).alias(base))
+        for raw, name in zip(frame.columns, plain):
+            if name not in names:
+                names.add(name)
+                picked.append(R.norm_cell(F.col(f"`{raw}`")).alias(name))
         if "cdr3" not in names:
             raise ValueError(f"{path} has no cdr3 column")
         frame = frame.select(picked)
