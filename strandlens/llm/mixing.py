@@ -30,7 +30,7 @@ FEATURES, MAX_TRAIN, PASSES, PATIENCE, TOLERANCE = 1 << 14, 6_000, 40, 6, 1e-6
 def words(text: str) -> Column:
     """Words of letters, digits and all beyond ASCII, A-Z lower-cased."""
     plain = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return F.filter(F.split(plain, "[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"), lambda w: w != "")
+    return F.filter(F.split(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -52,9 +52,11 @@ class Domains:
         if self.model is None:
             return docs.withColumn("__p", F.array(*[F.lit(1.0 / k)] * k)).drop("__words")
         made = self.model.transform(hashed(docs))
-        # the regression knows no domain after the last one that has labels
+        # the regression knows no domain after the last one that has labels; behind a generator, so that what refers to
+        # the probabilities doesn't make them again
         found = vector_to_array("__posterior")
-        return made.withColumn("__p", F.array(*[F.coalesce(F.get(found, F.lit(i)), F.lit(0.0)) for i in range(k)])).drop("__features", "__posterior", "__raw")
+        p = F.concat(found, F.array_repeat(F.lit(0.0), k - self.model.numClasses)) if self.model.numClasses < k else found
+        return made.withColumn("__p", F.explode(F.array(p))).drop("__features", "__posterior", "__raw")
 
 
 def learn(docs: DataFrame, labelled: DataFrame, names: list[str], key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Domains:
