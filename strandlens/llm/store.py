@@ -10,10 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/strandlens-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strandlens-checkpoints"
     return found.rstrip("/")
 
 
