@@ -93,10 +93,10 @@ def test_mixing_meets_targets(spark):
 
 
 def test_pipeline_stages(spark, tmp_path):
-    texts = [prose(i, 120) for i in range(80)] + [t if len(t or "") < 5000 else "long" for t in awkward()] + [prose(3, 120), prose(3, 120) + " tail"]
+    texts = [prose(300 + i, 120) for i in range(80)] + [t if len(t or "") < 5000 else "long" for t in awkward()] + [prose(303, 120), prose(303, 120) + " tail"]
     texts += [f'{prose(900 + i, 60)} token = "{i:08x}c0ffee12345678abcdef0123456789abcd" {prose(950 + i, 30)}' for i in range(12)]
     documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(i, 1, int(i % 9 == 0)) for i in range(80)] + [(81, 0, 0), (85, 0, 0)]
+    labels = [(i, 1, int(i % 9 == 0)) for i in [*range(80), 94, 95]] + [(81, 0, 0), (85, 0, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     counts = []
