@@ -8,7 +8,6 @@ from strandlens.functions import residues as R
 
 #: The standard genetic code, codons in the order T, C, A, G of each place.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-CODONS = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
 
 
 def join_metadata(rows: DataFrame, meta: DataFrame, names: list[str], limit: int = 500) -> DataFrame:
@@ -71,10 +70,10 @@ def reverse_complement(x: Column) -> Column:
 
 def translate_frame(x: Column, frame: int) -> Column:
     """Residues of whole codons from `frame` (0 to 2); codons with N give X."""
-    table = F.create_map(*[F.lit(v) for pair in CODONS.items() for v in pair])
     n = F.floor((F.length(x) - frame) / 3).cast("int")
-    codons = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(x, (k - 1) * 3 + frame + 1, F.lit(3)))
-    return F.when(n < 1, "").otherwise(F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), ""))
+    place = lambda k, o: F.position(F.substring(x, k * 3 - 2 + frame + o, F.lit(1)), F.lit("TCAG"))
+    letter = lambda k: F.when((place(k, 0) > 0) & (place(k, 1) > 0) & (place(k, 2) > 0), F.substring(F.lit(CODE), 16 * place(k, 0) + 4 * place(k, 1) + place(k, 2) - 20, F.lit(1))).otherwise("X")
+    return F.when(n < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), letter), ""))
 
 
 def longest_open(protein: Column) -> Column:
@@ -83,8 +82,10 @@ def longest_open(protein: Column) -> Column:
 
 def six_frames(rows: DataFrame, ident: str, bases: str) -> DataFrame:
     """A row for each strand and frame: protein, stops and longest open stretch."""
-    x = clean_bases(F.col(bases))
-    strands = {"+": x, "-": reverse_complement(x)}
+    # each strand behind a generator, so that its codons don't clean it again
+    rows = rows.select(ident, F.explode(F.array(clean_bases(F.col(bases)))).alias("fw"))
+    rows = rows.select(ident, "fw", F.explode(F.array(reverse_complement(F.col("fw")))).alias("rv"))
+    strands = {"+": F.col("fw"), "-": F.col("rv")}
     frames = F.array(*[F.struct(F.lit(f"{s}{k + 1}").alias("frame"), translate_frame(y, k).alias("protein")) for s, y in strands.items() for k in range(3)])
     out = rows.select(ident, F.explode(frames).alias("f")).select(ident, "f.frame", "f.protein")
     return out.withColumns({"stops": R.count_of("protein", "*"), "longest": longest_open(F.col("protein"))})

@@ -29,7 +29,7 @@ def metadata(spark, sf_dir):
 
 
 def frames(spark, sf_dir):
-    return M.six_frames(table(spark, sf_dir, "documents").select("doc_id", F.substring(M.clean_bases(F.col("text")), 1, 300).alias("bases")).filter(F.length("bases") >= 60), "doc_id", "bases")
+    return M.six_frames(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def gapped(spark, sf_dir):
@@ -73,7 +73,7 @@ def hits(spark, sf_dir):
 
 def candidates(spark, sf_dir):
     s = sequences(spark, sf_dir)
-    return D.candidates(s.filter("doc_id % 20 = 0"), C.archetypes(s))
+    return D.candidates(s, C.archetypes(s))
 
 
 def selected(spark, sf_dir):
