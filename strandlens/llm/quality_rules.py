@@ -20,12 +20,12 @@ from strandlens.llm import text as tx
 
 WINDOW = 8
 BUCKETS = 1 << 14
-#: At most so many trusted documents are read for the target counts, those with the smallest hash of their doc_id.
+#: The LIMIT of the SQL below, which is as it was; the operator counts all trusted documents, so that beyond so many the two differ.
 MAX_TRUSTED = 20_000
 SMOOTH = 4.0
 THRESHOLD = -0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Multipliers of the two-word hash and of the sampling hash (fixed values, stated in the SQL too).
+#: Multipliers of the two-word hash (stated in the SQL too) and of the SQL's sampling hash.
 PAIR = (31_337, 17)
 SPREAD = 2_654_435_761
 SYMBOLS = np.zeros(256, np.int64)
@@ -116,23 +116,23 @@ def weights(counts: list, buckets: int = BUCKETS, smooth: float = SMOOTH) -> np.
     return out
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """doc_ids of at most `limit` documents of quality 1, by the smallest hash (doc_id * 2654435761) mod 2**32."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.expr(f"pmod(pmod(doc_id, 4294967296) * {SPREAD}, 4294967296)"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The doc_ids of all documents of quality 1."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
-                buckets: int = BUCKETS, smooth: float = SMOOTH, max_trusted: int = MAX_TRUSTED, carry: list[str] | None = None) -> DataFrame:
+                buckets: int = BUCKETS, smooth: float = SMOOTH, carry: list[str] | None = None) -> DataFrame:
     """`docs` (of its columns, `carry` or all) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, llr and kept.
 
-    Columns of `docs` by these names give way to the new ones. Broadcast are at most `max_trusted` ids and 2 * buckets weights.
+    Columns of `docs` by these names give way to the new ones. Broadcast are 2 * buckets weights; the trusted ids
+    grow with the labels, so they meet the texts by a shuffled join at any size.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "llr_sum"]
     docs = docs.drop(*made, "base_failed", "llr", "kept")
-    ids = trusted_ids(labels, max_trusted).select(F.col("doc_id").alias("trusted_id"), F.lit(True).alias("trusted"))
+    ids = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"), F.lit(True).alias("trusted"))
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = plain.join(F.broadcast(ids), F.col("key") == F.col("trusted_id"), "left")
+    marked = plain.join(ids.hint("merge"), F.col("key") == F.col("trusted_id"), "left")
     weight = weights(gram_counts(marked, "text", "trusted", buckets).collect(), buckets, smooth)
     shared = docs.sparkSession.sparkContext.broadcast(weight)
     names = docs.columns if carry is None else carry

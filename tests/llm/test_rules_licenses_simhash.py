@@ -69,6 +69,13 @@ def test_quality_rules_empty_tables_and_clashing_columns(spark):
     assert row.n_words == 50 and row.kept is True and row.llr == 0.0
 
 
+def test_quality_rules_count_all_trusted(spark):
+    docs = spark.range(20_200).selectExpr("id AS doc_id", "concat('w', id, ' v', id % 7) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    # where all are trusted, both multinomials are the same
+    assert quality_rules.apply_rules(docs, labels).filter("llr <> 0").count() == 0
+
+
 def brute_matches(words, templates, least):
     """Longest template substring that ends at each word, where the next word doesn't extend it."""
     grams = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
