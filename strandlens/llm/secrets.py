@@ -1,6 +1,7 @@
 """Secret scans: candidates found by shape, false ones removed by a random forest. DataFrame functions only.
 
-A candidate is the first run of 16 or more of `[A-Za-z0-9+/_=-]` in a word `[^\\x20\\x09-\\x0D]+` of the whole text.
+A candidate is each run of 16 or more of `[A-Za-z0-9+/_=-]` in a word `[^\\x20\\x09-\\x0D]+` of the whole text. Of a word
+with more runs each one sees the text next to it: the run before and the marks up to the one after, NEAR characters at most.
 Features: its length, transitions between letters, digits and cases, shares of digits, hexadecimal digits and
 different characters, the share of its letters that frequent word parts cover, marks of its word (quotes, @, dots,
 slashes), what the two words before it and the one after it hold, and marks and depth of the row's path. The forest is
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandlens.llm.store import keep, table
 
 MIN_LENGTH = 16
+RUN = f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
+NEAR = 64
 MAX_FINDINGS, MAX_DOCS = 20_000, 20_000
 TREES, DEPTH, SEED = 20, 5, 7
 MASK = "[SECRET]"
@@ -38,12 +41,15 @@ def number(x: Column) -> Column:
     return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
-def candidate(words: Column, i: Column, path: Column) -> Column:
-    """The struct of candidate word i: its text, FEATURES and the words about it."""
-    word = F.get(words, i)
-    core = F.regexp_extract(word, f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}", 0)
+def candidate(words: Column, place: Column, j: Column, path: Column) -> Column:
+    """The struct of run j of the word at `place`: its text, FEATURES and the words about it."""
+    i, runs, gaps = place["i"], place["runs"], place["gaps"]
+    core, more = F.get(runs, j), F.size(runs) > 1
+    near = lambda x, last: F.when(more, F.substring(x, -NEAR, NEAR) if last else F.substring(x, 1, NEAR)).otherwise(x)
+    left = near(F.concat(F.when(j > 0, F.get(runs, j - 1)).otherwise(F.lit("")), F.get(gaps, j)), True)
+    word = F.concat(left, core, near(F.get(gaps, j + 1), False))
     before = F.concat_ws(" ", F.when(i > 1, F.get(words, i - 2)), F.when(i > 0, F.get(words, i - 1)))
-    after = F.coalesce(F.get(words, i + 1), F.lit(""))
+    after = F.coalesce(F.get(runs, j + 1), F.get(words, i + 1), F.lit(""))
     size = F.greatest(F.length(core), F.lit(1)).cast("double")
     share = lambda pattern: number(F.regexp_count(core, F.lit(pattern))) / size
     lowered = F.lower(core)
@@ -63,9 +69,11 @@ def with_candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
     docs = docs.withColumn("__words", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"))
     word = lambda i: F.get(F.col("__words"), i)
     places = F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: F.length(word(i)) >= MIN_LENGTH)
-    places = F.filter(places, lambda i: word(i).rlike(f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"))
+    places = F.filter(places, lambda i: word(i).rlike(RUN))
+    places = F.transform(places, lambda i: F.struct(i.alias("i"), F.regexp_extract_all(word(i), F.lit(RUN), F.lit(0)).alias("runs"), F.split(word(i), RUN, -1).alias("gaps")))
     where = F.coalesce(F.col(path).cast("string"), F.lit(""))
-    return docs.withColumn("__found", F.transform(places, lambda i: candidate(F.col("__words"), i, where))).drop("__words")
+    found = F.transform(places, lambda w: F.transform(F.sequence(F.lit(0), F.size(w["runs"]) - 1), lambda j: candidate(F.col("__words"), w, j, where)))
+    return docs.withColumn("__found", F.flatten(found)).drop("__words")
 
 
 def labelled_findings(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, max_findings: int = MAX_FINDINGS) -> DataFrame:

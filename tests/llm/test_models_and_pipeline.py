@@ -73,6 +73,18 @@ def test_forest_rules_equal_the_forest(spark):
     assert secrets.train(secrets.labelled_findings(documents(spark, []))) is None
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    a, b = "0123456789abcdef0123", "fedcba98765432100123"
+    texts = [f'{{"a":"{a}","b":"{b}"}}', f"https://host/some-long-path-name?token={a}", f"{a}.{b}.{a}", f"x {a} y", "short.words.only.here", None]
+    docs = documents(spark, texts)
+    assert [r.n_candidates for r in secrets.scan(docs, None).orderBy("doc_id").collect()] == [2, 2, 3, 1, 0, 0]
+    found = secrets.with_candidates(docs, "text", "source").select(F.explode("__found").alias("c")).select("c.core").collect()
+    assert {a, b, f"token={a}"} <= {r.core for r in found}
+    every = "Tree 0:\n  Predict: 1.0"
+    rows = {r.doc_id: r for r in secrets.scan(docs, every).collect()}
+    assert rows[0].secrets == [a, b] and rows[0].redacted == '{"a":"[SECRET]","b":"[SECRET]"}'
+
+
 def test_mixing_meets_targets(spark):
     texts = awkward() + [prose(i, 40 + i) for i in range(120)] + [" ".join("zz" + w for w in prose(i, 30).split()) for i in range(60)]
     docs = documents(spark, texts).withColumn("rate", F.lit(1))
