@@ -5,11 +5,15 @@ with more runs each one sees the text next to it: the run before and the marks u
 Features: its length, transitions between letters, digits and cases, shares of digits, hexadecimal digits and
 different characters, the share of its letters that frequent word parts cover, marks of its word (quotes, @, dots,
 slashes), what the two words before it and the one after it hold, and marks and depth of the row's path. The forest is
-trained on labelled findings, at most MAX_FINDINGS of them, and put into the query as one expression of nested
-conditions, so that scanning neither shuffles nor leaves the row. A finding with half of the votes or more is a secret.
+trained on labelled findings of all documents, at most MAX_FINDINGS of each label, and put into the query as one
+expression of nested conditions, so that scanning neither shuffles nor leaves the row. A finding with half of the votes
+or more is a secret; where all findings have one label, there is nothing to learn and the label itself decides.
 
-Null and empty texts have no findings; null paths count as empty. Without findings of both labels nothing is told
-apart and no candidate is a secret. Each row gives one row.
+Labels come from a finding's surroundings: 1 for a mixed letter-digit string that is assigned to a credential's name, with
+or without quotes and spaces, also of a longer name (db_password, AWS_SECRET_ACCESS_KEY); else 0.
+
+Null and empty texts have no findings; null paths count as empty. Without rules no candidate is a secret. Each row gives
+one row.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from strandlens.llm.store import keep, table
 MIN_LENGTH = 16
 RUN = f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
 NEAR = 64
-MAX_FINDINGS, MAX_DOCS = 20_000, 20_000
+MAX_FINDINGS = 20_000
 TREES, DEPTH, SEED = 20, 5, 7
 MASK = "[SECRET]"
 
@@ -33,6 +37,11 @@ MASK = "[SECRET]"
 PARTS = "the and ing tion ent ion her for tha nth ter est ers ati hat ate all eth his ver ere con der die und sch ein ich den cht gen ung les que ment des ais our eur par ela los ado ido nte del aci est ara cion ede".split()
 KEYS = "token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key"
 
+#: A credential's name, alone or in a longer one. "author" and "tokenizer" aren't such.
+NAME = f"[A-Za-z0-9_.-]*({KEYS})(s|key|[0-9]+)?([_.-][A-Za-z0-9]+){{0,8}}"
+#: The rules of findings of one label: the label itself.
+BY_LABEL = "label"
+
 SHARES = ["digits", "hexes", "variety", "covered"]
 FEATURES = ["length", "transitions", "case_changes", *SHARES, "quoted", "at_sign", "dots", "slashes", "key_before", "assigned", "key_inside", "after_plain", "path_depth", "path_test"]
 
@@ -42,7 +51,7 @@ def number(x: Column) -> Column:
 
 
 def candidate(words: Column, place: Column, j: Column, path: Column) -> Column:
-    """The struct of run j of the word at `place`: its text, FEATURES and the words about it."""
+    """The struct of run j of the word at `place`: its text, FEATURES, label and the words about it."""
     i, runs, gaps = place["i"], place["runs"], place["gaps"]
     core, more = F.get(runs, j), F.size(runs) > 1
     near = lambda x, last: F.when(more, F.substring(x, -NEAR, NEAR) if last else F.substring(x, 1, NEAR)).otherwise(x)
@@ -58,10 +67,15 @@ def candidate(words: Column, place: Column, j: Column, path: Column) -> Column:
         "digits": share("[0-9]"), "hexes": share("[0-9a-fA-F]"), "variety": F.size(F.array_distinct(F.split(lowered, ""))).cast("double") / size,
         "covered": (size - F.length(F.regexp_replace(lowered, "|".join(dict.fromkeys(PARTS)), ""))) / size,
         "quoted": word.rlike("[\"'`]"), "at_sign": F.instr(word, "@") > 0, "dots": F.regexp_count(word, F.lit("[.]")), "slashes": F.regexp_count(word, F.lit("/")),
-        "key_before": before.rlike(f"(?i)({KEYS})"), "assigned": before.rlike("[=:]\\W*$") | word.rlike("^\\w+\\W*[=:]"), "key_inside": word.rlike(f"(?i)({KEYS})"),
+        "key_before": before.rlike(f"(?i)({KEYS})"), "assigned": before.rlike("[=:]\\W*$") | left.rlike("[=:]\\W*$") | word.rlike("^\\w+\\W*[=:]"), "key_inside": word.rlike(f"(?i)({KEYS})"),
         "after_plain": after.rlike("^[a-zA-Z,.]*$"), "path_depth": F.regexp_count(path, F.lit("/")), "path_test": path.rlike("(?i)(test|example|sample|fixture)"),
     }
-    return F.struct(core.alias("core"), word.alias("word"), before.alias("before"), *[number(features[k].cast("double") if k not in ("quoted", "at_sign", "key_before", "assigned", "key_inside", "after_plain", "path_test") else features[k].cast("int")).alias(k) for k in FEATURES])
+    mixed = core.rlike("[0-9]") & core.rlike("[A-Za-z]")
+    named = F.concat_ws(" ", before, left).rlike(f"(?i)(^|[^A-Za-z0-9_.-]){NAME}\\W*[=:]\\W*$")
+    # a name, its sign and the value are one run where nothing stands between them
+    inside = core.rlike(f"(?i)^{NAME}=+(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{8,}}=*$")
+    label = ((named & mixed) | inside).cast("double")
+    return F.struct(label.alias("label"), core.alias("core"), word.alias("word"), before.alias("before"), *[number(features[k].cast("double") if k not in ("quoted", "at_sign", "key_before", "assigned", "key_inside", "after_plain", "path_test") else features[k].cast("int")).alias(k) for k in FEATURES])
 
 
 def with_candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
@@ -76,19 +90,15 @@ def with_candidates(docs: DataFrame, text: str, path: str) -> DataFrame:
     return docs.withColumn("__found", F.flatten(found)).drop("__words")
 
 
-def labelled_findings(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", max_docs: int = MAX_DOCS, max_findings: int = MAX_FINDINGS) -> DataFrame:
-    """Findings of at most `max_docs` documents (of smallest hash of their id), labelled by their surroundings: 1 for a quoted
-    mixed letter-digit string assigned to a credential's name, else 0."""
-    ids = docs.select(F.col(key).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
-    some = docs.select(F.col(key).alias("__key"), F.col(text).alias("text"), F.col(path).alias("path")).join(F.broadcast(ids), F.col("__key") == F.col("__id"))
+def labelled_findings(docs: DataFrame, text: str = "text", path: str = "source", max_findings: int = MAX_FINDINGS) -> DataFrame:
+    """Findings of all documents with their label; at most `max_findings` of each, those of smallest hash."""
+    some = docs.select(F.col(text).alias("text"), F.col(path).alias("path"))
     # written once: taken apart in one plan, each field would have all candidates made again; outer, as a filter on the
     # array, which explode implies, would split the text again for each of its words
     rows = with_candidates(some, "text", "path").select(F.explode_outer("__found").alias("c")).filter("c IS NOT NULL")
-    rows = keep(rows, "candidates").select("c.*")
-    sure = F.col("before").rlike(f"(?i)(^|\\W)({KEYS})\\W*[=:]\\W*$") & F.col("word").rlike("^\\W*[\"']") & F.col("core").rlike("[0-9]") & F.col("core").rlike("[A-Za-z]")
-    rows = rows.withColumn("label", sure.cast("double"))
-    # rare labels first, so that a bounded sample holds both
-    return rows.distinct().orderBy(F.desc("label"), F.xxhash64("core", "before")).limit(max_findings)
+    rows = keep(rows, "candidates").select("c.*").distinct()
+    part = lambda label: rows.filter(F.col("label") == label).orderBy(F.xxhash64("core", "before")).limit(max_findings)
+    return part(1.0).union(part(0.0))
 
 
 def conditions(description: str) -> str:
@@ -115,11 +125,12 @@ def conditions(description: str) -> str:
 
 
 def train(findings: DataFrame) -> str | None:
-    """The rules of a forest over labelled findings, or None unless both labels occur."""
+    """The rules of a forest over labelled findings, BY_LABEL if one label is missing, None without findings."""
     findings = findings.persist()
     try:
-        if findings.select("label").distinct().count() < 2:
-            return None
+        labels = findings.select("label").distinct().count()
+        if labels < 2:
+            return BY_LABEL if labels else None
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", labelCol="label", featuresCol="features")
         return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings).select("features", "label")).toDebugString
     finally:
@@ -133,7 +144,8 @@ def scan(docs: DataFrame, rules: str | None, text: str = "text", path: str = "so
     if rules is None:
         secrets = F.array().cast("array<string>")
     else:
-        secrets = F.expr(f"array_distinct(transform(filter(__found, c -> {conditions(rules)} >= 0.5D), c -> c.core))")
+        votes = "c.label" if rules == BY_LABEL else conditions(rules)
+        secrets = F.expr(f"array_distinct(transform(filter(__found, c -> {votes} >= 0.5D), c -> c.core))")
     out = found.withColumn("n_candidates", F.size("__found").cast("long")).withColumn("secrets", secrets).drop("__found")
     redacted = F.aggregate("secrets", F.col(text).cast("string"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     return out.withColumn("redacted", F.when(F.size("secrets") > 0, redacted).otherwise(F.col(text).cast("string")))

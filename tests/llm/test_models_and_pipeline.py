@@ -85,6 +85,24 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert rows[0].secrets == [a, b] and rows[0].redacted == '{"a":"[SECRET]","b":"[SECRET]"}'
 
 
+def test_labels_of_findings(spark):
+    key = "0123456789abcdef0123"
+    true = [f'api_key="{key}"', f"DB_PASSWORD={key}", f'access_token = "{key}"', f'"AWS_SECRET_ACCESS_KEY": "{key}"', f'{{"user":1,"secret_key":"{key}"}}', f"token: {key}", f"https://host/some-long-path-name?token={key}"]
+    false = [f"commit {key}", f'author = "{key}"', f"/srv/some/long/path/{key}", f"see token of the session {key}"]
+    for texts, label in ((true, 1.0), (false, 0.0)):
+        for text in texts:
+            rows = secrets.labelled_findings(documents(spark, [text])).filter(F.col("core").contains(key)).collect()
+            assert [r.label for r in rows] == [label], text
+    # one label only: it decides
+    only = documents(spark, true[:3])
+    rules = secrets.train(secrets.labelled_findings(only))
+    assert all(len(r.secrets) == 1 and key not in r.redacted for r in secrets.scan(only, rules).collect())
+    # a bound on one label leaves the other's findings
+    many = documents(spark, [f"token = 'a{i:020d}'" for i in range(40)] + [f"plain b{i:020d}" for i in range(40)])
+    counts = {r.label: r["count"] for r in secrets.labelled_findings(many, max_findings=10).groupBy("label").count().collect()}
+    assert counts == {0.0: 10, 1.0: 10}
+
+
 def test_mixing_meets_targets(spark):
     texts = awkward() + [prose(i, 40 + i) for i in range(120)] + [" ".join("zz" + w for w in prose(i, 30).split()) for i in range(60)]
     docs = documents(spark, texts).withColumn("rate", F.lit(1))
