@@ -2,7 +2,8 @@
 
 Components become floor(256 * x) with x as double. Vectors that are null or empty, or hold null or non-finite
 components, and rows without an id take no part; vectors are compared with those of their own dimension. A candidate
-is every row but those of the query's own id; equal scores go to the smaller id; a query with fewer candidates has fewer ranks.
+is every row but those of the query's own id, and rows that repeat an id and a vector count as often as they occur; equal
+scores go to the smaller id; a query with fewer candidates has fewer ranks. Query rows of one id share its ranks.
 
 Pivots (at most MAX_PIVOTS rows, those of smallest hash) route each vector to its nearest; a region becomes pages of
 about PAGE vectors (more only so that there are MAX_PAGES at most), also where one vector fills a region. All vectors
@@ -215,7 +216,7 @@ def top_k(frame: DataFrame, key: str = "vec_id", vector: str = "embedding", is_q
 
     further = started.select("id", "v", "block", "floor", "dim", "region", "page").mapInArrow(spread, "id long, v array<double>, block int, floor double, dim int, region int, page int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (home.union(visit(further)).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return (home.union(visit(further)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from strandlens.llm import mtree
@@ -29,6 +30,21 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, mtree.top_k(frame, page=page).collect())) == brute(rows)
 
 
+def test_repeated_rows_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(120)]
+    best = max((r for r in rows if r[0] % 50), key=lambda r: np.dot(r[1], rows[50][1]))
+    rows += [best] * 4 + [rows[0]] + [(100, rows[3][1])] + [(101, rows[7][1])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(mtree.SQL).fetchall())
+    assert [x[2] for x in want if x[0] == 50] == [best[0]] * 5
+    for page in (20, 4096):
+        assert sorted(map(tuple, mtree.top_k(frame, page=page).collect())) == want
+
+
 def test_bounds_spare_products(monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(scale=2000, size=(40, 8))
