@@ -13,24 +13,38 @@ from strandlens.operators.counts import features
 INPUTS = ["charge", "hydro", "aromatic", "n_cys", "volume", "beta"]
 
 
-def inputs(rows: DataFrame, place: int, cap: int, kinds: int = 8, least: int = 20) -> DataFrame:
-    """doc_id, label, aa and features; the `kinds` most frequent residues of `least` rows or more, at most `cap` rows each (by hash)."""
+def measured(rows: DataFrame, place: int) -> DataFrame:
+    """doc_id, aa and raw, the vector of INPUTS, for every row."""
     base = features(rows).withColumns({"aa": R.residue("v", place), "volume": R.weighted("cdr3", R.VOLUME), "beta": R.weighted("cdr3", R.BETA)})
+    return VectorAssembler(inputCols=INPUTS, outputCol="raw").transform(base).select("doc_id", "aa", "raw")
+
+
+def classes(base: DataFrame, kinds: int = 8, least: int = 20) -> DataFrame:
+    """aa, n and label of the `kinds` most frequent residues of `least` rows or more."""
     top = base.groupBy("aa").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "aa").limit(kinds)
-    top = top.withColumn("label", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "aa")) - 1).cast("double"))
-    sampled = base.join(F.broadcast(top), "aa").withColumn("place", F.row_number().over(Window.partitionBy("aa").orderBy(F.md5(F.col("doc_id").cast("string"))))).filter(F.col("place") <= cap)
-    return VectorAssembler(inputCols=INPUTS, outputCol="raw").transform(sampled).select("doc_id", "aa", "label", "n", "raw")
+    return top.withColumn("label", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "aa")) - 1).cast("double"))
+
+
+def inputs(rows: DataFrame, place: int, cap: int, kinds: int = 8, least: int = 20) -> DataFrame:
+    """doc_id, label, aa and features that a model is fitted to: rows of classes(), at most `cap` of each (by hash)."""
+    base = measured(rows, place)
+    sampled = base.join(F.broadcast(classes(base, kinds, least)), "aa").withColumn("place", F.row_number().over(Window.partitionBy("aa").orderBy(F.md5(F.col("doc_id").cast("string"))))).filter(F.col("place") <= cap)
+    return sampled.select("doc_id", "aa", "label", "n", "raw")
 
 
 def predict(rows: DataFrame, place: int, cap: int = 100_000, forest: bool = False) -> DataFrame:
-    """Each row's probability of its own residue, the expected one, and whether they match. Classes weigh the same."""
-    data = inputs(rows, place, cap)
-    data = data.withColumn("weight", 1.0 / F.col("n"))
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data).transform(data)
+    """Each row's probability of its own residue, the expected one, and whether they match. Classes weigh the same.
+
+    Fitted to inputs(), which are bounded; every row is scored, one whose residue has no class with probability 0.
+    """
+    data = inputs(rows, place, cap).withColumn("weight", 1.0 / F.least("n", F.lit(cap)))
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data)
     kind = RandomForestClassifier(numTrees=20, maxDepth=5, seed=3, weightCol="weight") if forest else LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight")
-    made = kind.fit(scaled).transform(scaled)
-    own = F.get(vector_to_array("probability"), F.col("label").cast("int"))
-    return made.select("doc_id", "aa", F.round(own, 6).alias("p_own"), (F.col("prediction") == F.col("label")).alias("match"))
+    model = kind.fit(scaler.transform(data))
+    base = measured(rows, place)
+    made = model.transform(scaler.transform(base.join(F.broadcast(classes(base)), "aa", "left")))
+    own = F.coalesce(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0))
+    return made.select("doc_id", "aa", F.round(own, 6).alias("p_own"), F.coalesce(F.col("prediction") == F.col("label"), F.lit(False)).alias("match"))
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
-from strandlens.operators import counts as C, coupling as K, design as D, merge as M, score as P, search as G
+from strandlens.operators import counts as C, coupling as K, design as D, merge as M, models as L, score as P, search as G
 from strandlens.sources import sequences as S
 
 
@@ -108,6 +108,19 @@ def test_rule_probabilities(spark):
     assert C.rules(rows.filter("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("forest", [False, True])
+def test_models_score_every_row(spark, forest):
+    kinds = "K" * 40 + "R" * 30 + "D" * 5
+    rows = spark.createDataFrame([(i, "x", "s", sequence(p71=a, p110="KDEAC"[i % 5], p117=a)) for i, a in enumerate(kinds)], "doc_id int, lang string, source string, v string")
+    rows = rows.withColumns({"family": R.family("v"), "hallmarks": R.hallmarks("v"), "cdr3": R.region("v", "cdr3")})
+    scored = L.predict(rows, 71, cap=20, forest=forest)
+    found = scored.collect()
+    assert sorted(r.doc_id for r in found) == list(range(75))
+    assert all((r.p_own == 0 and not r.match) == (r.aa == "D") for r in found if r.aa == "D" or r.match)
+    (total,) = L.accuracy(scored).collect()
+    assert total.majority == pytest.approx(40 / 75) and total.accuracy == pytest.approx(sum(r.match for r in found) / 75)
+
+
 def test_sources_read_back(spark, tmp_path):
     (tmp_path / "a.csv").write_text("ID, CDR3 ,family,family\n1,AAA,F,G\n2,NaN,Y,Z\n")
     (tmp_path / "b.csv").write_text("id,cdr3\n3,CCC\n")
