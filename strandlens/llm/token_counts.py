@@ -3,8 +3,10 @@
 Each whole text is encoded (byte-level merges of a public vocabulary, no special tokens); documents are counted by
 their encoded length. Sums over all longer lengths answer, for every context limit: how many documents and tokens
 reach it, the tokens left after truncation, and quantiles. Null texts are not counted; an empty text has length 0; an
-empty table gives an empty histogram. The sums run in blocks of BLOCK lengths with block totals carried over, so no
-task holds more than one block of lengths or one row a block.
+empty table gives an empty histogram. Rows that repeat count as often as they occur; equal lengths share a row; only the
+text column is read, so other columns can't clash. Texts are encoded once: the counts by length, a row for each length
+that occurs, are written and read again. The sums run in blocks of BLOCK lengths with block totals carried over, so no task
+holds more than one block of lengths or one row a block (the longest text's tokens / BLOCK rows, however many texts).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandlens.llm import text as tx
-from strandlens.llm.store import table
+from strandlens.llm.store import keep, table
 
 BLOCK = 256
 
@@ -52,7 +54,7 @@ def token_lengths(docs: DataFrame, text: str = "text", ranks: str | None = None)
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """A row for each length that occurs: n_docs; docs_at_least and tokens_at_least (suffix sums); docs_at_most;
     truncated_tokens, the total when every document is cut to n_tokens; share_at_most, the length's quantile."""
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    counts = keep(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths").withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / F.lit(BLOCK)))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     longer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,8 +70,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
-    """One row: the tokens left when every document is cut to `limit`, which needn't occur as a length."""
-    return histogram.agg(F.coalesce(F.sum(F.col("n_docs") * F.least("n_tokens", F.lit(limit))), F.lit(0)).alias("truncated_tokens"))
+    """One row: the tokens left when every document is cut to `limit`, which needn't occur as a length. Of the suffix sums
+    that counts: those of the smallest length from `limit` on."""
+    longer = lambda x: F.coalesce(F.max(F.when(F.col("n_tokens") >= limit, F.col(x))), F.lit(0))  # noqa: E731  suffix sums fall with the length
+    total = F.coalesce(F.max("tokens_at_least"), F.lit(0))
+    return histogram.agg((total - longer("tokens_at_least") + F.lit(limit) * longer("docs_at_least")).alias("truncated_tokens"))
 
 
 def quantile(histogram: DataFrame, share: float) -> DataFrame:
