@@ -7,15 +7,21 @@ way is extended by a piece only if the merges leave the two neighbours apart, wh
 and gives the ids of the merges themselves, equal to the public library's (tests/llm).
 
 Texts are cut where no piece can reach across: before spaces, around characters without a piece, which become byte
-pieces (or the unknown id). Pieces of many units are found side by side, one byte at a time; a bounded memo keeps
-those of frequent units. Every text is read whole; a null text has null ids, an empty one has none. Decoding joins the pieces'
-bytes; it returns the text but for U+2581, which the format itself turns into a space.
+pieces (or the unknown id). Pieces of many short units are found side by side, one byte at a time; a unit of more than
+SIDE_BY_SIDE bytes, as in texts without spaces, is walked alone, in time and memory that grow with its length. A bounded
+memo keeps the pieces of frequent short units. Decoding joins the pieces' bytes; it returns the text but for U+2581, which
+the format itself turns into a space.
+
+Every text is read whole; a null text has null ids, an empty one has none. Each row gives one row, also a repeated one, and
+equal texts have equal ids; an empty table gives no rows. Columns ids, n_tokens and round_trip of the input give way to
+the new ones; others stay as they are.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import cache
 from itertools import chain
 
@@ -31,6 +37,8 @@ SPACE = "▁"
 #: Units kept in the memo; bytes of a unit that is searched side by side with others; units searched at once.
 MEMO, SIDE_BY_SIDE, BLOCK = 200_000, 48, 8192
 PAIRS = 1 << 20
+#: Characters of the longest unit that stays in a memo.
+LONGEST_KEPT = 256
 
 
 def default_model() -> str:
@@ -184,6 +192,9 @@ class Pieces:
             for_row = up[below]
             self.go[for_row, byte[below]] = below
         self.first = np.where(self.piece >= 0, np.arange(n), self.output)
+        # the same as flat sequences, which are read faster one by one
+        self.steps = (memoryview(np.ascontiguousarray(self.go).reshape(-1)), *(x.tolist() for x in (self.first, self.output, self.piece, self.size)), self.score.tolist())
+        self.pair_memo: dict[int, bool] = {}
 
     def search(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit, as int32 bytes. The units' characters all have pieces."""
@@ -240,6 +251,45 @@ class Pieces:
         ends = 4 * np.cumsum(np.bincount(rows, minlength=n))
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _walk(self, unit: bytes) -> bytes:
+        """The ids of one long unit: the same search, place by place, with the bytes' steps taken from the automaton's rows."""
+        go, first, output, piece, size, score = self.steps
+        n, bpe = len(unit), self.mode == "bpe"
+        last, begin = array("q", [-1]) * (n + 1), array("q", [0]) * (n + 1)
+        best = None if bpe else array("d", [0.0]) + array("d", [-np.inf]) * n
+        fits = self.pair_memo
+        state = 0
+        for j, byte in enumerate(unit, 1):
+            state = go[state << 8 | byte]
+            node = first[state]
+            while node > 0:
+                start, own = j - size[node], piece[node]
+                if bpe:
+                    before = last[start]
+                    if start == 0:
+                        good = True
+                    elif before < 0:
+                        good = False
+                    else:
+                        pair = before << 32 | own
+                        good = fits.get(pair)
+                        if good is None:
+                            if len(fits) >= PAIRS:
+                                fits.clear()
+                            good = fits[pair] = bool(self._fits(np.array([before]), np.array([own]))[0])
+                    if good:
+                        last[j], begin[j] = own, start
+                        break
+                elif (total := best[start] + score[own]) > best[j]:
+                    best[j], last[j], begin[j] = total, own, start
+                node = output[node]
+        found, place = [], n
+        while place:
+            found.append(last[place])
+            place = begin[place]
+        ids = np.array(found[::-1], np.int64)
+        return (self.rank_id[ids] if bpe else ids).astype(np.int32).tobytes()
+
     def run(self, n: int) -> list[int]:
         """The ids of n spaces that no other piece takes."""
         if n not in self.runs:
@@ -270,11 +320,11 @@ class Pieces:
             self.memo[x] = ids
 
     def _apart(self, names: list[str], units: list[bytes]) -> list[tuple[str, bytes]]:
-        """Searches long units one by one, so that they don't widen the grid of the others."""
+        """Walks long units one by one, so that they don't widen the grid of the others."""
         short = [i for i, x in enumerate(units) if len(x) <= SIDE_BY_SIDE]
         long = [i for i, x in enumerate(units) if len(x) > SIDE_BY_SIDE]
         found = list(zip((names[i] for i in short), self.search([units[i] for i in short])))
-        return found + [(names[i], self._search([units[i]])[0]) for i in long]
+        return found + [(names[i], self._walk(units[i])) for i in long]
 
     def _known(self, memo: dict[str, bytes], every: set[str], learn) -> None:
         new = every.difference(memo)
@@ -293,10 +343,19 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         simple = [self.prefix and x != "" and x[0] != " " and x[-1] != " " and "  " not in x and SPACE not in x for x in texts]
         words = [x.split(" ") if easy else [] for x, easy in zip(texts, simple)]
-        self._known(self.words, set(chain.from_iterable(words)), self._learn_words)
+        every = set(chain.from_iterable(words))
+        self._known(self.words, every, self._learn_words)
         units = [self.unit.findall(SPACE * self.prefix + x.replace(" ", SPACE)) if x and not easy else [] for x, easy in zip(texts, simple)]
-        self._known(self.memo, set(chain.from_iterable(units)), self.learn)
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, w) if easy else map(self.memo.__getitem__, u)), np.int32) for easy, w, u in zip(simple, words, units)]
+        rest = set(chain.from_iterable(units))
+        self._known(self.memo, rest, self.learn)
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, w) if easy else map(self.memo.__getitem__, u)), np.int32) for easy, w, u in zip(simple, words, units)]
+        # what is too long to be met again would only fill the memos
+        for x in every | rest:
+            if len(x) > LONGEST_KEPT:
+                self.words.pop(x, None)
+                self.memo.pop(x, None)
+                self.memo.pop(SPACE + x, None)
+        return out
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all pieces end to end, before the added space goes."""

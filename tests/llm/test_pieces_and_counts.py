@@ -56,6 +56,24 @@ def test_merges_agree_with_the_library():
         pieces.MEMO = small_memo
 
 
+def test_long_units_take_time_in_proportion():
+    import time
+
+    own, library = pieces.Pieces(pieces.default_model()), sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    for unit in (prose(5, 60).replace(" ", ""), "漢字中文" * 40, "abc" * 300 + "é" + "zz" * 80):
+        assert own.encode([unit])[0].tolist() == library.encode(unit)
+    for text in ("".join(prose(k, 40).replace(" ", "") for k in range(2500)), "漢字中文的是" * 20_000):
+        began = time.process_time()
+        ids = own.encode([text])[0]
+        assert time.process_time() - began < 25 and own.decode(ids.tolist()) == text
+
+
+def test_long_units_by_score(tmp_path):
+    own = pieces.Pieces(unigram_copy(pieces.default_model(), tmp_path / "unigram.model"), "unigram")
+    text = prose(5, 30).replace(" ", "")
+    assert sum(own.score[i] for i in own.encode([text])[0]) == pytest.approx(best_total(own, "▁" + text))
+
+
 def test_scores_agree_with_the_library(tmp_path):
     path = unigram_copy(pieces.default_model(), tmp_path / "unigram.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,7 +119,8 @@ def test_histogram_against_brute_force(spark):
         assert r.n_docs == (lengths == n).sum() and r.docs_at_least == (lengths >= n).sum()
         assert r.tokens_at_least == lengths[lengths >= n].sum() and r.docs_at_most == (lengths <= n).sum()
         assert r.truncated_tokens == np.minimum(lengths, n).sum() and r.share_at_most == pytest.approx((lengths <= n).mean())
-    assert token_counts.truncated_total(made, 100).first()[0] == np.minimum(lengths, 100).sum()
+    for limit in (0, 1, 100, 101, int(lengths.max()), 10**7):
+        assert token_counts.truncated_total(made, limit).first()[0] == np.minimum(lengths, limit).sum()
     assert token_counts.quantile(made, 0.5).first()[0] == np.sort(lengths)[-(-len(lengths) // 2) - 1]
     empty = token_counts.length_histogram(token_counts.token_lengths(documents(spark, [])))
     assert empty.count() == 0 and token_counts.quantile(empty, 0.5).first()[0] is None
