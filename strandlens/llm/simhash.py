@@ -1,24 +1,27 @@
 """SimHash near-duplicate groups: fingerprints, BK-trees of shards, connected components.
 
-A text is lower-cased in A-Z and cut into words `[^\\x20\\x09-\\x0D]+`; its shingles are three words joined by a space
+A text is lower-cased in A-Z and cut into words `[^\\x20\\x09-\\x0D]+`; its shingles are `size` words joined by a space
 (fewer words: the whole sequence). A fingerprint bit is 1 if it is set in over half of the shingles' XXH64 (seed 42);
-no word gives fingerprint zero, linked like any other. Fingerprints that differ in RADIUS bits or fewer are linked and
+no word gives fingerprint zero, linked like any other. Fingerprints that differ in `radius` bits or fewer are linked and
 a component is named by its smallest doc_id.
 
-Distinct fingerprints are dealt to shards by each of RADIUS + 1 blocks of their bits: two within the radius agree in at
-least one block, so that one shard holds both. Each shard's members form a BK-tree (children keyed by the Hamming
-distance to their parent) and each member follows only edges within the radius. Shards stay where Spark deals them; they
-are not broadcast, as their size isn't bounded. A shard of more than MAX_MEMBERS is cut into chunks and each pair of
-chunks is a tree and a set of queries of its own, so that no link is lost and no task grows. Of the links found, a
-task passes on a spanning forest only.
+The 64 bits are cut into radius + AGREE blocks: two fingerprints within the radius agree in AGREE of them at least. Distinct
+fingerprints are dealt to a shard for each choice of AGREE blocks, so that one shard holds both; with a radius of 3 these
+are 10 shards of 24 to 26 bits each, few members in each up to some 10**10 fingerprints. Each shard's members form
+a BK-tree (children keyed by the Hamming distance to their parent) and each member follows only edges within the radius.
+Shards stay where Spark deals them; they are not broadcast, as their size isn't bounded. A shard of more than MAX_MEMBERS
+is cut into chunks and each pair of chunks is a tree and a set of queries of its own, so that no link is lost and no task
+grows. A task goes through its trees in order and holds about HELD members at a time. Of the links found, it passes on
+a spanning forest only.
 
 Null texts count as empty. Rows with null doc_id get a fingerprint and the component of their group (null if no row
-there has an id). Repeated rows each give a row.
+there has an id). Repeated rows each give a row. An empty table gives no rows. Other columns of the input are left out, so
+none can clash. Ties don't arise: a component's name is the smallest doc_id.
 """
 
 from __future__ import annotations
 
-from itertools import islice, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from strandlens.llm import text as tx
 from strandlens.llm.components import components
 from strandlens.llm.store import keep, table
 
-SHINGLE, SEED, RADIUS = 3, 42, 3
-MAX_MEMBERS = 8192
+SHINGLE, SEED, RADIUS, AGREE = 3, 42, 3, 2
+MAX_MEMBERS, HELD = 8192, 1 << 19
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: For each byte, its bits from the highest as eight bytes of 0 or 1, in one word.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
@@ -44,12 +47,12 @@ def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(islice(words, k, None) for k in range(size)))))
 
 
-def fingerprint_bytes(texts: list[bytes]) -> np.ndarray:
+def fingerprint_bytes(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Each text's fingerprint as eight bytes, the highest first."""
     digest = xxhash.xxh64_digest
     counts, parts = np.zeros(len(texts), np.int64), []
     for i, text in enumerate(texts):
-        own = shingles(text)
+        own = shingles(text, size)
         counts[i] = len(own)
         parts.append(b"".join(map(digest, own, repeat(SEED))))
     rows = LANES[np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8)]
@@ -67,17 +70,16 @@ def fingerprint_bytes(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, fp (the fingerprint as a signed long), fingerprint (16 hex digits), one row for each of `docs`."""
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """`keys` of `docs` with fp (the fingerprint as a signed long), one row for each of `docs`."""
 
     def make(batches):
-        for part in tx.steps(batches, "text"):
-            found = fingerprint_bytes(tx.blobs(part.column("text")))
-            yield pa.record_batch([part.column("doc_id"), pa.array(found.view(">u8")[:, 0].astype(np.uint64).view(np.int64)),
-                                   pa.array([x.tobytes().hex() for x in found])], names=["doc_id", "fp", "fingerprint"])
+        for part in tx.steps(batches, "__text"):
+            found = fingerprint_bytes(tx.blobs(part.column("__text")), size)
+            yield pa.record_batch([*(part.column(k) for k in keys), pa.array(found.view(">u8")[:, 0].astype(np.uint64).view(np.int64))], names=[*keys, "fp"])
 
-    part = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return part.mapInArrow(make, "doc_id long, fp long, fingerprint string")
+    part = docs.select(*keys, F.col(text).cast("string").alias("__text"))
+    return part.mapInArrow(make, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keys).schema) + "fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,41 +172,74 @@ def shard_links(fps: np.ndarray, tree: np.ndarray, role: np.ndarray, radius: int
     return values[label[apart]], values[apart]
 
 
+def shards(radius: int, agree: int = AGREE) -> list[F.Column]:
+    """The shards of column fp: for each choice of `agree` of radius + agree blocks, their bits below the choice's number."""
+    edges = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
+    out = []
+    for number, chosen in enumerate(combinations(range(radius + agree), agree)):
+        mask = sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in chosen)
+        out.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64)))))
+    return out
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, max_members: int = MAX_MEMBERS) -> DataFrame:
     """Columns a, b: links that connect what links of `radius` bits or fewer connect, among distinct values of column fp."""
-    blocks, width = radius + 1, 64 // (radius + 1)
-    shard = F.explode(F.array(*[F.shiftrightunsigned(F.shiftleft("fp", 64 - width * (i + 1)), 64 - width).bitwiseOR(F.lit(i << 56)) for i in range(blocks)]))
-    dealt = distinct.select("fp", shard.alias("shard"))
-    sizes = dealt.groupBy("shard").count().filter(F.col("count") > 1)
-    dealt = dealt.join(sizes, "shard")  # a member alone in its shard has no partner there
-    chunks = F.ceil(F.col("count") / F.lit(max_members)).cast("int")
+    dealt = distinct.select("fp", F.explode(F.array(*shards(radius))).alias("shard"))
+    # few: only shards that a task shouldn't take whole
+    hot = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > max_members)
+    dealt = dealt.join(hot, "shard", "left")
+    chunks = F.ceil(F.coalesce("members", F.lit(1)) / F.lit(max_members)).cast("int")
     own = F.pmod(F.xxhash64("fp", "shard"), chunks).cast("int")
     dealt = dealt.select("fp", "shard", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     # chunk pair (i, j), i <= j: chunk i is the tree, chunk j asks
-    dealt = dealt.select("fp", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"),
+    dealt = dealt.select("fp", F.when(F.col("own") + F.col("other") == 0, F.col("shard")).otherwise(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))).alias("tree"),
                          F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"))
 
     def find(batches):
-        parts = [x for x in batches if x.num_rows]
-        if parts:
-            whole = pa.Table.from_batches(parts)
-            fps, tree, role = (whole.column(k).to_numpy() for k in ("fp", "tree", "role"))
-            a, b = shard_links(np.ascontiguousarray(fps), tree, role, radius)
+        def whole_trees():
+            """Members of whole trees, about HELD of them at a time."""
+            parts, n = [], 0
+            for batch in batches:
+                parts.append(batch)
+                n += batch.num_rows
+                if n >= HELD:
+                    held = pa.Table.from_batches(parts).combine_chunks()
+                    tree = held.column("tree").to_numpy()
+                    cut = int(np.searchsorted(tree, tree[-1], "left"))  # in order; the last tree may go on
+                    if cut:
+                        yield held.slice(0, cut)
+                        parts, n = held.slice(cut).to_batches(), held.num_rows - cut
+            if n:
+                yield pa.Table.from_batches(parts).combine_chunks()
+
+        for held in whole_trees():
+            fps, tree, role = (held.column(k).to_numpy() for k in ("fp", "tree", "role"))
+            # most trees are one member, which has no partner
+            alone = np.concatenate([[True], tree[1:] != tree[:-1]]) & np.concatenate([tree[1:] != tree[:-1], [True]])
+            fps, tree, role = (np.ascontiguousarray(x[~alone]) for x in (fps, tree, role))
+            a, b = shard_links(fps, tree, role, radius)
             for i in range(0, len(a), 100_000):
                 yield pa.record_batch([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], names=["a", "b"])
 
-    return dealt.repartition("tree").mapInArrow(find, "a long, b long")
+    return dealt.repartition("tree").sortWithinPartitions("tree").mapInArrow(find, "a long, b long")
+
+
+def group_roots(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Columns fp, root for the distinct fingerprints of `marked`: root is one fingerprint of the component."""
+    distinct = keep(marked.select("fp").distinct(), "simhash-distinct")
+    found = links(distinct, radius)
+    return distinct.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """Columns doc_id, fingerprint, component_id, one row for each of `docs`."""
-    marked = keep(fingerprints(docs, key, text), "simhash")
-    groups = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    label = components(links(groups.select("fp"), radius))
-    named = groups.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked = keep(fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", size), "simhash")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = least.join(group_roots(marked, radius), "fp")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(best, "root").select(F.col("fp").alias("of_fp"), "component_id")
-    return marked.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", "fingerprint", "component_id")
+    # of_fp has each fingerprint once; a fingerprint with many rows, such as that of empty texts, is split by AQE
+    return marked.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
