@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,55 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert rows[0].secrets == [a, b] and rows[0].redacted == '{"a":"[SECRET]","b":"[SECRET]"}'
 
 
+def test_secrets_are_masked_by_place(spark):
+    a, b = "0123456789abcdef0123456789abcdef01234567", "fedcba98765432100123456789abcdef01234567"
+    texts = [f'{{"token":"{a}","secret":"{b}"}}', f'"{a}","{b}"', f'token = "{a}" and token = "{a}ffff0000" {a}', f"AWS_SECRET_ACCESS_KEY={a}", None, "", f"\ttoken: {a}\n  x  "]
+    docs = documents(spark, texts).withColumn("secrets", F.lit(1)).withColumn("own", F.lit("kept"))
+    rows = secrets.scan(docs, secrets.BY_LABEL).orderBy("doc_id").collect()
+    assert [r.redacted for r in rows] == ['{"token":"[SECRET]","secret":"[SECRET]"}', texts[1], 'token = "[SECRET]" and token = "[SECRET]" [SECRET]', "[SECRET]", None, "", "\ttoken: [SECRET]\n  x  "]
+    assert all(r.own == "kept" for r in rows)
+    every = secrets.scan(docs, "Tree 0:\n  Predict: 1.0").orderBy("doc_id").collect()
+    assert every[1].redacted == '"[SECRET]","[SECRET]"'
+
+
+def test_features_and_candidates_against_brute_force(spark):
+    import re
+
+    texts = awkward() + [f'{prose(k, 12)} a.{"0f" * (8 + k)}/b="{"Ab3" * 7}"; x-{"long" * 5}={k} {prose(k, 3)}' for k in range(12)]
+    docs = documents(spark, texts)
+    parts = secrets.dictionary(docs)
+    words = [w for t in texts for w in re.findall("[a-z]+", (t or "").lower()) if 4 <= len(w) <= 12]
+    times = Counter(words)
+    top = sorted(times, key=lambda w: (-times[w], w))[: secrets.DICTIONARY]
+    assert parts == secrets.pattern_of(top)
+    rows = secrets.with_candidates(docs, "text", "source", parts).select("doc_id", F.explode("__found").alias("c")).select("doc_id", "c.*").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(texts):
+        runs = re.findall(secrets.RUN, text or "")
+        assert [r.core for r in by.get(i, [])] == runs
+        for r, x in zip(by.get(i, []), runs):
+            assert r.length == len(x) and r.digits == pytest.approx(sum(c.isdigit() for c in x) / len(x))
+            assert r.transitions == sum(a.isalpha() and b.isdigit() or a.isdigit() and b.isalpha() for a, b in zip(x, x[1:]))
+            assert r.variety == pytest.approx(len(set(x.lower())) / len(x))
+            assert r.covered == pytest.approx((len(x) - len(re.sub(parts, "", x.lower()))) / len(x))
+
+
+def test_forest_on_held_out_findings(spark):
+    rng = np.random.default_rng(6)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    shapes = [lambda: (f'token = "{hexes(40)}"', 1), lambda: (f"db_password: {hexes(24)}", 1), lambda: (f'"api_key":"{hexes(32)}"', 1), lambda: (f"commit {hexes(40)} by", 0),
+              lambda: ("thenonustandingwhentherivers", 0), lambda: (f"see https://host/some/long/path/of/pages{hexes(3)} there", 0)]
+    made = [shapes[i % 6]() for i in range(600)]
+    docs = documents(spark, [f"{prose(i, 8)} {x} {prose(i + 1, 8)}" for i, (x, _) in enumerate(made)])
+    findings = secrets.labelled_findings(docs.filter("doc_id DIV 6 % 2 = 0"))
+    votes = F.expr(secrets.conditions(secrets.train(findings)))
+    held = secrets.with_candidates(docs.filter("doc_id DIV 6 % 2 = 1"), "text", "source").select("doc_id", F.explode("__found").alias("c"))
+    rows = held.select("doc_id", (votes >= 0.5).alias("secret")).groupBy("doc_id").agg(F.max("secret").alias("secret")).collect()
+    assert np.mean([r.secret == bool(made[r.doc_id][1]) for r in rows]) > 0.97
+
+
 def test_labels_of_findings(spark):
     key = "0123456789abcdef0123"
     true = [f'api_key="{key}"', f"DB_PASSWORD={key}", f'access_token = "{key}"', f'"AWS_SECRET_ACCESS_KEY": "{key}"', f'{{"user":1,"secret_key":"{key}"}}', f"token: {key}", f"https://host/some-long-path-name?token={key}"]
