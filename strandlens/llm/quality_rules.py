@@ -19,15 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 from strandlens.llm import text as tx
 
 WINDOW = 8
-BUCKETS = 1 << 14
-#: The LIMIT of the SQL below, which is as it was; the operator counts all trusted documents, so that beyond so many the two differ.
-MAX_TRUSTED = 20_000
+BUCKETS = 1 << 18
+#: Trusted ids that are broadcast at most (some 30 MB); more meet the texts by a shuffled join, with the same result.
+BROADCAST_IDS = 1 << 20
 SMOOTH = 4.0
 THRESHOLD = -0.2
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Multipliers of the two-word hash (stated in the SQL too) and of the SQL's sampling hash.
+#: Multipliers of the two-word hash (stated in the SQL too).
 PAIR = (31_337, 17)
-SPREAD = 2_654_435_761
 SYMBOLS = np.zeros(256, np.int64)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 UNIT = 1_000_000
@@ -102,11 +101,11 @@ def gram_counts(docs: DataFrame, text: str, trusted: str, buckets: int = BUCKETS
     return counted.groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
-def weights(counts: list, buckets: int = BUCKETS, smooth: float = SMOOTH) -> np.ndarray:
+def weights(counts: pa.Table, buckets: int = BUCKETS, smooth: float = SMOOTH) -> np.ndarray:
     """Log ratios in units of 1e-6, one for each bucket; each order of n-gram has its own totals."""
     raw, target = np.zeros(2 * buckets), np.zeros(2 * buckets)
-    for bucket, n_raw, n_target in counts:
-        raw[bucket], target[bucket] = n_raw, n_target
+    bucket = counts["bucket"].to_numpy()
+    raw[bucket], target[bucket] = counts["n_raw"].to_numpy(), counts["n_target"].to_numpy()
     out = np.zeros(2 * buckets, np.int64)
     for half in (slice(0, buckets), slice(buckets, 2 * buckets)):
         if target[half].sum():
@@ -125,15 +124,16 @@ def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
                 buckets: int = BUCKETS, smooth: float = SMOOTH, carry: list[str] | None = None) -> DataFrame:
     """`docs` (of its columns, `carry` or all) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, llr and kept.
 
-    Columns of `docs` by these names give way to the new ones. Broadcast are 2 * buckets weights; the trusted ids
-    grow with the labels, so they meet the texts by a shuffled join at any size.
+    Columns of `docs` by these names give way to the new ones. Broadcast are 2 * buckets weights, and the trusted ids if
+    they are counted as BROADCAST_IDS or fewer; as they grow with the labels, more are joined by a shuffle.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "llr_sum"]
     docs = docs.drop(*made, "base_failed", "llr", "kept")
     ids = trusted_ids(labels).select(F.col("doc_id").alias("trusted_id"), F.lit(True).alias("trusted"))
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = plain.join(ids.hint("merge"), F.col("key") == F.col("trusted_id"), "left")
-    weight = weights(gram_counts(marked, "text", "trusted", buckets).collect(), buckets, smooth)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    marked = plain.join(ids, F.col("key") == F.col("trusted_id"), "left")
+    weight = weights(gram_counts(marked, "text", "trusted", buckets).toArrow(), buckets, smooth)
     shared = docs.sparkSession.sparkContext.broadcast(weight)
     names = docs.columns if carry is None else carry
 
@@ -178,8 +178,7 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM
         (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM t WHERE win IS NOT NULL), range({WINDOW}) AS x(k) WHERE c > 1 GROUP BY r),
 g AS (SELECT r, h % {BUCKETS} AS b FROM t
       UNION ALL SELECT r, (h * {PAIR[0]} + h2 * {PAIR[1]}) % {tx.HASH_MOD} % {BUCKETS} + {BUCKETS} FROM t WHERE h2 IS NOT NULL),
-trust AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
-          ORDER BY (((doc_id % 4294967296) + 4294967296) % 4294967296 * {SPREAD}::HUGEINT) % 4294967296, doc_id LIMIT {MAX_TRUSTED}),
+trust AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
 c AS (SELECT b, count(*) AS n_raw, count(*) FILTER (WHERE r IN (SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM trust))) AS n_target FROM g GROUP BY b),
 s AS (SELECT b >= {BUCKETS} AS two, sum(n_raw)::DOUBLE AS s_raw, sum(n_target)::DOUBLE AS s_target FROM c GROUP BY 1),
 lw AS (SELECT b, CASE WHEN s_target = 0 THEN 0 ELSE

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Text bytes that one step of a kernel holds at a time (one longer text stands alone).
 STEP_BYTES = 4 << 20
+#: Bytes of words that are hashed at a time, and of a longer word's pieces.
+RUN_BYTES, PIECE = 4 << 20, 1 << 16
 #: Modulus and base of the word hash that SQL can recompute.
 HASH_MOD, HASH_BASE = 2_147_483_647, 1_000_003
 
@@ -84,18 +86,39 @@ class Words:
         self.data, self.inside = data, inside
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word: the Horner hash modulo HASH_MOD over its UTF-8 bytes, and another of 64 bits."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        """Of each word: the Horner hash modulo HASH_MOD over its UTF-8 bytes, and another of 64 bits. Words are taken in
+        runs of about RUN_BYTES, and a word of more than PIECE bytes in pieces, so that memory doesn't follow a text."""
         lengths = self.ends - self.starts
+        small, large = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.uint64)
+        step = np.uint64(pow(HASH_BASE, PIECE, HASH_MOD)), np.uint64(pow(0x9E3779B97F4A7C15, PIECE, 1 << 64))
+        long = lengths > PIECE
+        for i in np.flatnonzero(long).tolist():
+            for begin in range(int(self.starts[i]), int(self.ends[i]), PIECE):
+                end = min(begin + PIECE, int(self.ends[i]))
+                a, b = self._folded(np.array([begin]), np.array([end]))
+                last = end - begin < PIECE
+                up = (np.uint64(pow(HASH_BASE, end - begin, HASH_MOD)), np.uint64(pow(0x9E3779B97F4A7C15, end - begin, 1 << 64))) if last else step
+                small[i] = (small[i] * up[0] + a[0]) % np.uint64(HASH_MOD)
+                large[i : i + 1] = large[i : i + 1] * up[1] + b
+        short = np.flatnonzero(~long)
+        total = np.cumsum(lengths[short])
+        begin = 0
+        while begin < len(short):
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + RUN_BYTES, "right")))
+            own = short[begin:end]
+            small[own], large[own] = self._folded(self.starts[own], self.ends[own])
+            begin = end
+        return small, mix(large + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _folded(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = ends - starts
         at = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(at, lengths)
-        byte = self.data[self.inside].astype(np.uint64)
+        byte = self.data[np.repeat(starts, lengths) + place].astype(np.uint64)
         far = np.repeat(lengths, lengths) - 1 - place
         longest = int(lengths.max())
         small = np.add.reduceat(powers(HASH_BASE, longest, HASH_MOD)[far] * byte, at) % np.uint64(HASH_MOD)
-        large = np.add.reduceat(powers(0x9E3779B97F4A7C15, longest)[far] * (byte + np.uint64(0x51)), at)
-        return small, mix(large + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return small, np.add.reduceat(powers(0x9E3779B97F4A7C15, longest)[far] * (byte + np.uint64(0x51)), at)
 
 
 def totals(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

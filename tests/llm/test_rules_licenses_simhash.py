@@ -76,6 +76,17 @@ def test_quality_rules_count_all_trusted(spark):
     assert quality_rules.apply_rules(docs, labels).filter("llr <> 0").count() == 0
 
 
+def test_word_hashes_in_runs_and_pieces(monkeypatch):
+    from strandlens.llm import text as tx
+
+    data = ("ab " * 50 + "x" * 1000 + " é漢 " + "yz" * 130 + " q").encode()
+    whole = tx.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes()
+    monkeypatch.setattr(tx, "PIECE", 64)
+    monkeypatch.setattr(tx, "RUN_BYTES", 100)
+    cut = tx.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes()
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
 def brute_matches(words, templates, least):
     """Longest template substring that ends at each word, where the next word doesn't extend it."""
     grams = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
