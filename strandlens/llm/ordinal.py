@@ -3,11 +3,14 @@
 A text's features are its hashed words of letters, digits and bytes beyond ASCII (A-Z lower-cased) and the hashed last
 three bytes of its words `[^\\x20\\x09-\\x0D]+`, each once. Shared weights w and ordered thresholds t1 < t2 < ... give P(grade < k) = 1 / (1 + exp(w.x - tk)),
 from which follow the expected grade and each tail probability; a document is kept if the tail from `wanted` on is
-`least` or more. Training reads at most MAX_TRAIN rated documents, those of smallest hash of their id, in seeded
-mini-batches on the driver; scoring reads all documents in one pass.
+`least` or more. Training reads at most MAX_TRAIN rated documents of MAX_TRAIN_BYTES or fewer each, those of smallest hash
+of their id, in seeded mini-batches on the driver, which holds 4 bytes a feature: MAX_TRAIN * MAX_TRAIN_BYTES * 4 at the
+very most, and about a tenth of the texts' bytes as measured. Scoring reads all documents in one pass.
 
 Null and empty texts have no features and get the grades of the thresholds alone. Of several ratings of one id the
-lowest counts. Without any rating every grade is as likely and all documents are kept.
+lowest counts, of several documents of a rated id the text that sorts first. Without any rating every grade is as likely
+and all documents are kept. Each row gives one row, also a repeated one; a tail of exactly `least` is kept; an empty table
+gives no rows. Columns expected_grade, tails and kept of the input give way to the new ones; others stay as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from strandlens.llm import text as tx
 from strandlens.llm.store import table
 
 BUCKETS = 1 << 18
-MAX_TRAIN = 12_000
+MAX_TRAIN, MAX_TRAIN_BYTES = 12_000, 8192
 #: Weights are given to features of at least so many training documents whose mean grade is so many standard errors off.
 MIN_DOCS, STANDARD_ERRORS = 8, 6.0
 EPOCHS, BATCH, RATE, RIDGE, SEED = 20, 64, 0.2, 3e-4, 5
@@ -61,8 +64,27 @@ class Model:
         return tx.totals(self.weights[ids], bounds)
 
 
+def cuts(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logs of the gaps."""
+    return np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
+
+def loss_and_slopes(score: np.ndarray, y: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """-log likelihood of grades y, and its slopes by each score and by `free`."""
+    levels, at = len(free) + 1, np.arange(len(y))
+    low = 1 / (1 + np.exp(np.clip(score[:, None] - cuts(free), -40, 40)))  # P(grade < k)
+    low = np.concatenate([np.zeros((len(y), 1)), low, np.ones((len(y), 1))], axis=1)
+    p = np.maximum(low[at, y + 1] - low[at, y], 1e-12)
+    up, down = low[at, y + 1] * (1 - low[at, y + 1]), low[at, y] * (1 - low[at, y])
+    by_cut = np.zeros((len(y), levels + 1))
+    by_cut[at, y + 1] -= up / p
+    by_cut[at, y] += down / p
+    g = by_cut[:, 1:levels].sum(axis=0)
+    return float(-np.log(p).sum()), (up - down) / p, np.cumsum(g[::-1])[::-1] * np.concatenate([[1], np.exp(free[1:])])
+
+
 def train(ids: list[np.ndarray], grades: np.ndarray, levels: int, buckets: int = BUCKETS) -> Model:
-    """Maximum likelihood with a ridge, by seeded AdaGrad mini-batches; thresholds are t1 and logs of positive gaps."""
+    """Maximum likelihood with a ridge, by seeded AdaGrad mini-batches."""
     every = np.concatenate([np.zeros(0, np.int64), *ids])
     many = np.bincount(every, minlength=buckets)
     mean = np.bincount(every, np.repeat(grades.astype(float), list(map(len, ids))), buckets) / np.maximum(many, 1)
@@ -73,40 +95,29 @@ def train(ids: list[np.ndarray], grades: np.ndarray, levels: int, buckets: int =
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     weights, seen, seen_free = np.zeros(buckets), np.full(buckets, 1e-8), np.full(len(free), 1e-8)
     rng = np.random.default_rng(SEED)
-    cut = lambda: np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
     for _ in range(EPOCHS):
         order = rng.permutation(len(ids))
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
             flat = np.concatenate([ids[i] for i in own])
             row = np.repeat(np.arange(len(own)), [len(ids[i]) for i in own])
-            score = np.bincount(row, weights[flat], len(own))
-            low = 1 / (1 + np.exp(np.clip(score[:, None] - cut(), -40, 40)))  # P(grade < k)
-            low = np.concatenate([np.zeros((len(own), 1)), low, np.ones((len(own), 1))], axis=1)
-            y = grades[own]
-            at = np.arange(len(own))
-            p = np.maximum(low[at, y + 1] - low[at, y], 1e-12)
-            up, down = low[at, y + 1] * (1 - low[at, y + 1]), low[at, y] * (1 - low[at, y])
-            slope = (up - down) / p  # of -log p by the score
+            _, slope, by_free = loss_and_slopes(np.bincount(row, weights[flat], len(own)), grades[own], free)
             hit, inverse = np.unique(flat, return_inverse=True)
             g = np.bincount(inverse, slope[row]) / len(own) + RIDGE * weights[hit]
             seen[hit] += g * g
             weights[hit] -= RATE * g / np.sqrt(seen[hit])
-            by_cut = np.zeros((len(own), levels + 1))
-            by_cut[at, y + 1] -= up / p
-            by_cut[at, y] += down / p
-            g = by_cut[:, 1:levels].sum(axis=0) / len(own)
-            g = np.cumsum(g[::-1])[::-1] * np.concatenate([[1], np.exp(free[1:])])
+            g = by_free / len(own)
             seen_free += g * g
             free = free - RATE * g / np.sqrt(seen_free)
-    return Model(weights, cut())
+    return Model(weights, cuts(free))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, levels: int, key: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -> Model:
     """`ratings`: columns of `key` and grade (0 to levels - 1)."""
     rated = ratings.filter(F.col(key).isNotNull() & F.col("grade").between(0, levels - 1)).groupBy(key).agg(F.min("grade").alias("grade"))
     rated = rated.orderBy(F.xxhash64(key), key).limit(max_train).select(F.col(key).alias("rated_id"), F.col("grade").cast("int").alias("rated_grade"))
-    part = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(rated), F.col("key") == F.col("rated_id"))
+    plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= MAX_TRAIN_BYTES)
+    part = plain.join(F.broadcast(rated), F.col("key") == F.col("rated_id")).groupBy("key", "rated_grade").agg(F.min("text").alias("text"))
 
     def hashed(batches):
         for batch in tx.steps(batches, "text"):

@@ -39,7 +39,22 @@ def test_ordinal_regression_on_held_out_texts(spark):
     assert ordinal.classify(documents(spark, []), model).count() == 0
 
 
-def test_gradient_matches_differences():
+def test_slopes_match_finite_differences():
+    rng = np.random.default_rng(0)
+    for levels in (2, 3, 5):
+        score, y, free = rng.normal(size=40), rng.integers(0, levels, 40), rng.normal(scale=0.5, size=levels - 1)
+        _, by_score, by_free = ordinal.loss_and_slopes(score, y, free)
+        for at, slopes in ((0, by_score), (1, by_free)):
+            for k in range(len(slopes)):
+                ends = []
+                for step in (1e-5, -1e-5):
+                    given = [score.copy(), free.copy()]
+                    given[at][k] += step
+                    ends.append(ordinal.loss_and_slopes(given[0], y, given[1])[0])
+                assert slopes[k] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-5)
+
+
+def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     ids = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(400)]
     score = np.array([x.min() for x in ids])
@@ -48,6 +63,13 @@ def test_gradient_matches_differences():
     assert np.corrcoef(plain, score)[0, 1] > 0.5 and (model.below(plain) > 0).all()
 
 
+def test_ordinal_takes_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 3 + [(1, "z" * 20_000), (2, None), (None, "a")], "doc_id long, text string").selectExpr("*", "'x' AS kept", "1 AS key", "2 AS grade", "3 AS own")
+    ratings = spark.createDataFrame([(1, 2), (1, 0), (2, 1)], "doc_id long, grade int")
+    rows = ordinal.classify(docs, ordinal.fit(docs, ratings, 3)).collect()
+    assert len(rows) == 6 and all(r.own == 3 and r.key == 1 and isinstance(r.kept, bool) for r in rows)
+
+
 def test_forest_rules_equal_the_forest(spark):
     rng = np.random.default_rng(4)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
