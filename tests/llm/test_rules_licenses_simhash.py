@@ -88,10 +88,13 @@ def test_word_hashes_in_runs_and_pieces(monkeypatch):
 
 
 def brute_matches(words, templates, least):
-    """Longest template substring that ends at each word, where the next word doesn't extend it."""
-    grams = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
-    best = [max((n for n in range(end + 1) if n == 0 or tuple(words[end - n : end]) in grams), default=0) for end in range(len(words) + 1)]
-    return [(e, best[e]) for e in range(1, len(words) + 1) if best[e] >= least and (e == len(words) or best[e + 1] <= best[e])]
+    """For each template its longest substring that ends at each word, where the next word doesn't extend it."""
+    out = []
+    for k, t in enumerate(templates):
+        grams = {tuple(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        best = [max((n for n in range(end + 1) if n == 0 or tuple(words[end - n : end]) in grams), default=0) for end in range(len(words) + 1)]
+        out += [(k, e, best[e]) for e in range(1, len(words) + 1) if best[e] >= least and (e == len(words) or best[e + 1] <= best[e])]
+    return sorted(out)
 
 
 def test_automaton_against_brute_force():
@@ -99,15 +102,69 @@ def test_automaton_against_brute_force():
     for _ in range(60):
         templates = [rng.integers(0, 4, rng.integers(3, 20)).tolist() for _ in range(3)]
         words = rng.integers(0, 5, 60).tolist()
-        found = license_scan.SuffixAutomaton(templates).matches(words, 2)
-        assert [(e, n) for e, n, _ in found] == brute_matches(words, templates, 2)
+        automaton = license_scan.SuffixAutomaton(templates)
+        found = automaton.matches(words, 2)
+        assert sorted((k, e, n) for k, e, n, _ in found) == brute_matches(words, templates, 2)
+        for k, e, n, s in found:
+            assert automaton.ends[s][k] == {i for i in range(n, len(templates[k]) + 1) if templates[k][i - n : i] == words[e - n : e]}
+
+
+def test_chains_against_brute_force():
+    """Every way to chain a template's matches, on small random words."""
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        own = ["".join(rng.choice(list("abcd"), 1)) for _ in range(14)]
+        scanner = license_scan.Scanner([("x", own[0], " ".join(own))], {})
+        words = [scanner.vocabulary.get(w.encode(), -1) for w in rng.choice(list("abcde"), 30)]
+        runs, found = [], []
+        for i, w in enumerate(words + [-1]):
+            if w < 0:
+                found += [(k, e + i - len(runs), n, s) for k, e, n, s in scanner.automaton.matches(runs, 3)] if runs else []
+                runs = []
+            else:
+                runs.append(w)
+        matches = [(e, n, at) for _, e, n, s in found for at in sorted(scanner.automaton.ends[s][0])]
+
+        def best(i):
+            end, n, at = matches[i]
+            joined = [best(j) + min(n, end - matches[j][0], at - matches[j][2]) for j in range(i) if end - n - matches[j][0] <= license_scan.MAX_GAP and min(end - matches[j][0], at - matches[j][2]) > 0]
+            return max([n, *joined])
+
+        assert max((c for _, _, _, c, _ in scanner.chains(found)), default=0) == max((best(i) for i in range(len(matches))), default=0)
+
+
+def test_license_notices():
+    from strandlens.llm.templates import _cc, _gnu
+
+    cases = {
+        "licensed under the terms of the Apache license": "apache",
+        "This project is licensed under the terms of the MIT license.": "mit",
+        "This project is licensed under the terms of the Apache license.": "apache",
+        _gnu("library", "Lesser General Public License", "2.1"): "lgpl",
+        _gnu("program", "Affero General Public License", "3"): "agpl",
+        _gnu("program", "General Public License", "3"): "gpl",
+        "Licensed under the GNU General Public License, version 3.": "gpl-3",
+        "Licensed under the GNU Lesser General Public License, version 3.": "lgpl",
+        _cc("Attribution-NoDerivatives"): "cc-by-nd",
+        _cc("Attribution-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        _cc("Attribution"): "cc-by",
+        "This file is NOT licensed under the Apache License, Version 2.0": "",
+        "This program is not licensed under the terms of the MIT license": "",
+        "the license of the software is a matter of the terms": "",
+    }
+    scanner = license_scan.Scanner()
+    for text, want in cases.items():
+        assert ",".join(sorted({x[0] for x in scanner.scan([text.encode()])[0]["spans"]})) == want, text
+    for label, _, text in license_scan.TEMPLATES:
+        assert {x[0] for x in scanner.scan([b"and so on " + text.encode() + b" ends here"])[0]["spans"]} == {label}
 
 
 def test_license_scan(spark):
-    apache = license_scan.TEMPLATES[4][1]
+    apache = license_scan.TEMPLATES[5][2]
     texts = [None, "", "Released UNDER the MIT-License. under the mit license", "x " + apache.replace("agreed to in writing", "agreed upon"),
              "cc by nc " * 3, prose(2, 300), "under the mit", "Licensed under the GNU General Public License, version 3."]
-    rows = {r.doc_id: r for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    docs = documents(spark, texts).selectExpr("*", "1 AS labels", "'x' AS score")
+    rows = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     assert (rows[0].n_words, rows[0].n_base, rows[0].first_word, rows[0].labels, rows[0].score) == (0, 0, None, "", 0.0)
     assert (rows[2].n_base, rows[2].first_word, rows[2].last_word, rows[2].base_labels) == (2, 1, 5, "mit")
     assert rows[3].base_labels == "apache-2" and rows[3].labels == "apache-2" and rows[3].spans[0].covered > 60
