@@ -9,14 +9,20 @@ trigger, together, are its phrase. Equal windows have equal triggers, so windows
    prefixes of the dictionary's phrases are sorted, and equal runs tell which windows a smaller doc_id has.
 3. Parse: each document puts its windows together again and cuts the marked bytes.
 
-Texts are packed once, as blocks of about BLOCK_BYTES, into a table bucketed by block, so that the later steps find
+Texts are packed once, as blocks of about BLOCK_BYTES, into files bucketed by block, so that the later steps find
 them where they are; what is shuffled is hashes, a few dictionary bytes and one bit or mask for each phrase. A block
-names each phrase once, so copies and common lines add one entry a block. Memory follows a block and a shard, whose
-number grows with the text.
-
-Trigger hashes have 40 bits and only nominate. A phrase's hash has 48 more; phrases count as equal if both agree.
+names each phrase once, so copies and common lines add one entry a block, and sends to those shards only that its phrases
+fall in. Memory follows a block and a shard, whose number grows with the text. Each step parses its blocks anew, which
+costs less than keeping 15 bytes for each phrase of some 13 bytes. Left out is the suffix array of the parse itself: which
+windows repeat is told by the dictionary's suffixes and by the smallest doc_id of each phrase alone, and corpus order
+isn't asked for.
+
+Trigger hashes have 40 bits and only nominate. A phrase's hash has 48 more; phrases count as equal if both agree (88 bits:
+for 10**13 phrases the chance of one false pair is about 10**-1 without an adversary who knows the fixed salt); windows of
+phrases that share only a trigger are compared byte by byte.
 Null texts count as empty. Documents with a null doc_id keep all bytes and are no source. Rows that repeat a doc_id
-each give a row and are no source for each other.
+each give a row and are no source for each other. Equal strings stay in the document of smallest doc_id. An empty table gives
+no rows. Other columns of the input are left out, so none can clash.
 """
 
 from __future__ import annotations
@@ -110,10 +116,12 @@ class Entries:
         self.place = order[new]  # an occurrence in the smallest document
         self.least = self.id[self.place]
 
-    def shards(self, n: int) -> np.ndarray:
-        """Where each shard's entries begin and end; triggers are in order and shards are ranges of them."""
-        edges = np.array([((s << 40) + n - 1) // n for s in range(n + 1)], np.uint64)
-        return np.searchsorted(self.trigger, edges)
+    def shards(self, n: int, some: np.ndarray | slice = slice(None)) -> list[tuple[int, int, int]]:
+        """(shard, begin, end) of those of n shards that `some` of the entries fall in; triggers are in order and shards
+        are ranges of them."""
+        shard = (self.trigger[some] * np.uint64(n)) >> np.uint64(40)
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(shard)), bool), shard[1:] != shard[:-1]]))
+        return list(zip(shard[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(shard)]))
 
 
 def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -145,7 +153,10 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     blocks = rows.mapInArrow(pack, "block long, ids array<long>, nulls array<boolean>, sizes array<long>, data binary")
     name, count = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks.write.bucketBy(count, "block").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  found now; its files, which are outside of the catalogue, stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def unpack(row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -164,10 +175,9 @@ def by_block(replies: DataFrame, name: str) -> DataFrame:
     return replies.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("shard", "reply"))).alias(name))
 
 
-def joined(row: dict, name: str, bounds: np.ndarray, kind) -> np.ndarray:
-    """The replies to a block's entries, in the order in which it sent them."""
-    replies = dict(row[name] or [])
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(replies[s], kind) for s in range(len(bounds) - 1) if bounds[s + 1] > bounds[s])])
+def joined(row: dict, name: str, kind) -> np.ndarray:
+    """The replies to a block's entries, in the order in which it sent them: by shard."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(reply, kind) for _, reply in sorted(row[name] or []))])
 
 
 REPEAT, SHARED = 1, 2
@@ -219,15 +229,12 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def name_phrases(batches):
         for row in rows_of(batches):
             found = Entries(*unpack(row))
-            bounds = found.shards(shards)
-            for s in range(shards):
-                a, b = bounds[s], bounds[s + 1]
-                if b > a:
-                    ids, which = np.unique(found.least[a:b], return_inverse=True)
-                    gaps = np.diff(found.trigger[a:b], prepend=np.uint64(0))
-                    yield pa.record_batch([pa.array([s]), pa.array([row["block"]]), pa.array([gaps.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()]),
-                                           pa.array([found.phrase[a:b].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()]),
-                                           pa.array([ids.tobytes()]), pa.array([which.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, : 2 + 2 * (len(ids) > 1 << 16)].T.tobytes()])], names=["shard", "block", "triggers", "phrases", "ids", "which"])
+            for s, a, b in found.shards(shards):
+                ids, which = np.unique(found.least[a:b], return_inverse=True)
+                gaps = np.diff(found.trigger[a:b], prepend=np.uint64(0))
+                yield pa.record_batch([pa.array([s]), pa.array([row["block"]]), pa.array([gaps.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()]),
+                                       pa.array([found.phrase[a:b].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()]),
+                                       pa.array([ids.tobytes()]), pa.array([which.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, : 2 + 2 * (len(ids) > 1 << 16)].T.tobytes()])], names=["shard", "block", "triggers", "phrases", "ids", "which"])
 
     def wide(planes: bytes, width: int) -> np.ndarray:
         out = np.zeros((len(planes) // width, 8), np.uint8)
@@ -248,7 +255,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     def wanted(found: Entries, row: dict) -> tuple[np.ndarray, np.ndarray]:
         """Replies to the block's entries, and which of them go to the suffix array."""
-        flags = joined(row, "known", found.shards(shards), np.uint8)
+        flags = joined(row, "known", np.uint8)
         return flags, np.flatnonzero(flags == SHARED)
 
     def send_phrases(batches):
@@ -256,18 +263,16 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             data, offsets, ids = unpack(row)
             found = Entries(data, offsets, ids)
             _, ask = wanted(found, row)
-            bounds = np.searchsorted(ask, found.shards(shards))
             whole = np.frombuffer(data, np.uint8)
-            for s in range(shards):
-                own = ask[bounds[s] : bounds[s + 1]]
-                if len(own):
-                    place = found.place[own]
-                    begin = offsets[found.doc[place]] + found.first[place]
-                    sizes = found.last[place] - found.first[place] + SIZE
-                    at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                    part = ((found.trigger[own] * np.uint64(PARTS) * np.uint64(shards)) >> np.uint64(40)) % np.uint64(PARTS)
-                    yield pa.record_batch([pa.array([s]), pa.array([row["block"]]), pa.array([whole[at].tobytes()], pa.binary()), pa.array([sizes.astype(np.uint8).tobytes()]), pa.array([part.astype(np.uint8).tobytes()]), pa.array([found.least[own].tobytes()])],
-                                          names=["shard", "block", "data", "sizes", "parts", "ids"])
+            for s, a, b in found.shards(shards, ask):
+                own = ask[a:b]
+                place = found.place[own]
+                begin = offsets[found.doc[place]] + found.first[place]
+                sizes = found.last[place] - found.first[place] + SIZE
+                at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+                part = tx.mix(found.trigger[own]) % np.uint64(PARTS)
+                yield pa.record_batch([pa.array([s]), pa.array([row["block"]]), pa.array([whole[at].tobytes()], pa.binary()), pa.array([sizes.astype(np.uint8).tobytes()]), pa.array([part.astype(np.uint8).tobytes()]), pa.array([found.least[own].tobytes()])],
+                                      names=["shard", "block", "data", "sizes", "parts", "ids"])
 
     def sort_suffixes(given: pa.Table) -> pa.Table:
         rows = given.to_pylist()
@@ -295,7 +300,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             found = Entries(data, offsets, ids)
             flags, ask = wanted(found, row)
             masks = np.zeros(len(flags), np.uint32)
-            masks[ask] = joined(row, "sorted", np.searchsorted(ask, found.shards(shards)), np.uint32)
+            masks[ask] = joined(row, "sorted", np.uint32)
             # windows of an occurrence: all if a smaller document has the phrase, else those in the mask
             all_of = (flags[found.of] & REPEAT > 0) | (found.id > found.least[found.of])
             step = np.zeros(len(data) + 1, np.int32)

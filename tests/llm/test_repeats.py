@@ -54,6 +54,7 @@ def test_against_brute_force(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1)).repartition(3)
     want = sorted(brute([t for _, t in rows], [i for i, _ in rows]), key=key)
     assert sorted(found(frame), key=key) == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
     # many shards: the pieces are put together in order
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
     assert sorted(found(frame), key=key) == want
