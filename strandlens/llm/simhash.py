@@ -2,7 +2,7 @@
 
 A text is lower-cased in A-Z and cut into words `[^\\x20\\x09-\\x0D]+`; its shingles are `size` words joined by a space
 (fewer words: the whole sequence). A fingerprint bit is 1 if it is set in over half of the shingles' XXH64 (seed 42);
-no word gives fingerprint zero, linked like any other. Fingerprints that differ in `radius` bits or fewer are linked and
+no word gives fingerprint zero, linked like any other. near_duplicate_groups(): fingerprints that differ in `radius` bits or fewer are linked and
 a component is named by its smallest doc_id.
 
 The 64 bits are cut into radius + AGREE blocks: two fingerprints within the radius agree in AGREE of them at least. Distinct
@@ -16,16 +16,18 @@ a spanning forest only.
 
 Null texts count as empty. Rows with null doc_id get a fingerprint and the component of their group (null if no row
 there has an id). Repeated rows each give a row. An empty table gives no rows. Other columns of the input are left out, so
-none can clash. Ties don't arise: a component's name is the smallest doc_id.
+none can clash. Ties don't arise: a component's name is the smallest doc_id. drop_near_copies() keeps all columns as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from strandlens.llm import text as tx
@@ -182,6 +184,23 @@ def shards(radius: int, agree: int = AGREE) -> list[F.Column]:
     return out
 
 
+def whole_trees(batches) -> Iterator[pa.Table]:
+    """Members of whole trees, about HELD of them at a time, from batches in order of their trees."""
+    parts, n = [], 0
+    for batch in batches:
+        parts.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            held = pa.Table.from_batches(parts).combine_chunks()
+            tree = held.column("tree").to_numpy()
+            cut = int(np.searchsorted(tree, tree[-1], "left"))  # the last tree may go on
+            if cut:
+                yield held.slice(0, cut)
+                parts, n = held.slice(cut).to_batches(), held.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, max_members: int = MAX_MEMBERS) -> DataFrame:
     """Columns a, b: links that connect what links of `radius` bits or fewer connect, among distinct values of column fp."""
     dealt = distinct.select("fp", F.explode(F.array(*shards(radius))).alias("shard"))
@@ -196,23 +215,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, max_members: int = MAX_MEMB
                          F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"))
 
     def find(batches):
-        def whole_trees():
-            """Members of whole trees, about HELD of them at a time."""
-            parts, n = [], 0
-            for batch in batches:
-                parts.append(batch)
-                n += batch.num_rows
-                if n >= HELD:
-                    held = pa.Table.from_batches(parts).combine_chunks()
-                    tree = held.column("tree").to_numpy()
-                    cut = int(np.searchsorted(tree, tree[-1], "left"))  # in order; the last tree may go on
-                    if cut:
-                        yield held.slice(0, cut)
-                        parts, n = held.slice(cut).to_batches(), held.num_rows - cut
-            if n:
-                yield pa.Table.from_batches(parts).combine_chunks()
-
-        for held in whole_trees():
+        for held in whole_trees(batches):
             fps, tree, role = (held.column(k).to_numpy() for k in ("fp", "tree", "role"))
             # most trees are one member, which has no partner
             alone = np.concatenate([[True], tree[1:] != tree[:-1]]) & np.concatenate([tree[1:] != tree[:-1], [True]])
@@ -242,5 +245,144 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return marked.join(of, F.col("fp") == F.col("of_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Of drop_near_copies(): words of a shingle, similarity of shingle sets, bits within which pairs are looked at, bins of
+#: least shingle hashes, and rows that are broadcast at most (more are joined by a shuffle, with the same result).
+COPY_SHINGLE, SIMILARITY, COPY_RADIUS, BINS, BROADCAST_ROWS = 5, 0.8, 20, 8, 1 << 20
+#: Partners of each class that are compared in any case; beyond these a spanning forest of least distance stands for the rest.
+NEAREST = 16
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each of BINS equal ranges that has one: sets of similarity J share each with a chance of about J."""
+    own = np.unique(hashes)
+    bins = own >> np.uint64(64 - BINS.bit_length() + 1)
+    return own[np.concatenate([np.ones(min(1, len(own)), bool), bins[1:] != bins[:-1]])]
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the links a-b among n nodes form a spanning forest of least weight; ties go to the earlier link."""
+    order = np.argsort(weight, kind="stable")
+    label, chosen, at = np.arange(n), [], order
+    while True:
+        la, lb = label[a[at]], label[b[at]]
+        apart = la != lb
+        at, la, lb = at[apart], la[apart], lb[apart]
+        if not len(at):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *chosen]))
+        # each component's first link, as links are in order
+        place, least = np.arange(len(at)), np.full(n, len(at))
+        np.minimum.at(least, la, place)
+        np.minimum.at(least, lb, place)
+        first = np.unique(least[least < len(at)])
+        chosen.append(at[first])
+        label = forest_of(n, np.concatenate([np.arange(n), la[first]]), np.concatenate([label, lb[first]]))
+
+
+def nearest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """The links that are among the `most` least ones of either end."""
+    end, link = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((link, weight[link], end))
+    first = np.concatenate([np.ones(min(1, len(end)), bool), end[order][1:] != end[order][:-1]])
+    rank = np.arange(len(end)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return np.unique(link[order][rank < most])
+
+
+def shard_pairs(fps: np.ndarray, tree: np.ndarray, role: np.ndarray, radius: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a, b of distinct values within the radius: each one's NEAREST, and a spanning forest of least distance."""
+    values, index = np.unique(fps, return_inverse=True)
+    held, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    a = b = w = np.zeros(0, np.int64)
+    if len(held) and len(asked):
+        forest = BKForest(tree[held], fps[held])
+        asked = asked[np.isin(tree[asked], forest.roots)]
+        sizes = np.bincount(np.searchsorted(forest.roots, tree[held]))
+        cost = np.cumsum(sizes[np.searchsorted(forest.roots, tree[asked])])
+        start = 0
+        while start < len(asked):
+            stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + most, "right")))
+            q, m = forest.search(tree[asked[start:stop]], fps[asked[start:stop]], radius)
+            x, y = index[asked[start:stop][q]], index[held[m]]
+            other = x != y
+            x, y = np.minimum(x, y)[other], np.maximum(x, y)[other]
+            a, b, w = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([w, distance(values[x], values[y])])
+            _, own = np.unique(a * len(values) + b, return_index=True)  # several trees may hold a pair
+            a, b, w = a[own], b[own], w[own]
+            own = np.union1d(spanning(len(values), a, b, w), nearest(a, b, w, NEAREST))
+            a, b, w, start = a[own], b[own], w[own], stop
+    return values[a], values[b]
+
+
+def with_places(docs: DataFrame) -> DataFrame:
+    """`docs` with __file and __row, which name each row by its place in the files that it is read from."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.withColumns({"__file": F.xxhash64(place["file_path"]), "__row": place["row_index"]})
+    except AnalysisException:  # not read from files
+        return with_places(keep(docs, "copies-input"))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = COPY_RADIUS, size: int = COPY_SHINGLE) -> DataFrame:
+    """`docs` with one row of each group of near copies: the one of smallest key, a null key last.
+
+    Texts of one fingerprint over shingles of `size` words are one class. Classes that share a least shingle hash are
+    the members of a shard's BK-tree; of those within `radius` bits each one's NEAREST and a spanning forest of least distance
+    are compared, and linked if the exact similarity of the shingle sets of their first rows' texts is `similarity` or
+    more. In a shard of more than NEAREST near members a link that neither holds can be missed.
+    Rows are told apart by their place in their files, so that rows which share a key but not a text both stay.
+    """
+    rows = with_places(docs)
+    given = rows.select("__file", "__row", F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+
+    def mark(batches):
+        for part in tx.steps(batches, "__text"):
+            texts = tx.blobs(part.column("__text"))
+            found = fingerprint_bytes(texts, size).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+            hashes = [least_hashes(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(x, size), repeat(SEED))), ">u8").astype(np.uint64)) for x in texts]
+            bounds = np.cumsum([0, *map(len, hashes)])
+            least = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)))
+            yield pa.record_batch([*(part.column(k) for k in ("__file", "__row", "__key")), pa.array(found), least], names=["__file", "__row", "__key", "fp", "least"])
+
+    kind = given.schema["__key"].dataType.simpleString()
+    marked = keep(given.mapInArrow(mark, f"__file long, __row long, __key {kind}, fp long, least array<long>"), "copies-marked")
+    place = F.struct(F.col("__key").isNull().alias("unnamed"), F.col("__key").alias("key"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    classes = keep(marked.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "least")).alias("first")).select("fp", "first.place", "first.least"), "copies-classes")
+    members = classes.select("fp", F.explode("least").alias("shard"))
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    chunks = F.ceil(F.col("members") / F.lit(MAX_MEMBERS)).cast("int")
+    dealt = members.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("fp", "shard"), chunks).cast("int")).select("fp", "shard", "own", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    dealt = dealt.select("fp", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"))
+
+    def pair(batches):
+        for held in whole_trees(batches):
+            fps, tree, role = (np.ascontiguousarray(held.column(k).to_numpy()) for k in ("fp", "tree", "role"))
+            a, b = shard_pairs(fps, tree, role, radius)
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    pairs = keep(dealt.repartition("tree").sortWithinPartitions("tree").mapInArrow(pair, "a long, b long").distinct(), "copies-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", F.col("place.file").alias("__file"), F.col("place.row").alias("__row"))
+    texts = given.select("__file", "__row", "__text").join(few(wanted), ["__file", "__row"]).select("fp", "__text")
+
+    def compare(batches):
+        for batch in batches:
+            for part in tx.steps(iter([batch]), "text_a"):
+                good = []
+                for x, y in zip(tx.blobs(part.column("text_a")), tx.blobs(part.column("text_b"))):
+                    x, y = set(shingles(x, size)), set(shingles(y, size))
+                    good.append(len(x & y) >= similarity * len(x | y))
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("__text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("__text").alias("text_b")), "b")
+    roots = components(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "place", F.coalesce("root", "fp").alias("root"))
+    first = of.join(of.groupBy("root").agg(F.min("place").alias("first")), "root").select(F.col("fp").alias("of_fp"), "first")
+    gone = marked.join(first, F.col("fp") == F.col("of_fp")).filter((F.col("__file") != F.col("first.file")) | (F.col("__row") != F.col("first.row"))).select("__file", "__row")
+    return rows.join(few(keep(gone, "copies-gone")), ["__file", "__row"], "left_anti").select(docs.columns)
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """`rows`, to be broadcast if they are counted as BROADCAST_ROWS or fewer."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
