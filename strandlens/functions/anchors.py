@@ -9,10 +9,11 @@ TAILS = ["WGQG", "W.QG", "WG.G", "W..G", "WG.."]
 
 
 def heuristic_cdr3(v: Column) -> Column:
-    """From the last cysteine within 35 before the last tail anchor (or the last W of the last 30) up to it; empty if
-    shorter than 3."""
+    """From the last cysteine within 35 before the last tail anchor (or the last W of the last 30), itself included, up to
+    it; from any cysteine before if none is so near; empty if shorter than 3."""
+    v = F.regexp_replace(F.upper(v), "[^A-Z]", "")
     before = F.coalesce(*[F.when(v.rlike(t), F.regexp_extract(v, f"^(.*){t}", 1)) for t in TAILS], F.when(F.substring(v, -30, 30).contains("W"), F.regexp_extract(v, "^(.*)W", 1)))
-    loop = F.regexp_extract(before, "C([^C]{0,34})$", 1)
+    loop = F.regexp_extract(before, "(C[^C]*)$", 1)
     return F.when(F.length(loop) >= 3, loop).otherwise("")
 
 

@@ -53,8 +53,9 @@ def residue(sequence: Column | str, position: int) -> Column:
 
 
 def region(sequence: Column | str, name: str) -> Column:
+    """The region's residues, without gaps."""
     low, high = REGIONS[name]
-    return F.substring(sequence, low, high - low + 1)
+    return F.translate(F.substring(sequence, low, high - low + 1), "-", "")
 
 
 def hallmarks(sequence: Column | str) -> Column:

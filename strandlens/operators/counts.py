@@ -128,7 +128,7 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 
 
 def mixed_clusters(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Patterns of the hallmark positions and 71, 78, 94 over all families: family histogram, percentiles, cysteine shares."""
+    """Patterns of the hallmark positions and 71 over all families: family histogram, percentiles, cysteine shares."""
     pattern = F.concat(*[R.residue("v", p) for p in [*R.HALLMARKS, 71]])
     base = features(rows).withColumn("pattern", pattern)
     by_family = base.groupBy("pattern", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list(F.concat("family", F.lit(":"), F.col("n").cast("string")))), ",").alias("families"))

@@ -63,11 +63,13 @@ def terminal_fix(v: Column) -> Column:
 
 
 def generation_plan(families: DataFrame, total: int, universal: float = 0.3) -> DataFrame:
-    """How many candidates each group is to have: a universal share, the rest in proportion, whole numbers that add up."""
-    rest = total - int(total * universal)
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "family")
-    share = families.withColumn("upto", F.floor(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) * rest / F.sum("n").over(Window.partitionBy(F.lit(1)))))
-    return share.select("family", (F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0))).cast("long").alias("wanted"))
+    """How many candidates each scaffold and group is to have: a universal share, given to the first group by name, and the
+    rest of the original scaffold in proportion, in whole numbers that add up to `total`."""
+    first = int(round(total * universal))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "family")  # one row a family
+    share = families.withColumn("upto", F.floor(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) * (total - first) / F.sum("n").over(Window.partitionBy(F.lit(1)))))
+    original = share.select(F.lit("original").alias("scaffold"), "family", (F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0))).cast("long").alias("wanted"))
+    return original.union(families.agg(F.min("family").alias("family")).select(F.lit("universal"), "family", F.lit(first).cast("long")))
 
 
 def fasta_lines(rows: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def duplicate_groups(rows: DataFrame, key: str, ident: str, shown: int = 10) ->
     """Groups of two rows or more: size and the first ids."""
     least = Window.partitionBy(key).orderBy(ident)
     ranked = rows.withColumn("__r", F.row_number().over(least))
-    out = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("__r") <= shown, F.lpad(F.col(ident).cast("string"), 12, "0")))), ",").alias("members"))
+    out = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("__r") <= shown, F.lpad(F.col(ident).cast("string"), 18, "0")))), ",").alias("members"))
     return out.filter("n > 1")
 
 

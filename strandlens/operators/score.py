@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandlens.functions import residues as R
@@ -10,24 +14,72 @@ from strandlens.operators.counts import features
 from strandlens.sources.sequences import long_residues
 
 
-def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, least: int = 2) -> DataFrame:
-    """Each design's best clusters by equal vernier residues, then size. Patterns are joined residue by residue."""
-    of = long_residues(designs, R.VERNIER, ["doc_id"])
-    places = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), F.substring("pattern", i, 1).alias("aa")) for i, p in enumerate(R.VERNIER, 1)]))
-    parts = clusters.filter(F.col("n") >= least).select("family", "pattern", "n", places.alias("x")).select("family", "pattern", "n", "x.*")
-    met = of.join(parts, ["pos", "aa"]).groupBy("doc_id", "family", "pattern", "n").agg(F.count(F.lit(1)).alias("matches"))
+#: Clusters that are compared with every design at once; more are taken in blocks of about that many.
+MAX_CLUSTERS = 20_000
+
+
+def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, least: int = 100) -> DataFrame:
+    """Each design's best clusters (of `least` rows or more) by equal vernier residues, one at least, then by size. Designs
+    pass by a table of MAX_CLUSTERS patterns at most, and keep their `best` of each such table."""
+    wanted = clusters.filter(F.col("n") >= least).select("family", "pattern", "n")
+    of = designs.select("doc_id", F.concat(*[R.residue("v", p) for p in R.VERNIER]).alias("pattern"))
+    blocks = max(1, -(-wanted.count() // MAX_CLUSTERS))
+
+    def passed(block: int) -> DataFrame:
+        held = wanted.filter(F.pmod(F.xxhash64("family", "pattern"), F.lit(blocks)) == block).orderBy(F.desc("n"), "family", "pattern").collect()
+        letters = np.array([list(r.pattern.encode()) for r in held], np.uint8).reshape(len(held), len(R.VERNIER))
+        shared = designs.sparkSession.sparkContext.broadcast((held and [tuple(r) for r in held], letters))
+
+        def compare(batches):
+            rows, letters = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows if rows else 0, 256):
+                    part = batch.slice(start, 256)
+                    own = np.array([list(x.encode()) for x in part.column("pattern").to_pylist()], np.uint8)
+                    same = np.zeros((len(own), len(rows)), np.int64)
+                    for k in range(letters.shape[1]):
+                        same += own[:, k, None] == letters[None, :, k]
+                    key = same * len(rows) - np.arange(len(rows))  # more matches, then the earlier cluster
+                    k = min(best, len(rows))
+                    top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+                    design, at = np.repeat(np.arange(len(own)), k), top.ravel()
+                    good = same[design, at] > 0
+                    design, at = design[good], at[good]
+                    yield pa.record_batch([part.column("doc_id").take(pa.array(design)), pa.array([rows[i][0] for i in at], pa.string()), pa.array([rows[i][1] for i in at], pa.string()),
+                                           pa.array([rows[i][2] for i in at], pa.int64()), pa.array(same[design, at])], names=["doc_id", "family", "pattern", "n", "matches"])
+
+        return of.mapInArrow(compare, "doc_id long, family string, pattern string, n long, matches long")
+
+    met = reduce(DataFrame.union, map(passed, range(blocks)))
     order = Window.partitionBy("doc_id").orderBy(F.desc("matches"), F.desc("n"), "family", "pattern")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
 
 
-def naturalness(designs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Weighted deviations of cdr3 charge and aromatics from the best clusters (weight matches * sqrt(n)), and their score."""
-    met = cluster_matches(designs, clusters).join(clusters.drop("n"), ["family", "pattern"]).join(features(designs).select("doc_id", "length", "charge", "aromatic"), "doc_id")
-    weight = F.col("matches") * F.sqrt("n")
-    z = {"length": (F.col("length") - F.col("length_mean")) / F.greatest(F.col("length_std"), F.lit(1.0)), "charge": (F.col("charge") - F.col("charge_mean")) / F.greatest(F.col("charge_std"), F.lit(0.5)), "aromatic": (F.col("aromatic") - F.col("aromatic_mean")) / F.greatest(F.col("aromatic_std"), F.lit(0.5))}
-    out = met.groupBy("doc_id").agg(*[(F.sum(x * weight) / F.sum(weight)).alias(f"z_{k}") for k, x in z.items()])
+FEATURES = {"length": 1.0, "charge": 0.5, "aromatic": 0.5}
+#: Mean and deviation of each feature where there are no clusters.
+DEFAULTS = {"length": (15.0, 5.0), "charge": (0.0, 3.0), "aromatic": (2.0, 1.5)}
+
+
+def naturalness(designs: DataFrame, clusters: DataFrame, least: int = 100) -> DataFrame:
+    """Weighted deviations of cdr3 length, charge and aromatics from the best clusters (weight matches * sqrt(n)), and
+    their score; from the mean and population deviation of all clusters' means, weighted by size up to 1000, where the best
+    has fewer than two matches."""
+    met = cluster_matches(designs, clusters, least=least)
+    good = met.withColumn("top", F.max("matches").over(Window.partitionBy("doc_id"))).filter("top >= 2").withColumn("weight", F.col("matches") * F.sqrt("n"))
+    stats = [f"{k}_{x}" for k in FEATURES for x in ("mean", "std")]
+    named = good.join(clusters.select("family", "pattern", *stats), ["family", "pattern"])
+    own = features(designs).select("doc_id", *FEATURES)
+    z = {k: (F.col(k) - F.col(f"{k}_mean")) / F.greatest(F.col(f"{k}_std"), F.lit(low)) for k, low in FEATURES.items()}
+    near = named.join(own, "doc_id").groupBy("doc_id").agg(*[(F.sum(x * F.col("weight")) / F.sum("weight")).alias(f"z_{k}") for k, x in z.items()], F.max("top").alias("best_match"))
+    weight = F.least("n", F.lit(1000))
+    mean = {k: F.sum(F.col(f"{k}_mean") * weight) / F.sum(weight) for k in FEATURES}
+    squares = {k: F.sum(F.col(f"{k}_mean") * F.col(f"{k}_mean") * weight) / F.sum(weight) for k in FEATURES}
+    every = clusters.agg(*[F.coalesce(mean[k], F.lit(m)).alias(f"{k}_mean") for k, (m, _) in DEFAULTS.items()],
+                         *[F.coalesce(F.sqrt(F.greatest(F.round(squares[k] - mean[k] * mean[k], 9), F.lit(0.0))), F.lit(d)).alias(f"{k}_std") for k, (_, d) in DEFAULTS.items()])  # one row
+    far = own.join(near.select("doc_id"), "doc_id", "left_anti").crossJoin(F.broadcast(every)).select("doc_id", *[x.alias(f"z_{k}") for k, x in z.items()], F.lit(0).cast("long").alias("best_match"))
+    out = near.unionByName(far)
     score = F.col("z_length") * F.col("z_length") + F.col("z_charge") * F.col("z_charge") + 0.5 * F.col("z_aromatic") * F.col("z_aromatic")
-    return out.withColumn("score", F.round(score, 6)).withColumns({f"z_{k}": F.round(f"z_{k}", 6) for k in z})
+    return out.withColumn("score", F.round(score, 9)).withColumns({f"z_{k}": F.round(f"z_{k}", 9) for k in z})
 
 
 def score_class(scored: DataFrame) -> DataFrame:
@@ -46,21 +98,41 @@ def family_probability(designs: DataFrame, archetypes: DataFrame) -> DataFrame:
     return joined.withColumn("probability", F.col("points") * F.lit(1.0) / F.when(total > 0, total))
 
 
-def rule_compliance(designs: DataFrame, rules: DataFrame, confidence: float = 0.7) -> DataFrame:
-    """Per design: rules whose family and condition hold, how many its residues obey, and the share of confidence obeyed."""
+def applicable_rules(designs: DataFrame, rules: DataFrame, confidence: float = 0.5) -> DataFrame:
+    """doc_id, family (of the rule), condition, pos, wanted, confidence, obeyed: rules of any family whose condition holds for
+    a design. A condition may join several parts by AND; parts of unknown name hold."""
     base = features(designs)
-    named = [F.concat(F.lit(f"{k}="), F.col(k)) for k in ("hallmarks", "cdr3_len", "cdr3_charge", "cdr3_cys")] + [F.concat(F.lit("cdr3[-1]="), F.substring("cdr3", -1, 1))]
-    tokens = base.select("doc_id", "family", "v", F.explode(F.array(*named)).alias("condition"))
-    wanted = rules.filter((F.col("rank") == 1) & (F.col("confidence") >= confidence)).select("family", "condition", "pos", F.col("aa").alias("wanted"), "support")
-    met = tokens.join(wanted, ["family", "condition"]).withColumn("obeyed", F.expr("substring(v, pos, 1)") == F.col("wanted"))
-    # supports, which are whole, weigh the rules
-    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("applicable"), F.sum(F.col("obeyed").cast("long")).alias("obeyed"), (F.sum(F.when(F.col("obeyed"), F.col("support")).otherwise(0)) * F.lit(1.0) / F.sum("support")).alias("compliance"))
+    named = {k: F.col(k) for k in ("family", "hallmarks", "cdr3_len", "cdr3_charge", "cdr3_cys")} | {f"cdr3[-{k}]": F.substring("cdr3", -k, 1) for k in (1, 2, 3)}
+    tokens = base.select("doc_id", F.explode(F.array(*[F.concat(F.lit(f"{k}="), x) for k, x in named.items()])).alias("part"))
+    wanted = rules.filter((F.col("rank") == 1) & (F.col("confidence") >= confidence)).select("family", "condition", "pos", F.col("aa").alias("wanted"), "confidence")
+    # relational division: a condition holds if as many parts are met as it has of known names
+    parts = wanted.select("condition").distinct().select("condition", F.explode(F.split("condition", " AND ")).alias("part"))
+    parts = parts.filter(F.substring_index("part", "=", 1).isin(list(named))).distinct()
+    need = parts.groupBy("condition").agg(F.count(F.lit(1)).alias("need"))
+    met = tokens.join(parts, "part").groupBy("doc_id", "condition").agg(F.count(F.lit(1)).alias("met")).join(need, "condition").filter("met = need").select("doc_id", "condition")
+    free = wanted.select("condition").distinct().join(need, "condition", "left_anti")
+    met = met.union(designs.select("doc_id").crossJoin(F.broadcast(free)))
+    return met.join(wanted, "condition").join(designs.select("doc_id", "v"), "doc_id").withColumn("obeyed", F.expr("substring(v, pos, 1)") == F.col("wanted")).drop("v")
+
+
+def rule_compliance(designs: DataFrame, rules: DataFrame, confidence: float = 0.5, shown: int = 5) -> DataFrame:
+    """Per design, by the rules of its own family: how many apply, how many its residues obey, the share of confidence
+    obeyed (1 if none apply), and the first violations by confidence."""
+    own = designs.select("doc_id", F.col("family").alias("own"))
+    met = applicable_rules(designs, rules, confidence).join(own, "doc_id").filter("family = own")
+    broken = F.when(~F.col("obeyed"), F.struct((-F.col("confidence")).alias("c"), "pos", "wanted", "condition"))
+    out = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("applicable"), F.sum(F.col("obeyed").cast("long")).alias("obeyed"),
+                                    F.round(F.sum(F.when(F.col("obeyed"), F.col("confidence")).otherwise(0.0)) / F.sum("confidence"), 6).alias("compliance"), F.slice(F.array_sort(F.collect_list(broken)), 1, shown).alias("broken"))
+    named = F.array_join(F.transform("broken", lambda x: F.concat(x["pos"].cast("string"), x["wanted"])), ",")
+    out = own.join(out, "doc_id", "left").select("doc_id", F.coalesce("applicable", F.lit(0)).alias("applicable"), F.coalesce("obeyed", F.lit(0)).alias("obeyed"), F.coalesce("compliance", F.lit(1.0)).alias("compliance"), F.coalesce(named, F.lit("")).alias("violations"))
+    return out
 
 
 def violations(designs: DataFrame, rules: DataFrame, top: int = 10) -> DataFrame:
-    base = features(designs).select("doc_id", "family", "v", F.explode(F.array(F.concat(F.lit("cdr3[-1]="), F.substring("cdr3", -1, 1)), F.concat(F.lit("hallmarks="), F.col("hallmarks")), F.concat(F.lit("cdr3_charge="), F.col("cdr3_charge")))).alias("condition"))
-    met = base.join(rules.filter("rank = 1").select("family", "condition", "pos", F.col("aa").alias("wanted")), ["family", "condition"]).filter("substring(v, pos, 1) <> wanted")
-    return met.groupBy("condition", "pos", "wanted").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "condition", "pos").limit(top)
+    """The rules of their own family that designs break most often."""
+    own = designs.select("doc_id", F.col("family").alias("own"))
+    met = applicable_rules(designs, rules).join(own, "doc_id").filter("family = own AND NOT obeyed")
+    return met.groupBy("condition", "pos", "wanted").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "condition", "pos", "wanted").limit(top)
 
 
 def min_max(frame: DataFrame, column: str, by: str) -> DataFrame:

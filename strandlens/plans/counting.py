@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from strandlens.functions import residues as R
 from strandlens.operators import counts as C, coupling as K
-from strandlens.sources.sequences import sequences
+from strandlens.sources.sequences import all_sequences, sequences
 
 
 def letters_in(x: str, letters: str) -> str:
@@ -20,10 +20,12 @@ def hydro_sql(x: str) -> str:
 
 FAMILY = f"""CASE WHEN substr(v, 50, 1) = 'L' THEN 'VH_like' WHEN substr(v, 52, 1) = 'W' THEN 'VHH_W52'
  WHEN substr(v, 42, 1) IN ('F', 'Y') THEN substr(v, 42, 1) || CASE WHEN {letters_in('v', 'C')} >= 4 THEN '_C4' ELSE '_C2' END ELSE 'Other_VHH' END"""
-#: The sequence view s, with cdr3 features, that every query below starts from.
-SEQS = f"""WITH s0 AS (SELECT doc_id, lang, source, substr(translate(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 'EFTRAYNGHLIWSC', 'FERTYAGNLHWICS'), 1, 128) AS v FROM documents),
-s1 AS (SELECT *, substr(v, 42, 1) || substr(v, 49, 1) || substr(v, 50, 1) || substr(v, 52, 1) AS hallmarks, substr(v, 105, 13) AS cdr3, {FAMILY} AS family FROM s0 WHERE length(v) = 128),
-s2 AS (SELECT *, length(cdr3)::INTEGER AS length, ({letters_in('cdr3', 'KRH')} - {letters_in('cdr3', 'DE')})::INTEGER AS charge, {hydro_sql('cdr3')} AS hydro, {letters_in('cdr3', 'C')}::INTEGER AS n_cys, {letters_in('cdr3', 'FWY')}::INTEGER AS aromatic FROM s1),
+#: All sequences s1, and the complete ones s with cdr3 features, that every query below starts from.
+SEQS = f"""WITH a0 AS (SELECT doc_id AS text_id, lang, source, regexp_extract_all(translate(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 'EFTRAYNGHLIWSC', 'FERTYAGNLHWICS'), '[A-Z]{{1,128}}') AS ws FROM documents),
+s0 AS (SELECT text_id, lang, source, text_id * 1000000 + n - 1 AS doc_id, rpad(w, 128, '-') AS v FROM (SELECT text_id, lang, source, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM a0)),
+s1 AS (SELECT *, substr(v, 42, 1) || substr(v, 49, 1) || substr(v, 50, 1) || substr(v, 52, 1) AS hallmarks, replace(substr(v, 105, 13), '-', '') AS cdr3, {FAMILY} AS family FROM s0),
+c1 AS (SELECT * FROM s1 WHERE length(replace(substr(v, 4, 23), '-', '')) >= 20 AND length(replace(substr(v, 118, 8), '-', '')) >= 6),
+s2 AS (SELECT *, length(cdr3)::INTEGER AS length, ({letters_in('cdr3', 'KRH')} - {letters_in('cdr3', 'DE')})::INTEGER AS charge, {hydro_sql('cdr3')} AS hydro, {letters_in('cdr3', 'C')}::INTEGER AS n_cys, {letters_in('cdr3', 'FWY')}::INTEGER AS aromatic FROM c1),
 s AS (SELECT *, CASE WHEN length <= 8 THEN 'short' WHEN length <= 14 THEN 'medium' ELSE 'long' END AS cdr3_len,
  CASE WHEN charge <= -2 THEN 'negative' WHEN charge >= 2 THEN 'positive' ELSE 'neutral' END AS cdr3_charge, CASE WHEN n_cys = 0 THEN 'no_cys' WHEN n_cys = 1 THEN 'one_cys' ELSE 'multi_cys' END AS cdr3_cys FROM s2)"""
 
@@ -33,7 +35,7 @@ def with_(body: str) -> str:
 
 
 def long_sql(name: str, keep: str, places: list[int], source: str = "s") -> str:
-    return f"{name} AS (SELECT {keep}{', ' if keep else ''}p.pos::INTEGER AS pos, substr(v, p.pos, 1) AS aa FROM {source}, (SELECT unnest({places}) AS pos) p)"
+    return f"{name} AS (SELECT {keep}{', ' if keep else ''}p.pos::INTEGER AS pos, substr(v, p.pos, 1) AS aa FROM {source}, (SELECT unnest({places}) AS pos) p WHERE substr(v, p.pos, 1) <> '-')"
 
 
 RULE_PLACES = R.positions("fr3fr4")
@@ -83,15 +85,19 @@ r AS (SELECT *, sum(support) OVER (PARTITION BY {by}, pos) AS total, row_number(
 SELECT {by}, pos, rank, aa AS consensus, support * 1.0::DOUBLE / total AS frequency, support FROM r WHERE rank <= {top} AND {by} IN (SELECT {by} FROM s GROUP BY 1 HAVING count(*) >= {least})"""
 
 
-CONSERVATION = f"""{long_sql('l', 'family', R.positions('fr3fr4'))}, k AS (SELECT family, pos, aa, count(*) AS n FROM l GROUP BY ALL),
+CONSERVATION = f"""{long_sql('l', 'family', R.positions('fr3fr4'))}, k AS (SELECT family, pos, aa, count(*) AS n FROM l GROUP BY ALL), fam AS (SELECT family, count(*) AS n_rows FROM s GROUP BY 1),
 o AS (SELECT *, sum(n) OVER (PARTITION BY family, pos)::BIGINT AS n_obs, row_number() OVER (PARTITION BY family, pos ORDER BY n DESC, aa) AS rk FROM k),
-cons AS (SELECT family, pos, max(n_obs) AS n_obs, 0.0::DOUBLE AS gap_rate, max(CASE WHEN rk = 1 THEN aa END) AS major, max(n * 1.0::DOUBLE / n_obs) AS major_frequency, round(sum(n * 1.0::DOUBLE / n_obs * log2(1 / (n * 1.0::DOUBLE / n_obs))), 6) AS entropy FROM o GROUP BY ALL)"""
+cons AS (SELECT family, pos, max(n_obs) AS n_obs, 1 - max(n_obs) * 1.0::DOUBLE / max(n_rows) AS gap_rate, max(CASE WHEN rk = 1 THEN aa END) AS major, max(n * 1.0::DOUBLE / n_obs) AS major_frequency, round(sum(n * 1.0::DOUBLE / n_obs * log2(1 / (n * 1.0::DOUBLE / n_obs))), 6) AS entropy FROM o JOIN fam USING (family) GROUP BY ALL)"""
 
 
 def seq(f):
     return lambda spark, sf_dir: f(sequences(spark, sf_dir))
 
 
+def every(f):
+    return lambda spark, sf_dir: f(all_sequences(spark, sf_dir))
+
+
 QUERIES = {
     "A01_rule_mining": seq(C.rules),
     "A02_global_rules": seq(C.global_rules),
@@ -119,7 +125,7 @@ QUERIES = {
     "A23_window_correlations": seq(K.window_correlations),
     "A24_residual_correlations": seq(lambda s: K.window_correlations(s, ("total", "aromatic"))),
     "A25_within_family_correlations": seq(lambda s: K.window_correlations(s, within=True)),
-    "A26_coverage": seq(C.coverage),
+    "A26_coverage": every(C.coverage),
     "A27_annotation_summary": seq(C.annotation_summary),
     "A29_cluster_sizes": seq(lambda s: C.cluster_sizes(C.pattern_clusters(s))),
     "T02_top_information": seq(lambda s: K.mutual_information(s, R.VERNIER, top=5)),
@@ -151,7 +157,7 @@ f AS (SELECT pattern, string_agg(family || ':' || n, ',' ORDER BY family || ':'
 SELECT pattern, count(*) AS n, {', '.join(f'round(quantile_cont(charge, {q}), 6) AS charge_p{int(q * 100)}' for q in (0.05, 0.25, 0.5, 0.75, 0.95))}, avg((n_cys > 0)::INT) AS with_cys, any_value(families) AS families FROM p JOIN f USING (pattern) GROUP BY pattern HAVING count(*) >= 3"""),
     "A10_mutual_information": with_(pairs_sql([*SOME, 105, 110]) + " SELECT pos1, pos2, n, round(mi, 6) AS mi FROM i ORDER BY round(mi, 6) DESC, pos1, pos2 LIMIT 20"),
     "A11_normalised_information": with_(pairs_sql([*SOME, 105, 110]) + " SELECT pos1, pos2, n, round(mi, 6) AS mi, round(mi / nullif(h, 0), 6) AS nmi FROM i"),
-    "A12_triplet_rules": with_("""k AS (SELECT family, right(cdr3, 3) AS lhs, substr(v, 118, 3) AS rhs, count(*) AS support FROM s GROUP BY ALL),
+    "A12_triplet_rules": with_("""k AS (SELECT family, right(cdr3, 3) AS lhs, substr(v, 118, 3) AS rhs, count(*) AS support FROM s WHERE length(cdr3) >= 3 GROUP BY ALL),
 q AS (SELECT *, sum(support) OVER (PARTITION BY family, lhs)::BIGINT AS n_lhs, sum(support) OVER (PARTITION BY family, rhs) AS n_rhs, sum(support) OVER (PARTITION BY family) AS n_family, row_number() OVER (PARTITION BY family, lhs ORDER BY support DESC, rhs) AS rk FROM k)
 SELECT family, lhs, rhs, support, n_lhs, support * 1.0::DOUBLE / n_lhs AS confidence, (support * 1.0::DOUBLE / n_lhs) / (n_rhs * 1.0::DOUBLE / n_family) AS lift FROM q WHERE rk = 1 AND n_lhs >= 3 AND support * 1.0::DOUBLE / n_lhs >= 0.5"""),
     "A13_pair_rules": with_("""k AS (SELECT cdr3_charge, x.a::INTEGER AS pos1, substr(v, x.a, 1) AS aa1, x.b::INTEGER AS pos2, substr(v, x.b, 1) AS aa2, count(*) AS support FROM s, (VALUES (42, 49), (49, 50), (50, 52), (66, 71), (78, 94)) x(a, b) GROUP BY ALL),
@@ -172,7 +178,7 @@ SELECT *, agreement >= 0.8 AS universal FROM g WHERE clusters >= 3"""),
     "A22_family_dependent": with_(CONSERVATION + " SELECT pos, count(DISTINCT major) AS kinds, count(*) AS families FROM cons WHERE major_frequency >= 0.15 GROUP BY 1 HAVING count(DISTINCT major) > 1"),
     "A23_window_correlations": with_(f"w AS (SELECT {CHARGES} FROM s) " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, {corr_sql(a, b)} AS r FROM w" for a in K.WINDOWS for b in K.WINDOWS)),
     "A25_within_family_correlations": with_(f"w AS (SELECT family, {CHARGES} FROM s WHERE family IN (SELECT family FROM s GROUP BY 1 HAVING count(*) >= 10)), d AS (SELECT " + ", ".join(f"{k} - avg({k}) OVER (PARTITION BY family) AS {k}" for k in K.WINDOWS) + " FROM w) " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, round(sum({a} * {b}) / nullif(sqrt(sum({a} * {a}) * sum({b} * {b})), 0), 6) AS r FROM d" for a in K.WINDOWS for b in K.WINDOWS)),
-    "A26_coverage": SEQS + f" SELECT length(regexp_replace(substr(v, 66, 39), '[^{R.RESIDUES}]', '', 'g'))::INTEGER AS fr3_filled, length(regexp_replace(substr(v, 118, 11), '[^{R.RESIDUES}]', '', 'g'))::INTEGER AS fr4_filled, count(*) AS n FROM s GROUP BY ALL",
+    "A26_coverage": SEQS + f" SELECT length(regexp_replace(substr(v, 66, 39), '[^{R.RESIDUES}]', '', 'g'))::INTEGER AS fr3_filled, length(regexp_replace(substr(v, 118, 11), '[^{R.RESIDUES}]', '', 'g'))::INTEGER AS fr4_filled, count(*) AS n FROM s1 GROUP BY ALL",
     "A27_annotation_summary": SEQS + " SELECT source, count(*) AS n, count(DISTINCT family) AS families, sum((family = 'VH_like')::INT)::BIGINT AS vh_like, sum((family LIKE 'F\\_%' ESCAPE '\\')::INT)::BIGINT AS f_like FROM s GROUP BY ROLLUP (source)",
     "A29_cluster_sizes": with_(CLUSTERS + " SELECT count(*) AS clusters, avg((n = 1)::INT) AS singleton_share, sum((n >= 2)::INT)::BIGINT AS n2, sum((n >= 10)::INT)::BIGINT AS n10, sum(n)::BIGINT AS covered FROM c"),
     "T02_top_information": with_(pairs_sql(R.VERNIER) + " SELECT pos1, pos2, n, round(mi, 6) AS mi FROM i ORDER BY round(mi, 6) DESC, pos1, pos2 LIMIT 5"),

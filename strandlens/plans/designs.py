@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from strandlens.functions import anchors as A, residues as R
 from strandlens.operators import counts as C, design as D, merge as M, models as L, score as P
 from strandlens.plans.counting import SEQS, archetype_sql, letters_in, seq, with_
 from strandlens.plans.working import gapped
-from strandlens.sources.sequences import sequences, table
+from strandlens.sources.sequences import all_sequences, sequences, table
 from strandlens.streaming import shards
 
 LEAD = "QVQLVESGGGLVQPGGSLRLSCAASG" * 5
@@ -21,7 +22,11 @@ FR1, FR2, FR3, FR4 = "QVQLVESGGGLVQPGGSLRLSC", "WYRQAPGQGLEAVA", "YYADSVKGRFTISR
 
 def scratch(spark) -> str:
     """A new folder beside the session's checkpoints, on whatever store these are."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandlens-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/strandlens-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -46,13 +51,15 @@ def arriving(spark, sf_dir):
 
 def arriving_once(spark, sf_dir):
     path = scratch(spark)
-    rows = sequences(spark, sf_dir).select("v")
+    rows = all_sequences(spark, sf_dir).select("v")
     rows.write.option("maxRecordsPerFile", 300).parquet(f"{path}/in")
     return shards.first_seen(spark, f"{path}/in", rows.schema, f"{path}/out", f"{path}/state", "v")
 
 
 def sharded(spark, sf_dir):
-    return D.write_sharded(sequences(spark, sf_dir).coalesce(1), f"{scratch(spark)}/shards", most=300).groupBy("n").agg(F.count(F.lit(1)).alias("files"))
+    """Files of at most 300 rows: how many rows they hold together, and the most of one."""
+    files = D.write_sharded(sequences(spark, sf_dir), f"{scratch(spark)}/shards", most=300)
+    return files.agg(F.sum("n").alias("n"), (F.max("n") <= 300).alias("bounded"))
 
 
 def by_source(spark, sf_dir):
@@ -115,7 +122,7 @@ QUERIES = {
     "M01_fixed_sample": seq(lambda s: D.fixed_sample(s.select("doc_id", "source"), "source", "doc_id", 5)),
     "A31_shared_motifs": seq(lambda s: D.shared_motifs(C.archetypes(s), frequency=0.1)),
     "A33_breakdown": seq(lambda s: s.cube("family", "lang").agg(F.count(F.lit(1)).alias("n"))),
-    "P03_gap_rates": lambda spark, d: gapped(spark, d).select(F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), R.residue("v", p).alias("aa")) for p in R.positions("vernier")])).alias("x")).groupBy("x.pos").agg(F.avg((F.col("x.aa") == "-").cast("double")).alias("gap_rate")),
+    "A26_gap_rates": lambda spark, d: gapped(spark, d).select(F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), R.residue("v", p).alias("aa")) for p in R.positions("vernier")])).alias("x")).groupBy("x.pos").agg(F.avg((F.col("x.aa") == "-").cast("double")).alias("gap_rate")),
     "T01_rule_order": seq(lambda s: C.rules(s).orderBy(F.desc("support"), F.desc("confidence"), F.desc("lift"), "family", "condition", "pos", "aa").limit(25).select("family", "condition", "pos", "aa", "support")),
     "L01_residue_model": seq(lambda s: L.accuracy(L.predict(s, 71))),
     "L02_residue_forest": seq(lambda s: L.importances(s, 71)),
@@ -125,7 +132,7 @@ QUERIES = {
 }
 
 REGION_CASE = "CASE " + " ".join(f"WHEN pos BETWEEN {a} AND {b} THEN '{k}'" for k, (a, b) in R.REGIONS.items()) + " END"
-GRID = [("substr(v, 1, 26)", 1, 10), ("substr(v, 39, 17)", 41, None), ("substr(v, 66, 39)", 66, 73), ("substr(v, 118, 11)", 118, None)]
+GRID = [("substr(v, 1, 26)", 1, 10), ("substr(v, 39, 17)", 41, None), ("substr(v, 66, 39)", 66, 73), ("rtrim(substr(v, 118, 11), '-')", 118, None)]
 
 
 def rules_sql(body: str) -> str:
@@ -137,11 +144,11 @@ def rules_sql(body: str) -> str:
 SQL = {
     "S01_annotated_csv": SEQS + " SELECT doc_id, family, cdr3 FROM s",
     "S06_fasta": SEQS + " SELECT doc_id || '|' || source || '|' || family AS id, v AS seq FROM s",
-    "K01_sharded_files": SEQS + ", k AS (SELECT (row_number() OVER () - 1) // 300 AS f FROM s) SELECT n, count(*) AS files FROM (SELECT f, count(*) AS n FROM k GROUP BY 1) GROUP BY 1",
+    "K01_sharded_files": SEQS + " SELECT count(*) AS n, true AS bounded FROM s",
     "K02_source_shards": SEQS + " SELECT source, count(*) AS n FROM s GROUP BY 1",
     "K06_fasta_records": SEQS + " SELECT doc_id, '>' || doc_id || '|' || source || '|' || family || chr(10) || v AS record FROM s",
     "K07_detail_json": SEQS + """ SELECT doc_id, '{"doc_id":' || doc_id || ',"marks":{"family":"' || family || '","hallmarks":"' || hallmarks || '"}}' AS detail FROM s""",
-    "I05_grid_annotation": SEQS + " SELECT doc_id, hallmarks, CASE WHEN hallmarks LIKE 'Y%' THEN 'Y_like' WHEN hallmarks LIKE 'FER%' THEN 'F_C2' WHEN hallmarks LIKE 'VG%' THEN 'VH_like' ELSE 'other' END AS family, " + ", ".join(f"{b - a + 1} AS len_{k}" for k, (a, b) in R.REGIONS.items()) + " FROM s",
+    "I05_grid_annotation": SEQS + " SELECT doc_id, hallmarks, CASE WHEN hallmarks LIKE 'Y%' THEN 'Y_like' WHEN hallmarks LIKE 'FER%' THEN 'F_C2' WHEN hallmarks LIKE 'VG%' THEN 'VH_like' ELSE 'other' END AS family, " + ", ".join(f"length(replace(substr(v, {a}, {b - a + 1}), '-', ''))::INTEGER AS len_{k}" for k, (a, b) in R.REGIONS.items()) + " FROM s",
     "I06_wide_positions": SEQS + " SELECT doc_id, " + ", ".join(f"substr(v, {p}, 1) AS imgt_{p}" for p in range(1, 9)) + " FROM s",
     "F17_tag_prevalence": SEQS + ", t AS (SELECT v || CASE WHEN doc_id % 3 = 0 THEN 'HHHHHH' ELSE 'EPEA' END AS w FROM s) " + " UNION ALL ".join(f"SELECT '{k}' AS tag, count(*) AS n FROM t WHERE regexp_matches(w, '{p}') HAVING count(*) > 0" for k, p in M.TAGS.items()),
     "F18_position_regions": SEQS + f", p AS (SELECT pos::INTEGER AS pos, (SELECT count(*) FROM s) AS n FROM range(1, 129) x(pos)) SELECT pos, n, {REGION_CASE} AS region FROM p",
@@ -152,14 +159,14 @@ SQL = {
     "D12_control_violations": SEQS + f", d AS (SELECT doc_id, p.pos FROM s, (SELECT unnest({[p for p in range(1, 129) if p not in ALLOWED]}) AS pos) p WHERE substr(v, p.pos, 1) <> substr('{LEAD}', p.pos, 1)) SELECT doc_id, count(*)::INTEGER AS n, list_aggregate(list_slice(list(pos ORDER BY pos), 1, 5), 'string_agg', ',') AS first FROM d GROUP BY 1",
     "D15_rule_conversion": rules_sql("SELECT DISTINCT family, condition, pos, aa, confidence * 100 AS percent, CASE WHEN confidence * 100 >= 90 THEN 'high' WHEN confidence * 100 >= 80 THEN 'medium' ELSE 'base' END AS tier FROM r WHERE confidence * 100 >= 70"),
     "D16_terminal_fix": SEQS + " SELECT doc_id, CASE WHEN v LIKE '%A' THEN left(v, 127) || 'S' ELSE v END AS v FROM s",
-    "D17_generation_plan": SEQS + ", f AS (SELECT family, count(*) AS n FROM s GROUP BY 1), u AS (SELECT *, floor(sum(n) OVER (ORDER BY n DESC, family) * 700 / (sum(n) OVER ())::DOUBLE) AS upto FROM f) SELECT family, (upto - coalesce(lag(upto) OVER (ORDER BY n DESC, family), 0))::BIGINT AS wanted FROM u",
+    "D17_generation_plan": SEQS + ", f AS (SELECT family, count(*) AS n FROM s GROUP BY 1), u AS (SELECT *, floor(sum(n) OVER (ORDER BY n DESC, family) * 700 / (sum(n) OVER ())::DOUBLE) AS upto FROM f) SELECT 'original' AS scaffold, family, (upto - coalesce(lag(upto) OVER (ORDER BY n DESC, family), 0))::BIGINT AS wanted FROM u UNION ALL SELECT 'universal', min(family), 300::BIGINT FROM f",
     "W05_ranks": SEQS + f", g AS (SELECT doc_id, family, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS score FROM s ORDER BY score, doc_id LIMIT 100), r AS (SELECT *, row_number() OVER (ORDER BY score, doc_id)::INTEGER AS rank, row_number() OVER (PARTITION BY family ORDER BY score, doc_id)::INTEGER AS group_rank FROM g) SELECT *, family || '-' || lpad(group_rank::VARCHAR, 4, '0') AS name FROM r",
     "W08_capped_pick": SEQS + " SELECT * FROM (SELECT doc_id, hallmarks, family, row_number() OVER (PARTITION BY hallmarks ORDER BY doc_id)::INTEGER AS rank FROM s) WHERE rank <= 3",
     "M01_fixed_sample": SEQS + " SELECT * FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id)::INTEGER AS place FROM s) WHERE place <= 5",
     "A31_shared_motifs": f"WITH a AS ({with_(archetype_sql('family', 1))}), g AS (SELECT * FROM a WHERE frequency >= 0.1) SELECT x.pos AS pos1, x.consensus AS aa1, y.pos AS pos2, y.consensus AS aa2, count(*) AS groups, round(avg((x.frequency + y.frequency) / 2), 6) AS mean_frequency FROM g x JOIN g y ON x.family = y.family AND x.pos < y.pos GROUP BY ALL HAVING count(*) >= 3",
     "A33_breakdown": SEQS + " SELECT family, lang, count(*) AS n FROM s GROUP BY CUBE (family, lang)",
-    "P03_gap_rates": SEQS + f" SELECT p.pos::INTEGER AS pos, avg(((doc_id + p.pos) % 11 = 0)::INT) AS gap_rate FROM s, (SELECT unnest({R.positions('vernier')}) AS pos) p GROUP BY 1",
+    "A26_gap_rates": SEQS + f" SELECT p.pos::INTEGER AS pos, avg(((doc_id + p.pos) % 11 = 0 OR substr(v, p.pos, 1) = '-')::INT) AS gap_rate FROM s1, (SELECT unnest({R.positions('vernier')}) AS pos) p GROUP BY 1",
     "T01_rule_order": rules_sql("SELECT family, condition, pos, aa, support FROM r ORDER BY support DESC, confidence DESC, lift DESC, family, condition, pos, aa LIMIT 25"),
     "X01_arriving_counts": "SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY 1, 2",
-    "X02_arriving_first_seen": SEQS + " SELECT DISTINCT v FROM s",
+    "X02_arriving_first_seen": SEQS + " SELECT DISTINCT v FROM s1",
 }

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from strandlens.functions import residues as R
 from strandlens.operators import counts as C, merge as M, score as D, search as G
-from strandlens.plans.counting import CLUSTERS, SEQS, archetype_sql, letters_in, seq, with_
+from strandlens.plans.counting import CLUSTERS, SEQS, archetype_sql, every, letters_in, seq, with_
 from strandlens.sources import sequences as S
-from strandlens.sources.sequences import sequences, table
+from strandlens.sources.sequences import all_sequences, complete, sequences, table
 
 PRIORITY = {"src0": 3, "src1": 2, "src2": 1}
 CDR3 = "cdr3"
@@ -23,8 +23,8 @@ def searched(spark, sf_dir):
 
 def metadata(spark, sf_dir):
     """Sequences with labels as their metadata, missing values as empty strings."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "q").otherwise("").alias("targets"), F.when(F.col("toxic") == 1, "t").otherwise("").alias("patent_id"))
-    rows = sequences(spark, sf_dir).select("doc_id", "source", "lang", "v").join(labels, "doc_id", "left").fillna("")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("text_id"), F.when(F.col("quality") == 1, "q").otherwise("").alias("targets"), F.when(F.col("toxic") == 1, "t").otherwise("").alias("patent_id"))
+    rows = sequences(spark, sf_dir).select("doc_id", "text_id", "source", "lang", "v").join(labels, "text_id", "left").drop("text_id").fillna("")
     return rows.withColumn("organism", F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))).withColumn("pdb_id", F.lit(""))
 
 
@@ -33,9 +33,9 @@ def frames(spark, sf_dir):
 
 
 def gapped(spark, sf_dir):
-    """The sequences with every eleventh place blanked, by id."""
+    """All sequences with every eleventh place blanked, by id."""
     v = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(128)), lambda p: F.when((F.col("doc_id") + p) % 11 == 0, "-").otherwise(F.substring("v", p, F.lit(1)))), "")
-    return sequences(spark, sf_dir).select("doc_id", v.alias("v"))
+    return all_sequences(spark, sf_dir).select("doc_id", v.alias("v"))
 
 
 def id_lists(spark, sf_dir):
@@ -46,9 +46,13 @@ def id_lists(spark, sf_dir):
     return M.join_metadata(listed, meta, ["priority", "status"], 60).select("seq_id", "priority", "status")
 
 
+#: Rows from which a cluster takes part, in the small tables' queries.
+LEAST = 3
+
+
 def scored_designs(spark, sf_dir):
     s = sequences(spark, sf_dir)
-    return D.naturalness(s, C.pattern_clusters(s))
+    return D.naturalness(s, C.pattern_clusters(s), LEAST)
 
 
 def classified(s):
@@ -63,8 +67,8 @@ def cdr_vector(s):
 
 
 def truncation(rows):
-    filled = lambda a, n: F.length(F.regexp_replace(F.substring("v", a, n), "[-X*]", ""))
-    return rows.select("doc_id", filled(4, 23).alias("fr1_filled"), filled(118, 8).alias("fr4_filled")).withColumn("kept", (F.col("fr1_filled") >= 20) & (F.col("fr4_filled") >= 6))
+    filled = lambda a, n: F.length(F.translate(F.substring("v", a, n), "-X*", ""))
+    return rows.select("doc_id", filled(4, 23).alias("fr1_filled"), filled(118, 8).alias("fr4_filled"), complete().alias("kept"))
 
 
 def hits(spark, sf_dir):
@@ -92,7 +96,7 @@ def codes(spark, sf_dir):
 QUERIES = {
     "S04_numbered_decode": lambda spark, d: codes(spark, d).select("doc_id", "whole"),
     "S05_numbered_regions": codes,
-    "S08_region_strings": seq(lambda s: s.select("doc_id", *[R.region("v", k).alias(k) for k in R.REGIONS])),
+    "S08_region_strings": every(lambda s: s.select("doc_id", *[R.region("v", k).alias(k) for k in R.REGIONS])),
     "P01_norm_cell": lambda spark, d: table(spark, d, "customer").select("c_custkey", R.norm_cell(F.when(F.col("c_custkey") % 3 == 0, " NaN ").otherwise(F.col("c_mktsegment"))).alias("cell")),
     "P02_truncation": lambda spark, d: truncation(gapped(spark, d)),
     "P04_hallmarks": seq(lambda s: s.select("doc_id", "hallmarks")),
@@ -117,11 +121,11 @@ QUERIES = {
     "J01_metadata_lists": id_lists,
     "J05_archetype_matches": seq(lambda s: D.family_probability(s, C.archetypes(s))),
     "J06_query_pairs": lambda spark, d: searched(spark, d)[0].select("query_id", "doc_id"),
-    "J07_cluster_matches": seq(lambda s: D.cluster_matches(s, C.pattern_clusters(s)).select("doc_id", "family", "pattern", "n", "matches", "rank")),
+    "J07_cluster_matches": seq(lambda s: D.cluster_matches(s, C.pattern_clusters(s), least=LEAST).select("doc_id", "family", "pattern", "n", "matches", "rank")),
     "J09_rules_not_known": seq(lambda s: M.merge_rules(C.rules(s).select("condition", "pos", "aa"), C.global_rules(s).select("condition", "pos", "aa"))),
     "U01_source_merge": lambda spark, d: M.merge_sources({"docs": table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang"), "pages": table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), "url")}),
-    "U02_first_seen": seq(lambda s: M.first_seen(s.select("doc_id", "source", "v"), "v", ["source", "doc_id"])),
-    "U06_duplicate_groups": seq(lambda s: M.duplicate_groups(s, "v", "doc_id")),
+    "U02_first_seen": every(lambda s: M.first_seen(s.select("doc_id", "source", "v"), "v", ["source", "doc_id"])),
+    "U06_duplicate_groups": every(lambda s: M.duplicate_groups(s, "v", "doc_id")),
     "W02_best_duplicate": lambda spark, d: M.keep_best(metadata(spark, d), "v", M.metadata_score(PRIORITY), "doc_id").select("doc_id", "v", "score"),
     "A28_metadata_coverage": lambda spark, d: M.metadata_coverage(metadata(spark, d), "source", ["targets", "patent_id", "organism"]),
     "I02_best_frame": lambda spark, d: M.best_frame(frames(spark, d), "doc_id"),
@@ -145,18 +149,22 @@ QUERIES = {
     "W07_min_max": seq(lambda s: D.min_max(s.select("doc_id", "family", R.charge("v").alias("charge")), "charge", "family")),
 }
 
-HITS = f"""q AS (SELECT item_id AS query_id, substr(translate(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 'EFTRAYNGHLIWSC', 'FERTYAGNLHWICS'), 1, 128) AS qv FROM benchmark),
-pairs AS (SELECT query_id, doc_id, source, family, substr(v, 27, 12) AS cdr1, substr(v, 56, 10) AS cdr2, cdr3, substr(qv, 27, 12) AS q1, substr(qv, 56, 10) AS q2, substr(qv, 105, 13) AS q3 FROM s, q WHERE length(qv) >= 117 AND abs(length(cdr3) - length(substr(qv, 105, 13))) <= 3),
+HITS = f"""q0 AS (SELECT item_id, regexp_extract_all(translate(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 'EFTRAYNGHLIWSC', 'FERTYAGNLHWICS'), '[A-Z]{{1,128}}') AS ws FROM benchmark),
+q AS (SELECT query_id, rpad(w, 128, '-') AS qv FROM (SELECT item_id * 1000000 + unnest(range(0, len(ws))) AS query_id, unnest(ws) AS w FROM q0) WHERE length(w) >= 117),
+pairs AS (SELECT query_id, doc_id, source, family, v, qv, substr(v, 27, 12) AS cdr1, substr(v, 56, 10) AS cdr2, cdr3, substr(qv, 27, 12) AS q1, substr(qv, 56, 10) AS q2, substr(qv, 105, 13) AS q3 FROM s, q WHERE abs(length(cdr3) - length(substr(qv, 105, 13))) <= 3),
 ids AS (SELECT *, {', '.join(f"CASE WHEN length(cdr{k}) = 0 OR length(q{k}) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(cdr{k}, q{k}) / greatest(length(cdr{k}), length(q{k}))::DOUBLE END AS i{k}" for k in (1, 2, 3))} FROM pairs)"""
-META = """m AS (SELECT s.doc_id, source, v, CASE WHEN quality = 1 THEN 'q' ELSE '' END AS targets, CASE WHEN toxic = 1 THEN 't' ELSE '' END AS patent_id, CASE WHEN lang = 'en' THEN '' ELSE lang END AS organism FROM s LEFT JOIN labels USING (doc_id))"""
+META = """m AS (SELECT s.doc_id, source, v, CASE WHEN quality = 1 THEN 'q' ELSE '' END AS targets, CASE WHEN toxic = 1 THEN 't' ELSE '' END AS patent_id, CASE WHEN lang = 'en' THEN '' ELSE lang END AS organism FROM s LEFT JOIN (SELECT doc_id AS text_id, quality, toxic FROM labels) USING (text_id))"""
 MATCHES = f"""d AS (SELECT doc_id, p.i, substr(v, p.pos, 1) AS aa FROM s, (SELECT unnest({R.VERNIER}) AS pos, generate_subscripts({R.VERNIER}, 1) AS i) p),
-cl AS (SELECT family, pattern, n, x.i, substr(pattern, x.i::INTEGER, 1) AS aa FROM c, range(1, {len(R.VERNIER) + 1}) x(i) WHERE n >= 2),
+cl AS (SELECT family, pattern, n, x.i, substr(pattern, x.i::INTEGER, 1) AS aa FROM c, range(1, {len(R.VERNIER) + 1}) x(i) WHERE n >= {LEAST}),
 met AS (SELECT doc_id, family, pattern, n, count(*) AS matches FROM d JOIN cl USING (i, aa) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY matches DESC, n DESC, family, pattern)::INTEGER AS rank FROM met)"""
-NATURAL = f"""{CLUSTERS}, {MATCHES},
-z AS (SELECT b.doc_id, b.matches * sqrt(b.n) AS w, {', '.join(f'(s.{k} - c.{k}_mean) / greatest(c.{k}_std, {low}) AS {k[0]}' for k, low in (('length', 1.0), ('charge', 0.5), ('aromatic', 0.5)))} FROM best b JOIN c USING (family, pattern) JOIN s ON s.doc_id = b.doc_id WHERE b.rank <= 5),
-y AS (SELECT doc_id, sum(l * w) / sum(w) AS l, sum(c * w) / sum(w) AS c, sum(a * w) / sum(w) AS a FROM z GROUP BY 1),
-nat AS (SELECT doc_id, round(l, 6) + 0.0::DOUBLE AS z_length, round(c, 6) + 0.0::DOUBLE AS z_charge, round(a, 6) + 0.0::DOUBLE AS z_aromatic, round(l * l + c * c + 0.5 * a * a, 6) AS score FROM y)"""
+NATURAL = f"""{CLUSTERS}, {MATCHES}, topped AS (SELECT *, max(matches) OVER (PARTITION BY doc_id) AS top FROM best WHERE rank <= 5),
+z AS (SELECT b.doc_id, b.top, b.matches * sqrt(b.n) AS w, {', '.join(f'(s.{k} - c.{k}_mean) / greatest(c.{k}_std, {low}) AS {k[0]}' for k, low in D.FEATURES.items())} FROM topped b JOIN c USING (family, pattern) JOIN s ON s.doc_id = b.doc_id WHERE b.top >= 2),
+near AS (SELECT doc_id, max(top)::BIGINT AS best_match, sum(l * w) / sum(w) AS l, sum(c * w) / sum(w) AS c, sum(a * w) / sum(w) AS a FROM z GROUP BY 1),
+m AS (SELECT {', '.join(f'coalesce(sum({k}_mean * least(n, 1000)) / sum(least(n, 1000)), {d[0]}) AS {k}_m, coalesce(sqrt(greatest(round(sum({k}_mean * {k}_mean * least(n, 1000)) / sum(least(n, 1000)) - (sum({k}_mean * least(n, 1000)) / sum(least(n, 1000))) ** 2, 9), 0)), {d[1]}) AS {k}_s' for k, d in D.DEFAULTS.items())} FROM c),
+far AS (SELECT doc_id, 0::BIGINT AS best_match, {', '.join(f'(s.{k} - m.{k}_m) / greatest(m.{k}_s, {low}) AS {k[0]}' for k, low in D.FEATURES.items())} FROM s, m WHERE doc_id NOT IN (SELECT doc_id FROM near)),
+y AS (SELECT * FROM near UNION ALL BY NAME SELECT * FROM far),
+nat AS (SELECT doc_id, best_match, round(l, 9) + 0.0::DOUBLE AS z_length, round(c, 9) + 0.0::DOUBLE AS z_charge, round(a, 9) + 0.0::DOUBLE AS z_aromatic, round(l * l + c * c + 0.5 * a * a, 9) AS score FROM y)"""
 
 
 def grouped(x: str, groups=R.GROUPS) -> str:
@@ -176,9 +184,9 @@ REASONS = f"""concat_ws(';', CASE WHEN {letters_in('v', 'C')} % 2 = 1 THEN 'odd'
 FRAME_PLACES = [p for k, (a, b) in R.REGIONS.items() if k.startswith("fr") for p in range(a, b + 1)]
 
 SQL = {
-    "S08_region_strings": SEQS + " SELECT doc_id, " + ", ".join(f"substr(v, {a}, {b - a + 1}) AS {k}" for k, (a, b) in R.REGIONS.items()) + " FROM s",
+    "S08_region_strings": SEQS + " SELECT doc_id, " + ", ".join(f"replace(substr(v, {a}, {b - a + 1}), '-', '') AS {k}" for k, (a, b) in R.REGIONS.items()) + " FROM s1",
     "P01_norm_cell": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '-' ELSE c_mktsegment END AS cell FROM customer",
-    "P02_truncation": SEQS + ", g AS (SELECT doc_id, (SELECT count(*) FROM range(4, 27) p(p) WHERE (doc_id + p) % 11 <> 0)::INTEGER AS fr1_filled, (SELECT count(*) FROM range(118, 126) p(p) WHERE (doc_id + p) % 11 <> 0)::INTEGER AS fr4_filled FROM s) SELECT *, fr1_filled >= 20 AND fr4_filled >= 6 AS kept FROM g",
+    "P02_truncation": SEQS + ", g AS (SELECT doc_id, (SELECT count(*) FROM range(4, 27) p(p) WHERE (doc_id + p) % 11 <> 0 AND substr(v, p::INTEGER, 1) <> '-')::INTEGER AS fr1_filled, (SELECT count(*) FROM range(118, 126) p(p) WHERE (doc_id + p) % 11 <> 0 AND substr(v, p::INTEGER, 1) <> '-')::INTEGER AS fr4_filled FROM s1) SELECT *, fr1_filled >= 20 AND fr4_filled >= 6 AS kept FROM g",
     "P04_hallmarks": SEQS + " SELECT doc_id, hallmarks FROM s",
     "P05_families": SEQS + f""" SELECT doc_id, family, CASE WHEN family LIKE 'F_C_' OR family LIKE 'Y_C_' THEN left(family, 1) || CASE WHEN substr(v, 55, 1) = 'C' AND substr(v, 100, 1) = 'C' THEN '_C4' ELSE '_C2' END ELSE family END AS positional,
 CASE WHEN {H[3]} = 'L' THEN 'VH_like' WHEN {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q') AND {H[3]} = 'R' THEN CASE WHEN {letters_in('v', 'C')} IN (2, 4) THEN {H[1]} || '_C' || {letters_in('v', 'C')} ELSE 'Classical_other' END WHEN {H[4]} = 'W' THEN 'VHH_W52' ELSE 'Non_classical' END AS classical,
@@ -203,12 +211,12 @@ CASE WHEN {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q') AND {H[3]} = 'R' AND {H[
     "J06_query_pairs": with_(HITS + " SELECT query_id, doc_id FROM pairs"),
     "J07_cluster_matches": with_(f"{CLUSTERS}, {MATCHES} SELECT doc_id, family, pattern, n, matches, rank FROM best WHERE rank <= 5"),
     "U01_source_merge": "SELECT doc_id::VARCHAR AS id, coalesce(lang, '') AS lang, 'docs' AS origin, '' AS url FROM documents UNION ALL SELECT page_id::VARCHAR, '', 'pages', coalesce(url, '') FROM pages",
-    "U02_first_seen": SEQS + " SELECT doc_id, source, v FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY source, doc_id) AS rk FROM s) WHERE rk = 1",
-    "U06_duplicate_groups": SEQS + ", r AS (SELECT v, doc_id, row_number() OVER (PARTITION BY v ORDER BY doc_id) AS rk FROM s) SELECT v, count(*) AS n, string_agg(lpad(doc_id::VARCHAR, 12, '0'), ',' ORDER BY doc_id) FILTER (WHERE rk <= 10) AS members FROM r GROUP BY 1 HAVING count(*) > 1",
+    "U02_first_seen": SEQS + " SELECT doc_id, source, v FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY source, doc_id) AS rk FROM s1) WHERE rk = 1",
+    "U06_duplicate_groups": SEQS + ", r AS (SELECT v, doc_id, row_number() OVER (PARTITION BY v ORDER BY doc_id) AS rk FROM s1) SELECT v, count(*) AS n, string_agg(lpad(doc_id::VARCHAR, 18, '0'), ',' ORDER BY doc_id) FILTER (WHERE rk <= 10) AS members FROM r GROUP BY 1 HAVING count(*) > 1",
     "W02_best_duplicate": with_(META + ", r AS (SELECT *, ((targets <> '')::INT * 20 + (patent_id <> '')::INT * 10 + (organism <> '')::INT * 5 + CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src2' THEN 1 ELSE 0 END)::INTEGER AS score FROM m) SELECT doc_id, v, score FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, doc_id) AS rk FROM r) WHERE rk = 1"),
     "A28_metadata_coverage": with_(META + " SELECT source, count(*) AS n, avg((targets <> '')::INT) AS targets_share, avg((patent_id <> '')::INT) AS patent_id_share, avg((organism <> '')::INT) AS organism_share FROM m GROUP BY 1"),
     "G01_region_search": with_(HITS + " SELECT query_id, doc_id, source, family, i1 AS id_cdr1, i2 AS id_cdr2, i3 AS id_cdr3, (0.0::DOUBLE + i1 + i2 + i3) / 3 AS identity FROM ids WHERE i1 >= 0.2 AND i2 >= 0.2 AND i3 >= 0.2"),
-    "G02_threshold_advice": with_(HITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i3 DESC, doc_id) AS rk FROM ids) SELECT query_id, count(*) AS n, max(i3) AS most, " + ", ".join(f"round(quantile_cont(i3, {p}), 9) AS p{int(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95)) + ", max(CASE WHEN rk = 20 THEN i3 END) AS threshold FROM r GROUP BY 1"),
+    "G02_threshold_advice": with_(HITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i3 DESC, doc_id) AS rk FROM ids) SELECT query_id, count(*)::BIGINT AS n, max(i3) AS most, " + ", ".join(f"round(quantile_cont(i3, {p}), 9) AS p{int(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95)) + ", max(CASE WHEN rk = 20 THEN i3 END) AS threshold FROM r GROUP BY 1"),
     "G03_threshold_grid": with_(HITS + ", t AS (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS t), x AS (SELECT floor(i1 * 100) AS a, floor(i2 * 100) AS b, floor(i3 * 100) AS c FROM ids), k AS (SELECT t1.t AS t1, t2.t AS t2, t3.t AS t3, (SELECT count(*) FROM x WHERE a >= t1.t * 100 AND b >= t2.t * 100 AND c >= t3.t * 100) AS matches FROM t t1, t t2, t t3) SELECT *, abs(matches - 100) AS off FROM k"),
     "G04_best_hits": with_(HITS + ", w AS (SELECT query_id, doc_id, family, coalesce((0.0::DOUBLE + CASE WHEN i1 > 0 THEN i1 * 0.2::DOUBLE ELSE 0 END + CASE WHEN i2 > 0 THEN i2 * 0.3::DOUBLE ELSE 0 END + CASE WHEN i3 > 0 THEN i3 * 0.5::DOUBLE ELSE 0 END) / nullif(0.0::DOUBLE + CASE WHEN i1 > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN i2 > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN i3 > 0 THEN 0.5::DOUBLE ELSE 0 END, 0), 0) AS score FROM ids) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM w) WHERE rank <= 3"),
     "G06_lead_similarity": with_(LEAD + " SELECT * FROM sim"),

@@ -11,19 +11,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document whose letters give 128 residues: doc_id, lang, source, v, hallmarks, family, cdr3.
-
-    Letters are kept before upper-casing, so that no letter changes its length.
-    """
-    letters = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[BJOUXZ]", "")
-    aa = F.translate(letters, "EFTRAYNGHLIWSC", "FERTYAGNLHWICS")
-    # made by a generator, so that later expressions refer to the sequence and don't make it again
-    made = F.explode(F.array(F.substring(aa, 1, 128))).alias("v")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", made).filter(F.length("v") == 128)
+#: Positions of a sequence, and the step between the ids of two texts' sequences.
+LENGTH, STEP = 128, 1_000_000
+
+
+def once(column: F.Column) -> F.Column:
+    """The column made by a generator, so that later expressions refer to it and don't make it again."""
+    return F.explode(F.array(column))
+
+
+def letters(text: str) -> F.Column:
+    """A text's residues. Letters are kept before upper-casing, so that no letter changes its length."""
+    plain = F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]", "")), "[BJOUXZ]", "")
+    return F.translate(plain, "EFTRAYNGHLIWSC", "FERTYAGNLHWICS")
+
+
+def pieces(aa: F.Column) -> F.Column:
+    """Successive runs of LENGTH residues, all of them; an array of strings, the last one maybe shorter."""
+    return F.regexp_extract_all(aa, F.lit(f"[A-Z]{{1,{LENGTH}}}"), F.lit(0))
+
+
+def all_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into successive sequences of LENGTH residues, gaps after a last one that is shorter: doc_id (of the
+    sequence: the text's id times STEP, and its number), text_id, lang, source, v, hallmarks, family, cdr3 (without gaps)."""
+    cut = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "lang", "source", F.posexplode(pieces(letters("text"))).alias("n", "w"))
+    rows = cut.select((F.col("text_id") * STEP + F.col("n")).alias("doc_id"), "text_id", "lang", "source", once(F.rpad("w", LENGTH, "-")).alias("v"))
     return rows.select("*", R.hallmarks("v").alias("hallmarks"), R.family("v").alias("family"), R.region("v", "cdr3").alias("cdr3"))
 
 
+def complete() -> F.Column:
+    """Whether a sequence is not cut short: 20 or more of positions 4-26 and 6 or more of 118-125 are filled."""
+    filled = lambda a, n: F.length(F.translate(F.substring("v", a, n), "-X*", ""))
+    return (filled(4, 23) >= 20) & (filled(118, 8) >= 6)
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complete ones of all_sequences(): what rules, clusters, searches and designs are made from."""
+    return all_sequences(spark, sf_dir).filter(complete())
+
+
 def long_residues(rows: DataFrame, places: list[int], keep: list[str]) -> DataFrame:
     """`keep` columns with pos and aa, one row for each place."""
     pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), R.residue("v", p).alias("aa")) for p in places]))
