@@ -2,8 +2,9 @@
 
 Words are `[^\\x20\\x09-\\x0D]+` of the whole text; null and empty texts have none. A word's hash is its UTF-8 bytes
 folded by h * 1000003 + byte modulo 2**31 - 1. One- and two-word sequences fall into `buckets` buckets each. Over all
-documents they give the raw multinomial, over trusted ones (labels.quality = 1) the target multinomial, both with
-`smooth` added to each count. A document's score is the mean log ratio of its n-grams, from weights rounded to 1e-6 so
+documents they give the raw multinomial, over trusted ones (labels.quality = 1) the target multinomial. `smooth` is added to
+each target count, and as much in proportion to the raw ones, so that n-grams of which nothing is known say nothing, at
+any size of either table and for any number of buckets. A document's score is the mean log ratio of its n-grams, from weights rounded to 1e-6 so
 that sums are exact and every decision is reproducible; it passes at `threshold` or more.
 
 Null or repeated doc_ids, ties, empty tables and extra columns pass through: each input row gives one output row.
@@ -109,9 +110,8 @@ def weights(counts: pa.Table, buckets: int = BUCKETS, smooth: float = SMOOTH) ->
     out = np.zeros(2 * buckets, np.int64)
     for half in (slice(0, buckets), slice(buckets, 2 * buckets)):
         if target[half].sum():
-            a = (target[half] + smooth) / (target[half].sum() + smooth * buckets)
-            b = (raw[half] + smooth) / (raw[half].sum() + smooth * buckets)
-            out[half] = np.round(np.log(a / b) * UNIT)
+            due = raw[half] * (target[half].sum() / raw[half].sum())
+            out[half] = np.round(np.log((target[half] + smooth) / (due + smooth)) * UNIT)
     return out
 
 
@@ -182,7 +182,7 @@ trust AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT
 c AS (SELECT b, count(*) AS n_raw, count(*) FILTER (WHERE r IN (SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM trust))) AS n_target FROM g GROUP BY b),
 s AS (SELECT b >= {BUCKETS} AS two, sum(n_raw)::DOUBLE AS s_raw, sum(n_target)::DOUBLE AS s_target FROM c GROUP BY 1),
 lw AS (SELECT b, CASE WHEN s_target = 0 THEN 0 ELSE
-         round_even(ln(((n_target + {SMOOTH}::DOUBLE) / (s_target + {SMOOTH * BUCKETS}::DOUBLE)) / ((n_raw + {SMOOTH}::DOUBLE) / (s_raw + {SMOOTH * BUCKETS}::DOUBLE))) * {UNIT}, 0)::BIGINT END AS lw
+         round_even(ln((n_target + {SMOOTH}::DOUBLE) / (n_raw * (s_target / s_raw) + {SMOOTH}::DOUBLE)) * {UNIT}, 0)::BIGINT END AS lw
        FROM c JOIN s ON (c.b >= {BUCKETS}) = s.two),
 ll AS (SELECT r, sum(lw)::BIGINT AS z, count(*) AS n_grams FROM g JOIN lw USING (b) GROUP BY r),
 m AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY r),

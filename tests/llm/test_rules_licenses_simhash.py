@@ -50,12 +50,12 @@ def brute_ratios(texts, trusted, buckets=quality_rules.BUCKETS):
     both = [grams(t) for t in texts]
     logs = []
     for k in (0, 1):
-        raw, target = (np.full(buckets, quality_rules.SMOOTH) for _ in range(2))
+        raw, target = np.zeros(buckets), np.zeros(buckets)
         for i, g in enumerate(both):
             np.add.at(raw, g[k], 1)
             if i in trusted:
                 np.add.at(target, g[k], 1)
-        logs.append(np.log(target / target.sum() / (raw / raw.sum())))
+        logs.append(np.log((target + quality_rules.SMOOTH) / (raw * target.sum() / raw.sum() + quality_rules.SMOOTH)))
     return [(logs[0][a].sum() + logs[1][b].sum()) / max(1, len(a) + len(b)) for a, b in both]
 
 
