@@ -35,7 +35,7 @@ from strandlens.llm.store import table
 
 SPACE = "▁"
 #: Units kept in the memo; bytes of a unit that is searched side by side with others; units searched at once.
-MEMO, SIDE_BY_SIDE, BLOCK = 200_000, 48, 8192
+MEMO, SIDE_BY_SIDE, BLOCK = 100_000, 48, 8192
 PAIRS = 1 << 20
 #: Characters of the longest unit that stays in a memo.
 LONGEST_KEPT = 256
@@ -357,6 +357,12 @@ class Pieces:
                 self.memo.pop(SPACE + x, None)
         return out
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.memo.clear()
+        self.words.clear()
+        self.pair_memo.clear()
+
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all pieces end to end, before the added space goes."""
         sizes = self.piece_sizes[ids]
@@ -400,6 +406,7 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str | None = None,
             null = np.array([x is None for x in given])
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])), mask=pa.array(null))
             yield pa.record_batch([*(part.column(k) for k in names), ids, pa.array(sizes, mask=null), pa.array(same, pa.bool_())], names=[*names, "ids", "n_tokens", "round_trip"])
+        pieces.forget()  # the worker may do other work next
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(names).schema)
     return docs.mapInArrow(encode, fields + "ids array<int>, n_tokens long, round_trip boolean")

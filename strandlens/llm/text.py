@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one step of a kernel holds at a time (one longer text stands alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Bytes of words that are hashed at a time, and of a longer word's pieces.
-RUN_BYTES, PIECE = 4 << 20, 1 << 16
+RUN_BYTES, PIECE = 1 << 20, 1 << 16
 #: Modulus and base of the word hash that SQL can recompute.
 HASH_MOD, HASH_BASE = 2_147_483_647, 1_000_003
 
