@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by kind."""
 
-from strandlens.plans import counting, designs, working
+from strandlens.plans import counting, designs, ingest, working
 
-PLANS = [counting, working, designs]
+PLANS = [counting, working, designs, ingest]
