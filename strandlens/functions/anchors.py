@@ -37,3 +37,28 @@ def grid(fr1: Column, fr2: Column, fr3: Column, fr4: Column) -> Column:
 def tempered(p: Column, temperature: float) -> Column:
     """A probability whose log-odds are divided by the temperature."""
     return 1 / (1 + F.exp(-F.log(p / (1 - p)) / temperature))
+
+
+#: What the second framework begins with, and what follows the third loop, most specific first.
+FR2_STARTS = ["W[YFVILA]R[QRK]", "W[YFVILA][RK][QRK]", "W[A-Z]R[A-Z]"]
+FR4_STARTS = ["W[GSVA]QG[TL][LQ]VTVSS", "W[GSVAR]QG[TL]", "W[GSR][QRGA]G[TL]", "[A-Z]{2}QG[TL][LQ]VTVSS", "W[GSVA]QG", "W[GSR][QRGA]G", "[A-Z]{2}QG[TL]"]
+
+
+def anchored_cdr3(v: str, place: str = "instr") -> list[dict[str, str]]:
+    """SQL expressions (of Spark, and with `place` = strpos of others), step by step, for column cdr3, the third loop by
+    anchors: after the second framework's start (or from 80 on), up to the first of FR4_STARTS that is found, else two
+    before QG[TL][LQ]VTVSS in the last 25, else the last WG, WS or WV; from the last cysteine 5 to 40 before. Empty if
+    there is none. Places count from 0."""
+    first = lambda x, t: f"({place}({x}, regexp_extract({x}, '({t})', 1)) - 1)"
+    found = lambda x, t: f"regexp_extract({x}, '({t})', 1) <> ''"
+    end = "QG[TL][LQ]VTVSS"
+    return [
+        {"x": v, "head": f"substr({v}, 11, 50)"},
+        {"s": "CASE " + " ".join(f"WHEN {found('head', t)} THEN 60 + {first('head', t)}" for t in FR2_STARTS) + " ELSE 80 END"},
+        {"rest": "substr(x, s + 1)", "tail": "right(x, 25)", "late": "substr(x, s + 2, greatest(length(x) - 14 - s, 0))"},
+        {"e": "CASE " + " ".join(f"WHEN {found('rest', t)} THEN s + {first('rest', t)}" for t in FR4_STARTS) + f" WHEN {found('tail', end)} THEN length(x) - 27 + {first('tail', end)} WHEN {found('late', 'W[GSV]')} THEN s + 1 + length(regexp_extract(late, '^(.*)W[GSV]', 1)) END"},
+        {"low": "greatest(s - 10, e - 40, -1)"},
+        {"w": "substr(x, low + 2, greatest(e - 5 - low, 0))"},
+        {"c": "CASE WHEN w LIKE '%C%' THEN low + 1 + length(regexp_extract(w, '^(.*)C', 1)) END"},
+        {"cdr3": "CASE WHEN c IS NULL THEN '' ELSE substr(x, c + 2, e - c - 1) END"},
+    ]

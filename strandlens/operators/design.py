@@ -28,13 +28,18 @@ def convert_rules(rules: DataFrame, least: float = 70.0) -> DataFrame:
     return out.withColumn("tier", tier).select("family", "condition", "pos", "aa", "percent", "tier").distinct()
 
 
-def shared_motifs(profile: DataFrame, group: str = "family", frequency: float = 0.3) -> DataFrame:
-    """Pairs of consensus residues that several groups share, with their mean frequency."""
-    strong = profile.filter(F.col("frequency") >= frequency).select(group, "pos", "consensus", "frequency")
-    a, b = strong.alias("a"), strong.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.pos") < F.col("b.pos")))
-    named = pairs.select(F.col("a.pos").alias("pos1"), F.col("a.consensus").alias("aa1"), F.col("b.pos").alias("pos2"), F.col("b.consensus").alias("aa2"), ((F.col("a.frequency") + F.col("b.frequency")) / 2).alias("f"))
-    return named.groupBy("pos1", "aa1", "pos2", "aa2").agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg("f"), 6).alias("mean_frequency")).filter("groups >= 3")
+def shared_motifs(profile: DataFrame, group: str = "family", frequency: float = 0.3, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Motifs of one, two or three consensus residues that several groups share, with their mean frequency. A group's
+    consensus has a residue a position, so its motifs are taken from one row."""
+    strong = profile.filter(F.col("frequency") >= frequency).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "consensus", "frequency"))).alias("m"))
+    name = lambda x: F.concat(x["pos"].cast("string"), x["consensus"])
+    made = {1: F.transform("m", lambda a: F.struct(name(a).alias("motif"), a["frequency"].alias("f")))}
+    two = lambda a, i: F.transform(F.filter("m", lambda b: b["pos"] > a["pos"]), lambda b: F.struct(F.concat_ws(" ", name(a), name(b)).alias("motif"), ((a["frequency"] + b["frequency"]) / 2).alias("f"), b["pos"].alias("last"), (a["frequency"] + b["frequency"]).alias("s")))
+    pairs = F.flatten(F.transform("m", two))
+    made[2] = F.transform(pairs, lambda p: F.struct(p["motif"], p["f"]))
+    made[3] = F.flatten(F.transform(pairs, lambda p: F.transform(F.filter("m", lambda c: c["pos"] > p["last"]), lambda c: F.struct(F.concat_ws(" ", p["motif"], name(c)).alias("motif"), ((p["s"] + c["frequency"]) / 3).alias("f")))))
+    out = strong.select(F.explode(F.concat(*[made[k] for k in sizes])).alias("x")).select("x.*")
+    return out.groupBy("motif").agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg("f"), 6).alias("mean_frequency")).filter("groups >= 3")
 
 
 def ranks(frame: DataFrame, group: str, score: str, key: str, n: int) -> DataFrame:

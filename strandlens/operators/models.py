@@ -58,3 +58,12 @@ def importances(rows: DataFrame, place: int, cap: int = 100_000) -> DataFrame:
     data = inputs(rows, place, cap).withColumnRenamed("raw", "features")
     found = RandomForestClassifier(numTrees=20, maxDepth=5, seed=3).fit(data).featureImportances.toArray().tolist()
     return rows.sparkSession.createDataFrame([(k, round(v, 6)) for k, v in zip(INPUTS, found)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def coefficients(rows: DataFrame, place: int, cap: int = 100_000) -> DataFrame:
+    """The mean absolute coefficient of each feature over the classes of the logistic model, largest first."""
+    data = inputs(rows, place, cap).withColumn("weight", 1.0 / F.least("n", F.lit(cap)))
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data)
+    model = LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight").fit(scaler.transform(data))
+    mean = abs(model.coefficientMatrix.toArray()).mean(axis=0).tolist()
+    return rows.sparkSession.createDataFrame([(k, round(x, 6)) for k, x in zip(INPUTS, mean)], "feature string, weight double").orderBy(F.desc("weight"), "feature")

@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandlens.functions import residues as R
 from strandlens.operators.counts import features
@@ -136,10 +136,10 @@ def violations(designs: DataFrame, rules: DataFrame, top: int = 10) -> DataFrame
 
 
 def min_max(frame: DataFrame, column: str, by: str) -> DataFrame:
-    """The column brought to 0..1 within each group; 0 where all are equal."""
-    w = Window.partitionBy(by)
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return frame.withColumn("scaled", F.coalesce((F.col(column) - low) / F.when(high > low, high - low), F.lit(0.0)))
+    """The column brought to 0..1 within each group; 0 where all are equal. Ends are aggregated, so that no group is gathered."""
+    ends = frame.groupBy(by).agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    return frame.join(ends, by).withColumn("scaled", F.coalesce((F.col(column) - low) / F.when(high > low, high - low), F.lit(0.0))).drop("__low", "__high")
 
 
 def capped(frame: DataFrame, key: str, order: list, n: int = 3) -> DataFrame:
@@ -163,24 +163,59 @@ def framework_identity(designs: DataFrame, lead: str) -> DataFrame:
 def motif_pool(archetypes: DataFrame, sizes: range = range(2, 6)) -> DataFrame:
     """Windows of 2 to 5 successive archetype positions, as pos+residue strings, distinct."""
     whole = archetypes.groupBy("family").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "consensus"))), lambda x: F.concat(x["pos"].cast("string"), x["consensus"])).alias("m"))
-    parts = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.size("m") - k + 1), lambda i, k=k: F.array_join(F.slice("m", i, k), " ")) for k in sizes]))
-    return whole.select(F.explode(parts).alias("motif")).distinct()
+
+    def windows(k: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("m")), lambda i: i + k - 1 <= F.size("m"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("m", i, F.lit(k)), " "))
+
+    return whole.select(F.explode(F.flatten(F.array(*map(windows, sizes)))).alias("motif")).distinct()
+
+
+#: Places that are never changed; single probes, additional changes of tracks 2 and 3, changes of track 4 at most.
+PROTECTED, PROBES, EXTRA, LAYER = [2, *R.HALLMARKS], 20, {2: 2, 3: 3}, 8
 
 
 def candidates(leads: DataFrame, archetypes: DataFrame, draws: int = 4, rate: int = 300_000) -> DataFrame:
-    """Design candidates for a table of leads: every lead takes each family's consensus residues, each place by a hashed
-    draw, but never at cysteines or protected places."""
-    protected = [2, *R.HALLMARKS]
-    drawn = leads.select("doc_id", "v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).join(F.broadcast(archetypes.select("family", "pos", "consensus")))
-    chance = R.sample_key(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("draw").cast("string"), F.col("family"), F.col("pos").cast("string")))
+    """Design candidates for a table of leads: doc_id, family, track, draw, n_mutations, mutations.
+
+    Every lead takes each family's consensus residues, but never at cysteines, gaps or protected places. Track 0: the graft
+    without changes, and all of them; 1: single ones, PROBES at most; 2 and 3: one window of 2 or 3, or of 3 to 5,
+    successive consensus places, and EXTRA others at most; 4: each place by a hashed draw, LAYER at most. All choices
+    go by hashes of (lead, draw, family, place), so that candidates are reproducible.
+    """
+    ranked = archetypes.select("family", "pos", "consensus", F.row_number().over(Window.partitionBy("family").orderBy("pos")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("family")).alias("places"))
     own = F.expr("substring(v, pos, 1)")
-    made = drawn.filter(~F.col("pos").isin(protected) & (own != F.col("consensus")) & (own != "C") & (chance < rate))
-    return made.groupBy("doc_id", "draw", "family").agg(F.count(F.lit(1)).alias("n_mutations"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("own"), "consensus"))), lambda x: F.concat(x["own"], x["pos"].cast("string"), x["consensus"])), ",").alias("mutations"))
+    met = leads.select("doc_id", "v").join(F.broadcast(ranked))  # 16 rows a family
+    base = met.filter(~F.col("pos").isin(PROTECTED) & ~own.isin("C", "-") & (own != F.col("consensus")))
+    base = base.select("doc_id", "family", "i", "places", "pos", F.concat(own, F.col("pos").cast("string"), F.col("consensus")).alias("change"))
+    key = lambda *x: R.sample_key(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("family"), *[F.lit(str(a)) if not isinstance(a, Column) else a.cast("string") for a in x]))
+    of = Window.partitionBy("doc_id", "family")
+    track = lambda frame, number, draw: frame.select("doc_id", "family", F.lit(number).alias("track"), draw.cast("int").alias("draw"), "pos", "change")
+    parts = [track(base, 0, F.lit(1))]
+    probes = base.withColumn("rank", F.row_number().over(of.orderBy(key("probe", F.col("pos")), "pos"))).filter(F.col("rank") <= PROBES)
+    parts.append(track(probes, 1, F.col("rank")))
+    for number, (least, most) in {2: (2, 3), 3: (3, 5)}.items():
+        size = least + key("size", number) % (most - least + 1)
+        start = 1 + key("start", number) % (F.greatest(F.col("places") - size, F.lit(0)) + 1)
+        inside = F.col("i").between(start, start + size - 1)
+        extra = F.row_number().over(Window.partitionBy("doc_id", "family", "inside").orderBy(key("extra", number, F.col("pos")), "pos"))
+        chosen = base.withColumn("inside", inside).withColumn("rank", extra).filter(F.col("inside") | (F.col("rank") <= EXTRA[number]))
+        parts.append(track(chosen, number, F.lit(0)))
+    drawn = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("chance", key("draw", F.col("draw"), F.col("pos"))).filter(F.col("chance") < rate)
+    layered = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "family", "draw").orderBy("chance", "pos"))).filter(F.col("rank") <= LAYER)
+    parts.append(track(layered, 4, F.col("draw")))
+    made = reduce(DataFrame.union, parts).groupBy("doc_id", "family", "track", "draw").agg(F.count(F.lit(1)).alias("n_mutations"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "change"))), lambda x: x["change"]), ",").alias("mutations"))
+    graft = leads.select("doc_id").join(F.broadcast(archetypes.select("family").distinct())).select("doc_id", "family", F.lit(0), F.lit(0), F.lit(0).cast("long"), F.lit(""))
+    return made.union(graft)
 
 
 def repair_selection(frame: DataFrame, by: str, n: int, share: float = 0.35) -> DataFrame:
     """Exactly n rows for each lead (or all it has), best score first, no kind over `share` of n while others are left.
-    One lead's pool is small; the greedy walk runs lead by lead in Arrow batches."""
+    Of each kind only the n best of a lead can be chosen; these are taken first, by a window that Spark limits before it
+    shuffles, so that the greedy walk over one lead holds n rows a kind at most."""
+    best = Window.partitionBy(by, "kind").orderBy("score", "candidate")
+    columns = frame.columns
+    frame = frame.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= n).select(columns)
 
     def walk(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values(["score", "candidate"])

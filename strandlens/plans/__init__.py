@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by kind."""
 
-from strandlens.plans import counting, designs, ingest, working
+from strandlens.plans import counting, designs, ingest, rulework, working
 
-PLANS = [counting, working, designs, ingest]
+PLANS = [counting, working, designs, ingest, rulework]

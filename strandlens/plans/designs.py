@@ -163,7 +163,10 @@ SQL = {
     "W05_ranks": SEQS + f", g AS (SELECT doc_id, family, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS score FROM s ORDER BY score, doc_id LIMIT 100), r AS (SELECT *, row_number() OVER (ORDER BY score, doc_id)::INTEGER AS rank, row_number() OVER (PARTITION BY family ORDER BY score, doc_id)::INTEGER AS group_rank FROM g) SELECT *, family || '-' || lpad(group_rank::VARCHAR, 4, '0') AS name FROM r",
     "W08_capped_pick": SEQS + " SELECT * FROM (SELECT doc_id, hallmarks, family, row_number() OVER (PARTITION BY hallmarks ORDER BY doc_id)::INTEGER AS rank FROM s) WHERE rank <= 3",
     "M01_fixed_sample": SEQS + " SELECT * FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id)::INTEGER AS place FROM s) WHERE place <= 5",
-    "A31_shared_motifs": f"WITH a AS ({with_(archetype_sql('family', 1))}), g AS (SELECT * FROM a WHERE frequency >= 0.1) SELECT x.pos AS pos1, x.consensus AS aa1, y.pos AS pos2, y.consensus AS aa2, count(*) AS groups, round(avg((x.frequency + y.frequency) / 2), 6) AS mean_frequency FROM g x JOIN g y ON x.family = y.family AND x.pos < y.pos GROUP BY ALL HAVING count(*) >= 3",
+    "A31_shared_motifs": f"""WITH a AS ({with_(archetype_sql('family', 1))}), g AS (SELECT family, pos, pos || consensus AS m, frequency AS f FROM a WHERE frequency >= 0.1),
+p AS (SELECT x.family, y.pos, x.m || ' ' || y.m AS m, x.f + y.f AS f FROM g x JOIN g y ON x.family = y.family AND x.pos < y.pos),
+t AS (SELECT m, f FROM g UNION ALL SELECT m, f / 2 FROM p UNION ALL SELECT p.m || ' ' || g.m, (p.f + g.f) / 3 FROM p JOIN g ON p.family = g.family AND p.pos < g.pos)
+SELECT m AS motif, count(*) AS groups, round(avg(f), 6) AS mean_frequency FROM t GROUP BY 1 HAVING count(*) >= 3""",
     "A33_breakdown": SEQS + " SELECT family, lang, count(*) AS n FROM s GROUP BY CUBE (family, lang)",
     "A26_gap_rates": SEQS + f" SELECT p.pos::INTEGER AS pos, avg(((doc_id + p.pos) % 11 = 0 OR substr(v, p.pos, 1) = '-')::INT) AS gap_rate FROM s1, (SELECT unnest({R.positions('vernier')}) AS pos) p GROUP BY 1",
     "T01_rule_order": rules_sql("SELECT family, condition, pos, aa, support FROM r ORDER BY support DESC, confidence DESC, lift DESC, family, condition, pos, aa LIMIT 25"),

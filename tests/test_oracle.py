@@ -9,12 +9,14 @@ import pytest
 from strandlens.plans import PLANS
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["A01_rule_mining", "A05_conservation", "A10_mutual_information", "A12_triplet_rules", "A15_compensation", "F07_six_frames", "G04_best_hits", "J01_metadata_lists", "U06_duplicate_groups", "D01_naturalness", "D17_generation_plan", "X01_arriving_counts"]
+#: Those that take longest run in the driver's comparison alone.
+LONG = {"K03_run_outputs", "D05_rule_naturalness", "D02_score_class", "U04_rule_merge", "L01_residue_model", "L02_residue_forest", "L03_coefficients", "L04_residue_scores"}
+NAMES = sorted({k for plan in PLANS for k in plan.SQL} - LONG)
 
 
 def plain(x):
     if isinstance(x, float):
-        return None if math.isnan(x) else round(x, 8) + 0.0
+        return None if math.isnan(x) else round(x, 6) + 0.0
     return x
 
 
@@ -26,7 +28,7 @@ def test_query_equals_its_sql(spark, name):
     frame = queries[name](spark, SF)
     columns = sorted(frame.columns)
     mine = sorted(repr([plain(x) for x in r]) for r in frame.select(columns).collect())
-    if name in sqls:
+    if sqls:
         con = duckdb.connect()
         for f in os.listdir(SF):
             con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
@@ -37,5 +39,6 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_sql_has_a_query():
-    for plan in PLANS:
-        assert set(plan.SQL) <= set(plan.QUERIES)
+    assert {k for plan in PLANS for k in plan.SQL} <= {k for plan in PLANS for k in plan.QUERIES}
+    names = [k for plan in PLANS for k in plan.QUERIES]
+    assert len(names) == len(set(names))
