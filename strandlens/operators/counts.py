@@ -103,10 +103,10 @@ def feature_correlations(rows: DataFrame, place: int) -> DataFrame:
 
 
 def cdr_statistics(rows: DataFrame) -> DataFrame:
-    """Means, sample deviations (0 for one row), least and most of cdr3 features by family."""
-    base = features(rows)
+    """Means, sample deviations (0 for one row), least and most of cdr3 features and of all loops' lengths by family."""
+    base = features(rows).withColumns({f"{k}_length": F.length(R.region("v", k)) for k in ("cdr1", "cdr2", "cdr3")})
     aggs = [F.count(F.lit(1)).alias("n")]
-    for k in ("charge", "hydro", "aromatic"):
+    for k in ("charge", "hydro", "aromatic", "cdr1_length", "cdr2_length", "cdr3_length"):
         aggs += [F.round(F.avg(k), 6).alias(f"{k}_mean"), F.round(F.coalesce(F.stddev_samp(k), F.lit(0.0)), 6).alias(f"{k}_std"), F.min(k).alias(f"{k}_min"), F.max(k).alias(f"{k}_max")]
     return base.groupBy("family").agg(*aggs)
 
@@ -128,8 +128,8 @@ def cluster_sizes(clusters: DataFrame) -> DataFrame:
 
 
 def mixed_clusters(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Patterns of the hallmark positions and 71 over all families: family histogram, percentiles, cysteine shares."""
-    pattern = F.concat(*[R.residue("v", p) for p in [*R.HALLMARKS, 71]])
+    """Patterns of the hallmark positions and 71, 78, 94 over all families: family histogram, percentiles, cysteine shares."""
+    pattern = F.concat(*[R.residue("v", p) for p in [*R.HALLMARKS, 71, 78, 94]])
     base = features(rows).withColumn("pattern", pattern)
     by_family = base.groupBy("pattern", "family").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.array_join(F.array_sort(F.collect_list(F.concat("family", F.lit(":"), F.col("n").cast("string")))), ",").alias("families"))
     stats = base.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("charge", p), 6).alias(f"charge_p{int(p * 100)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)], F.avg((F.col("n_cys") > 0).cast("double")).alias("with_cys"))

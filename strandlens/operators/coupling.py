@@ -15,11 +15,20 @@ def pairs_of(places: list[int]):
     return F.array(*[F.struct(F.lit(a).alias("pos1"), F.lit(b).alias("pos2"), R.residue("v", a).alias("aa1"), R.residue("v", b).alias("aa2")) for i, a in enumerate(places) for b in places[i + 1 :]])
 
 
+def pair_type(pos1, pos2):
+    """FR-FR, FR-CDR or CDR-CDR."""
+    loop = lambda p: p.between(27, 38) | p.between(56, 65) | p.between(105, 117)
+    return F.when(loop(pos1) & loop(pos2), "CDR-CDR").when(loop(pos1) | loop(pos2), "FR-CDR").otherwise("FR-FR")
+
+
 def mutual_information(rows: DataFrame, places: list[int], top: int | None = None, rate: int | None = None, normalised: bool = False) -> DataFrame:
-    """Bits that two positions share. `rate` keeps that many keys in a million; normalised adds mi / larger entropy."""
+    """Bits that two positions share, gaps counted as a symbol. `rate` keeps that many keys in a million; normalised leaves
+    pairs with a gap out, and adds mi / larger entropy and the kind of pair."""
     if rate is not None:
         rows = rows.filter(R.sample_key(F.col("doc_id")) < rate)
     joint = rows.select(F.explode(pairs_of(places)).alias("x")).select("x.*").groupBy("pos1", "pos2", "aa1", "aa2").agg(F.count(F.lit(1)).alias("n"))
+    if normalised:
+        joint = joint.filter("aa1 <> '-' AND aa2 <> '-'")
     pair = Window.partitionBy("pos1", "pos2")
     out = joint.withColumns({"total": F.sum("n").over(pair), "n1": F.sum("n").over(Window.partitionBy("pos1", "pos2", "aa1")), "n2": F.sum("n").over(Window.partitionBy("pos1", "pos2", "aa2"))})
     one = F.lit(1.0)
@@ -28,7 +37,7 @@ def mutual_information(rows: DataFrame, places: list[int], top: int | None = Non
     h1 = -F.sum(F.col("n") * one / F.col("total") * F.log2(F.col("n1") * one / F.col("total")))
     h2 = -F.sum(F.col("n") * one / F.col("total") * F.log2(F.col("n2") * one / F.col("total")))
     out = out.groupBy("pos1", "pos2").agg(F.round(bits, 6).alias("mi"), F.max("total").alias("n"), F.round(F.greatest(h1, h2), 6).alias("h"), F.round(bits / F.when(F.greatest(h1, h2) > 0, F.greatest(h1, h2)), 6).alias("nmi"))
-    out = out.select("pos1", "pos2", "n", "mi", *(["nmi"] if normalised else []))
+    out = out.select("pos1", "pos2", "n", "mi", *(["nmi", pair_type(F.col("pos1"), F.col("pos2")).alias("kind")] if normalised else []))
     return out.orderBy(F.desc("mi"), "pos1", "pos2").limit(top) if top else out
 
 
@@ -43,11 +52,21 @@ def associations(rows: DataFrame, lefts: list[int], rights: list[int], least: in
     return out.filter((F.col("total") >= least) & (F.col("confidence") >= confidence)).select(*by, "pos1", "aa1", "pos2", F.col("aa2").alias("predicted"), "n", "total", "confidence")
 
 
+#: Where the three residues before each junction and the five after it begin.
+JUNCTIONS = {"fr1_cdr1": (24, 27), "cdr1_fr2": (36, 39), "fr2_cdr2": (53, 56), "cdr2_fr3": (63, 66), "fr3_cdr3": (102, 105), "cdr3_fr4": (115, 118)}
+
+
+def junction_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` with junction, left and right of all six junctions, those of plain residues only."""
+    made = F.array(*[F.struct(F.lit(k).alias("junction"), F.substring("v", a, 3).alias("left"), F.substring("v", b, 5).alias("right")) for k, (a, b) in JUNCTIONS.items()])
+    return rows.select(*keep, F.explode(made).alias("x")).select(*keep, "x.*").filter(F.concat("left", "right").rlike(f"^[{R.RESIDUES}]{{8}}$"))
+
+
 def junctions(rows: DataFrame, least: int = 5) -> DataFrame:
-    """The last three residues before a cdr predict the first five of it, over all junctions."""
-    spots = {"fr1_cdr1": (24, 27), "fr2_cdr2": (53, 56), "fr3_cdr3": (102, 105)}
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("junction"), F.substring("v", a, 3).alias("left"), F.substring("v", b, 5).alias("right")) for k, (a, b) in spots.items()])).alias("x")).select("x.*")
-    counts = long.groupBy("junction", "left", "right").agg(F.count(F.lit(1)).alias("n"))
+    """The three residues before a junction predict the five after it, and the third loop's length those of the others."""
+    size = lambda k: F.length(R.region("v", k)).cast("string")
+    lengths = rows.select(F.explode(F.array(*[F.struct(F.lit(f"length_cdr3_{k}").alias("junction"), size("cdr3").alias("left"), size(k).alias("right")) for k in ("cdr1", "cdr2")])).alias("x")).select("x.*")
+    counts = junction_rows(rows, []).union(lengths).groupBy("junction", "left", "right").agg(F.count(F.lit(1)).alias("n"))
     place = Window.partitionBy("junction", "left")
     out = counts.withColumns({"total": F.sum("n").over(place), "rank": F.row_number().over(place.orderBy(F.desc("n"), "right"))})
     return out.filter((F.col("rank") == 1) & (F.col("total") >= least)).select("junction", "left", "right", "n", "total")
@@ -76,24 +95,41 @@ def family_dependent_positions(profile: DataFrame, confidence: float = 0.3) -> D
     return strong.groupBy("pos").agg(F.count_distinct("major").alias("kinds"), F.count(F.lit(1)).alias("families")).filter("kinds > 1")
 
 
+def loop_features() -> dict:
+    """22 whole-number features: of each loop length, charge, hydrophobicity in tenths, aromatics, cysteines, volume and beta
+    propensity, and the charge of all."""
+    out = {}
+    for k in ("cdr1", "cdr2", "cdr3"):
+        x = R.region("v", k)
+        out |= {f"{k}_length": F.length(x), f"{k}_charge": R.charge(x), f"{k}_hydro": R.weighted(x, R.HYDROPHOBICITY), f"{k}_aromatic": R.count_of(x, "FWY"), f"{k}_cys": R.count_of(x, "C"), f"{k}_volume": R.weighted(x, R.VOLUME), f"{k}_beta": R.weighted(x, R.BETA)}
+    return out | {"total_charge": R.charge("v")}
+
+
+FEATURE_NAMES = [f"{k}_{x}" for k in ("cdr1", "cdr2", "cdr3") for x in ("length", "charge", "hydro", "aromatic", "cys", "volume", "beta")] + ["total_charge"]
+
+
 def compensation(rows: DataFrame, places: list[int], least: int = 10) -> DataFrame:
-    """Feature statistics (hydrophobicity in thousandths) for each family, position and residue, of positions with two such residues or more."""
-    milli = features(rows).withColumn("hydro", F.round(F.col("hydro") * 1000).cast("int"))  # whole, so that means are exact
-    base = long_residues(milli, places, ["family", "charge", "hydro", "aromatic"]).filter(valid())
+    """Feature statistics for each family, position and residue, of positions with two such residues or more."""
+    base = long_residues(rows.withColumns(loop_features()), places, ["family", *FEATURE_NAMES]).filter(valid())
     aggs = [F.count(F.lit(1)).alias("n")]
-    for k in ("charge", "hydro", "aromatic"):
+    for k in FEATURE_NAMES:
         aggs += [F.avg(k).alias(f"{k}_mean"), F.round(F.stddev_pop(k), 6).alias(f"{k}_std"), F.min(k).alias(f"{k}_min"), F.max(k).alias(f"{k}_max")]
-    aggs += [F.round(F.percentile("charge", p), 6).alias(f"charge_p{int(p * 100)}") for p in (0.05, 0.5, 0.95)]
+        aggs += [F.round(F.percentile(k, p), 6).alias(f"{k}_p{int(p * 100)}") for p in (0.05, 0.5, 0.95)]
     out = base.groupBy("family", "pos", "aa").agg(*aggs).filter(F.col("n") >= least)
     return out.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("family", "pos"))).filter("kinds >= 2")
 
 
-def compensation_effects(stats: DataFrame, charge: float = 0.3, hydro: float = 200.0) -> DataFrame:
+#: Differences of mean features from which residues count as compensating.
+EFFECTS = {"cdr3_length": 1.5, "cdr3_charge": 0.3, "cdr3_hydro": 2.0, "total_charge": 0.6}
+
+
+def compensation_effects(stats: DataFrame) -> DataFrame:
     """Pairs of residues at a position whose mean features differ enough."""
     a, b = stats.alias("a"), stats.alias("b")
     out = a.join(b, (F.col("a.family") == F.col("b.family")) & (F.col("a.pos") == F.col("b.pos")) & (F.col("a.aa") < F.col("b.aa")))
-    out = out.select("a.family", "a.pos", F.col("a.aa").alias("aa1"), F.col("b.aa").alias("aa2"), *[(F.col(f"b.{k}_mean") - F.col(f"a.{k}_mean")).alias(f"d_{k}") for k in ("charge", "hydro")])
-    return out.filter((F.abs("d_charge") >= charge) | (F.abs("d_hydro") >= hydro))
+    out = out.select("a.family", "a.pos", F.col("a.aa").alias("aa1"), F.col("b.aa").alias("aa2"), *[(F.col(f"b.{k}_mean") - F.col(f"a.{k}_mean")).alias(f"d_{k}") for k in EFFECTS])
+    big = [F.abs(f"d_{k}") >= x for k, x in EFFECTS.items()]
+    return out.filter(big[0] | big[1] | big[2] | big[3])
 
 
 WINDOWS = {f"w{k}": (a, a + 9) for k, a in enumerate(range(1, 100, 20))}

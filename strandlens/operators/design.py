@@ -82,8 +82,16 @@ def fasta_lines(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.concat(F.lit(">"), F.concat_ws("|", F.col("doc_id").cast("string"), "source", "family"), F.lit("\n"), F.col("v")).alias("record"))
 
 
+def ranked_fasta(rows: DataFrame) -> DataFrame:
+    """FASTA records of ranked rows: `>rank|id|source|score`, and the residues without gaps."""
+    head = F.concat_ws("|", *[F.col(k).cast("string") for k in ("rank", "doc_id", "source", "score")])
+    return rows.select("rank", F.concat(F.lit(">"), head, F.lit("\n"), F.translate("v", "-", "")).alias("record"))
+
+
 def detail_json(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.to_json(F.struct("doc_id", F.struct("family", "hallmarks").alias("marks"))).alias("detail"))
+    """One JSON document a row, with its marks, scores and provenance nested."""
+    scoring = F.struct(R.charge("v").alias("charge"), R.count_of("v", "C").alias("cysteines"))
+    return rows.select("doc_id", F.to_json(F.struct("doc_id", F.struct("family", "hallmarks").alias("marks"), scoring.alias("scoring"), F.struct("text_id", "source", "lang").alias("provenance"))).alias("detail"))
 
 
 def parameter_hash(parameters: dict) -> str:

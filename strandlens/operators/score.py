@@ -83,10 +83,13 @@ def naturalness(designs: DataFrame, clusters: DataFrame, least: int = 100) -> Da
 
 
 def score_class(scored: DataFrame) -> DataFrame:
-    """Class and risk factors of a naturalness score."""
+    """Class, risk and risk factors of a naturalness score."""
     grade = F.when(F.col("score") < 1, "excellent").when(F.col("score") < 3, "good").when(F.col("score") < 6, "fair").when(F.col("score") < 12, "poor").otherwise("bad")
-    factors = F.concat_ws(",", *[F.when(F.abs(f"z_{k}") > 2, k) for k in ("length", "charge", "aromatic")])
-    return scored.withColumns({"grade": grade, "factors": factors})
+    far = lambda k, above, below: F.when(F.abs(f"z_{k}") > 2, F.when(F.col(f"z_{k}") > 0, above).otherwise(below))
+    factors = F.concat_ws(",", F.when(F.col("best_match") == 0, "no cluster"), far("length", "long", "short"), far("charge", "positive", "negative"), far("aromatic", "aromatic", "aromatic"))
+    worst = F.greatest(*[F.abs(f"z_{k}") for k in FEATURES])
+    risk = F.when((F.col("score") < 3) & (worst <= 2), "low").when(F.col("score") < 6, "medium").otherwise("high")
+    return scored.withColumns({"grade": grade, "factors": factors, "risk": risk})
 
 
 def family_probability(designs: DataFrame, archetypes: DataFrame) -> DataFrame:
@@ -153,11 +156,18 @@ def quota_selection(frame: DataFrame, by: str, order: list, quota: dict[str, int
     return frame.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= most)
 
 
-def framework_identity(designs: DataFrame, lead: str) -> DataFrame:
-    """Share of framework positions equal to the lead's residues."""
+def framework_identity(designs: DataFrame, leads: DataFrame, by: str) -> DataFrame:
+    """Share of framework positions equal to the residues of the row's own lead (columns `by` and lead)."""
     places = [p for k, (a, b) in R.REGIONS.items() if k.startswith("fr") for p in range(a, b + 1)]
-    same = sum(((R.residue("v", p) == lead[p - 1]).cast("int") for p in places), F.lit(0))
-    return designs.select("doc_id", (same * F.lit(1.0) / len(places)).alias("framework_identity"))
+    same = sum(((R.residue("v", p) == R.residue("lead", p)).cast("int") for p in places), F.lit(0))
+    return designs.join(leads, by).select("doc_id", (same * F.lit(1.0) / len(places)).alias("framework_identity"))
+
+
+def pure_clusters(clusters: DataFrame, best: int) -> DataFrame:
+    """The clusters of each dominant family by size times purity, the dominant family's share."""
+    top = clusters.groupBy("pattern").agg(F.sum("n").alias("n"), F.max_by("family", F.struct("n", "family")).alias("family"), (F.max("n") * F.lit(1.0) / F.sum("n")).alias("purity"))
+    order = Window.partitionBy("family").orderBy(F.desc(F.col("n") * F.col("purity")), "pattern")
+    return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best).select("family", "pattern", "n", "purity", "rank")
 
 
 def motif_pool(archetypes: DataFrame, sizes: range = range(2, 6)) -> DataFrame:

@@ -43,7 +43,9 @@ TOKENS = "['family=' || family, 'hallmarks=' || hallmarks, 'cdr3_len=' || cdr3_l
 HALL = "(" + ", ".join(map(str, R.HALLMARKS)) + ")"
 CHARGES = ", ".join(f"({letters_in(f'substr(v, {a}, {b - a + 1})', 'KRH')} - {letters_in(f'substr(v, {a}, {b - a + 1})', 'DE')})::DOUBLE AS {k}" for k, (a, b) in K.WINDOWS.items())
 SOME = [42, 49, 50, 52, 71, 78, 94]
-LEFTS, RIGHTS = [105, 110, 117], [42, 49, 50, 52, 71, 94, 118]
+#: Three residues at each end of each loop, and what they are associated with.
+LEFTS, RIGHTS = [27, 28, 29, 36, 37, 38, 56, 57, 58, 63, 64, 65, 105, 106, 107, 115, 116, 117], [*R.VERNIER, 118]
+PAIRED = [*R.VERNIER, 105, 110, 117]
 
 
 def association_sql(name: str, by: str, least: int, source: str = "s") -> str:
@@ -53,8 +55,8 @@ def association_sql(name: str, by: str, least: int, source: str = "s") -> str:
  SELECT {b}a.p::INTEGER AS pos1, substr(v, a.p, 1) AS aa1, b.p::INTEGER AS pos2, substr(v, b.p, 1) AS aa2, count(*) AS n FROM {source}, (SELECT unnest({LEFTS}) AS p) a, (SELECT unnest({RIGHTS}) AS p) b GROUP BY ALL)) WHERE rk = 1 AND total >= {least})"""
 
 
-def pairs_sql(places: list[int]) -> str:
-    return f"""j AS (SELECT a.p::INTEGER AS pos1, b.p::INTEGER AS pos2, substr(v, a.p, 1) AS aa1, substr(v, b.p, 1) AS aa2, count(*) AS n FROM s, (SELECT unnest({places}) AS p) a, (SELECT unnest({places}) AS p) b WHERE a.p < b.p GROUP BY ALL),
+def pairs_sql(places: list[int], gaps: bool = True) -> str:
+    return f"""j AS (SELECT a.p::INTEGER AS pos1, b.p::INTEGER AS pos2, substr(v, a.p, 1) AS aa1, substr(v, b.p, 1) AS aa2, count(*) AS n FROM s, (SELECT unnest({places}) AS p) a, (SELECT unnest({places}) AS p) b WHERE a.p < b.p{'' if gaps else " AND substr(v, a.p, 1) <> '-' AND substr(v, b.p, 1) <> '-'"} GROUP BY ALL),
 m AS (SELECT *, sum(n) OVER (PARTITION BY pos1, pos2) AS t, sum(n) OVER (PARTITION BY pos1, pos2, aa1) AS n1, sum(n) OVER (PARTITION BY pos1, pos2, aa2) AS n2 FROM j),
 i AS (SELECT pos1, pos2, max(t)::BIGINT AS n, sum(n * 1.0::DOUBLE / t * log2(n * 1.0::DOUBLE * t / (n1 * n2))) AS mi, greatest(-sum(n * 1.0::DOUBLE / t * log2(n1 * 1.0::DOUBLE / t)), -sum(n * 1.0::DOUBLE / t * log2(n2 * 1.0::DOUBLE / t))) AS h FROM m GROUP BY pos1, pos2)"""
 
@@ -74,9 +76,23 @@ def stats_sql(names: list[str], kind: str = "stddev_samp", extremes: bool = True
 
 
 CLUSTERS = f"""c AS (SELECT family, {' || '.join(f'substr(v, {p}, 1)' for p in R.VERNIER)} AS pattern, count(*) AS n, {stats_sql(['length', 'charge', 'aromatic'], extremes=False)} FROM s GROUP BY ALL)"""
-COMPENSATION = f"""h AS (SELECT * REPLACE (round(hydro * 1000)::INTEGER AS hydro) FROM s), {long_sql('l', 'family, charge, hydro, aromatic', SOME, 'h')},
-c AS (SELECT *, count(*) OVER (PARTITION BY family, pos) AS kinds FROM (SELECT family, pos, aa, count(*) AS n, {', '.join(f'avg({k}) AS {k}_mean, round(stddev_pop({k}), 6) AS {k}_std, min({k}) AS {k}_min, max({k}) AS {k}_max' for k in ('charge', 'hydro', 'aromatic'))},
- round(quantile_cont(charge, 0.05), 6) AS charge_p5, round(quantile_cont(charge, 0.5), 6) AS charge_p50, round(quantile_cont(charge, 0.95), 6) AS charge_p95 FROM l GROUP BY ALL) WHERE n >= 10)"""
+def weighted_sum_sql(x: str, values: dict[str, int]) -> str:
+    by: dict[int, str] = {}
+    for a, v in values.items():
+        by[v] = by.get(v, "") + a
+    return "(" + " + ".join(f"{letters_in(x, a)} * ({v})" for v, a in by.items()) + ")"
+
+
+def feature_sql() -> str:
+    out = []
+    for k, x in (("cdr1", "substr(v, 27, 12)"), ("cdr2", "substr(v, 56, 10)"), ("cdr3", "cdr3")):
+        out += [f"length({x})::INTEGER AS {k}_length", f"({letters_in(x, 'KRH')} - {letters_in(x, 'DE')})::INTEGER AS {k}_charge", f"{weighted_sum_sql(x, R.HYDROPHOBICITY)}::INTEGER AS {k}_hydro", f"{letters_in(x, 'FWY')}::INTEGER AS {k}_aromatic",
+                f"{letters_in(x, 'C')}::INTEGER AS {k}_cys", f"{weighted_sum_sql(x, R.VOLUME)}::INTEGER AS {k}_volume", f"{weighted_sum_sql(x, R.BETA)}::INTEGER AS {k}_beta"]
+    return ", ".join([*out, f"({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS total_charge"])
+
+
+COMPENSATION = f"""h AS (SELECT family, v, {feature_sql()} FROM s), {long_sql('l', 'family, ' + ', '.join(K.FEATURE_NAMES), SOME, 'h')},
+c AS (SELECT *, count(*) OVER (PARTITION BY family, pos) AS kinds FROM (SELECT family, pos, aa, count(*) AS n, {', '.join(f'avg({k}) AS {k}_mean, round(stddev_pop({k}), 6) AS {k}_std, min({k}) AS {k}_min, max({k}) AS {k}_max, ' + ', '.join(f'round(quantile_cont({k}, {q}), 6) AS {k}_p{int(q * 100)}' for q in (0.05, 0.5, 0.95)) for k in K.FEATURE_NAMES)} FROM l GROUP BY ALL) WHERE n >= 10)"""
 
 
 def archetype_sql(by: str, top: int, least: int = 10) -> str:
@@ -109,8 +125,8 @@ QUERIES = {
     "A07_cdr_statistics": seq(C.cdr_statistics),
     "A08_pattern_clusters": seq(C.pattern_clusters),
     "A09_mixed_clusters": seq(C.mixed_clusters),
-    "A10_mutual_information": seq(lambda s: K.mutual_information(s, [*SOME, 105, 110], top=20)),
-    "A11_normalised_information": seq(lambda s: K.mutual_information(s, [*SOME, 105, 110], normalised=True)),
+    "A10_mutual_information": seq(lambda s: K.mutual_information(s, PAIRED, top=20)),
+    "A11_normalised_information": seq(lambda s: K.mutual_information(s, PAIRED, normalised=True)),
     "A12_triplet_rules": seq(C.triplet_rules),
     "A13_pair_rules": seq(lambda s: C.pair_rules(s, [(42, 49), (49, 50), (50, 52), (66, 71), (78, 94)])),
     "A14_hallmark_profiles": seq(lambda s: C.archetypes(s, "hallmarks", least=3, second=True)),
@@ -150,13 +166,13 @@ SELECT c AS condition, pos, aa, support, confidence, confidence / baseline AS li
     "A04_archetypes": with_(archetype_sql("family", 1)),
     "A05_conservation": with_(CONSERVATION + " SELECT * FROM cons"),
     "A06_feature_correlations": SEQS + ", f AS (SELECT family, charge::DOUBLE AS charge, hydro, " + ", ".join(f"(substr(v, 71, 1) IN ({', '.join(repr(x) for x in ls)}))::INT::DOUBLE AS {k}" for k, ls in (("positive", "KRH"), ("negative", "DE"), ("aromatic", "FWY"))) + " FROM s) SELECT family, count(*) AS n, " + ", ".join(f"{safe_corr(a, b)} AS r_{a}_{b}" for a, b in (("charge", "positive"), ("charge", "negative"), ("hydro", "aromatic"), ("hydro", "positive"), ("charge", "aromatic"))) + ", 71 AS pos FROM f GROUP BY family",
-    "A07_cdr_statistics": SEQS + f" SELECT family, count(*) AS n, {stats_sql(['charge', 'hydro', 'aromatic'])} FROM s GROUP BY family",
+    "A07_cdr_statistics": SEQS + f", a7 AS (SELECT *, 12 AS cdr1_length, 10 AS cdr2_length, length AS cdr3_length FROM s) SELECT family, count(*) AS n, {stats_sql(['charge', 'hydro', 'aromatic', 'cdr1_length', 'cdr2_length', 'cdr3_length'])} FROM a7 GROUP BY family",
     "A08_pattern_clusters": with_(CLUSTERS + " SELECT * FROM c"),
-    "A09_mixed_clusters": with_(f"""p AS (SELECT *, {' || '.join(f'substr(v, {p}, 1)' for p in [*R.HALLMARKS, 71])} AS pattern FROM s),
+    "A09_mixed_clusters": with_(f"""p AS (SELECT *, {' || '.join(f'substr(v, {p}, 1)' for p in [*R.HALLMARKS, 71, 78, 94])} AS pattern FROM s),
 f AS (SELECT pattern, string_agg(family || ':' || n, ',' ORDER BY family || ':' || n) AS families FROM (SELECT pattern, family, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1)
 SELECT pattern, count(*) AS n, {', '.join(f'round(quantile_cont(charge, {q}), 6) AS charge_p{int(q * 100)}' for q in (0.05, 0.25, 0.5, 0.75, 0.95))}, avg((n_cys > 0)::INT) AS with_cys, any_value(families) AS families FROM p JOIN f USING (pattern) GROUP BY pattern HAVING count(*) >= 3"""),
-    "A10_mutual_information": with_(pairs_sql([*SOME, 105, 110]) + " SELECT pos1, pos2, n, round(mi, 6) AS mi FROM i ORDER BY round(mi, 6) DESC, pos1, pos2 LIMIT 20"),
-    "A11_normalised_information": with_(pairs_sql([*SOME, 105, 110]) + " SELECT pos1, pos2, n, round(mi, 6) AS mi, round(mi / nullif(h, 0), 6) AS nmi FROM i"),
+    "A10_mutual_information": with_(pairs_sql(PAIRED) + " SELECT pos1, pos2, n, round(mi, 6) AS mi FROM i ORDER BY round(mi, 6) DESC, pos1, pos2 LIMIT 20"),
+    "A11_normalised_information": with_(pairs_sql(PAIRED, False) + " SELECT pos1, pos2, n, round(mi, 6) AS mi, round(mi / nullif(h, 0), 6) AS nmi, CASE WHEN pos1 >= 105 AND pos2 BETWEEN 105 AND 117 THEN 'CDR-CDR' WHEN pos2 BETWEEN 105 AND 117 THEN 'FR-CDR' ELSE 'FR-FR' END AS kind FROM i"),
     "A12_triplet_rules": with_("""k AS (SELECT family, right(cdr3, 3) AS lhs, substr(v, 118, 3) AS rhs, count(*) AS support FROM s WHERE length(cdr3) >= 3 GROUP BY ALL),
 q AS (SELECT *, sum(support) OVER (PARTITION BY family, lhs)::BIGINT AS n_lhs, sum(support) OVER (PARTITION BY family, rhs) AS n_rhs, sum(support) OVER (PARTITION BY family) AS n_family, row_number() OVER (PARTITION BY family, lhs ORDER BY support DESC, rhs) AS rk FROM k)
 SELECT family, lhs, rhs, support, n_lhs, support * 1.0::DOUBLE / n_lhs AS confidence, (support * 1.0::DOUBLE / n_lhs) / (n_rhs * 1.0::DOUBLE / n_family) AS lift FROM q WHERE rk = 1 AND n_lhs >= 3 AND support * 1.0::DOUBLE / n_lhs >= 0.5"""),
@@ -164,11 +180,11 @@ SELECT family, lhs, rhs, support, n_lhs, support * 1.0::DOUBLE / n_lhs AS confid
 q AS (SELECT *, support * 1.0::DOUBLE / sum(support) OVER (PARTITION BY cdr3_charge, pos1, aa1, pos2) AS confidence FROM k) SELECT * FROM q WHERE support >= 5 AND confidence >= 0.65"""),
     "A14_hallmark_profiles": with_(archetype_sql("hallmarks", 2, 3)),
     "A15_compensation": with_(COMPENSATION + " SELECT * FROM c WHERE kinds >= 2"),
-    "A16_compensation_effects": with_(COMPENSATION + """, e AS (SELECT a.family, a.pos, a.aa AS aa1, b.aa AS aa2, b.charge_mean - a.charge_mean AS d_charge, b.hydro_mean - a.hydro_mean AS d_hydro FROM c a JOIN c b ON a.family = b.family AND a.pos = b.pos AND a.aa < b.aa)
-SELECT * FROM e WHERE abs(d_charge) >= 0.3 OR abs(d_hydro) >= 200"""),
+    "A16_compensation_effects": with_(COMPENSATION + ", e AS (SELECT a.family, a.pos, a.aa AS aa1, b.aa AS aa2, " + ", ".join(f"b.{k}_mean - a.{k}_mean AS d_{k}" for k in K.EFFECTS) + " FROM c a JOIN c b ON a.family = b.family AND a.pos = b.pos AND a.aa < b.aa) SELECT * FROM e WHERE " + " OR ".join(f"abs(d_{k}) >= {x}" for k, x in K.EFFECTS.items())),
     "A17_envelopes": with_(CLUSTERS + " SELECT family, pattern, n, greatest(5.0::DOUBLE, round(length_mean - 2 * length_std, 6)) AS length_low, round(length_mean + 2 * length_std, 6) AS length_high, " + ", ".join(f"round({k}_mean - 2 * {k}_std, 6) AS {k}_low, round({k}_mean + 2 * {k}_std, 6) AS {k}_high" for k in ("charge", "aromatic")) + " FROM c"),
     "A18_associations": with_(association_sql("a", "", 10) + " SELECT * FROM a"),
-    "A19_junctions": with_("""k AS (SELECT x.j AS junction, substr(v, x.a, 3) AS "left", substr(v, x.b, 5) AS "right", count(*) AS n FROM s, (VALUES ('fr1_cdr1', 24, 27), ('fr2_cdr2', 53, 56), ('fr3_cdr3', 102, 105)) x(j, a, b) GROUP BY ALL),
+    "A19_junctions": with_(f"""jn(j, a, b) AS (VALUES {', '.join(f"('{k}', {a}, {b})" for k, (a, b) in K.JUNCTIONS.items())}), jr AS (SELECT j AS junction, substr(v, a, 3) AS "left", substr(v, b, 5) AS "right" FROM s, jn WHERE NOT contains(substr(v, a, 3) || substr(v, b, 5), '-')
+ UNION ALL SELECT 'length_cdr3_cdr1', length(cdr3)::VARCHAR, '12' FROM s UNION ALL SELECT 'length_cdr3_cdr2', length(cdr3)::VARCHAR, '10' FROM s), k AS (SELECT junction, "left", "right", count(*) AS n FROM jr GROUP BY ALL),
 q AS (SELECT *, sum(n) OVER (PARTITION BY junction, "left")::BIGINT AS total, row_number() OVER (PARTITION BY junction, "left" ORDER BY n DESC, "right") AS rk FROM k) SELECT junction, "left", "right", n, total FROM q WHERE rk = 1 AND total >= 5"""),
     "A20_universal_associations": with_(f"""top AS (SELECT hallmarks FROM s GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50), w AS (SELECT *, hallmarks AS signature FROM s WHERE hallmarks IN (SELECT hallmarks FROM top)),
 {association_sql('e', '', 3)}, {association_sql('i', 'signature', 3, 'w')},

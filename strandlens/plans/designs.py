@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
 from strandlens.operators import counts as C, design as D, merge as M, models as L, score as P
-from strandlens.plans.counting import SEQS, archetype_sql, letters_in, seq, with_
+from strandlens.plans.counting import SEQS, archetype_sql, every, letters_in, seq, with_
 from strandlens.plans.working import gapped
 from strandlens.sources.sequences import all_sequences, sequences, table
 from strandlens.streaming import shards
@@ -90,10 +90,10 @@ def conditions(s):
 
 
 def long_wide(s):
-    """The first eight positions as columns, by a pivot over the long table."""
+    """All positions as columns, by a pivot over the long table."""
     from strandlens.sources.sequences import long_residues
 
-    return long_residues(s, list(range(1, 9)), ["doc_id"]).groupBy("doc_id").pivot("pos", list(range(1, 9))).agg(F.first("aa")).select("doc_id", *[F.col(str(p)).alias(f"imgt_{p}") for p in range(1, 9)])
+    return long_residues(s, list(range(1, 129)), ["doc_id"]).groupBy("doc_id").pivot("pos", list(range(1, 129))).agg(F.first("aa")).select("doc_id", *[F.col(str(p)).alias(f"imgt_{p}") for p in range(1, 129)])
 
 
 QUERIES = {
@@ -101,10 +101,10 @@ QUERIES = {
     "S06_fasta": back_from_fasta,
     "K01_sharded_files": sharded,
     "K02_source_shards": by_source,
-    "K06_fasta_records": seq(D.fasta_lines),
+    "K06_fasta_records": seq(lambda s: D.ranked_fasta(D.ranks(graded(s).join(s.select("doc_id", "source"), "doc_id"), "family", "score", "doc_id", 100))),
     "K07_detail_json": seq(D.detail_json),
     "I05_grid_annotation": seq(lambda s: s.select("doc_id", "hallmarks", R.family_light(F.col("hallmarks")).alias("family"), *[F.length(R.region("v", k)).alias(f"len_{k}") for k in R.REGIONS])),
-    "I06_wide_positions": seq(long_wide),
+    "I06_wide_positions": every(long_wide),
     "F13_heuristic_cdr3": seq(lambda s: spliced(s).select("doc_id", A.heuristic_cdr3(F.col("v")).alias("cdr3"))),
     "F15_anchor_split": seq(lambda s: spliced(s).select("doc_id", *[x.alias(k) for k, x in A.framework_split(F.col("v")).items()])),
     "F17_tag_prevalence": seq(lambda s: s.select(F.explode(F.filter(F.array(*[F.when(F.concat("v", F.when(F.col("doc_id") % 3 == 0, "HHHHHH").otherwise("EPEA")).rlike(p), F.lit(k)) for k, p in M.TAGS.items()]), lambda x: x.isNotNull())).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))),
@@ -146,10 +146,10 @@ SQL = {
     "S06_fasta": SEQS + " SELECT doc_id || '|' || source || '|' || family AS id, v AS seq FROM s",
     "K01_sharded_files": SEQS + " SELECT count(*) AS n, true AS bounded FROM s",
     "K02_source_shards": SEQS + " SELECT source, count(*) AS n FROM s GROUP BY 1",
-    "K06_fasta_records": SEQS + " SELECT doc_id, '>' || doc_id || '|' || source || '|' || family || chr(10) || v AS record FROM s",
-    "K07_detail_json": SEQS + """ SELECT doc_id, '{"doc_id":' || doc_id || ',"marks":{"family":"' || family || '","hallmarks":"' || hallmarks || '"}}' AS detail FROM s""",
+    "K06_fasta_records": SEQS + f", g AS (SELECT doc_id, source, v, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS score FROM s ORDER BY score, doc_id LIMIT 100), r AS (SELECT *, row_number() OVER (ORDER BY score, doc_id) AS rank FROM g) SELECT rank::INTEGER AS rank, '>' || rank || '|' || doc_id || '|' || source || '|' || score || chr(10) || replace(v, '-', '') AS record FROM r",
+    "K07_detail_json": SEQS + f""" SELECT doc_id, '{{"doc_id":' || doc_id || ',"marks":{{"family":"' || family || '","hallmarks":"' || hallmarks || '"}},"scoring":{{"charge":' || ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')}) || ',"cysteines":' || {letters_in('v', 'C')} || '}},"provenance":{{"text_id":' || text_id || ',"source":"' || source || '","lang":"' || lang || '"}}}}' AS detail FROM s""",
     "I05_grid_annotation": SEQS + " SELECT doc_id, hallmarks, CASE WHEN hallmarks LIKE 'Y%' THEN 'Y_like' WHEN hallmarks LIKE 'FER%' THEN 'F_C2' WHEN hallmarks LIKE 'VG%' THEN 'VH_like' ELSE 'other' END AS family, " + ", ".join(f"length(replace(substr(v, {a}, {b - a + 1}), '-', ''))::INTEGER AS len_{k}" for k, (a, b) in R.REGIONS.items()) + " FROM s",
-    "I06_wide_positions": SEQS + " SELECT doc_id, " + ", ".join(f"substr(v, {p}, 1) AS imgt_{p}" for p in range(1, 9)) + " FROM s",
+    "I06_wide_positions": SEQS + " SELECT doc_id, " + ", ".join(f"substr(v, {p}, 1) AS imgt_{p}" for p in range(1, 129)) + " FROM s1",
     "F17_tag_prevalence": SEQS + ", t AS (SELECT v || CASE WHEN doc_id % 3 = 0 THEN 'HHHHHH' ELSE 'EPEA' END AS w FROM s) " + " UNION ALL ".join(f"SELECT '{k}' AS tag, count(*) AS n FROM t WHERE regexp_matches(w, '{p}') HAVING count(*) > 0" for k, p in M.TAGS.items()),
     "F18_position_regions": SEQS + f", p AS (SELECT pos::INTEGER AS pos, (SELECT count(*) FROM s) AS n FROM range(1, 129) x(pos)) SELECT pos, n, {REGION_CASE} AS region FROM p",
     "F19_grid": SEQS + " " + " UNION ALL ".join(f"SELECT doc_id, ({start} + i - 1{f' + CASE WHEN {start} + i - 1 >= {skip} THEN 1 ELSE 0 END' if skip else ''})::INTEGER AS pos, substr({part}, i::INTEGER, 1) AS aa FROM s, range(1, 40) x(i) WHERE i <= length({part})" for part, start, skip in GRID),

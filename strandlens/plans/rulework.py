@@ -295,13 +295,13 @@ SELECT doc_id, pos, aa, confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN
     "D04_rule_compliance": with_(f"""{APPLIED}, o AS (SELECT * FROM app WHERE family = own), k AS (SELECT doc_id, count(*) AS applicable, sum(obeyed::INT)::BIGINT AS obeyed, round(sum(CASE WHEN obeyed THEN confidence ELSE 0 END) / sum(confidence), 6) AS compliance FROM o GROUP BY 1),
 br AS (SELECT doc_id, string_agg(pos || wanted, ',' ORDER BY confidence DESC, pos, wanted, condition) AS violations FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pos, wanted, condition) AS rk FROM o WHERE NOT obeyed) WHERE rk <= 5 GROUP BY 1)
 SELECT s.doc_id, coalesce(applicable, 0) AS applicable, coalesce(obeyed, 0) AS obeyed, coalesce(compliance, 1.0::DOUBLE) AS compliance, coalesce(violations, '') AS violations FROM s LEFT JOIN k USING (doc_id) LEFT JOIN br USING (doc_id)"""),
-    "D08_candidates": with_(f"""{ARCHETYPES}, rk AS (SELECT family, pos, consensus, row_number() OVER (PARTITION BY family ORDER BY pos) AS i, count(*) OVER (PARTITION BY family) AS places FROM ar),
-b AS (SELECT doc_id, rk.family, i, places, pos, substr(v, pos, 1) || pos || consensus AS change FROM s, rk WHERE pos NOT IN ({', '.join(map(str, P.PROTECTED))}) AND substr(v, pos, 1) NOT IN ('C', '-', consensus)),
+    "D08_candidates": with_(f"""{HITS}, ld AS (SELECT query_id AS doc_id, qv AS v FROM q), {ARCHETYPES}, rk AS (SELECT family, pos, consensus, row_number() OVER (PARTITION BY family ORDER BY pos) AS i, count(*) OVER (PARTITION BY family) AS places FROM ar),
+b AS (SELECT doc_id, rk.family, i, places, pos, substr(v, pos, 1) || pos || consensus AS change FROM ld, rk WHERE pos NOT IN ({', '.join(map(str, P.PROTECTED))}) AND substr(v, pos, 1) NOT IN ('C', '-', consensus)),
 k1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, family ORDER BY {drawn_sql('probe', 'pos')}, pos) AS rank FROM b),
 {windowed_sql(2, 2, 3)}, {windowed_sql(3, 3, 5)},
 k4 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, family, draw ORDER BY chance, pos) AS rank FROM (SELECT *, {drawn_sql('draw', 'draw', 'pos')} AS chance FROM b, (SELECT unnest(range(0, 4)) AS draw)) WHERE chance < 300000),
 u AS (SELECT doc_id, family, 0 AS track, 1 AS draw, pos, change FROM b UNION ALL SELECT doc_id, family, 1, rank, pos, change FROM k1 WHERE rank <= {P.PROBES} UNION ALL SELECT doc_id, family, 2, 0, pos, change FROM k2 WHERE inside OR rank <= {P.EXTRA[2]}
  UNION ALL SELECT doc_id, family, 3, 0, pos, change FROM k3 WHERE inside OR rank <= {P.EXTRA[3]} UNION ALL SELECT doc_id, family, 4, draw, pos, change FROM k4 WHERE rank <= {P.LAYER})
-SELECT doc_id, family, track::INTEGER AS track, draw::INTEGER AS draw, count(*) AS n_mutations, string_agg(change, ',' ORDER BY pos) AS mutations FROM u GROUP BY ALL UNION ALL SELECT doc_id, x.family, 0, 0, 0, '' FROM s, (SELECT DISTINCT family FROM ar) x"""),
+SELECT doc_id, family, track::INTEGER AS track, draw::INTEGER AS draw, count(*) AS n_mutations, string_agg(change, ',' ORDER BY pos) AS mutations FROM u GROUP BY ALL UNION ALL SELECT doc_id, x.family, 0, 0, 0, '' FROM ld, (SELECT DISTINCT family FROM ar) x"""),
     "D07_motif_pool": f"WITH a AS ({with_(archetype_sql('family', 1))}), m AS (SELECT family, list(pos || consensus ORDER BY pos) AS m FROM a GROUP BY 1) SELECT DISTINCT list_aggregate(list_slice(m, i, i + k - 1), 'string_agg', ' ') AS motif FROM m, range(2, 6) x(k), range(1, 17) y(i) WHERE i + k - 1 <= len(m)",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlens.functions import residues as R
-from strandlens.operators import counts as C, merge as M, score as D, search as G
+from strandlens.operators import counts as C, coupling as K, merge as M, score as D, search as G
 from strandlens.plans.counting import CLUSTERS, SEQS, archetype_sql, every, letters_in, seq, with_
 from strandlens.sources import sequences as S
 from strandlens.sources.sequences import all_sequences, complete, sequences, table
@@ -59,11 +59,16 @@ def classified(s):
     return s.select("doc_id", "family", R.family_positional("v").alias("positional"), R.family_classical("v").alias("classical"), R.family_light(F.col("hallmarks")).alias("light"), R.framework_type(F.col("hallmarks")).alias("framework"))
 
 
+MOTIFS = {"wxxw": "W..W", "gg": "GG", "ggg": "GGG", "pp": "PP", "ss": "SS", "yy": "YY"}
+
+
 def cdr_vector(s):
-    """Sums and marks of the loop: volume, beta propensity, class counts, motifs, and its ends' classes."""
-    return s.select("doc_id", R.weighted("cdr3", R.VOLUME).alias("volume"), R.weighted("cdr3", R.BETA).alias("beta"), *[R.count_of("cdr3", x).alias(f"n_{k}") for k, x in R.CATEGORIES.items()],
-                    F.col("cdr3").rlike("W..W").alias("wxxw"), F.col("cdr3").contains("GG").alias("gg"), F.col("cdr3").contains("YY").alias("yy"),
-                    R.group_of(F.substring("cdr3", 1, 1), R.CATEGORIES).alias("first_kind"), R.group_of(F.substring("cdr3", -1, 1), R.CATEGORIES).alias("last_kind"))
+    """27 features of the third loop: length, charge, hydrophobicity, cysteines, aromatics, volume, beta propensity, counts and
+    shares of classes, motifs, and its ends' classes."""
+    size = F.greatest(F.length("cdr3"), F.lit(1))
+    return C.features(s).select("doc_id", "length", "charge", "hydro", "n_cys", "aromatic", R.weighted("cdr3", R.VOLUME).alias("volume"), R.weighted("cdr3", R.BETA).alias("beta"), *[R.count_of("cdr3", x).alias(f"n_{k}") for k, x in R.CATEGORIES.items()],
+                                *[F.round(R.count_of("cdr3", x) / size, 9).alias(f"share_{k}") for k, x in R.CATEGORIES.items()], *[F.col("cdr3").rlike(x).alias(k) for k, x in MOTIFS.items()],
+                                R.group_of(F.substring("cdr3", 1, 1), R.CATEGORIES).alias("first_kind"), R.group_of(F.substring("cdr3", -1, 1), R.CATEGORIES).alias("last_kind"))
 
 
 def truncation(rows):
@@ -76,8 +81,9 @@ def hits(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    s = sequences(spark, sf_dir)
-    return D.candidates(s, C.archetypes(s))
+    """The benchmark's sequences are the leads, the documents' families what they take."""
+    leads = G.queries(table(spark, sf_dir, "benchmark")).select(F.col("query_id").alias("doc_id"), F.col("qv").alias("v"))
+    return D.candidates(leads, C.archetypes(sequences(spark, sf_dir)))
 
 
 def selected(spark, sf_dir):
@@ -108,7 +114,7 @@ QUERIES = {
     "F01_cdr_features": seq(lambda s: C.features(s).select("doc_id", "length", "charge", "hydro", "n_cys", "aromatic", "cdr3_len", "cdr3_charge", "cdr3_cys")),
     "F03_cdr_vector": seq(cdr_vector),
     "F05_condition_tokens": seq(lambda s: C.features(s).select("doc_id", F.explode(C.condition_tokens(True)).alias("token"))),
-    "F06_junction_triplets": seq(lambda s: s.select("doc_id", F.substring("cdr3", -3, 3).alias("lhs"), F.substring("v", 118, 3).alias("rhs"))),
+    "F06_junction_triplets": seq(lambda s: K.junction_rows(s, ["doc_id"])),
     "F07_six_frames": frames,
     "F09_identity": lambda spark, d: searched(spark, d)[0].select("query_id", "doc_id", R.identity(F.col("cdr3"), F.col("q_cdr3")).alias("identity")),
     "F10_weighted_identity": lambda spark, d: searched(spark, d)[0].select("query_id", "doc_id", G.weighted_identity("cdr3", "q_cdr3").alias("identity")),
@@ -134,7 +140,7 @@ QUERIES = {
     "G03_threshold_grid": lambda spark, d: G.threshold_grid(searched(spark, d)[0], [0.1, 0.2, 0.3], 100),
     "G04_best_hits": lambda spark, d: G.best_hits(searched(spark, d)[0]),
     "G06_lead_similarity": seq(lambda s: D.min_max(G.lead_similarity(s, s.orderBy("doc_id").limit(1)), "score", "other_loop").drop("scaled")),
-    "T04_similarity_order": seq(lambda s: G.ordered_by_similarity(G.lead_similarity(s, s.orderBy("doc_id").limit(1)), s).select("doc_id", "score", "differences")),
+    "T04_similarity_order": seq(lambda s: G.ordered_by_similarity(G.lead_similarity(s, s.orderBy("doc_id").limit(1)), s.agg(F.min("doc_id").alias("lead"))).select("doc_id", "score", "differences", "is_lead")),
     "A30_scan_statistics": lambda spark, d: G.scan_statistics(hits(spark, d), sequences(spark, d)).select("source", "n_rows", "hits", "best", "worst", "q75"),
     "D01_naturalness": scored_designs,
     "D02_score_class": lambda spark, d: D.score_class(scored_designs(spark, d)),
@@ -143,8 +149,8 @@ QUERIES = {
     "D07_motif_pool": seq(lambda s: D.motif_pool(C.archetypes(s))),
     "D08_candidates": candidates,
     "D09_selection": selected,
-    "D11_framework_identity": seq(lambda s: D.framework_identity(s, "QVQLVESGGGLVQPGGSLRLSCAASG" * 5)),
-    "W03_top_clusters": seq(lambda s: D.capped(C.pattern_clusters(s).select("family", "pattern", "n"), "family", [F.desc("n"), "pattern"], 5)),
+    "D11_framework_identity": seq(lambda s: D.framework_identity(s, s.groupBy("source").agg(F.min_by("v", "doc_id").alias("lead")), "source")),
+    "W03_top_clusters": seq(lambda s: D.pure_clusters(C.pattern_clusters(s), 5)),
     "W06_quota_selection": seq(lambda s: D.quota_selection(s.select("doc_id", "family", "source"), "family", ["source", "doc_id"], {"Other_VHH": 30, "F_C4": 15}, 10)),
     "W07_min_max": seq(lambda s: D.min_max(s.select("doc_id", "family", R.charge("v").alias("charge")), "charge", "family")),
 }
@@ -196,9 +202,9 @@ CASE WHEN {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q') AND {H[3]} = 'R' AND {H[
     "P14_cysteines": SEQS + f" SELECT {REASONS} AS reasons, count(*) AS n FROM s GROUP BY 1",
     "P16_length_window": with_(HITS + " SELECT query_id, count(*) AS n FROM pairs GROUP BY 1"),
     "F01_cdr_features": SEQS + " SELECT doc_id, length, charge, hydro, n_cys, aromatic, cdr3_len, cdr3_charge, cdr3_cys FROM s",
-    "F03_cdr_vector": SEQS + " SELECT doc_id, " + ", ".join(f"({' + '.join(f'{letters_in(CDR3, a)} * {v}' for a, v in values.items())})::INTEGER AS {k}" for k, values in (("volume", R.VOLUME), ("beta", R.BETA))) + ", " + ", ".join(f"{letters_in('cdr3', v)}::INTEGER AS n_{k}" for k, v in R.CATEGORIES.items()) + f", regexp_matches(cdr3, 'W..W') AS wxxw, contains(cdr3, 'GG') AS gg, contains(cdr3, 'YY') AS yy, {grouped('left(cdr3, 1)', R.CATEGORIES)} AS first_kind, {grouped('right(cdr3, 1)', R.CATEGORIES)} AS last_kind FROM s",
+    "F03_cdr_vector": SEQS + " SELECT doc_id, length, charge, hydro, n_cys, aromatic, " + ", ".join(f"({' + '.join(f'{letters_in(CDR3, a)} * {v}' for a, v in values.items())})::INTEGER AS {k}" for k, values in (("volume", R.VOLUME), ("beta", R.BETA))) + ", " + ", ".join(f"{letters_in('cdr3', v)}::INTEGER AS n_{k}, round({letters_in('cdr3', v)} / greatest(length(cdr3), 1)::DOUBLE, 9) AS share_{k}" for k, v in R.CATEGORIES.items()) + ", " + ", ".join(f"regexp_matches(cdr3, '{x}') AS {k}" for k, x in MOTIFS.items()) + f", {grouped('left(cdr3, 1)', R.CATEGORIES)} AS first_kind, {grouped('right(cdr3, 1)', R.CATEGORIES)} AS last_kind FROM s",
     "F05_condition_tokens": SEQS + " SELECT doc_id, unnest(['family=' || family, 'hallmarks=' || hallmarks, 'cdr3_len=' || cdr3_len, 'cdr3_charge=' || cdr3_charge, 'cdr3_cys=' || cdr3_cys, 'cdr3[-1]=' || right(cdr3, 1), 'cdr3[-2]=' || substr(cdr3, -2, 1), 'cdr3[-3]=' || substr(cdr3, -3, 1)]) AS token FROM s",
-    "F06_junction_triplets": SEQS + " SELECT doc_id, right(cdr3, 3) AS lhs, substr(v, 118, 3) AS rhs FROM s",
+    "F06_junction_triplets": SEQS + f""", jn(j, a, b) AS (VALUES {', '.join(f"('{k}', {a}, {b})" for k, (a, b) in K.JUNCTIONS.items())}) SELECT doc_id, j AS junction, substr(v, a, 3) AS "left", substr(v, b, 5) AS "right" FROM s, jn WHERE NOT contains(substr(v, a, 3) || substr(v, b, 5), '-')""",
     "F09_identity": with_(HITS + " SELECT query_id, doc_id, i3 AS identity FROM ids"),
     "F11_combined_identity": with_(HITS + " SELECT query_id, doc_id, 1 - (levenshtein(cdr1, q1) + levenshtein(cdr2, q2) + levenshtein(cdr3, q3)) / (greatest(length(cdr1), length(q1)) + greatest(length(cdr2), length(q2)) + greatest(length(cdr3), length(q3)))::DOUBLE AS identity FROM pairs"),
     "F16_tag_strip": SEQS + f" SELECT doc_id, {TAG_SQL} AS plain FROM s",
@@ -220,12 +226,13 @@ CASE WHEN {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q') AND {H[3]} = 'R' AND {H[
     "G03_threshold_grid": with_(HITS + ", t AS (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS t), x AS (SELECT floor(i1 * 100) AS a, floor(i2 * 100) AS b, floor(i3 * 100) AS c FROM ids), k AS (SELECT t1.t AS t1, t2.t AS t2, t3.t AS t3, (SELECT count(*) FROM x WHERE a >= t1.t * 100 AND b >= t2.t * 100 AND c >= t3.t * 100) AS matches FROM t t1, t t2, t t3) SELECT *, abs(matches - 100) AS off FROM k"),
     "G04_best_hits": with_(HITS + ", w AS (SELECT query_id, doc_id, family, coalesce((0.0::DOUBLE + CASE WHEN i1 > 0 THEN i1 * 0.2::DOUBLE ELSE 0 END + CASE WHEN i2 > 0 THEN i2 * 0.3::DOUBLE ELSE 0 END + CASE WHEN i3 > 0 THEN i3 * 0.5::DOUBLE ELSE 0 END) / nullif(0.0::DOUBLE + CASE WHEN i1 > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN i2 > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN i3 > 0 THEN 0.5::DOUBLE ELSE 0 END, 0), 0) AS score FROM ids) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM w) WHERE rank <= 3"),
     "G06_lead_similarity": with_(LEAD + " SELECT * FROM sim"),
-    "T04_similarity_order": with_(LEAD + " SELECT doc_id, score, 128 - same AS differences FROM sim ORDER BY score, 128 - same, doc_id LIMIT 50"),
+    "T04_similarity_order": with_(LEAD + " SELECT doc_id, score, 128 - same AS differences, doc_id = (SELECT min(doc_id) FROM s) AS is_lead FROM sim ORDER BY is_lead DESC, score, 128 - same, other_loop + similar_loop, doc_id LIMIT 50"),
     "A30_scan_statistics": with_(HITS + ", h AS (SELECT source, (0.0::DOUBLE + i1 + i2 + i3) / 3 AS identity FROM ids WHERE i1 >= 0.2 AND i2 >= 0.2 AND i3 >= 0.2), f AS (SELECT source, count(*) AS hits, max(identity) AS best, min(identity) AS worst, round(quantile_cont(identity, 0.75), 9) AS q75 FROM h GROUP BY 1) SELECT source, n_rows, coalesce(hits, 0) AS hits, best, worst, q75 FROM (SELECT source, count(*) AS n_rows FROM s GROUP BY 1) LEFT JOIN f USING (source)"),
     "D01_naturalness": with_(NATURAL + " SELECT * FROM nat"),
-    "D02_score_class": with_(NATURAL + " SELECT *, CASE WHEN score < 1 THEN 'excellent' WHEN score < 3 THEN 'good' WHEN score < 6 THEN 'fair' WHEN score < 12 THEN 'poor' ELSE 'bad' END AS grade, concat_ws(',', CASE WHEN abs(z_length) > 2 THEN 'length' END, CASE WHEN abs(z_charge) > 2 THEN 'charge' END, CASE WHEN abs(z_aromatic) > 2 THEN 'aromatic' END) AS factors FROM nat"),
-    "D11_framework_identity": SEQS + " SELECT doc_id, (" + " + ".join(f"(substr(v, {p}, 1) = '{('QVQLVESGGGLVQPGGSLRLSCAASG' * 5)[p - 1]}')::INT" for p in FRAME_PLACES) + f") * 1.0::DOUBLE / {len(FRAME_PLACES)} AS framework_identity FROM s",
-    "W03_top_clusters": with_(CLUSTERS + " SELECT family, pattern, n, rank FROM (SELECT family, pattern, n, row_number() OVER (PARTITION BY family ORDER BY n DESC, pattern)::INTEGER AS rank FROM c) WHERE rank <= 5"),
+    "D02_score_class": with_(NATURAL + """, f AS (SELECT *, concat_ws(',', CASE WHEN best_match = 0 THEN 'no cluster' END, CASE WHEN abs(z_length) > 2 THEN CASE WHEN z_length > 0 THEN 'long' ELSE 'short' END END, CASE WHEN abs(z_charge) > 2 THEN CASE WHEN z_charge > 0 THEN 'positive' ELSE 'negative' END END, CASE WHEN abs(z_aromatic) > 2 THEN 'aromatic' END) AS factors FROM nat)
+SELECT *, CASE WHEN score < 1 THEN 'excellent' WHEN score < 3 THEN 'good' WHEN score < 6 THEN 'fair' WHEN score < 12 THEN 'poor' ELSE 'bad' END AS grade, CASE WHEN score < 3 AND greatest(abs(z_length), abs(z_charge), abs(z_aromatic)) <= 2 THEN 'low' WHEN score < 6 THEN 'medium' ELSE 'high' END AS risk FROM f"""),
+    "D11_framework_identity": SEQS + ", ld AS (SELECT source, arg_min(v, doc_id) AS lead FROM s GROUP BY 1) SELECT doc_id, (" + " + ".join(f"(substr(v, {p}, 1) = substr(lead, {p}, 1))::INT" for p in FRAME_PLACES) + f") * 1.0::DOUBLE / {len(FRAME_PLACES)} AS framework_identity FROM s JOIN ld USING (source)",
+    "W03_top_clusters": with_(CLUSTERS + ", p AS (SELECT pattern, sum(n)::BIGINT AS n, arg_max(family, (n, family)) AS family, max(n) * 1.0::DOUBLE / sum(n) AS purity FROM c GROUP BY 1) SELECT family, pattern, n, purity, rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n * purity DESC, pattern)::INTEGER AS rank FROM p) WHERE rank <= 5"),
     "W06_quota_selection": SEQS + " SELECT doc_id, family, source, place FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY source, doc_id)::INTEGER AS place FROM s) WHERE place <= CASE family WHEN 'Other_VHH' THEN 30 WHEN 'F_C4' THEN 15 ELSE 10 END",
     "W07_min_max": SEQS + f", c AS (SELECT doc_id, family, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS charge FROM s) SELECT *, coalesce((charge - min(charge) OVER w) / nullif(max(charge) OVER w - min(charge) OVER w, 0)::DOUBLE, 0) AS scaled FROM c WINDOW w AS (PARTITION BY family)",
 }
