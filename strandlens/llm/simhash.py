@@ -249,7 +249,7 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 #: least shingle hashes, and rows that are broadcast at most (more are joined by a shuffle, with the same result).
 COPY_SHINGLE, SIMILARITY, COPY_RADIUS, BINS, BROADCAST_ROWS = 5, 0.8, 20, 8, 1 << 20
 #: Partners of each class that are compared in any case; beyond these a spanning forest of least distance stands for the rest.
-NEAREST = 16
+NEAREST = 4
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
