@@ -11,10 +11,10 @@ def add_counts(path: str, keys: list[str], parameter_hash: str):
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select("parameters").first()
-        except Exception:  # no folder yet
-            known = None
+        context = spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        # a folder that is there but can't be read is an error
+        known = spark.read.parquet(path).select("parameters").first() if folder.getFileSystem(context._jsc.hadoopConfiguration()).exists(folder) else None
         if known and known[0] != parameter_hash:
             raise ValueError("the counts were made with other parameters")
         counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("parameters", F.lit(parameter_hash))
