@@ -102,16 +102,33 @@ def read_filter(protein: Column, least: int = 70) -> Column:
     return ~protein.rlike(r"\*.") & (F.length(F.rtrim(protein, F.lit("*"))) >= least)
 
 
-#: Terminal tags, ends first, as patterns.
-TAGS = {"his": "H{6,10}$", "flag": "DYKDDDDK$", "strep": "WSHPQFEK$", "ha": "YPYDVPDYA$", "epea": "EPEA$", "mskik": "^M?SKIK"}
+#: Terminal tags as patterns, in the order of their removal: ends first, repeats with their linkers as one.
+TAGS = {"his": "H{6,10}$", "flag": "DYKDDDDK$", "twinstrep": "WSHPQFEK(GGGS){1,3}(GGS)?A?WSHPQFEK$", "strep": "WSHPQFEK$", "ha": "((GGGGS|GSAT|GS)*YPYDVPDYA){1,3}$", "epea": "EPEA$", "mskik": "^M?SKIK"}
 
 
-def strip_tags(x: Column) -> Column:
-    for pattern in TAGS.values():
-        x = F.regexp_replace(x, pattern, "")
+def strip_tags(x: Column, names: list[str] | None = None) -> Column:
+    for name, pattern in TAGS.items():
+        if names is None or name in names:
+            x = F.regexp_replace(x, pattern, "")
     return x
 
 
+def stripped(rows: DataFrame, sequence: str, names: list[str] | None = None) -> DataFrame:
+    """`rows` with plain (the sequence without tags) and removed (the names of those that went, in order)."""
+    out, gone = rows.withColumn("plain", F.col(sequence)), []
+    for name, pattern in TAGS.items():
+        if names is None or name in names:
+            gone.append(F.when(F.length(f"__before_{name}") > F.length(f"__after_{name}"), name))
+            out = out.withColumn(f"__before_{name}", F.col("plain")).withColumn("plain", F.regexp_replace("plain", pattern, "")).withColumn(f"__after_{name}", F.col("plain"))
+    return out.withColumn("removed", F.concat_ws(",", *gone)).drop(*[f"__{x}_{name}" for x in ("before", "after") for name in TAGS])
+
+
+def common_tags(rows: DataFrame, sequence: str, share: float) -> list[str]:
+    """Tags that `share` of the rows or more have; one row of counts reaches the driver."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(sequence).rlike(p)).alias(k) for k, p in TAGS.items()]).first()
+    return [k for k in TAGS if found["n"] and found[k] >= share * found["n"]]
+
+
 def cysteine_reasons(v: str = "v") -> Column:
     """Why a sequence's cysteines are refused; empty if they aren't."""
     n = R.count_of(v, "C")

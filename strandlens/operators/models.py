@@ -32,17 +32,18 @@ def inputs(rows: DataFrame, place: int, cap: int, kinds: int = 8, least: int = 2
     return sampled.select("doc_id", "aa", "label", "n", "raw")
 
 
-def predict(rows: DataFrame, place: int, cap: int = 100_000, forest: bool = False) -> DataFrame:
+def predict(rows: DataFrame, place: int, cap: int = 100_000, forest: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
     """Each row's probability of its own residue, the expected one, and whether they match. Classes weigh the same.
 
-    Fitted to inputs(), which are bounded; every row is scored, one whose residue has no class with probability 0.
+    Fitted to inputs() of `fit_on` (or of the rows), which are bounded; every row is scored, one whose residue has no class with probability 0.
     """
-    data = inputs(rows, place, cap).withColumn("weight", 1.0 / F.least("n", F.lit(cap)))
+    known = rows if fit_on is None else fit_on
+    data = inputs(known, place, cap).withColumn("weight", 1.0 / F.least("n", F.lit(cap)))
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data)
     kind = RandomForestClassifier(numTrees=20, maxDepth=5, seed=3, weightCol="weight") if forest else LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight")
     model = kind.fit(scaler.transform(data))
     base = measured(rows, place)
-    made = model.transform(scaler.transform(base.join(F.broadcast(classes(base)), "aa", "left")))
+    made = model.transform(scaler.transform(base.join(F.broadcast(classes(measured(known, place))), "aa", "left")))
     own = F.coalesce(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0))
     return made.select("doc_id", "aa", F.round(own, 6).alias("p_own"), F.coalesce(F.col("prediction") == F.col("label"), F.lit(False)).alias("match"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlens.functions import anchors as A, residues as R
 from strandlens.operators import counts as C, design as D, merge as M, models as L, score as P
 from strandlens.plans.counting import SEQS, archetype_sql, every, letters_in, seq, with_
-from strandlens.plans.working import gapped
+from strandlens.plans.working import TAGGED, gapped, tagged
 from strandlens.sources.sequences import all_sequences, sequences, table
 from strandlens.streaming import shards
 
@@ -107,7 +107,7 @@ QUERIES = {
     "I06_wide_positions": every(long_wide),
     "F13_heuristic_cdr3": seq(lambda s: spliced(s).select("doc_id", A.heuristic_cdr3(F.col("v")).alias("cdr3"))),
     "F15_anchor_split": seq(lambda s: spliced(s).select("doc_id", *[x.alias(k) for k, x in A.framework_split(F.col("v")).items()])),
-    "F17_tag_prevalence": seq(lambda s: s.select(F.explode(F.filter(F.array(*[F.when(F.concat("v", F.when(F.col("doc_id") % 3 == 0, "HHHHHH").otherwise("EPEA")).rlike(p), F.lit(k)) for k, p in M.TAGS.items()]), lambda x: x.isNotNull())).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))),
+    "F17_tag_prevalence": seq(lambda s: tagged(s).select(F.explode(F.array_compact(F.array(*[F.when(F.col("tagged").rlike(p), F.lit(k)) for k, p in M.TAGS.items()]))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))),
     "F18_position_regions": seq(lambda s: s.select(F.explode(F.sequence(F.lit(1), F.lit(128))).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).select("pos", "n", F.coalesce(*[F.when(F.col("pos").between(a, b), k) for k, (a, b) in R.REGIONS.items()]).alias("region"))),
     "F19_grid": seq(lambda s: s.select("doc_id", F.explode(A.grid(*[R.region("v", k) for k in ("fr1", "fr2", "fr3", "fr4")])).alias("g")).select("doc_id", "g.pos", "g.aa")),
     "F22_parse_conditions": seq(conditions),
@@ -150,7 +150,7 @@ SQL = {
     "K07_detail_json": SEQS + f""" SELECT doc_id, '{{"doc_id":' || doc_id || ',"marks":{{"family":"' || family || '","hallmarks":"' || hallmarks || '"}},"scoring":{{"charge":' || ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')}) || ',"cysteines":' || {letters_in('v', 'C')} || '}},"provenance":{{"text_id":' || text_id || ',"source":"' || source || '","lang":"' || lang || '"}}}}' AS detail FROM s""",
     "I05_grid_annotation": SEQS + " SELECT doc_id, hallmarks, CASE WHEN hallmarks LIKE 'Y%' THEN 'Y_like' WHEN hallmarks LIKE 'FER%' THEN 'F_C2' WHEN hallmarks LIKE 'VG%' THEN 'VH_like' ELSE 'other' END AS family, " + ", ".join(f"length(replace(substr(v, {a}, {b - a + 1}), '-', ''))::INTEGER AS len_{k}" for k, (a, b) in R.REGIONS.items()) + " FROM s",
     "I06_wide_positions": SEQS + " SELECT doc_id, " + ", ".join(f"substr(v, {p}, 1) AS imgt_{p}" for p in range(1, 129)) + " FROM s1",
-    "F17_tag_prevalence": SEQS + ", t AS (SELECT v || CASE WHEN doc_id % 3 = 0 THEN 'HHHHHH' ELSE 'EPEA' END AS w FROM s) " + " UNION ALL ".join(f"SELECT '{k}' AS tag, count(*) AS n FROM t WHERE regexp_matches(w, '{p}') HAVING count(*) > 0" for k, p in M.TAGS.items()),
+    "F17_tag_prevalence": with_(TAGGED + " " + " UNION ALL ".join(f"SELECT '{k}' AS tag, count(*) AS n FROM t0 WHERE regexp_matches(x, '{p}') HAVING count(*) > 0" for k, p in M.TAGS.items())),
     "F18_position_regions": SEQS + f", p AS (SELECT pos::INTEGER AS pos, (SELECT count(*) FROM s) AS n FROM range(1, 129) x(pos)) SELECT pos, n, {REGION_CASE} AS region FROM p",
     "F19_grid": SEQS + " " + " UNION ALL ".join(f"SELECT doc_id, ({start} + i - 1{f' + CASE WHEN {start} + i - 1 >= {skip} THEN 1 ELSE 0 END' if skip else ''})::INTEGER AS pos, substr({part}, i::INTEGER, 1) AS aa FROM s, range(1, 40) x(i) WHERE i <= length({part})" for part, start, skip in GRID),
     "F22_parse_conditions": rules_sql(", c AS (SELECT family, condition || ' AND IMGT' || pos || '=' || aa AS condition, unnest(string_split(condition || ' AND IMGT' || pos || '=' || aa, ' AND ')) AS part FROM r) SELECT family, condition, CASE WHEN regexp_matches(part, '^IMGT[0-9]+=') THEN 'position' WHEN part LIKE 'cdr3[%' THEN 'loop_end' ELSE 'feature' END AS kind, string_split(part, '=')[1] AS name, string_split(part, '=')[-1] AS value FROM c"),

@@ -76,6 +76,15 @@ def truncation(rows):
     return rows.select("doc_id", filled(4, 23).alias("fr1_filled"), filled(118, 8).alias("fr4_filled"), complete().alias("kept"))
 
 
+#: Heads and tails that sequences get by id, to be found again.
+HEADS, TAILS = ["", "MSKIK", "", "SKIK"], ["HHHHHH", "DYKDDDDK", "GSATYPYDVPDYAGSYPYDVPDYA", "WSHPQFEKGGGSGGGSAWSHPQFEK", "EPEA", "", "WSHPQFEKHHHHHHHH"]
+
+
+def tagged(s):
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.pmod("doc_id", F.lit(len(names))) + 1).cast("int"))
+    return s.select("doc_id", F.concat(pick(HEADS), F.rtrim("v", F.lit("-")), pick(TAILS)).alias("tagged"))
+
+
 def hits(spark, sf_dir):
     return G.region_hits(searched(spark, sf_dir)[0], CUT)
 
@@ -119,7 +128,7 @@ QUERIES = {
     "F09_identity": lambda spark, d: searched(spark, d)[0].select("query_id", "doc_id", R.identity(F.col("cdr3"), F.col("q_cdr3")).alias("identity")),
     "F10_weighted_identity": lambda spark, d: searched(spark, d)[0].select("query_id", "doc_id", G.weighted_identity("cdr3", "q_cdr3").alias("identity")),
     "F11_combined_identity": lambda spark, d: searched(spark, d)[0].select("query_id", "doc_id", G.combined_identity(["cdr1", "cdr2", "cdr3"]).alias("identity")),
-    "F16_tag_strip": seq(lambda s: s.select("doc_id", M.strip_tags(F.concat("v", F.when(F.col("doc_id") % 2 == 0, "HHHHHH").otherwise("DYKDDDDK"))).alias("plain"))),
+    "F16_tag_strip": seq(lambda s: M.stripped(tagged(s), "tagged").select("doc_id", "plain", "removed")),
     "F20_residue_groups": seq(lambda s: s.groupBy(R.group_of(R.residue("v", 71)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))),
     "F21_hallmark_match": seq(lambda s: s.select("doc_id", R.hallmark_match(F.col("hallmarks"), "FERG").alias("match"))),
     "F24_sample_key": seq(lambda s: s.select("doc_id", R.sample_key(F.col("doc_id")).alias("sample"))),
@@ -179,9 +188,10 @@ def grouped(x: str, groups=R.GROUPS) -> str:
 
 H = {k: f"substr(hallmarks, {k}, 1)" for k in (1, 2, 3, 4)}
 MATCH = "(" + " + ".join(f"CASE WHEN {H[k]} = '{a}' THEN 1.0::DOUBLE WHEN {H[k]} IN ({', '.join(repr(x) for x in next(v for v in R.GROUPS.values() if a in v))}) THEN 0.5 ELSE 0 END" for k, a in enumerate("FERG", 1)) + ") / 4"
-TAG_SQL = "v || CASE WHEN doc_id % 2 = 0 THEN 'HHHHHH' ELSE 'DYKDDDDK' END"
-for _pattern in M.TAGS.values():
-    TAG_SQL = f"regexp_replace({TAG_SQL}, '{_pattern}', '')"
+#: CTEs t0, t1, ... that take one tag after the other from x, and the names of those that went.
+TAGGED = f"t0 AS (SELECT doc_id, ['{"', '".join(HEADS)}'][(doc_id % {len(HEADS)} + 1)::INT] || rtrim(v, '-') || ['{"', '".join(TAILS)}'][(doc_id % {len(TAILS)} + 1)::INT] AS x, '' AS removed FROM s)"
+for _i, (_name, _pattern) in enumerate(M.TAGS.items()):
+    TAGGED += f", t{_i + 1} AS (SELECT doc_id, regexp_replace(x, '{_pattern}', '') AS x, removed || CASE WHEN regexp_matches(x, '{_pattern}') THEN ',{_name}' ELSE '' END AS removed FROM t{_i})"
 LEAD = f"""l AS (SELECT v AS lead FROM s ORDER BY doc_id LIMIT 1),
 a AS (SELECT doc_id, p.pos BETWEEN 27 AND 38 OR p.pos BETWEEN 56 AND 65 OR p.pos BETWEEN 105 AND 117 AS lp, substr(v, p.pos::INTEGER, 1) AS x, substr(lead, p.pos::INTEGER, 1) AS y FROM s, l, range(1, 129) p(pos)),
 g AS (SELECT doc_id, lp, x = y AS same, x <> y AND {grouped('x')} = {grouped('y')} AS alike FROM a),
@@ -207,7 +217,7 @@ CASE WHEN {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q') AND {H[3]} = 'R' AND {H[
     "F06_junction_triplets": SEQS + f""", jn(j, a, b) AS (VALUES {', '.join(f"('{k}', {a}, {b})" for k, (a, b) in K.JUNCTIONS.items())}) SELECT doc_id, j AS junction, substr(v, a, 3) AS "left", substr(v, b, 5) AS "right" FROM s, jn WHERE NOT contains(substr(v, a, 3) || substr(v, b, 5), '-')""",
     "F09_identity": with_(HITS + " SELECT query_id, doc_id, i3 AS identity FROM ids"),
     "F11_combined_identity": with_(HITS + " SELECT query_id, doc_id, 1 - (levenshtein(cdr1, q1) + levenshtein(cdr2, q2) + levenshtein(cdr3, q3)) / (greatest(length(cdr1), length(q1)) + greatest(length(cdr2), length(q2)) + greatest(length(cdr3), length(q3)))::DOUBLE AS identity FROM pairs"),
-    "F16_tag_strip": SEQS + f" SELECT doc_id, {TAG_SQL} AS plain FROM s",
+    "F16_tag_strip": with_(TAGGED + f" SELECT doc_id, x AS plain, ltrim(removed, ',') AS removed FROM t{len(M.TAGS)}"),
     "F20_residue_groups": SEQS + f" SELECT {grouped('substr(v, 71, 1)')} AS kind, count(*) AS n FROM s GROUP BY 1",
     "F21_hallmark_match": SEQS + f" SELECT doc_id, {MATCH} AS match FROM s",
     "F24_sample_key": SEQS + " SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1000000 AS sample FROM s",

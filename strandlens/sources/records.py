@@ -27,6 +27,14 @@ def read_repertoire(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return rows.select(*[F.when(F.array_contains("names", name), F.nullif(cell(name), F.lit(""))).alias(name) for name in names], "source_file", "metadata")
 
 
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """id and seq of text lines `ID<sep>SEQ`, whatever the separator (comma, semicolon, tab, bar, colon or spaces); other
+    lines go."""
+    form = r"^\s*([^,;\t|: ]+)\s*[,;\t|: ]\s*([A-Za-z-]+)\s*$"
+    lines = spark.read.text(path).filter(F.col("value").rlike(form))
+    return lines.select(F.regexp_extract("value", form, 1).alias("id"), F.upper(F.regexp_extract("value", form, 2)).alias("seq"))
+
+
 def read_pairs(spark: SparkSession, sequences: str, metadata: str, source: str, renamed: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """A tab-separated sequence table, whose `ids` are comma lists, with seq_id `<source>_<first id>`, and its metadata."""
     read = lambda path: spark.read.option("sep", "\t").option("header", True).csv(path)
