@@ -75,7 +75,7 @@ def naturalness(designs: DataFrame, clusters: DataFrame, least: int = 100) -> Da
     mean = {k: F.sum(F.col(f"{k}_mean") * weight) / F.sum(weight) for k in FEATURES}
     squares = {k: F.sum(F.col(f"{k}_mean") * F.col(f"{k}_mean") * weight) / F.sum(weight) for k in FEATURES}
     every = clusters.agg(*[F.coalesce(mean[k], F.lit(m)).alias(f"{k}_mean") for k, (m, _) in DEFAULTS.items()],
-                         *[F.coalesce(F.sqrt(F.greatest(F.round(squares[k] - mean[k] * mean[k], 9), F.lit(0.0))), F.lit(d)).alias(f"{k}_std") for k, (_, d) in DEFAULTS.items()])  # one row
+                         *[F.coalesce(F.when(F.count(F.lit(1)) > 0, F.sqrt(F.greatest(F.round(squares[k] - mean[k] * mean[k], 9), F.lit(0.0)))), F.lit(d)).alias(f"{k}_std") for k, (_, d) in DEFAULTS.items()])  # one row
     far = own.join(near.select("doc_id"), "doc_id", "left_anti").crossJoin(F.broadcast(every)).select("doc_id", *[x.alias(f"z_{k}") for k, x in z.items()], F.lit(0).cast("long").alias("best_match"))
     out = near.unionByName(far)
     score = F.col("z_length") * F.col("z_length") + F.col("z_charge") * F.col("z_charge") + 0.5 * F.col("z_aromatic") * F.col("z_aromatic")

@@ -176,7 +176,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY matches DESC,
 NATURAL = f"""{CLUSTERS}, {MATCHES}, topped AS (SELECT *, max(matches) OVER (PARTITION BY doc_id) AS top FROM best WHERE rank <= 5),
 z AS (SELECT b.doc_id, b.top, b.matches * sqrt(b.n) AS w, {', '.join(f'(s.{k} - c.{k}_mean) / greatest(c.{k}_std, {low}) AS {k[0]}' for k, low in D.FEATURES.items())} FROM topped b JOIN c USING (family, pattern) JOIN s ON s.doc_id = b.doc_id WHERE b.top >= 2),
 near AS (SELECT doc_id, max(top)::BIGINT AS best_match, sum(l * w) / sum(w) AS l, sum(c * w) / sum(w) AS c, sum(a * w) / sum(w) AS a FROM z GROUP BY 1),
-m AS (SELECT {', '.join(f'coalesce(sum({k}_mean * least(n, 1000)) / sum(least(n, 1000)), {d[0]}) AS {k}_m, coalesce(sqrt(greatest(round(sum({k}_mean * {k}_mean * least(n, 1000)) / sum(least(n, 1000)) - (sum({k}_mean * least(n, 1000)) / sum(least(n, 1000))) ** 2, 9), 0)), {d[1]}) AS {k}_s' for k, d in D.DEFAULTS.items())} FROM c),
+m AS (SELECT {', '.join(f'coalesce(sum({k}_mean * least(n, 1000)) / sum(least(n, 1000)), {d[0]}) AS {k}_m, coalesce(CASE WHEN count(*) > 0 THEN sqrt(greatest(round(sum({k}_mean * {k}_mean * least(n, 1000)) / sum(least(n, 1000)) - (sum({k}_mean * least(n, 1000)) / sum(least(n, 1000))) ** 2, 9), 0)) END, {d[1]}) AS {k}_s' for k, d in D.DEFAULTS.items())} FROM c),
 far AS (SELECT doc_id, 0::BIGINT AS best_match, {', '.join(f'(s.{k} - m.{k}_m) / greatest(m.{k}_s, {low}) AS {k[0]}' for k, low in D.FEATURES.items())} FROM s, m WHERE doc_id NOT IN (SELECT doc_id FROM near)),
 y AS (SELECT * FROM near UNION ALL BY NAME SELECT * FROM far),
 nat AS (SELECT doc_id, best_match, round(l, 9) + 0.0::DOUBLE AS z_length, round(c, 9) + 0.0::DOUBLE AS z_charge, round(a, 9) + 0.0::DOUBLE AS z_aromatic, round(l * l + c * c + 0.5 * a * a, 9) AS score FROM y)"""

@@ -60,6 +60,100 @@ def test_weighted_identity(spark, a, b, wanted):
     assert one(spark, G.weighted_identity("a", "b"), a=a, b=b) == pytest.approx(wanted)
 
 
+def test_heuristic_loops(spark):
+    head = "QVQLVESGGGLVQPGGSLRLSCAASGFTF"
+    cases = {head + "YYCAADRGYWGQGTLVTVSS": "CAADRGY", head + "YYCAAWGQG": "CAA", "A" * 10 + "C" + "D" * 50 + "WGQG": "C" + "D" * 50, "AAAA": "", "CAWAA": "", "xxcaaa-wsqg": "CAAA"}
+    for v, loop in cases.items():
+        assert one(spark, A.heuristic_cdr3(F.col("v")), v=v) == loop
+
+
+def anchored(v, place="instr"):
+    import re
+
+    # the same search in plain Python, by hand
+    start = next((60 + m.start() for t in A.FR2_STARTS if (m := re.search(t, v[10:60]))), 80)
+    end = next((start + m.start() for t in A.FR4_STARTS if (m := re.search(t, v[start:]))), None)
+    if end is None and (m := re.search("QG[TL][LQ]VTVSS", v[-25:])):
+        end = len(v) - 25 + m.start() - 2
+    if end is None:
+        end = next((p for p in range(len(v) - 15, start, -1) if v[p : p + 2] in ("WG", "WS", "WV")), None)
+    c = next((p for p in range((end or 0) - 5, max(start - 10, (end or 0) - 40), -1) if p >= 0 and v[p] == "C"), None) if end is not None else None
+    return "" if c is None else v[c + 1 : end]
+
+
+def test_anchored_loops_against_plain_search(spark):
+    import random
+
+    rng, texts = random.Random(3), []
+    parts = ["WFRQ", "WYRK", "WARA", "WGQGTLVTVSS", "WGQGT", "WSQG", "SSQGTQVTVSS", "C", "WG", "WS", "WV", "AQGTLVTVSS"]
+    for _ in range(300):
+        texts.append("".join(rng.choice(parts) if rng.random() < 0.06 else rng.choice("ADEFGKLQRSTVYC") for _ in range(rng.randint(60, 150))))
+    frame = spark.createDataFrame([(v,) for v in texts], "v string")
+    for step in A.anchored_cdr3("v"):
+        frame = frame.withColumns({k: F.expr(x) for k, x in step.items()})
+    assert [r.cdr3 for r in frame.select("cdr3").collect()] == [anchored(v) for v in texts]
+
+
+def rows_of(spark, *marks):
+    frame = spark.createDataFrame([(i, "x", "s", sequence(**m)) for i, m in enumerate(marks)], "doc_id long, lang string, source string, v string")
+    return frame.withColumns({"family": R.family("v"), "hallmarks": R.hallmarks("v"), "cdr3": R.region("v", "cdr3")})
+
+
+def test_compliance_weighs_by_confidence(spark):
+    rows = rows_of(spark, dict(p71="K", p78="D"), dict(p71="K", p78="E"), dict(p42="F"))
+    rules = spark.createDataFrame([("Other_VHH", "family=Other_VHH", 71, "K", 0.9, 1), ("Other_VHH", "cdr3_len=medium AND cdr3[-1]=S", 78, "D", 0.6, 1), ("Other_VHH", "cdr3_len=long", 78, "A", 0.9, 1)], "family string, condition string, pos int, aa string, confidence double, rank int")
+    found = {r.doc_id: r for r in P.rule_compliance(rows, rules).collect()}
+    assert (found[0].applicable, found[0].obeyed, found[0].compliance) == (2, 2, 1.0)
+    assert found[1].compliance == pytest.approx(0.6) and found[1].violations == "78D"
+    assert (found[2].applicable, found[2].compliance, found[2].violations) == (0, 1.0, "")
+
+
+def test_plans_add_up(spark):
+    families = spark.createDataFrame([("a", 7), ("b", 3), ("c", 1)], "family string, n long")
+    rows = D.generation_plan(families, 101).collect()
+    assert sum(r.wanted for r in rows) == 101 and {r.wanted for r in rows if r.scaffold == "universal"} == {30}
+
+
+def test_naturalness_without_clusters(spark):
+    rows = rows_of(spark, dict(p71="K"), dict(p105="W"))
+    found = P.naturalness(rows, C.pattern_clusters(rows), least=5).collect()
+    assert len(found) == 2 and all(r.best_match == 0 for r in found)
+    none = P.naturalness(rows, C.pattern_clusters(rows).filter("n < 0")).collect()
+    assert {r.z_length for r in none} == {-0.4}  # 13 against 15 with deviation 5
+
+
+def test_cluster_blocks_give_the_same(spark, monkeypatch):
+    rows = rows_of(spark, *[dict(p71="ACDEFGH"[i % 7], p78="KRST"[i % 4]) for i in range(40)])
+    clusters = C.pattern_clusters(rows)
+    whole = sorted(map(tuple, P.cluster_matches(rows, clusters, least=1).collect()))
+    monkeypatch.setattr(P, "MAX_CLUSTERS", 5)
+    assert sorted(map(tuple, P.cluster_matches(rows, clusters, least=1).collect())) == whole
+
+
+def test_weighted_distance_of_batches(spark):
+    import random
+
+    rng = random.Random(1)
+    pairs = [("".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(0, 9))), "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randint(0, 9)))) for _ in range(200)] + [("D", "E")] * 3
+    found = spark.createDataFrame(pairs, "a string, b string").select(G.weighted_identity("a", "b").alias("x")).collect()
+    want = [1 - G.weighted_distance(a, b) / max(len(a), len(b)) if a and b else 0.0 for a, b in pairs]
+    assert [r.x for r in found] == pytest.approx(want)
+
+
+def test_selection_equals_the_walk_over_all(spark):
+    import random
+
+    rng = random.Random(2)
+    pool = [("l", i, rng.choice("abc"), float(rng.randint(0, 20))) for i in range(120)]
+    found = {r.candidate for r in P.repair_selection(spark.createDataFrame(pool, "lead string, candidate long, kind string, score double"), "lead", 20).collect()}
+    most, used, taken, rest = 7, {}, set(), {}
+    for _, c, k, s in sorted(pool, key=lambda x: (x[3], x[1])):
+        if used.get(k, 0) < most and len(taken) < 20:
+            taken.add(c)
+            used[k] = used.get(k, 0) + 1
+    assert found == taken
+
+
 def test_universal_grid(spark):
     frames = ["QVQLVESGGGLVQPGGSLRLSCAASG", "WFRQAPGQGLEAVA", "YYADSVKGRFTISRDNSKNTLYLQMNSLRAEDTAVYYC", "WGQGTLVTVSS"]
     cells = dict(one(spark, A.grid(*[F.lit(x) for x in frames])))
