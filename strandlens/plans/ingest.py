@@ -12,7 +12,7 @@ from strandlens.plans.counting import SEQS, SQL as COUNTED, every, letters_in, s
 from strandlens.plans.designs import scratch
 from strandlens.plans.working import META, PRIORITY
 from strandlens.sources import records as X
-from strandlens.sources.sequences import sequences, table
+from strandlens.sources.sequences import once, sequences, table
 
 LEAST_BASES, LEAST_RESIDUES = 60, 25
 
@@ -20,7 +20,7 @@ LEAST_BASES, LEAST_RESIDUES = 60, 25
 def reads(spark, sf_dir):
     """The documents' letters ACGTN as reads, with marks that filters look at."""
     productive = F.element_at(F.array(*[F.lit(x) for x in ("T", "F", "yes", "TRUE")]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", M.clean_bases(F.coalesce("text", F.lit(""))).alias("sequence"), productive.alias("productive"), F.when(F.col("lang") == "en", "IGH").otherwise("IGK").alias("locus"), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", once(M.clean_bases(F.coalesce("text", F.lit("")))).alias("sequence"), productive.alias("productive"), F.when(F.col("lang") == "en", "IGH").otherwise("IGK").alias("locus"), "source")
 
 
 def read_reasons():
@@ -172,7 +172,7 @@ QUERIES = {
     "K04_run_config": run_config,
     "K05_matrix_file": matrix_file,
     "P12_read_quality": lambda spark, d: reads(spark, d).select("doc_id", read_reasons().alias("reasons")),
-    "F08_translate_reads": lambda spark, d: reads(spark, d).select("doc_id", M.translate_frame(F.col("sequence"), 0).alias("with_x"), M.translate_frame(F.translate("sequence", "N", "A"), 0).alias("with_a")),
+    "F08_translate_reads": lambda spark, d: reads(spark, d).select("doc_id", "sequence", once(F.translate("sequence", "N", "A")).alias("filled")).select("doc_id", M.translate_frame(F.col("sequence"), 0).alias("with_x"), M.translate_frame(F.col("filled"), 0).alias("with_a")),
     "F25_assembled_ids": seq(assembled_ids),
     "I01_reads_to_sequences": translated_reads,
     "I03_production_table": production,
