@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlens.llm import license_scan, mixing, mtree, ordinal, pieces, quality_rules, repeats, secrets, simhash, token_counts
+from strandlens.llm import license_scan, merkle, mixing, mtree, ordinal, packing, pieces, quality_rules, repeats, secrets, simhash, token_counts, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_exact_top_k": mtree.op8_exact_top_k,
     "op9_suffix_array_dedup": repeats.op9_suffix_array_dedup,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_packing": packing.op12_packing,
+    "op13_whitening": whitening.op13_whitening,
 }
-SQL = {"op2_quality_rules": quality_rules.SQL, "op8_exact_top_k": mtree.SQL}
+SQL = {"op2_quality_rules": quality_rules.SQL, "op8_exact_top_k": mtree.SQL, "op11_merkle_manifest": merkle.SQL}
