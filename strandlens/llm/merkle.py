@@ -5,8 +5,8 @@ FAN consecutive nodes become one of the next level until one is left, the group'
 (null first), make the manifest's tree in the same way. Digests are lower-case hex SHA-256 of digests as hex text, end to end.
 
 manifest() writes every inner node once as a row: its own key (tree, level, place), its parent's key, its slot there, and
-its children's digests in order (FAN at most). prove() is a recursive query: from a leaf's row it joins the parent's row, appends the
-siblings, folds the (maybe tampered) digest with them and goes on from the parent, until there is none. So each step joins by
+its children's digests in order (FAN at most). prove() is a recursive query: from a leaf's row it joins the parent's row, appends a
+row with the siblings, folds the (maybe tampered) digest with them and goes on from the parent, until there is none. So each step joins by
 equality on a key that FAN rows of the step before share at most per node below; only the highest nodes are shared by more rows, and
 these are few rows, which Spark broadcasts or splits.
 
@@ -145,32 +145,37 @@ def manifest(rows: DataFrame, group: str = "source", key: str = "doc_id", leaf:
         return parent.otherwise(F.lit(None).cast(NO_KEY)).alias("parent"), slot.cast("int").alias("slot")
 
     nodes = inner.unionByName(over).select(key_of(F.col("tree"), F.col("level"), F.col("place")).alias("node"), *linked(F.col("level")), "digest", "children")
-    linked_leaves = leaves.select(*rows.columns, *linked(0))
+    linked_leaves = leaves.select(*rows.columns, "tree", "place", *linked(0))
     return Manifest(linked_leaves, nodes, roots, found[0] if found else None, tuple(tables))
 
 
 def prove(leaves: DataFrame, nodes: DataFrame, digest: str = "leaf", carry: list[str] | None = None) -> DataFrame:
-    """For each of `leaves` (parent, slot and a digest, maybe a tampered one): `carry`, folded_root, and siblings, the digests met
-    on the way up, from left to right and level by level.
+    """For each of `leaves` (tree, place, parent, slot and a digest, maybe a tampered one): `carry`, folded_root, and siblings, the
+    digests met on the way up, from left to right and level by level.
 
-    The climb is one recursive query over the stored nodes. A recursion has a row for each leaf and level, so the session's limit
-    on such rows (spark.sql.cteRecursionRowLimit) is lifted; the levels are as many as the trees are high.
+    The climb is one recursive query over the stored nodes. A row of it holds the siblings that its step met, as bytes;
+    steps don't read those of earlier ones, so what is shuffled for each leaf and level doesn't grow on the way, and a leaf's rows
+    meet at the end. A recursion has a row for each leaf and level, so the session's limit on such rows
+    (spark.sql.cteRecursionRowLimit) is lifted; the levels are as many as the trees are high.
     """
     spark = leaves.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     names = [f"`{c}`" for c in (carry or [])]
-    lead, own = "".join(f"{c}, " for c in names), "".join(f"c.{c}, " for c in names)
+    kinds = [leaves.schema[c].dataType.simpleString() for c in (carry or [])]
+    lead, none = "".join(f"{c}, " for c in names), "".join(f"CAST(NULL AS {k}), " for k in kinds)
+    first = "".join(f"first({c}, true) AS {c}, " for c in names)
     return spark.sql(
         f"""
         WITH RECURSIVE climb AS (
-          SELECT {lead}parent, slot, `{digest}` AS folded, CAST(array() AS array<string>) AS siblings FROM {{leaves}}
+          SELECT {lead}tree, place, 0 AS step, parent, slot, `{digest}` AS folded, CAST(NULL AS binary) AS met FROM {{leaves}}
           UNION ALL
-          SELECT {own}f.parent, f.slot,
+          SELECT {none}c.tree, c.place, c.step + 1, f.parent, f.slot,
             sha2(concat(array_join(slice(f.children, 1, c.slot), ''), c.folded, array_join(slice(f.children, c.slot + 2, {FAN}), '')), 256),
-            concat(c.siblings, slice(f.children, 1, c.slot), slice(f.children, c.slot + 2, {FAN}))
+            unhex(concat(array_join(slice(f.children, 1, c.slot), ''), array_join(slice(f.children, c.slot + 2, {FAN}), '')))
           FROM climb c JOIN {{nodes}} f ON c.parent.tree = f.node.tree AND c.parent.level = f.node.level AND c.parent.place = f.node.place
-        )
-        SELECT {lead}folded AS folded_root, siblings FROM climb WHERE parent IS NULL
+        ),
+        path AS (SELECT {first}max_by(folded, step) AS folded_root, lower(array_join(transform(array_sort(collect_list(struct(step, met))), x -> hex(x.met)), '')) AS met FROM climb GROUP BY tree, place)
+        SELECT {lead}folded_root, CASE WHEN met = '' THEN CAST(array() AS array<string>) ELSE transform(sequence(0, length(met) DIV 64 - 1), i -> substr(met, i * 64 + 1, 64)) END AS siblings FROM path
         """,
         leaves=leaves,
         nodes=nodes.select("node", "parent", "slot", "children"),
