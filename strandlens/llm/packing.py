@@ -2,7 +2,7 @@
 
 Each text is encoded and closed by the id END; the texts of a partition, in its order, are one stream. A sequence is a window
 of the stream of at most `length` tokens. Windows are cut at ends of documents (free), at ends of sentences (SENTENCE
-tokens of penalty) and, where neither comes within GAP tokens, after each GAP (ANYWHERE). The cost of a plan is its padding,
+tokens of penalty; the last one of each NEAR tokens) and, where neither comes within GAP tokens, after each GAP (ANYWHERE). The cost of a plan is its padding,
 its penalties and START for each sequence; a sequence is padded to `length` unless its size is a power of two.
 With best(j) for the cheapest plan that cuts at candidate j, and places p:
 
@@ -35,10 +35,11 @@ from strandlens.llm import text as tx
 from strandlens.llm.store import table
 
 LENGTH, END = 4096, 2
-#: Penalties in tokens: of a sequence, of a cut at a sentence's end, and of one elsewhere. Tokens without a place to cut at most.
-START, SENTENCE, ANYWHERE, GAP = 16, 16, 64, 256
-#: Tokens that are planned at a time; words that the encoder keeps.
-BLOCK, MEMO = 1 << 20, 1 << 18
+#: Penalties in tokens: of a sequence, of a cut at a sentence's end, and of one elsewhere. Tokens without a place to cut at most,
+#: and tokens for which one sentence's end is enough.
+START, SENTENCE, ANYWHERE, GAP, NEAR = 16, 16, 64, 256, 16
+#: Tokens that are planned at a time; words, and cuts of words, that the encoder keeps.
+BLOCK, MEMO, PARTS = 1 << 20, 1 << 18, 1 << 19
 
 
 def default_model() -> str:
@@ -47,48 +48,79 @@ def default_model() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Table:
+    """Id lists by key: the ids of number i are ids[at[i]:at[i + 1]]."""
+
+    def __init__(self, key, ids: list[int]):
+        self.number, self.ids, self.at = {key: 0}, np.array(ids, np.int32), np.array([0, len(ids)], np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def get(self, keys: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys' ids end to end, where each key's end, and the keys' numbers."""
+        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        sizes = self.at[number + 1] - self.at[number]
+        stop = np.cumsum(sizes)
+        return self.ids[np.repeat(self.at[number] - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)], stop, number
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own: it never joins what ASCII white space parts, so words are encoded once."""
+    """Ids of whole texts, equal to the tokenizer's own. It never joins what ASCII white space parts, so words are encoded
+    once; a new word of plain letters and signs is cut as the tokenizer cuts it, and only cuts that are new too go to the library."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.library = Tokenizer.from_file(path)
-        ends = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.closes = np.zeros(max(self.library.get_vocab().values()) + 1, bool)  # ids that end a cut
+        self.ends = np.zeros(len(self.closes), bool)  # those that end a sentence
         for piece, number in self.library.get_vocab().items():
-            word = piece.removesuffix("</w>").rstrip("\"')]")
-            ends[number] = piece.endswith("</w>") and word[-1:] in (".", "!", "?")
-        self.ends = ends
-        self.forget()
-
-    def forget(self) -> None:
-        #: word -> its number; a word's ids are self.ids[self.at[number]:self.at[number + 1]]. White space alone is no word: the end of a text.
-        self.memo, self.ids, self.at = {b"\n": 0}, np.array([END], np.int32), np.array([0, 1], np.int64)
+            self.closes[number] = piece.endswith("</w>")
+            self.ends[number] = self.closes[number] and piece.removesuffix("</w>").rstrip("\"')]")[-1:] in (".", "!", "?")
+        #: Words that lower-casing and normal forms treat letter by letter, and that hold no special token; the cuts of such words.
+        self.plain = regex.compile(r"(?!.*<\|)[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+        self.cuts = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        # white space alone is no word: in words it stands for a text's end, in cuts for a word's
+        self.words, self.parts = Table(b"\n", [END]), Table("\n", [])
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        found = [x.ids for x in self.library.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
-        self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)])
+        given = [x.decode("utf-8", "replace") for x in new]
+        odd = [i for i, x in enumerate(given) if not (x.isascii() and x.isprintable() and "<|" not in x or self.plain(x))]
+        self.words.add([new[i] for i in odd], *self._by_library([given[i] for i in odd]))
+        left = set(odd)
+        plain = [i for i in range(len(new)) if i not in left]
+        parts = self.cuts("".join([given[i] + "\n" for i in plain]).lower())
+        fresh = list(set(parts).difference(self.parts.number))
+        if fresh:
+            ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, np.int64)
+            self.parts.add(fresh, ids, np.diff(np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])))
+        ids, stop, number = self.parts.get(parts)
+        self.words.add([new[i] for i in plain], ids, np.diff(np.concatenate([[0], stop[number == 0]])))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END, end to end, and the number of each text's."""
-        if len(self.memo) > MEMO:
-            self.forget()
+        if len(self.words.number) > MEMO:
+            self.words = Table(b"\n", [END])
+        if len(self.parts.number) > PARTS:
+            self.parts = Table("\n", [])
         words: list[bytes] = []
         for text in texts:
             words += text.split()
             words.append(b"\n")
-        new = set(words).difference(self.memo)
+        new = set(words).difference(self.words.number)
         if new:
             self._learn(list(new))
-        number = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        sizes = self.at[number + 1] - self.at[number]
-        stop = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[number] - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        last = stop[number == 0]
-        return ids, np.diff(np.concatenate([[0], last]))
+        ids, stop, number = self.words.get(words)
+        return ids, np.diff(np.concatenate([[0], stop[number == 0]]))
 
 
 @cache
@@ -98,6 +130,7 @@ def loaded(path: str) -> Encoder:
 
 def candidates(stops: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of a stream where it may be cut, from 0 to its end, and their penalties. `stops`: where its documents end."""
+    sentences = sentences[np.append(np.diff(sentences // NEAR) > 0, True)[: len(sentences)]]
     place = np.union1d(np.union1d(stops, sentences), [0])
     room = np.diff(place)
     more = (room - 1) // GAP
@@ -213,7 +246,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str |
                 yield stream.pack(encoder.ends, False)
         if stream.keys:
             yield stream.pack(encoder.ends, True)
-        encoder.forget()  # the worker may do other work next
 
     return docs.select(F.col(key).cast("long").alias("__key"), F.col(text).cast("string").alias("__text")).mapInArrow(run, PIECES)
 

@@ -99,6 +99,7 @@ def test_ids_equal_the_library_s(monkeypatch):
     texts = [t or "" for t in awkward()] + ["It's don't WE'LL  <|endoftext|> a<|startoftext|>b", "Café café ﬁ İstanbul ΣΑΣ", "a b c　d \x1c e\x85f", "٣½ 12.5%...?!", " ́x á e ́"]
     for memo in (packing.MEMO, 20):
         monkeypatch.setattr(packing, "MEMO", memo)
+        monkeypatch.setattr(packing, "PARTS", memo)
         encoder = packing.Encoder(packing.default_model())
         for part in (texts[:8], texts[8:], texts):
             ids, sizes = encoder.encode([t.encode() for t in part])
