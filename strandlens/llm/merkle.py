@@ -8,7 +8,7 @@ manifest() writes every inner node once as a row: its own key (tree, level, plac
 its children's digests in order (FAN at most). prove() is a recursive query: from a leaf's row it joins the parent's row, appends a
 row with the siblings, folds the (maybe tampered) digest with them and goes on from the parent, until there is none. So each step joins by
 equality on a key that FAN rows of the step before share at most per node below; only the highest nodes are shared by more rows, and
-these are few rows, which Spark broadcasts or splits.
+these are few rows, which Spark splits. Up to BROADCAST_NODES inner nodes are broadcast instead.
 
 Places are numbered without a window over a group, which may hold a third of all rows: rows are sorted by ranges,
 and a row's place is its place in its range plus the rows of its group in the ranges before (`placed`).
@@ -32,6 +32,8 @@ FAN = 16
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: The number of the tree above the groups' trees.
 TOP = -1
+#: Inner nodes (about 1.1 kB each) that are broadcast at most; more are joined by shuffles, with the same result.
+BROADCAST_NODES = 1 << 16
 
 
 def digest(fields: list[Column]) -> Column:
@@ -160,6 +162,8 @@ def prove(leaves: DataFrame, nodes: DataFrame, digest: str = "leaf", carry: list
     """
     spark = leaves.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    nodes = nodes.select("node", "parent", "slot", "children")
+    nodes = F.broadcast(nodes) if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else nodes
     names = [f"`{c}`" for c in (carry or [])]
     kinds = [leaves.schema[c].dataType.simpleString() for c in (carry or [])]
     lead, none = "".join(f"{c}, " for c in names), "".join(f"CAST(NULL AS {k}), " for k in kinds)
@@ -178,7 +182,7 @@ def prove(leaves: DataFrame, nodes: DataFrame, digest: str = "leaf", carry: list
         SELECT {lead}folded_root, CASE WHEN met = '' THEN CAST(array() AS array<string>) ELSE transform(sequence(0, length(met) DIV 64 - 1), i -> substr(met, i * 64 + 1, 64)) END AS siblings FROM path
         """,
         leaves=leaves,
-        nodes=nodes.select("node", "parent", "slot", "children"),
+        nodes=nodes,
     )
 
 
