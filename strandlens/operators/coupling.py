@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandlens.functions import residues as R
 from strandlens.operators.counts import features
-from strandlens.sources.sequences import long_residues, valid
+from strandlens.operators.gram import shared_bits, value_blocks, value_statistics
 
 
 def pairs_of(places: list[int]):
-    """An array of (pos1, pos2, aa1, aa2) over all pairs of places, taken from the row itself."""
+    """An array of (pos1, pos2, aa1, aa2) over all pairs of a few places, taken from the row itself."""
     return F.array(*[F.struct(F.lit(a).alias("pos1"), F.lit(b).alias("pos2"), R.residue("v", a).alias("aa1"), R.residue("v", b).alias("aa2")) for i, a in enumerate(places) for b in places[i + 1 :]])
 
 
@@ -21,23 +21,20 @@ def pair_type(pos1, pos2):
     return F.when(loop(pos1) & loop(pos2), "CDR-CDR").when(loop(pos1) | loop(pos2), "FR-CDR").otherwise("FR-FR")
 
 
-def mutual_information(rows: DataFrame, places: list[int], top: int | None = None, rate: int | None = None, normalised: bool = False) -> DataFrame:
+def mutual_information(rows: DataFrame, places: list[int], top: int | None = None, rate: int | None = None, normalised: bool = False, least: int = 1) -> DataFrame:
     """Bits that two positions share, gaps counted as a symbol. `rate` keeps that many keys in a million; normalised leaves
-    pairs with a gap out, and adds mi / larger entropy and the kind of pair."""
+    pairs with a gap out, and adds mi / larger entropy, the kind of pair and whether its framework position is a vernier one.
+    Pairs of fewer than `least` rows are left out."""
     if rate is not None:
         rows = rows.filter(R.sample_key(F.col("doc_id")) < rate)
-    joint = rows.select(F.explode(pairs_of(places)).alias("x")).select("x.*").groupBy("pos1", "pos2", "aa1", "aa2").agg(F.count(F.lit(1)).alias("n"))
+    out = shared_bits(rows, places, gaps=not normalised).filter(F.col("n") >= least)
+    more = []
     if normalised:
-        joint = joint.filter("aa1 <> '-' AND aa2 <> '-'")
-    pair = Window.partitionBy("pos1", "pos2")
-    out = joint.withColumns({"total": F.sum("n").over(pair), "n1": F.sum("n").over(Window.partitionBy("pos1", "pos2", "aa1")), "n2": F.sum("n").over(Window.partitionBy("pos1", "pos2", "aa2"))})
-    one = F.lit(1.0)
-    bits = F.sum(F.col("n") * one / F.col("total") * F.log2(F.col("n") * one * F.col("total") / (F.col("n1") * F.col("n2"))))
-    # each row of the joint table carries its share of the marginal entropies
-    h1 = -F.sum(F.col("n") * one / F.col("total") * F.log2(F.col("n1") * one / F.col("total")))
-    h2 = -F.sum(F.col("n") * one / F.col("total") * F.log2(F.col("n2") * one / F.col("total")))
-    out = out.groupBy("pos1", "pos2").agg(F.round(bits, 6).alias("mi"), F.max("total").alias("n"), F.round(F.greatest(h1, h2), 6).alias("h"), F.round(bits / F.when(F.greatest(h1, h2) > 0, F.greatest(h1, h2)), 6).alias("nmi"))
-    out = out.select("pos1", "pos2", "n", "mi", *(["nmi", pair_type(F.col("pos1"), F.col("pos2")).alias("kind")] if normalised else []))
+        loop = lambda p: p.between(27, 38) | p.between(56, 65) | p.between(105, 117)
+        frame = F.when(loop(F.col("pos1")), F.col("pos2")).otherwise(F.col("pos1"))
+        nmi = F.round(F.col("mi") / F.when(F.col("h") > 0, F.col("h")), 6) + 0.0
+        more = [nmi.alias("nmi"), pair_type(F.col("pos1"), F.col("pos2")).alias("kind"), (frame.isin(R.VERNIER) & ~loop(frame)).alias("vernier")]
+    out = out.select("pos1", "pos2", "n", (F.round("mi", 6) + 0.0).alias("mi"), *more)
     return out.orderBy(F.desc("mi"), "pos1", "pos2").limit(top) if top else out
 
 
@@ -108,15 +105,18 @@ def loop_features() -> dict:
 FEATURE_NAMES = [f"{k}_{x}" for k in ("cdr1", "cdr2", "cdr3") for x in ("length", "charge", "hydro", "aromatic", "cys", "volume", "beta")] + ["total_charge"]
 
 
+#: Percentiles that compensation() tells.
+SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
 def compensation(rows: DataFrame, places: list[int], least: int = 10) -> DataFrame:
-    """Feature statistics for each family, position and residue, of positions with two such residues or more."""
-    base = long_residues(rows.withColumns(loop_features()), places, ["family", *FEATURE_NAMES]).filter(valid())
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for k in FEATURE_NAMES:
-        aggs += [F.avg(k).alias(f"{k}_mean"), F.round(F.stddev_pop(k), 6).alias(f"{k}_std"), F.min(k).alias(f"{k}_min"), F.max(k).alias(f"{k}_max")]
-        aggs += [F.round(F.percentile(k, p), 6).alias(f"{k}_p{int(p * 100)}") for p in (0.05, 0.5, 0.95)]
-    out = base.groupBy("family", "pos", "aa").agg(*aggs).filter(F.col("n") >= least)
-    return out.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("family", "pos"))).filter("kinds >= 2")
+    """Feature statistics for each family, position and residue, of positions with two such residues or more, from exact
+    histograms of the features' values."""
+    blocks = value_blocks(rows.withColumns(loop_features()), places, FEATURE_NAMES)
+    out = value_statistics(blocks, FEATURE_NAMES, SHARES, least)
+    rounded = [F.round(f"{k}_{x}", 6).alias(f"{k}_{x}") for k in FEATURE_NAMES for x in ("std", *[f"p{round(100 * p)}" for p in SHARES])]
+    plain = ["family", "pos", "aa", "n", *[f"{k}_{x}" for k in FEATURE_NAMES for x in ("mean", "min", "max")]]
+    return out.select(*plain, *rounded).withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("family", "pos"))).filter("kinds >= 2")
 
 
 #: Differences of mean features from which residues count as compensating.

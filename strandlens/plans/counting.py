@@ -45,7 +45,7 @@ CHARGES = ", ".join(f"({letters_in(f'substr(v, {a}, {b - a + 1})', 'KRH')} - {le
 SOME = [42, 49, 50, 52, 71, 78, 94]
 #: Three residues at each end of each loop, and what they are associated with.
 LEFTS, RIGHTS = [27, 28, 29, 36, 37, 38, 56, 57, 58, 63, 64, 65, 105, 106, 107, 115, 116, 117], [*R.VERNIER, 118]
-PAIRED = [*R.VERNIER, 105, 110, 117]
+EVERY, FRAMEWORK = list(range(1, 129)), [p for k, (a, b) in R.REGIONS.items() if k.startswith("fr") for p in range(a, b + 1)]
 
 
 def association_sql(name: str, by: str, least: int, source: str = "s") -> str:
@@ -61,6 +61,9 @@ m AS (SELECT *, sum(n) OVER (PARTITION BY pos1, pos2) AS t, sum(n) OVER (PARTITI
 i AS (SELECT pos1, pos2, max(t)::BIGINT AS n, sum(n * 1.0::DOUBLE / t * log2(n * 1.0::DOUBLE * t / (n1 * n2))) AS mi, greatest(-sum(n * 1.0::DOUBLE / t * log2(n1 * 1.0::DOUBLE / t)), -sum(n * 1.0::DOUBLE / t * log2(n2 * 1.0::DOUBLE / t))) AS h FROM m GROUP BY pos1, pos2)"""
 
 
+IN_LOOP = "({0} BETWEEN 27 AND 38 OR {0} BETWEEN 56 AND 65 OR {0} BETWEEN 105 AND 117)"
+
+
 def corr_sql(x: str, y: str) -> str:
     return f"round(corr({x}::DOUBLE, {y}::DOUBLE), 6)"
 
@@ -91,8 +94,8 @@ def feature_sql() -> str:
     return ", ".join([*out, f"({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS total_charge"])
 
 
-COMPENSATION = f"""h AS (SELECT family, v, {feature_sql()} FROM s), {long_sql('l', 'family, ' + ', '.join(K.FEATURE_NAMES), SOME, 'h')},
-c AS (SELECT *, count(*) OVER (PARTITION BY family, pos) AS kinds FROM (SELECT family, pos, aa, count(*) AS n, {', '.join(f'avg({k}) AS {k}_mean, round(stddev_pop({k}), 6) AS {k}_std, min({k}) AS {k}_min, max({k}) AS {k}_max, ' + ', '.join(f'round(quantile_cont({k}, {q}), 6) AS {k}_p{int(q * 100)}' for q in (0.05, 0.5, 0.95)) for k in K.FEATURE_NAMES)} FROM l GROUP BY ALL) WHERE n >= 10)"""
+COMPENSATION = f"""h AS (SELECT family, v, {feature_sql()} FROM s), {long_sql('l', 'family, ' + ', '.join(K.FEATURE_NAMES), FRAMEWORK, 'h')},
+c AS (SELECT *, count(*) OVER (PARTITION BY family, pos) AS kinds FROM (SELECT family, pos, aa, count(*) AS n, {', '.join(f'avg({k}) AS {k}_mean, round(stddev_pop({k}), 6) AS {k}_std, min({k}) AS {k}_min, max({k}) AS {k}_max, ' + ', '.join(f'round(quantile_cont({k}, {q}), 6) AS {k}_p{round(q * 100)}' for q in K.SHARES) for k in K.FEATURE_NAMES)} FROM l GROUP BY ALL) WHERE n >= 10)"""
 
 
 def archetype_sql(by: str, top: int, least: int = 10) -> str:
@@ -125,13 +128,13 @@ QUERIES = {
     "A07_cdr_statistics": seq(C.cdr_statistics),
     "A08_pattern_clusters": seq(C.pattern_clusters),
     "A09_mixed_clusters": seq(C.mixed_clusters),
-    "A10_mutual_information": seq(lambda s: K.mutual_information(s, PAIRED, top=20)),
-    "A11_normalised_information": seq(lambda s: K.mutual_information(s, PAIRED, normalised=True)),
+    "A10_mutual_information": seq(lambda s: K.mutual_information(s, EVERY, top=20)),
+    "A11_normalised_information": seq(lambda s: K.mutual_information(s, EVERY, normalised=True, least=1000)),
     "A12_triplet_rules": seq(C.triplet_rules),
     "A13_pair_rules": seq(lambda s: C.pair_rules(s, [(42, 49), (49, 50), (50, 52), (66, 71), (78, 94)])),
     "A14_hallmark_profiles": seq(lambda s: C.archetypes(s, "hallmarks", least=3, second=True)),
-    "A15_compensation": seq(lambda s: K.compensation(s, SOME)),
-    "A16_compensation_effects": seq(lambda s: K.compensation_effects(K.compensation(s, SOME))),
+    "A15_compensation": seq(lambda s: K.compensation(s, FRAMEWORK)),
+    "A16_compensation_effects": seq(lambda s: K.compensation_effects(K.compensation(s, FRAMEWORK))),
     "A17_envelopes": seq(lambda s: C.envelopes(C.pattern_clusters(s))),
     "A18_associations": seq(lambda s: K.associations(s, LEFTS, RIGHTS)),
     "A19_junctions": seq(K.junctions),
@@ -171,8 +174,8 @@ SELECT c AS condition, pos, aa, support, confidence, confidence / baseline AS li
     "A09_mixed_clusters": with_(f"""p AS (SELECT *, {' || '.join(f'substr(v, {p}, 1)' for p in [*R.HALLMARKS, 71, 78, 94])} AS pattern FROM s),
 f AS (SELECT pattern, string_agg(family || ':' || n, ',' ORDER BY family || ':' || n) AS families FROM (SELECT pattern, family, count(*) AS n FROM p GROUP BY ALL) GROUP BY 1)
 SELECT pattern, count(*) AS n, {', '.join(f'round(quantile_cont(charge, {q}), 6) AS charge_p{int(q * 100)}' for q in (0.05, 0.25, 0.5, 0.75, 0.95))}, avg((n_cys > 0)::INT) AS with_cys, any_value(families) AS families FROM p JOIN f USING (pattern) GROUP BY pattern HAVING count(*) >= 3"""),
-    "A10_mutual_information": with_(pairs_sql(PAIRED) + " SELECT pos1, pos2, n, round(mi, 6) AS mi FROM i ORDER BY round(mi, 6) DESC, pos1, pos2 LIMIT 20"),
-    "A11_normalised_information": with_(pairs_sql(PAIRED, False) + " SELECT pos1, pos2, n, round(mi, 6) AS mi, round(mi / nullif(h, 0), 6) AS nmi, CASE WHEN pos1 >= 105 AND pos2 BETWEEN 105 AND 117 THEN 'CDR-CDR' WHEN pos2 BETWEEN 105 AND 117 THEN 'FR-CDR' ELSE 'FR-FR' END AS kind FROM i"),
+    "A10_mutual_information": with_(pairs_sql(EVERY) + " SELECT pos1, pos2, n, round(mi, 6) + 0.0::DOUBLE AS mi FROM i ORDER BY round(mi, 6) DESC, pos1, pos2 LIMIT 20"),
+    "A11_normalised_information": with_(pairs_sql(EVERY, False) + f", k AS (SELECT *, {IN_LOOP.format('pos1')} AS l1, {IN_LOOP.format('pos2')} AS l2 FROM i WHERE n >= 1000) SELECT pos1, pos2, n, round(mi, 6) + 0.0::DOUBLE AS mi, round(mi / nullif(h, 0), 6) + 0.0::DOUBLE AS nmi, CASE WHEN l1 AND l2 THEN 'CDR-CDR' WHEN l1 OR l2 THEN 'FR-CDR' ELSE 'FR-FR' END AS kind, CASE WHEN l1 THEN pos2 ELSE pos1 END IN ({', '.join(map(str, R.VERNIER))}) AS vernier FROM k"),
     "A12_triplet_rules": with_("""k AS (SELECT family, right(cdr3, 3) AS lhs, substr(v, 118, 3) AS rhs, count(*) AS support FROM s WHERE length(cdr3) >= 3 GROUP BY ALL),
 q AS (SELECT *, sum(support) OVER (PARTITION BY family, lhs)::BIGINT AS n_lhs, sum(support) OVER (PARTITION BY family, rhs) AS n_rhs, sum(support) OVER (PARTITION BY family) AS n_family, row_number() OVER (PARTITION BY family, lhs ORDER BY support DESC, rhs) AS rk FROM k)
 SELECT family, lhs, rhs, support, n_lhs, support * 1.0::DOUBLE / n_lhs AS confidence, (support * 1.0::DOUBLE / n_lhs) / (n_rhs * 1.0::DOUBLE / n_family) AS lift FROM q WHERE rk = 1 AND n_lhs >= 3 AND support * 1.0::DOUBLE / n_lhs >= 0.5"""),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
 from strandlens.operators import candidates as Q, counts as C, coupling as K, design as D, merge as M, models as L, score as P, search as G
-from strandlens.plans.counting import FAMILY, LEFTS, RIGHTS, SEQS, SOME, SQL as COUNTED, TOKENS, archetype_sql, association_sql, letters_in, long_sql, pairs_sql, seq, with_
+from strandlens.plans.counting import EVERY, FAMILY, LEFTS, RIGHTS, SEQS, SOME, SQL as COUNTED, TOKENS, archetype_sql, association_sql, letters_in, long_sql, pairs_sql, seq, with_
 from strandlens.plans.designs import FR1, FR2, FR3, FR4, spliced
 from strandlens.plans.ingest import BASES, BEST, frames_sql, heuristic_sql
 from strandlens.plans.working import H, HITS, META, searched
@@ -137,7 +137,7 @@ QUERIES = {
     "T03_ruled_hits": ruled_hits,
     "G05_annotated_coverage": annotated_coverage,
     "U04_rule_merge": seq(lambda s: M.merge_rules(D.convert_rules(C.rules(s)).select("pos", "aa").distinct(), C.rules(s, mode="all", min_confidence=0.5).select("pos", "aa").distinct())),
-    "M03_capped_information": seq(lambda s: K.mutual_information(s, SOME, rate=500_000)),
+    "M03_capped_information": seq(lambda s: K.mutual_information(s, EVERY, rate=500_000)),
     "M04_capped_sample": seq(lambda s: X.capped_sample(s.select("doc_id", R.residue("v", 71).alias("aa")), ["aa"], "doc_id", 20)),
     "D03_family_probability": seq(lambda s: Q.family_terms(s, C.archetypes(s)).select("doc_id", "family", F.round("probability", 9).alias("probability"))),
     "D05_rule_naturalness": seq(lambda s: Q.naturalness_by_rules(s, C.archetypes(s), C.rules(s))),
@@ -262,7 +262,7 @@ SELECT doc_id, pos, aa, partner, wanted, CASE WHEN own = wanted THEN 'present' W
     "T03_ruled_hits": with_(HITS + " " + " UNION ALL ".join([ranked_hits("cdr3", "i3"), ranked_hits("cdr1", "i1"), ranked_hits("cdr1+cdr2+cdr3", weighted_sql({1: 0.2, 2: 0.3, 3: 0.5}))])),
     "G05_annotated_coverage": with_(HITS + ", n AS (SELECT length(replace(v, '-', '')) AS n FROM s WHERE text_id IN (SELECT doc_id FROM labels WHERE quality = 1)) SELECT query_id, " + ", ".join(f"(SELECT count(*) FROM n WHERE abs(n - length(replace(qv, '-', ''))) <= {w}) AS within_{w}" for w in (1, 2, 3, 5)) + " FROM q"),
     "U04_rule_merge": f"WITH a AS (SELECT DISTINCT pos, aa FROM ({COUNTED['A01_rule_mining']}) WHERE confidence * 100 >= 70), b AS (SELECT DISTINCT pos, aa FROM (" + COUNTED["A01_rule_mining"].replace("confidence >= 0.7", "confidence >= 0.5").replace(str(R.positions("fr3fr4")), str(R.positions("all"))) + ")) SELECT pos, aa FROM a UNION ALL SELECT pos, aa FROM b WHERE (pos, aa) NOT IN (SELECT (pos, aa) FROM a)",
-    "M03_capped_information": SEQS.replace("s AS (SELECT *, CASE", "s9 AS (SELECT *, CASE") + ", s AS (SELECT * FROM s9 WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1000000 < 500000),\n" + pairs_sql(SOME) + " SELECT pos1, pos2, n, round(mi, 6) AS mi FROM i",
+    "M03_capped_information": SEQS.replace("s AS (SELECT *, CASE", "s9 AS (SELECT *, CASE") + ", s AS (SELECT * FROM s9 WHERE ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1000000 < 500000),\n" + pairs_sql(EVERY) + " SELECT pos1, pos2, n, round(mi, 6) + 0.0::DOUBLE AS mi FROM i",
     "M04_capped_sample": SEQS + " SELECT doc_id, aa FROM (SELECT doc_id, substr(v, 71, 1) AS aa, row_number() OVER (PARTITION BY substr(v, 71, 1) ORDER BY md5(doc_id::VARCHAR), doc_id) AS rk FROM s) WHERE rk <= 20",
     "D03_family_probability": with_(TERMS + " SELECT doc_id, family, round(probability, 9) AS probability FROM ft"),
     "D05_rule_naturalness": with_(f"""{APPLIED}, {TERMS}, co AS (SELECT doc_id, family, sum(CASE WHEN obeyed THEN confidence ELSE 0 END) / sum(confidence) AS compliance FROM app GROUP BY 1, 2),

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlens.functions import residues as R
-from strandlens.operators import counts as C, coupling as K, merge as M, score as D, search as G
+from strandlens.operators import counts as C, coupling as K, merge as M, score as D, search as G, segments as N
 from strandlens.plans.counting import CLUSTERS, SEQS, archetype_sql, every, letters_in, seq, with_
 from strandlens.sources import sequences as S
-from strandlens.sources.sequences import all_sequences, complete, sequences, table
+from strandlens.sources.sequences import STEP, all_sequences, complete, sequences, table
 
 PRIORITY = {"src0": 3, "src1": 2, "src2": 1}
 CDR3 = "cdr3"
 CUT = {"cdr1": 0.2, "cdr2": 0.2, "cdr3": 0.2}
+#: Thresholds that few rows reach, as a search for relatives has them: what the segment index is for.
+CLOSE = {"cdr1": 0.7, "cdr2": 0.7, "cdr3": 0.7}
 
 
 def searched(spark, sf_dir):
@@ -86,7 +88,14 @@ def tagged(s):
 
 
 def hits(spark, sf_dir):
-    return G.region_hits(searched(spark, sf_dir)[0], CUT)
+    return N.search(G.regions(sequences(spark, sf_dir)), G.queries(table(spark, sf_dir, "benchmark")), CUT)
+
+
+def relatives(spark, sf_dir, cut):
+    """Hits of the sequences of every twentieth text among those of all other texts."""
+    rows = sequences(spark, sf_dir)
+    asked = rows.filter("text_id % 20 = 0").select(F.col("doc_id").alias("query_id"), *[R.region("v", k).alias(f"q_{k}") for k in cut])
+    return N.search(G.regions(rows), asked, cut).filter(F.floor(F.col("query_id") / STEP) != F.floor(F.col("doc_id") / STEP))
 
 
 def candidates(spark, sf_dir):
@@ -145,6 +154,8 @@ QUERIES = {
     "A28_metadata_coverage": lambda spark, d: M.metadata_coverage(metadata(spark, d), "source", ["targets", "patent_id", "organism"]),
     "I02_best_frame": lambda spark, d: M.best_frame(frames(spark, d), "doc_id"),
     "G01_region_search": hits,
+    "G01_close_search": lambda spark, d: relatives(spark, d, CLOSE),
+    "J06_close_pairs": lambda spark, d: relatives(spark, d, {"cdr3": CLOSE["cdr3"]}).select("query_id", "doc_id", "id_cdr3"),
     "G02_threshold_advice": lambda spark, d: G.threshold_advice(searched(spark, d)[0]),
     "G03_threshold_grid": lambda spark, d: G.threshold_grid(searched(spark, d)[0], [0.1, 0.2, 0.3], 100),
     "G04_best_hits": lambda spark, d: G.best_hits(searched(spark, d)[0]),
@@ -168,6 +179,8 @@ HITS = f"""q0 AS (SELECT item_id, regexp_extract_all(translate(regexp_replace(up
 q AS (SELECT query_id, rpad(w, 128, '-') AS qv FROM (SELECT item_id * 1000000 + unnest(range(0, len(ws))) AS query_id, unnest(ws) AS w FROM q0) WHERE length(w) >= 117),
 pairs AS (SELECT query_id, doc_id, source, family, v, qv, substr(v, 27, 12) AS cdr1, substr(v, 56, 10) AS cdr2, cdr3, substr(qv, 27, 12) AS q1, substr(qv, 56, 10) AS q2, substr(qv, 105, 13) AS q3 FROM s, q WHERE abs(length(cdr3) - length(substr(qv, 105, 13))) <= 3),
 ids AS (SELECT *, {', '.join(f"CASE WHEN length(cdr{k}) = 0 OR length(q{k}) = 0 THEN 0.0::DOUBLE ELSE 1 - levenshtein(cdr{k}, q{k}) / greatest(length(cdr{k}), length(q{k}))::DOUBLE END AS i{k}" for k in (1, 2, 3))} FROM pairs)"""
+#: As HITS, for every twentieth text's sequences and those of other texts.
+RELATED = "pairs AS (SELECT b.doc_id AS query_id, a.doc_id, a.source, a.family, substr(a.v, 27, 12) AS cdr1, substr(a.v, 56, 10) AS cdr2, a.cdr3, substr(b.v, 27, 12) AS q1, substr(b.v, 56, 10) AS q2, b.cdr3 AS q3 FROM s a JOIN s b ON b.text_id % 20 = 0 AND a.text_id <> b.text_id AND abs(length(a.cdr3) - length(b.cdr3)) <= 3)" + HITS[HITS.index(",\nids AS") :]
 META = """m AS (SELECT s.doc_id, source, v, CASE WHEN quality = 1 THEN 'q' ELSE '' END AS targets, CASE WHEN toxic = 1 THEN 't' ELSE '' END AS patent_id, CASE WHEN lang = 'en' THEN '' ELSE lang END AS organism FROM s LEFT JOIN (SELECT doc_id AS text_id, quality, toxic FROM labels) USING (text_id))"""
 MATCHES = f"""d AS (SELECT doc_id, p.i, substr(v, p.pos, 1) AS aa FROM s, (SELECT unnest({R.VERNIER}) AS pos, generate_subscripts({R.VERNIER}, 1) AS i) p),
 cl AS (SELECT family, pattern, n, x.i, substr(pattern, x.i::INTEGER, 1) AS aa FROM c, range(1, {len(R.VERNIER) + 1}) x(i) WHERE n >= {LEAST}),
@@ -232,6 +245,8 @@ CASE WHEN {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q') AND {H[3]} = 'R' AND {H[
     "W02_best_duplicate": with_(META + ", r AS (SELECT *, ((targets <> '')::INT * 20 + (patent_id <> '')::INT * 10 + (organism <> '')::INT * 5 + CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src2' THEN 1 ELSE 0 END)::INTEGER AS score FROM m) SELECT doc_id, v, score FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY score DESC, doc_id) AS rk FROM r) WHERE rk = 1"),
     "A28_metadata_coverage": with_(META + " SELECT source, count(*) AS n, avg((targets <> '')::INT) AS targets_share, avg((patent_id <> '')::INT) AS patent_id_share, avg((organism <> '')::INT) AS organism_share FROM m GROUP BY 1"),
     "G01_region_search": with_(HITS + " SELECT query_id, doc_id, source, family, i1 AS id_cdr1, i2 AS id_cdr2, i3 AS id_cdr3, (0.0::DOUBLE + i1 + i2 + i3) / 3 AS identity FROM ids WHERE i1 >= 0.2 AND i2 >= 0.2 AND i3 >= 0.2"),
+    "G01_close_search": with_(RELATED + " SELECT query_id, doc_id, source, family, i1 AS id_cdr1, i2 AS id_cdr2, i3 AS id_cdr3, (0.0::DOUBLE + i1 + i2 + i3) / 3 AS identity FROM ids WHERE i1 >= 0.7 AND i2 >= 0.7 AND i3 >= 0.7"),
+    "J06_close_pairs": with_(RELATED + " SELECT query_id, doc_id, i3 AS id_cdr3 FROM ids WHERE i3 >= 0.7"),
     "G02_threshold_advice": with_(HITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i3 DESC, doc_id) AS rk FROM ids) SELECT query_id, count(*)::BIGINT AS n, max(i3) AS most, " + ", ".join(f"round(quantile_cont(i3, {p}), 9) AS p{int(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95)) + ", max(CASE WHEN rk = 20 THEN i3 END) AS threshold FROM r GROUP BY 1"),
     "G03_threshold_grid": with_(HITS + ", t AS (SELECT unnest([0.1, 0.2, 0.3])::DOUBLE AS t), x AS (SELECT floor(i1 * 100) AS a, floor(i2 * 100) AS b, floor(i3 * 100) AS c FROM ids), k AS (SELECT t1.t AS t1, t2.t AS t2, t3.t AS t3, (SELECT count(*) FROM x WHERE a >= t1.t * 100 AND b >= t2.t * 100 AND c >= t3.t * 100) AS matches FROM t t1, t t2, t t3) SELECT *, abs(matches - 100) AS off FROM k"),
     "G04_best_hits": with_(HITS + ", w AS (SELECT query_id, doc_id, family, coalesce((0.0::DOUBLE + CASE WHEN i1 > 0 THEN i1 * 0.2::DOUBLE ELSE 0 END + CASE WHEN i2 > 0 THEN i2 * 0.3::DOUBLE ELSE 0 END + CASE WHEN i3 > 0 THEN i3 * 0.5::DOUBLE ELSE 0 END) / nullif(0.0::DOUBLE + CASE WHEN i1 > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN i2 > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN i3 > 0 THEN 0.5::DOUBLE ELSE 0 END, 0), 0) AS score FROM ids) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM w) WHERE rank <= 3"),
