@@ -132,12 +132,40 @@ def compensation_effects(stats: DataFrame) -> DataFrame:
     return out.filter(big[0] | big[1] | big[2] | big[3])
 
 
-WINDOWS = {f"w{k}": (a, a + 9) for k, a in enumerate(range(1, 100, 20))}
+def runs(positions: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of successive positions."""
+    out: list[tuple[int, int]] = []
+    for p in sorted(set(positions)):
+        if out and p == out[-1][1] + 1:
+            out[-1] = (out[-1][0], p)
+        else:
+            out.append((p, p))
+    return out
+
+
+def windows_of(positions: list[int], size: int = 10) -> dict[str, tuple[int, int]]:
+    """Every position in a window: each run is cut into windows of `size` from its start; a run's last one may be shorter."""
+    cut = [(a, min(a + size - 1, last)) for first, last in runs(positions) for a in range(first, last + 1, size)]
+    return {f"w{k}": window for k, window in enumerate(cut)}
+
+
+def available(rows: DataFrame, by: str = "source") -> list[int]:
+    """Positions that hold a residue in some row of every file (`by`)."""
+    filled = lambda p: F.max(R.residue("v", p).isin(list(R.RESIDUES)).cast("int"))
+    each = rows.groupBy(by).agg(*[filled(p).alias(f"p{p}") for p in range(1, 129)])
+    found = each.agg(*[F.min(f"p{p}").alias(f"p{p}") for p in range(1, 129)]).first()
+    return [p for p in range(1, 129) if found[f"p{p}"]]
+
+
+#: Windows over the whole grid, where every file has every position.
+WINDOWS = windows_of(list(range(1, 129)))
+#: Covariates by name: net charge of all positions, lengths of cdr3 and of the whole without gaps, aromatics of cdr3.
+COVARIATES = {"total": lambda: R.charge("v"), "len_cdr3": lambda: F.length("cdr3"), "len_v": lambda: F.length(F.translate("v", "-", "")), "aromatic": lambda: R.count_of("cdr3", "FWY")}
 
 
-def window_charges(rows: DataFrame) -> DataFrame:
-    """Net charge of each window of positions, total charge and aromatic count of cdr3."""
-    return rows.select("family", *[R.charge(F.substring("v", a, b - a + 1)).alias(k) for k, (a, b) in WINDOWS.items()], R.charge("v").alias("total"), R.count_of("cdr3", "FWY").alias("aromatic"))
+def window_charges(rows: DataFrame, windows: dict[str, tuple[int, int]] = WINDOWS, covariates: tuple[str, ...] = tuple(COVARIATES)) -> DataFrame:
+    """Net charge of each window of positions, and the covariates."""
+    return rows.select("family", *[R.charge(F.substring("v", a, b - a + 1)).alias(k) for k, (a, b) in windows.items()], *[COVARIATES[k]().alias(k) for k in covariates])
 
 
 def moments(frame: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
@@ -159,18 +187,19 @@ def scatter(row, names: list[str]) -> np.ndarray:
 def as_correlations(spark, s: np.ndarray, names: list[str]) -> DataFrame:
     """window1, window2, r of a scatter matrix; null where a variance is zero."""
     d = np.sqrt(np.maximum(np.diag(s), 0))
-    cells = [(a, b, None if d[i] * d[j] == 0 else round(float(s[i, j] / (d[i] * d[j])), 6)) for i, a in enumerate(names) for j, b in enumerate(names)]
+    cells = [(a, b, None if d[i] * d[j] == 0 else round(float(s[i, j] / (d[i] * d[j])), 6) + 0.0) for i, a in enumerate(names) for j, b in enumerate(names)]
     return spark.createDataFrame(cells, "window1 string, window2 string, r double")
 
 
-def window_correlations(rows: DataFrame, covariates: tuple[str, ...] = (), within: bool = False, least: int = 10) -> DataFrame:
-    """Correlations of window charges: raw, with covariates taken out (S_yy - S_xy' S_xx^-1 S_xy), or pooled within
-    families of `least` rows or more. Spark sums the moments; what is solved here is a matrix of a few columns."""
-    names = [*WINDOWS, *covariates]
-    found = moments(window_charges(rows), names, ["family"] if within else None).collect()
-    kept = [r for r in found if r["n"] >= (least if within else 1)]
-    s = sum((scatter(r, names) for r in kept), np.zeros((len(names), len(names))))
-    k = len(WINDOWS)
-    if covariates:
-        s = s[:k, :k] - s[:k, k:] @ np.linalg.pinv(s[k:, k:]) @ s[k:, :k]
-    return as_correlations(rows.sparkSession, s, list(WINDOWS))
+def window_correlations(rows: DataFrame, covariates: tuple[str, ...] = (), within: bool = False, least: int = 10, windows: dict[str, tuple[int, int]] = WINDOWS) -> DataFrame:
+    """Correlations of window charges: raw, or with covariates taken out (S_yy - S_xy' S_xx^-1 S_xy); over all rows, or as the sum of
+    what each family of `least` rows or more has within itself. Spark sums the moments; what is solved here is a matrix of a few
+    columns for each family."""
+    names, k = [*windows, *covariates], len(windows)
+    found = moments(window_charges(rows, windows, covariates), names, ["family"] if within else None).collect()
+    total = np.zeros((k, k))
+    for row in found:
+        if row["n"] >= (least if within else 1):
+            s = scatter(row, names)
+            total += s[:k, :k] - s[:k, k:] @ np.linalg.pinv(s[k:, k:]) @ s[k:, :k] if covariates else s
+    return as_correlations(rows.sparkSession, total, list(windows))

@@ -41,7 +41,22 @@ def long_sql(name: str, keep: str, places: list[int], source: str = "s") -> str:
 RULE_PLACES = R.positions("fr3fr4")
 TOKENS = "['family=' || family, 'hallmarks=' || hallmarks, 'cdr3_len=' || cdr3_len, 'cdr3_charge=' || cdr3_charge, 'cdr3_cys=' || cdr3_cys, 'cdr3[-1]=' || right(cdr3, 1)"
 HALL = "(" + ", ".join(map(str, R.HALLMARKS)) + ")"
-CHARGES = ", ".join(f"({letters_in(f'substr(v, {a}, {b - a + 1})', 'KRH')} - {letters_in(f'substr(v, {a}, {b - a + 1})', 'DE')})::DOUBLE AS {k}" for k, (a, b) in K.WINDOWS.items())
+COVARIATES = {"total": f"({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})", "len_cdr3": "length(cdr3)", "len_v": "length(replace(v, '-', ''))"}
+
+
+def windows_sql(covariates: list[str] = [], within: bool = False) -> str:
+    """Correlations of window charges; covariates are taken out one after the other, over all rows or within families."""
+    charges = [f"({letters_in(f'substr(v, {a}, {b - a + 1})', 'KRH')} - {letters_in(f'substr(v, {a}, {b - a + 1})', 'DE')})::DOUBLE AS {k}" for k, (a, b) in K.WINDOWS.items()]
+    over, names = "OVER (PARTITION BY family)" if within else "OVER ()", [*K.WINDOWS, *covariates]
+    kept = " WHERE family IN (SELECT family FROM s GROUP BY 1 HAVING count(*) >= 10)" if within else ""
+    steps = [f"w AS (SELECT family, {', '.join([*charges, *[f'{COVARIATES[k]}::DOUBLE AS {k}' for k in covariates]])} FROM s{kept})", f"d0 AS (SELECT family, {', '.join(f'{k} - avg({k}) {over} AS {k}' for k in names)} FROM w)"]
+    for i, c in enumerate(covariates):
+        names.remove(c)
+        steps.append(f"d{i + 1} AS (SELECT family, {', '.join(f'{k} - {c} * coalesce(sum({k} * {c}) {over} / nullif(sum({c} * {c}) {over}, 0), 0) AS {k}' for k in names)} FROM d{i})")
+    steps.append(f"g AS (SELECT {', '.join(f'sum({a} * {b}) AS {a}_{b}' for a in K.WINDOWS for b in K.WINDOWS)} FROM d{len(covariates)})")
+    return with_(", ".join(steps) + " " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, round({a}_{b} / nullif(sqrt({a}_{a} * {b}_{b}), 0), 6) + 0.0::DOUBLE AS r FROM g" for a in K.WINDOWS for b in K.WINDOWS))
+
+
 SOME = [42, 49, 50, 52, 71, 78, 94]
 #: Three residues at each end of each loop, and what they are associated with.
 LEFTS, RIGHTS = [27, 28, 29, 36, 37, 38, 56, 57, 58, 63, 64, 65, 105, 106, 107, 115, 116, 117], [*R.VERNIER, 118]
@@ -141,8 +156,8 @@ QUERIES = {
     "A20_universal_associations": seq(lambda s: K.universal_associations(s, LEFTS, RIGHTS)),
     "A21_dependent_positions": seq(lambda s: K.dependent_positions(s, LEFTS, RIGHTS, confidence=0.5)),
     "A22_family_dependent": seq(lambda s: K.family_dependent_positions(C.conservation(s, R.positions("fr3fr4")), 0.15)),
-    "A23_window_correlations": seq(K.window_correlations),
-    "A24_residual_correlations": seq(lambda s: K.window_correlations(s, ("total", "aromatic"))),
+    "A23_window_correlations": seq(lambda s: K.window_correlations(s, windows=K.windows_of(K.available(s)))),
+    "A24_residual_correlations": seq(lambda s: K.window_correlations(s, ("total", "len_cdr3", "len_v"), windows=K.windows_of(K.available(s)))),
     "A25_within_family_correlations": seq(lambda s: K.window_correlations(s, within=True)),
     "A26_coverage": every(C.coverage),
     "A27_annotation_summary": seq(C.annotation_summary),
@@ -195,8 +210,9 @@ g AS (SELECT e.pos1, e.aa1, e.pos2, e.predicted, count(*) AS clusters, avg((i.pr
 SELECT *, agreement >= 0.8 AS universal FROM g WHERE clusters >= 3"""),
     "A21_dependent_positions": with_(association_sql("a", "family", 3) + " SELECT family, pos1, pos2, count(*) AS n, count(DISTINCT predicted) AS kinds FROM a WHERE confidence >= 0.5 GROUP BY ALL HAVING count(DISTINCT predicted) > 1"),
     "A22_family_dependent": with_(CONSERVATION + " SELECT pos, count(DISTINCT major) AS kinds, count(*) AS families FROM cons WHERE major_frequency >= 0.15 GROUP BY 1 HAVING count(DISTINCT major) > 1"),
-    "A23_window_correlations": with_(f"w AS (SELECT {CHARGES} FROM s) " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, {corr_sql(a, b)} AS r FROM w" for a in K.WINDOWS for b in K.WINDOWS)),
-    "A25_within_family_correlations": with_(f"w AS (SELECT family, {CHARGES} FROM s WHERE family IN (SELECT family FROM s GROUP BY 1 HAVING count(*) >= 10)), d AS (SELECT " + ", ".join(f"{k} - avg({k}) OVER (PARTITION BY family) AS {k}" for k in K.WINDOWS) + " FROM w) " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, round(sum({a} * {b}) / nullif(sqrt(sum({a} * {a}) * sum({b} * {b})), 0), 6) AS r FROM d" for a in K.WINDOWS for b in K.WINDOWS)),
+    "A23_window_correlations": windows_sql(),
+    "A24_residual_correlations": windows_sql(["total", "len_cdr3", "len_v"]),
+    "A25_within_family_correlations": windows_sql(within=True),
     "A26_coverage": SEQS + f" SELECT length(regexp_replace(substr(v, 66, 39), '[^{R.RESIDUES}]', '', 'g'))::INTEGER AS fr3_filled, length(regexp_replace(substr(v, 118, 11), '[^{R.RESIDUES}]', '', 'g'))::INTEGER AS fr4_filled, count(*) AS n FROM s1 GROUP BY ALL",
     "A27_annotation_summary": SEQS + " SELECT source, count(*) AS n, count(DISTINCT family) AS families, sum((family = 'VH_like')::INT)::BIGINT AS vh_like, sum((family LIKE 'F\\_%' ESCAPE '\\')::INT)::BIGINT AS f_like FROM s GROUP BY ROLLUP (source)",
     "A29_cluster_sizes": with_(CLUSTERS + " SELECT count(*) AS clusters, avg((n = 1)::INT) AS singleton_share, sum((n >= 2)::INT)::BIGINT AS n2, sum((n >= 10)::INT)::BIGINT AS n10, sum(n)::BIGINT AS covered FROM c"),

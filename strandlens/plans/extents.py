@@ -7,9 +7,8 @@ from pyspark.sql import Window, functions as F
 
 from strandlens.functions import anchors as A, residues as R
 from strandlens.operators import coupling as K, merge as M, models as L, score as P, search as G
-from strandlens.plans.counting import SEQS, SOME, letters_in, seq, with_
+from strandlens.plans.counting import SEQS, SOME, letters_in, seq, windows_sql, with_
 from strandlens.plans.designs import LEAD, graded, scratch
-from strandlens.plans.rulework import CHARGED, residual
 from strandlens.plans.working import CUT, H, HITS, TAGGED, searched, tagged
 from strandlens.sources import records as X
 from strandlens.sources.sequences import sequences
@@ -109,7 +108,7 @@ def weighted_best(spark, sf_dir):
 
 QUERIES = {
     "A14_pair_combinations": seq(pair_combinations),
-    "A25_within_family_residuals": seq(lambda s: K.window_correlations(s, ("total", "aromatic"), within=True)),
+    "A25_within_family_residuals": seq(lambda s: K.window_correlations(s, ("total", "len_cdr3", "len_v"), within=True)),
     "A30_scan_reasons": scan_reasons,
     "F17_conditional_removal": seq(removed_if_common),
     "F18_legacy_names": seq(legacy),
@@ -137,13 +136,11 @@ def violating(track: int) -> str:
 
 TRUE = f"{H[3]} = 'R' AND {H[4]} <> 'W' AND {H[1]} IN ('F', 'Y') AND {H[2]} IN ('E', 'Q', 'K')"
 LEGACY = {4: "FR1_4", 42: "FR2_4", 49: "FR2_11", 66: "FR3_1", 94: "FR3_29", 118: "FR4_1"}
-NAMES = [*K.WINDOWS, "t", "m"]
 
 SQL = {
     "A14_pair_combinations": with_(f"""k AS (SELECT hallmarks, a.p::INTEGER AS pos1, b.p::INTEGER AS pos2, substr(v, a.p, 1) AS aa1, substr(v, b.p, 1) AS aa2, count(*) AS n FROM s, (SELECT unnest({SOME}) AS p) a, (SELECT unnest({SOME}) AS p) b WHERE a.p < b.p GROUP BY ALL HAVING count(*) >= 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hallmarks ORDER BY n DESC, pos1, pos2, aa1, aa2)::INTEGER AS rank FROM k) WHERE rank <= 6"""),
-    "A25_within_family_residuals": with_(f"w AS (SELECT family, {CHARGED}, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::DOUBLE AS t, aromatic::DOUBLE AS m FROM s WHERE family IN (SELECT family FROM s GROUP BY 1 HAVING count(*) >= 10)), d AS (SELECT " + ", ".join(f"{k} - avg({k}) OVER (PARTITION BY family) AS {k}" for k in NAMES) + " FROM w), g AS (SELECT "
-                                         + ", ".join(f"{residual(a, b)} AS {a}_{b}" for a in K.WINDOWS for b in K.WINDOWS if a <= b) + " FROM d) " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, round({min(a, b)}_{max(a, b)} / sqrt({a}_{a} * {b}_{b}), 6) AS r FROM g" for a in K.WINDOWS for b in K.WINDOWS)),
+    "A25_within_family_residuals": windows_sql(["total", "len_cdr3", "len_v"], within=True),
     "A30_scan_reasons": with_(HITS + ", r AS (SELECT source, CASE WHEN i1 < 0.2 THEN 'cdr1' WHEN i2 < 0.2 THEN 'cdr2' WHEN i3 < 0.2 THEN 'cdr3' ELSE 'hit' END AS reason FROM ids) SELECT reason, source, count(*)::BIGINT AS n FROM r GROUP BY GROUPING SETS ((reason, source), (reason))"),
     "F17_conditional_removal": with_(TAGGED + ", " + common_sql()),
     "F18_legacy_names": SEQS + ", p(pos, name) AS (VALUES " + ", ".join(f"({p}, '{n}')" for p, n in LEGACY.items()) + ") SELECT pos, (SELECT count(*) FROM s) AS n, name, pos AS back FROM p",

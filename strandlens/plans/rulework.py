@@ -207,14 +207,6 @@ def coded(*cuts: tuple[int, int]) -> str:
     return f"({places})"
 
 
-#: For each pair of windows the residual scatter with covariates total (t) and aromatic (m) taken out.
-def residual(x: str, y: str) -> str:
-    c = lambda a, b: f"covar_pop({a}, {b})"
-    det = f"({c('t', 't')} * {c('m', 'm')} - {c('t', 'm')} * {c('t', 'm')})"
-    return f"({c(x, y)} - ({c(x, 't')} * ({c('m', 'm')} * {c(y, 't')} - {c('t', 'm')} * {c(y, 'm')}) + {c(x, 'm')} * ({c('t', 't')} * {c(y, 'm')} - {c('t', 'm')} * {c(y, 't')})) / {det})"
-
-
-CHARGED = ", ".join(f"({letters_in(f'substr(v, {a}, {b - a + 1})', 'KRH')} - {letters_in(f'substr(v, {a}, {b - a + 1})', 'DE')})::DOUBLE AS {k}" for k, (a, b) in K.WINDOWS.items())
 TAIL_SQL = f"CASE WHEN starts_with(tail, 'C') AND contains(tail, 'W') THEN string_split(tail, 'W')[1] ELSE tail END"
 
 def drawn_sql(*parts: str) -> str:
@@ -290,7 +282,6 @@ SELECT doc_id, pos, aa, confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN
     "F13_heuristic_cdr3": with_(f"{SPLICED} SELECT doc_id, {heuristic_sql('v')} AS cdr3 FROM sp"),
     "F15_anchor_split": with_(f"{SPLICED} SELECT doc_id, " + ", ".join(f"regexp_extract(v, '{SPLIT}', {i}) AS {k}" for i, k in enumerate(("fr1", "cdr1", "fr2", "cdr2", "fr3", "cdr3", "fr4"), 1)) + " FROM sp"),
     "J09_rules_not_known": f"WITH a AS ({COUNTED['A01_rule_mining']}), b AS ({COUNTED['A02_global_rules']}) SELECT condition, pos, aa FROM a UNION ALL SELECT condition, pos, aa FROM b WHERE (pos, aa) NOT IN (SELECT (pos, aa) FROM a)",
-    "A24_residual_correlations": with_(f"w AS (SELECT {CHARGED}, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::DOUBLE AS t, aromatic::DOUBLE AS m FROM s), g AS (SELECT " + ", ".join(f"{residual(a, b)} AS {a}_{b}" for a in K.WINDOWS for b in K.WINDOWS if a <= b) + " FROM w) " + " UNION ALL ".join(f"SELECT '{a}' AS window1, '{b}' AS window2, round({min(a, b)}_{max(a, b)} / sqrt({a}_{a} * {b}_{b}), 6) AS r FROM g" for a in K.WINDOWS for b in K.WINDOWS)),
     "A32_violations": with_(APPLIED + " SELECT condition, pos, wanted, count(*) AS n FROM app WHERE family = own AND NOT obeyed GROUP BY ALL ORDER BY n DESC, condition, pos, wanted LIMIT 10"),
     "D04_rule_compliance": with_(f"""{APPLIED}, o AS (SELECT * FROM app WHERE family = own), k AS (SELECT doc_id, count(*) AS applicable, sum(obeyed::INT)::BIGINT AS obeyed, round(sum(CASE WHEN obeyed THEN confidence ELSE 0 END) / sum(confidence), 6) AS compliance FROM o GROUP BY 1),
 br AS (SELECT doc_id, string_agg(pos || wanted, ',' ORDER BY confidence DESC, pos, wanted, condition) AS violations FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pos, wanted, condition) AS rk FROM o WHERE NOT obeyed) WHERE rk <= 5 GROUP BY 1)

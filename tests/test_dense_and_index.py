@@ -128,3 +128,33 @@ def test_histograms_against_numpy(spark, monkeypatch):
     kinds = {(f, p): sum((data.v[data.family == f].str[p - 1] == a).sum() >= 5 for a in gram.R.RESIDUES) for f in ("fama", "famb") for p in (3, 90)}
     assert len(found) == sum(kinds.values()) and all(r.kinds == kinds[r.family, r.pos] for r in found)
     assert coupling.compensation(frame.limit(0), [3]).count() == 0
+
+
+def test_windows_hold_every_position_of_runs():
+    assert coupling.windows_of([42, *range(49, 53), *range(66, 90)], 10) == {"w0": (42, 42), "w1": (49, 52), "w2": (66, 75), "w3": (76, 85), "w4": (86, 89)}
+    assert coupling.windows_of([]) == {} and coupling.runs([3, 1, 2, 2]) == [(1, 3)]
+    held = [p for a, b in coupling.WINDOWS.values() for p in range(a, b + 1)]
+    assert held == list(range(1, 129))
+
+
+def test_available_positions_and_residuals(spark):
+    rng = random.Random(8)
+    rows = [(f"s{i % 2}", f, v[:60] + "-" * 9 + v[69:], v[104:117].replace("-", "")) for i, (f, v) in enumerate(sequences_of(rng, 200))]
+    rows += [("s2", "fama", "-" * 20 + "A" * 108, "A" * 13)]
+    frame = spark.createDataFrame(rows, "source string, family string, v string, cdr3 string")
+    places = coupling.available(frame)
+    assert places == [*range(21, 61), *range(70, 129)]
+    windows = coupling.windows_of(places, 25)
+    charge = lambda x: sum(c in "KRH" for c in x) - sum(c in "DE" for c in x)
+    total = np.zeros((len(windows), len(windows)))
+    for family in ("fama", "famb"):
+        own = [(v, c) for _, f, v, c in rows if f == family]
+        y = np.array([[charge(v[a - 1 : b]) for a, b in windows.values()] for v, _ in own], float)
+        x = np.array([[1, charge(v), len(c), 128 - v.count("-")] for v, c in own], float)
+        rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        total += rest.T @ rest
+    found = {(r.window1, r.window2): r.r for r in coupling.window_correlations(frame, ("total", "len_cdr3", "len_v"), True, 10, windows).collect()}
+    d = np.sqrt(np.diag(total))
+    for i, a in enumerate(windows):
+        for j, b in enumerate(windows):
+            assert found[a, b] == pytest.approx(total[i, j] / d[i] / d[j], abs=2e-6)
