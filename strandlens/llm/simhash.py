@@ -248,8 +248,9 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 #: Of drop_near_copies(): words of a shingle, similarity of shingle sets, bits within which pairs are looked at, bins of
 #: least shingle hashes, and rows that are broadcast at most (more are joined by a shuffle, with the same result).
 COPY_SHINGLE, SIMILARITY, COPY_RADIUS, BINS, BROADCAST_ROWS = 5, 0.8, 20, 8, 1 << 20
-#: Partners of each class that are compared in any case; beyond these a spanning forest of least distance stands for the rest.
-NEAREST = 4
+#: Partners of each class that the first round compares, besides a spanning forest of least distance; and members of one tree in
+#: the second round, which compares what the first has left apart.
+NEAREST, CHUNK = 2, 4096
 
 
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -321,36 +322,124 @@ def with_places(docs: DataFrame) -> DataFrame:
         return with_places(keep(docs, "copies-input"))
 
 
+def dealt_trees(members: DataFrame, shards: DataFrame, most: int) -> DataFrame:
+    """`members` (fp, shard and others) of the given `shards` (shard, members), with tree and role (1 member, 2 query, 3 both): a shard
+    of more than `most` is cut into chunks, and each pair of chunks is a tree, so that each two members meet in one."""
+    chunks = F.ceil(F.col("members") / F.lit(most)).cast("int")
+    dealt = members.join(shards.select("shard", "members"), "shard").withColumn("own", F.pmod(F.xxhash64("fp", "shard"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    role = F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.withColumns({"tree": F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), "role": role}).drop("own", "other", "members")
+
+
+def one_tree_each(batches) -> Iterator[pa.Table]:
+    """Whole trees, one at a time, from batches in order of their trees."""
+    parts: list = []
+    for batch in batches:
+        tree = batch.column("tree").to_numpy()
+        cuts = [0, *(np.flatnonzero(tree[1:] != tree[:-1]) + 1).tolist(), len(tree)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            if parts and parts[-1].column("tree")[0].as_py() != tree[start]:
+                yield pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            parts.append(batch.slice(start, stop - start))
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+def apart(held: pa.Table, similarity: float, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x, y of two members of one of the held trees each, in blocks: of different roots, fingerprints within the radius, and sizes
+    that allow the similarity. A pair that shares several least hashes is taken in the shard of the first of these."""
+    fps, tree, role, root, n = (np.ascontiguousarray(held.column(k).to_numpy()) for k in ("fp", "tree", "role", "root", "n"))
+    shard = held.column("shard").to_numpy().astype(np.int64).view(np.uint64)
+    lists = held.column("least").combine_chunks()
+    values, bounds = lists.flatten().to_numpy().astype(np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+    least, shift = np.zeros((len(fps), BINS), np.uint64), np.uint64(64 - BINS.bit_length() + 1)
+    filled = np.zeros((len(fps), BINS), bool)
+    at = np.repeat(np.arange(len(fps)), np.diff(bounds)), (values >> shift).astype(np.int64)
+    least[at], filled[at] = values, True
+    members, asked = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    if not len(members) or not len(asked):
+        return
+    forest = BKForest(tree[members], fps[members])
+    asked = asked[np.isin(tree[asked], forest.roots)]
+    sizes = np.bincount(np.searchsorted(forest.roots, tree[members]))
+    cost = np.cumsum(sizes[np.searchsorted(forest.roots, tree[asked])])
+    start = 0
+    while start < len(asked):
+        stop = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + most, "right")))
+        q, m = forest.search(tree[asked[start:stop]], fps[asked[start:stop]], radius)
+        x, y = asked[start:stop][q], members[m]
+        # in a tree of one chunk both orders are found
+        good = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])) & ((role[x] != 3) | (fps[x] < fps[y]))
+        x, y = x[good], y[good]
+        shared = filled[x] & filled[y] & (least[x] == least[y])
+        first = shared.argmax(axis=1) == (shard[x] >> shift).astype(np.int64)
+        yield x[first], y[first]
+        start = stop
+
+
+def similar_links(held: pa.Table, similarity: float, radius: int) -> tuple[list[int], list[int]]:
+    """Links of members of one tree that are `similarity` alike by their sorted hashes; pairs that links already connect are passed over."""
+    fps, root = held.column("fp").to_numpy(), held.column("root").to_numpy()
+    lists = held.column("hashes").combine_chunks()
+    values, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).tolist()
+    up = {int(r): int(r) for r in set(root.tolist())}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    a, b = [], []
+    for xs, ys in apart(held, similarity, radius):
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            s, t = top(int(root[x])), top(int(root[y]))
+            if s == t:
+                continue
+            own, other = values[bounds[x] : bounds[x + 1]], values[bounds[y] : bounds[y + 1]]
+            both = len(own) + len(other) - len(np.union1d(own, other))
+            if both >= similarity * (len(own) + len(other) - both):
+                up[s] = t
+                a.append(int(fps[x]))
+                b.append(int(fps[y]))
+    return a, b
+
+
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = COPY_RADIUS, size: int = COPY_SHINGLE) -> DataFrame:
     """`docs` with one row of each group of near copies: the one of smallest key, a null key last.
 
     Texts of one fingerprint over shingles of `size` words are one class. Classes that share a least shingle hash are
-    the members of a shard's BK-tree; of those within `radius` bits each one's NEAREST and a spanning forest of least distance
-    are compared, and linked if the exact similarity of the shingle sets of their first rows' texts is `similarity` or
-    more. In a shard of more than NEAREST near members a link that neither holds can be missed.
+    the members of a shard's BK-tree. In a first round each one's NEAREST within `radius` bits and a spanning forest of least
+    distance are compared, and linked if the exact similarity of the shingle sets of their first rows' texts is `similarity`
+    or more. What these links leave apart is compared in a second round: every two members of a shard within the radius whose
+    sizes allow the similarity, unless links connect them meanwhile, so that a large group of copies gives no pairs and a family
+    of pages that are less alike is compared whole. Similar pairs are missed only by chance of the hashes: with eight least hashes
+    at a similarity of 0.8 a pair shares none once in 390,000 times, and few are over 20 bits apart.
     Rows are told apart by their place in their files, so that rows which share a key but not a text both stay.
     """
     rows = with_places(docs)
     given = rows.select("__file", "__row", F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
+    hashed = lambda x: np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(x, size), repeat(SEED))), ">u8").astype(np.uint64))
+
+    def listed(arrays: list) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
 
     def mark(batches):
         for part in tx.steps(batches, "__text"):
             texts = tx.blobs(part.column("__text"))
             found = fingerprint_bytes(texts, size).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
-            hashes = [least_hashes(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles(x, size), repeat(SEED))), ">u8").astype(np.uint64)) for x in texts]
-            bounds = np.cumsum([0, *map(len, hashes)])
-            least = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)))
-            yield pa.record_batch([*(part.column(k) for k in ("__file", "__row", "__key")), pa.array(found), least], names=["__file", "__row", "__key", "fp", "least"])
+            hashes = [hashed(x) for x in texts]
+            n = pa.array([len(x) for x in hashes], pa.int64())
+            yield pa.record_batch([*(part.column(k) for k in ("__file", "__row", "__key")), pa.array(found), n, listed([least_hashes(x) for x in hashes])], names=["__file", "__row", "__key", "fp", "n", "least"])
 
     kind = given.schema["__key"].dataType.simpleString()
-    marked = keep(given.mapInArrow(mark, f"__file long, __row long, __key {kind}, fp long, least array<long>"), "copies-marked")
+    marked = keep(given.mapInArrow(mark, f"__file long, __row long, __key {kind}, fp long, n long, least array<long>"), "copies-marked")
     place = F.struct(F.col("__key").isNull().alias("unnamed"), F.col("__key").alias("key"), F.col("__file").alias("file"), F.col("__row").alias("row"))
-    classes = keep(marked.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "least")).alias("first")).select("fp", "first.place", "first.least"), "copies-classes")
+    classes = keep(marked.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "n", "least")).alias("first")).select("fp", "first.*"), "copies-classes")
     members = classes.select("fp", F.explode("least").alias("shard"))
     sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    chunks = F.ceil(F.col("members") / F.lit(MAX_MEMBERS)).cast("int")
-    dealt = members.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("fp", "shard"), chunks).cast("int")).select("fp", "shard", "own", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    dealt = dealt.select("fp", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("tree"), F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("role"))
 
     def pair(batches):
         for held in whole_trees(batches):
@@ -358,9 +447,15 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
             a, b = shard_pairs(fps, tree, role, radius)
             yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+    dealt = dealt_trees(members, sizes, MAX_MEMBERS).select("fp", "tree", "role")
     pairs = keep(dealt.repartition("tree").sortWithinPartitions("tree").mapInArrow(pair, "a long, b long").distinct(), "copies-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", F.col("place.file").alias("__file"), F.col("place.row").alias("__row"))
-    texts = given.select("__file", "__row", "__text").join(few(wanted), ["__file", "__row"]).select("fp", "__text")
+
+    def texts_of(fps: DataFrame) -> DataFrame:
+        """Columns fp, __text of the first row of each of the classes `fps`."""
+        wanted = fps.join(classes, "fp").select("fp", F.col("place.file").alias("__file"), F.col("place.row").alias("__row"))
+        return given.select("__file", "__row", "__text").join(few(wanted), ["__file", "__row"]).select("fp", "__text")
+
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
 
     def compare(batches):
         for batch in batches:
@@ -372,7 +467,36 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("__text").alias("text_a")), "a").join(texts.select(F.col("fp").alias("b"), F.col("__text").alias("text_b")), "b")
-    roots = components(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
+    linked = keep(both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"), "copies-linked")
+
+    # second round: what is in a shard together and still apart
+    named = keep(classes.join(components(linked).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "copies-named")
+    members = named.select("*", F.explode("least").alias("shard"))
+    mixed = members.groupBy("shard").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    dealt = dealt_trees(members, mixed, CHUNK)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+
+    def partnered(batches):
+        for held in whole_trees(batches):
+            seen = np.zeros(held.num_rows, bool)
+            for x, y in apart(held, similarity, radius):
+                seen[x] = seen[y] = True
+            yield from held.filter(pa.array(seen)).to_batches()
+
+    some = keep(dealt.repartition("tree").sortWithinPartitions("tree").mapInArrow(partnered, fields), "copies-partnered")
+
+    def hashes(batches):
+        for part in tx.steps(batches, "__text"):
+            yield pa.record_batch([part.column("fp"), listed([hashed(x) for x in tx.blobs(part.column("__text"))])], names=["fp", "hashes"])
+
+    def link(batches):
+        for held in one_tree_each(batches):
+            a, b = similar_links(held, similarity, radius)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    own = texts_of(some.select("fp").distinct()).mapInArrow(hashes, "fp long, hashes array<long>")
+    late = some.join(own, "fp").repartition("tree").sortWithinPartitions("tree").mapInArrow(link, "a long, b long")
+    roots = components(linked.union(keep(late, "copies-late")))
     of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "place", F.coalesce("root", "fp").alias("root"))
     first = of.join(of.groupBy("root").agg(F.min("place").alias("first")), "root").select(F.col("fp").alias("of_fp"), "first")
     gone = marked.join(first, F.col("fp") == F.col("of_fp")).filter((F.col("__file") != F.col("first.file")) | (F.col("__row") != F.col("first.row"))).select("__file", "__row")

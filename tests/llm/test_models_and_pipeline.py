@@ -327,3 +327,43 @@ def test_pipeline_takes_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def jaccard_roots(texts):
+    """The smallest place reached over all pairs whose five-word shingle sets are 0.8 alike or more."""
+    from strandlens.llm import simhash
+
+    sets, root = [set(simhash.shingles((t or "").encode(), 5)) for t in texts], list(range(len(texts)))
+    size = np.array([len(x) for x in sets])
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    rows = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        rows[i, [number[g] for g in x]] = 1
+    both = rows @ rows.T
+    for i, j in zip(*np.nonzero(np.triu(both >= 0.8 * (size[:, None] + size - both), 1))):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("edits, rest, chunk", [(2, 600, 4096), (3, 600, 100), (4, 300, 4096)])
+def test_near_copies_in_a_family_of_one_template(spark, monkeypatch, edits, rest, chunk):
+    from strandlens.llm import simhash
+
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = np.random.default_rng(edits)
+    word = lambda: "w" + str(rng.integers(1 << 40))
+    template = [word() for _ in range(200)]
+
+    def changed(words, k):
+        words = list(words)
+        for i in rng.choice(len(words), k, replace=False):
+            words[i] = word()
+        return words
+
+    pages = [changed(template, 6) for _ in range(rest)]
+    pages += [changed(pages[i], edits) for i in rng.choice(rest, 100, replace=False)]
+    texts = [" ".join(p) for p in pages]
+    left = sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, texts).repartition(4)).collect())
+    assert left == sorted(set(jaccard_roots(texts)))
+    assert len(left) < len(texts) - 60
