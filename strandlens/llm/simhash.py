@@ -380,30 +380,40 @@ def apart(held: pa.Table, similarity: float, radius: int, most: int = 1 << 20) -
         start = stop
 
 
-def similar_links(held: pa.Table, similarity: float, radius: int) -> tuple[list[int], list[int]]:
-    """Links of members of one tree that are `similarity` alike by their sorted hashes; pairs that links already connect are passed over."""
-    fps, root = held.column("fp").to_numpy(), held.column("root").to_numpy()
+def similar_links(held: pa.Table, similarity: float, radius: int, most: int = 1 << 22) -> tuple[list[int], list[int]]:
+    """Links of members of one tree that are `similarity` alike by their hashes; pairs that links already connect are passed over.
+    Each member's hashes are marked once and counted in all of its partners, about `most` hashes at a time."""
+    fps = held.column("fp").to_numpy()
+    group = np.unique(held.column("root").to_numpy(), return_inverse=True)[1]
     lists = held.column("hashes").combine_chunks()
-    values, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).tolist()
-    up = {int(r): int(r) for r in set(root.tolist())}
-
-    def top(r: int) -> int:
-        while up[r] != r:
-            up[r] = r = up[up[r]]
-        return r
-
+    number = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    n = np.diff(lists.offsets.to_numpy())
+    begin = np.cumsum(n) - n
+    marked = np.zeros(int(number.max(initial=-1)) + 1, bool)
     a, b = [], []
     for xs, ys in apart(held, similarity, radius):
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            s, t = top(int(root[x])), top(int(root[y]))
-            if s == t:
-                continue
-            own, other = values[bounds[x] : bounds[x + 1]], values[bounds[y] : bounds[y + 1]]
-            both = len(own) + len(other) - len(np.union1d(own, other))
-            if both >= similarity * (len(own) + len(other) - both):
-                up[s] = t
-                a.append(int(fps[x]))
-                b.append(int(fps[y]))
+        order = np.argsort(xs, kind="stable")
+        xs, ys = xs[order], ys[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(xs)), bool), xs[1:] != xs[:-1]]))
+        for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(xs)]):
+            x, rest = int(xs[start]), ys[start:stop]
+            own = number[begin[x] : begin[x] + n[x]]
+            marked[own] = True
+            while len(rest):
+                rest = rest[group[rest] != group[x]]
+                part = rest[: max(1, int(np.searchsorted(np.cumsum(n[rest]), most, "right")))]
+                rest = rest[len(part) :]
+                if not len(part):
+                    break
+                at = np.cumsum(n[part]) - n[part]
+                place = np.repeat(begin[part] - at, n[part]) + np.arange(int(n[part].sum()))
+                both = np.add.reduceat(marked[number[place]].astype(np.int64), at)
+                for y in part[both >= similarity * (n[x] + n[part] - both)].tolist():
+                    if group[x] != group[y]:
+                        group[group == group[y]] = group[x]
+                        a.append(int(fps[x]))
+                        b.append(int(fps[y]))
+            marked[own] = False
     return a, b
 
 
