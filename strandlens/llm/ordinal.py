@@ -9,7 +9,7 @@ very most, and about a tenth of the texts' bytes as measured. Scoring reads all
 
 Null and empty texts have no features and get the grades of the thresholds alone. Of several ratings of one id the
 lowest counts, of several documents of a rated id the text that sorts first. Without any rating every grade is as likely
-and all documents are kept. Each row gives one row, also a repeated one; a tail of exactly `least` is kept; an empty table
+and all documents are kept; where ratings give no feature a weight, the thresholds' tails decide alike for every document. Each row gives one row, also a repeated one; a tail of exactly `least` is kept; an empty table
 gives no rows. Columns expected_grade, tails and kept of the input give way to the new ones; others stay as they are.
 """
 
@@ -55,6 +55,7 @@ def features(array: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    rated: bool = True  # whether there was any rating to learn from
 
     def below(self, scores: np.ndarray) -> np.ndarray:
         """P(grade < k) for k = 1, 2, ..., one column each."""
@@ -128,7 +129,7 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, key: str = "doc_id", t
     rows.sort(key=lambda r: (r.key, bytes(r.ids)))
     grades = np.array([r.grade for r in rows], np.int64)
     if not len(rows):
-        return Model(np.zeros(buckets), np.log(np.arange(1, levels) / np.arange(levels - 1, 0, -1)))
+        return Model(np.zeros(buckets), np.log(np.arange(1, levels) / np.arange(levels - 1, 0, -1)), rated=False)
     return train([np.frombuffer(r.ids, np.int32) for r in rows], grades, levels, buckets)
 
 
@@ -138,13 +139,12 @@ def classify(docs: DataFrame, model: Model, text: str = "text", wanted: int | No
     names = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)
     top = len(model.thresholds) if wanted is None else wanted
-    untrained = not model.weights.any()
 
     def score(batches):
         model = shared.value
         for part in tx.steps(batches, text):
             tails = 1 - model.below(model.scores(*features(part.column(text), len(model.weights))))
-            kept = np.ones(len(tails), bool) if untrained else tails[:, top - 1] >= least
+            kept = np.ones(len(tails), bool) if not model.rated else tails[:, top - 1] >= least
             column = pa.FixedSizeListArray.from_arrays(pa.array(tails.ravel()), tails.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.record_batch([*(part.column(k) for k in names), pa.array(tails.sum(axis=1)), column, pa.array(kept)], names=[*names, "expected_grade", "tails", "kept"])
 

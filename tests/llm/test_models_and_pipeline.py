@@ -367,3 +367,15 @@ def test_near_copies_in_a_family_of_one_template(spark, monkeypatch, edits, rest
     left = sorted(r.doc_id for r in simhash.drop_near_copies(documents(spark, texts).repartition(4)).collect())
     assert left == sorted(set(jaccard_roots(texts)))
     assert len(left) < len(texts) - 60
+
+
+def test_few_ratings_decide_by_the_thresholds(spark):
+    from strandlens.llm import ordinal
+
+    docs = documents(spark, [prose(i, 40) for i in range(30)])
+    ratings = spark.createDataFrame([(i, 0 if i < 27 else 2) for i in range(30)], "doc_id long, grade int")
+    model = ordinal.fit(docs, ratings, 3)
+    assert model.rated and not model.weights.any()
+    assert not any(r.kept for r in ordinal.classify(docs, model).collect())
+    unrated = ordinal.fit(docs, ratings.limit(0), 3)
+    assert not unrated.rated and all(r.kept for r in ordinal.classify(docs, unrated).collect())
