@@ -178,8 +178,12 @@ def prove(leaves: DataFrame, nodes: DataFrame, digest: str = "leaf", carry: list
             unhex(concat(array_join(slice(f.children, 1, c.slot), ''), array_join(slice(f.children, c.slot + 2, {FAN}), '')))
           FROM climb c JOIN {{nodes}} f ON c.parent.tree = f.node.tree AND c.parent.level = f.node.level AND c.parent.place = f.node.place
         ),
-        path AS (SELECT {first}max_by(folded, step) AS folded_root, lower(array_join(transform(array_sort(collect_list(struct(step, met))), x -> hex(x.met)), '')) AS met FROM climb GROUP BY tree, place)
-        SELECT {lead}folded_root, CASE WHEN met = '' THEN CAST(array() AS array<string>) ELSE transform(sequence(0, length(met) DIV 64 - 1), i -> substr(met, i * 64 + 1, 64)) END AS siblings FROM path
+        path AS (
+          SELECT {first}max_by(folded, step) AS folded_root, aggregate(array_sort(collect_list(struct(step, met))), CAST('' AS binary), (a, x) -> concat(a, coalesce(x.met, CAST('' AS binary)))) AS met
+          FROM climb GROUP BY tree, place
+        )
+        SELECT {lead}folded_root, CASE WHEN octet_length(met) = 0 THEN CAST(array() AS array<string>)
+          ELSE transform(sequence(0, CAST(octet_length(met) DIV 32 AS int) - 1), i -> lower(hex(substring(met, i * 32 + 1, 32)))) END AS siblings FROM path
         """,
         leaves=leaves,
         nodes=nodes,
