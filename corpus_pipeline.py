@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, near-dedup, secret scan, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows as Parquet in the shared
-folder and reads them again for the next, and removes what a stage has written for itself once its rows are there. All
+folder and reads them again for the next; these tables stay there until the folder is cleared. All
 but the last return the columns of documents. Other columns of the input pass through every stage unchanged, whatever their names.
 
 Nulls, empty and very long texts, ties, repeated rows and empty tables are taken as each operator's module states: null
