@@ -8,8 +8,8 @@ slashes), what the two words before it and the one after it hold, and marks and
 is the corpus's own: the DICTIONARY most frequent words of WORD_SIZES letters, counted over all documents. The forest is
 trained on labelled findings of all documents, at most MAX_FINDINGS of each label, and put into the query as one
 expression of nested conditions, so that scanning neither shuffles nor leaves the row. A finding with half of the votes
-or more is a secret, and so is one that the labels' own rule names; where all findings have one label, that rule alone
-decides. A string that is a secret at one place of a text is masked at all its places there. Masking goes by place.
+or more is a secret; the labels' rule only teaches the forest, which also removes what that rule names. Where all findings
+have one label there is no forest, and the rule decides. A string that is a secret at one place of a text is masked at all its places there. Masking goes by place.
 
 Labels come from a finding's surroundings: 1 for a mixed letter-digit string that is assigned to a credential's name, with
 or without quotes and spaces, also of a longer name (db_password, AWS_SECRET_ACCESS_KEY); else 0.
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, rules: str | None, text: str = "text", path: str = "so
     if rules is None:
         secrets = F.array().cast("array<string>")
     else:
-        votes = "c.label = 1D" if rules == BY_LABEL else f"c.label = 1D OR {conditions(rules)} >= 0.5D"
+        votes = "c.label = 1D" if rules == BY_LABEL else f"{conditions(rules)} >= 0.5D"
         secrets = F.expr(f"array_distinct(transform(filter(__found, c -> {votes}), c -> c.core))")
     # behind a generator, so that what refers to the secrets doesn't look for them again
     made = F.explode(F.array(F.struct(F.size("__found").cast("long").alias("n_candidates"), secrets.alias("secrets"))))

@@ -116,6 +116,8 @@ def test_secrets_are_masked_by_place(spark):
     rows = secrets.scan(docs, secrets.BY_LABEL).orderBy("doc_id").collect()
     assert [r.redacted for r in rows] == ['{"token":"[SECRET]","secret":"[SECRET]"}', texts[1], 'token = "[SECRET]" and token = "[SECRET]" [SECRET]', "[SECRET]", None, "", "\ttoken: [SECRET]\n  x  "]
     assert all(r.own == "kept" for r in rows)
+    # the forest decides: it removes what the rule names
+    assert all(not r.secrets for r in secrets.scan(docs, "Tree 0:\n  Predict: 0.0").collect())
     every = secrets.scan(docs, "Tree 0:\n  Predict: 1.0").orderBy("doc_id").collect()
     assert every[1].redacted == '"[SECRET]","[SECRET]"'
 
