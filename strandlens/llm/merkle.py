@@ -6,7 +6,7 @@ FAN consecutive nodes become one of the next level until one is left, the group'
 
 manifest() writes every inner node once as a row: its own key (tree, level, place), its parent's key, its slot there, and
 its children's digests in order (FAN at most). prove() is a recursive query: from a leaf's row it joins the parent's row, appends a
-row with the siblings, folds the (maybe tampered) digest with them and goes on from the parent, until there is none. So each step joins by
+row that names it and so the siblings, folds the (maybe tampered) digest with them and goes on from the parent, until there is none. So each step joins by
 equality on a key that FAN rows of the step before share at most per node below; only the highest nodes are shared by more rows, and
 these are few rows, which Spark splits. Up to BROADCAST_NODES inner nodes are broadcast instead.
 
@@ -30,6 +30,8 @@ from strandlens.llm.store import forget, keep, table
 
 FAN = 16
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+#: Levels that a pass makes: of FAN ** STEPS digests, 256 kB, at a time.
+STEPS = 3
 #: The number of the tree above the groups' trees.
 TOP = -1
 #: Inner nodes (about 1.1 kB each) that are broadcast at most; more are joined by shuffles, with the same result.
@@ -92,21 +94,32 @@ NO_KEY = "struct<tree:bigint,level:int,place:bigint>"
 
 
 def levels(bottom: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """The inner nodes over `bottom` (tree, place, n, digest; n: nodes of the tree), level by level, each written once: tree, level,
-    place, n (nodes of its level), digest, children. Each level has a FANth of the rows, so that few rounds are made."""
+    """The inner nodes over `bottom` (tree, place, n, digest; n: nodes of the tree): tree, level, place, n (nodes of its level), digest,
+    children. A pass makes STEPS levels of each FAN ** STEPS consecutive nodes, so that few passes are made."""
     below, level, out = bottom, 0, []
-    up = F.floor(F.col("place") / F.lit(FAN)).cast("long")
+    # behind a generator, so that what refers to an array doesn't make it again for each of its parts
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
     while True:
-        level += 1
-        grown = below.filter("n > 1").groupBy("tree", up.alias("place")).agg(
-            F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]).alias("children"))
-        grown = grown.select("tree", F.lit(level).alias("level"), "place", F.ceil(F.col("n") / F.lit(FAN)).cast("long").alias("n"), joined(F.col("children")).alias("digest"), "children")
+        grown = below.filter("n > 1").groupBy("tree", F.floor(F.col("place") / FAN**STEPS).cast("long").alias("run")).agg(F.max("n").alias("n"), F.collect_list(F.struct("place", "digest")).alias("got"))
+        grown = grown.select("tree", "run", "n", once(F.transform(F.array_sort("got"), lambda x: x["digest"]), "digests"))
+        for step in range(1, STEPS + 1):
+            part = lambda i: F.slice("digests", i * FAN + 1, FAN)
+            wide = F.ceil(F.col("n") / FAN).cast("long")
+            high, runs = F.lit(level + step), F.col("run") * FAN ** (STEPS - step)
+            node = lambda i: F.struct(
+                high.alias("level"), (runs + i).cast("long").alias("place"), wide.alias("n"), joined(part(i)).alias("digest"), part(i).alias("children"))
+            # a tree that has come down to one node has no more levels
+            nodes = F.transform(F.when(F.col("n") > 1, F.sequence(F.lit(0), F.floor((F.size("digests") - 1) / FAN).cast("int"))).otherwise(F.array().cast("array<int>")), node)
+            grown = grown.select("tree", "run", *[f"level{k}" for k in range(1, step)], "n", once(nodes, f"level{step}"))
+            grown = grown.withColumns({"n": wide, "digests": F.transform(f"level{step}", lambda x: x["digest"])})
+        grown = grown.select("tree", F.explode(F.concat(*[F.col(f"level{k}") for k in range(1, STEPS + 1)])).alias("node")).select("tree", "node.*")
+        level += STEPS
         held = keep(grown, f"merkle-{level}")
         tables.append(held)
-        if held.isEmpty():
-            return _all(out + [held])
         out.append(held)
-        below = held
+        below = held.filter(F.col("level") == level)
+        if below.filter("n > 1").isEmpty():
+            return _all(out)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -155,10 +168,10 @@ def prove(leaves: DataFrame, nodes: DataFrame, digest: str = "leaf", carry: list
     """For each of `leaves` (tree, place, parent, slot and a digest, maybe a tampered one): `carry`, folded_root, and siblings, the
     digests met on the way up, from left to right and level by level.
 
-    The climb is one recursive query over the stored nodes. A row of it holds the siblings that its step met, as bytes;
-    steps don't read those of earlier ones, so what is shuffled for each leaf and level doesn't grow on the way, and a leaf's rows
-    meet at the end. A recursion has a row for each leaf and level, so the session's limit on such rows
-    (spark.sql.cteRecursionRowLimit) is lifted; the levels are as many as the trees are high.
+    The climb is one recursive query over the stored nodes. A row of it names the node that its step met and the slot below it; the
+    siblings are read from that node once more when a leaf's rows meet at the end, as bytes, so that the steps carry none of them. A
+    recursion has a row for each leaf and level, so the session's limit on such rows (spark.sql.cteRecursionRowLimit) is
+    lifted; the levels are as many as the trees are high.
     """
     spark = leaves.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -167,20 +180,23 @@ def prove(leaves: DataFrame, nodes: DataFrame, digest: str = "leaf", carry: list
     names = [f"`{c}`" for c in (carry or [])]
     kinds = [leaves.schema[c].dataType.simpleString() for c in (carry or [])]
     lead, none = "".join(f"{c}, " for c in names), "".join(f"CAST(NULL AS {k}), " for k in kinds)
-    first = "".join(f"first({c}, true) AS {c}, " for c in names)
+    first = "".join(f"first(c.{c}, true) AS {c}, " for c in names)
     return spark.sql(
         f"""
         WITH RECURSIVE climb AS (
-          SELECT {lead}tree, place, 0 AS step, parent, slot, `{digest}` AS folded, CAST(NULL AS binary) AS met FROM {{leaves}}
+          SELECT {lead}tree, place, 0 AS step, parent, slot, `{digest}` AS folded, CAST(NULL AS {NO_KEY}) AS met, CAST(NULL AS int) AS seat FROM {{leaves}}
           UNION ALL
           SELECT {none}c.tree, c.place, c.step + 1, f.parent, f.slot,
             sha2(concat(array_join(slice(f.children, 1, c.slot), ''), c.folded, array_join(slice(f.children, c.slot + 2, {FAN}), '')), 256),
-            unhex(concat(array_join(slice(f.children, 1, c.slot), ''), array_join(slice(f.children, c.slot + 2, {FAN}), '')))
+            f.node, c.slot
           FROM climb c JOIN {{nodes}} f ON c.parent.tree = f.node.tree AND c.parent.level = f.node.level AND c.parent.place = f.node.place
         ),
         path AS (
-          SELECT {first}max_by(folded, step) AS folded_root, aggregate(array_sort(collect_list(struct(step, met))), CAST('' AS binary), (a, x) -> concat(a, coalesce(x.met, CAST('' AS binary)))) AS met
-          FROM climb GROUP BY tree, place
+          SELECT {first}max_by(c.folded, c.step) AS folded_root,
+            aggregate(array_sort(collect_list(struct(c.step AS step, unhex(concat(array_join(slice(f.children, 1, c.seat), ''), array_join(slice(f.children, c.seat + 2, {FAN}), ''))) AS met))),
+              CAST('' AS binary), (a, x) -> concat(a, coalesce(x.met, CAST('' AS binary)))) AS met
+          FROM climb c LEFT JOIN {{nodes}} f ON c.met.tree = f.node.tree AND c.met.level = f.node.level AND c.met.place = f.node.place
+          GROUP BY c.tree, c.place
         )
         SELECT {lead}folded_root, CASE WHEN octet_length(met) = 0 THEN CAST(array() AS array<string>)
           ELSE transform(sequence(0, CAST(octet_length(met) DIV 32 AS int) - 1), i -> lower(hex(substring(met, i * 32 + 1, 32)))) END AS siblings FROM path
