@@ -41,7 +41,7 @@ def naturalness_by_rules(rows: DataFrame, archetypes: DataFrame, rules: DataFram
     terms = family_terms(rows, archetypes)
     met = applicable_rules(rows, rules).groupBy("doc_id", "family").agg((F.sum(F.when(F.col("obeyed"), F.col("confidence")).otherwise(0.0)) / F.sum("confidence")).alias("compliance"))
     both = terms.join(met, ["doc_id", "family"], "left").withColumn("compliance", F.coalesce("compliance", F.lit(1.0)))
-    best = F.max_by(F.struct("family", "core"), F.struct(F.round("probability", 9), F.expr("-ascii(family) * 1000000 - ascii(substring(family, 2)) * 1000 - ascii(substring(family, 4))")))
+    best = F.min(F.struct((-F.round("probability", 9)).alias("p"), "family", "core"))  # ties to the smaller name
     out = both.groupBy("doc_id").agg(F.sum(F.when(F.col("probability") >= least, F.col("probability") * F.col("compliance")).otherwise(0.0)).alias("naturalness"), best.alias("best"))
     out = out.select("doc_id", "naturalness", "best.family", "best.core").join(rows.select("doc_id", "hallmarks"), "doc_id")
     match = F.coalesce(*[F.when(F.col("family") == k, R.hallmark_match(F.col("hallmarks"), x)) for k, x in EXPECTED.items()], F.lit(0.0))
