@@ -77,6 +77,22 @@ def generation_plan(families: DataFrame, total: int, universal: float = 0.3) ->
     return original.union(families.agg(F.min("family").alias("family")).select(F.lit("universal"), "family", F.lit(first).cast("long")))
 
 
+def hallmark_plan(pool: DataFrame, total: int, lead: str = "YQRL") -> DataFrame:
+    """family, hallmarks, wanted: `total` candidates of the original scaffold in equal parts over the families of `pool` (family,
+    hallmarks, n; a few rows a family), what is left over to the last by name; and within a family over its hallmarks, `lead`
+    first, then the most frequent, of which the first ones take one more where the part doesn't divide. Those with none go."""
+    families = pool.select("family").distinct()
+    every = Window.partitionBy(F.lit(1))
+    families = families.withColumns({"at": F.row_number().over(every.orderBy("family")), "m": F.count(F.lit(1)).over(every)})
+    each = F.expr(f"{int(total)} DIV m")
+    families = families.select("family", F.when(F.col("at") < F.col("m"), each).otherwise(F.lit(int(total)) - (F.col("m") - 1) * each).alias("part"))
+    own = Window.partitionBy("family")
+    order = own.orderBy((F.col("hallmarks") == lead).desc(), F.desc("n"), "hallmarks")
+    ranked = pool.withColumns({"j": F.row_number().over(order), "k": F.count(F.lit(1)).over(own)}).join(families, "family")
+    wanted = F.expr("part DIV k + IF(j <= part % k, 1, 0)").cast("long")
+    return ranked.select("family", "hallmarks", wanted.alias("wanted")).filter("wanted > 0")
+
+
 def fasta_lines(rows: DataFrame) -> DataFrame:
     """One line for each record, header and sequence together, for text sinks."""
     return rows.select("doc_id", F.concat(F.lit(">"), F.concat_ws("|", F.col("doc_id").cast("string"), "source", "family"), F.lit("\n"), F.col("v")).alias("record"))

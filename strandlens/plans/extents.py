@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from strandlens.functions import anchors as A, residues as R
-from strandlens.operators import coupling as K, merge as M, models as L, score as P, search as G
+from strandlens.operators import coupling as K, design as D, merge as M, models as L, score as P, search as G
 from strandlens.plans.counting import SEQS, SOME, letters_in, seq, windows_sql, with_
 from strandlens.plans.designs import LEAD, graded, scratch
 from strandlens.plans.working import CUT, H, HITS, TAGGED, searched, tagged
@@ -80,6 +80,12 @@ def hallmark_pool(s):
     return picked.union(s.sparkSession.createDataFrame([(x,) for x in ALWAYS], "hallmarks string")).distinct()
 
 
+def hallmark_shares(s):
+    """700 candidates over the five most frequent true hallmarks of each family."""
+    true = s.filter(M.true_vhh_reason(F.col("hallmarks")) == "kept").groupBy("family", "hallmarks").agg(F.count(F.lit(1)).alias("n"))
+    return D.hallmark_plan(P.capped(true, "family", [F.desc("n"), "hallmarks"], 5), 700)
+
+
 def rank_names(s):
     """Lead, (Control) or a number for each of a family's best rows: the first row is the lead, track 0 are controls."""
     top = graded(s).select("doc_id", "family", "track", "score").orderBy("score", "doc_id").limit(100)
@@ -116,6 +122,7 @@ QUERIES = {
     "S06_delimited_records": delimited,
     "D12_track_violations": seq(track_violations),
     "D17_hallmark_pool": seq(hallmark_pool),
+    "D17_hallmark_plan": seq(hallmark_shares),
     "W05_rank_names": seq(rank_names),
     "L01_held_out": seq(held_out),
     "G04_weighted_hits": weighted_best,
@@ -148,6 +155,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hallmarks ORDER BY n DE
     "S06_delimited_records": SEQS + " SELECT 'q' || doc_id AS id, v AS seq FROM s",
     "D12_track_violations": SEQS + ", x AS (SELECT (doc_id % 5)::INTEGER AS track, CASE (doc_id % 5) " + " ".join(f"WHEN {t} THEN {violating(t)}" for t in BY_TRACK) + " END AS n FROM s) SELECT track, count(*) AS rows, sum((n > 0)::INT)::BIGINT AS violating, sum(n)::BIGINT AS violations FROM x GROUP BY 1",
     "D17_hallmark_pool": SEQS + f", k AS (SELECT family, hallmarks, row_number() OVER (PARTITION BY family ORDER BY count(*) DESC, hallmarks) AS rk FROM s WHERE {TRUE} GROUP BY 1, 2) SELECT hallmarks FROM k WHERE rk <= 2 UNION SELECT unnest({ALWAYS})",
+    "D17_hallmark_plan": SEQS + f", k AS (SELECT family, hallmarks, count(*) AS n, row_number() OVER (PARTITION BY family ORDER BY count(*) DESC, hallmarks) AS rk FROM s WHERE {TRUE} GROUP BY 1, 2), o AS (SELECT family, row_number() OVER (PARTITION BY family ORDER BY (hallmarks = 'YQRL')::INT DESC, n DESC, hallmarks) AS j, count(*) OVER (PARTITION BY family) AS k, hallmarks FROM k WHERE rk <= 5), f AS (SELECT family, row_number() OVER (ORDER BY family) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT family FROM o)), p AS (SELECT family, CASE WHEN i < m THEN 700 // m ELSE 700 - (m - 1) * (700 // m) END AS part FROM f) SELECT family, hallmarks, (part // k + CASE WHEN j <= part % k THEN 1 ELSE 0 END)::BIGINT AS wanted FROM o JOIN p USING (family) WHERE part // k + CASE WHEN j <= part % k THEN 1 ELSE 0 END > 0",
     "W05_rank_names": SEQS + f""", g AS (SELECT doc_id, family, doc_id % 5 = 0 AS control, ({letters_in('v', 'KRH')} - {letters_in('v', 'DE')})::INTEGER AS score FROM s ORDER BY score, doc_id LIMIT 100)
 SELECT doc_id, family, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY family) THEN 'Lead' WHEN control THEN '(Control)' ELSE (row_number() OVER (PARTITION BY family, control ORDER BY score, doc_id))::VARCHAR END AS name FROM g""",
 }

@@ -114,6 +114,15 @@ def test_plans_add_up(spark):
     assert sum(r.wanted for r in rows) == 101 and {r.wanted for r in rows if r.scaffold == "universal"} == {30}
 
 
+def test_hallmark_plan(spark):
+    pool = spark.createDataFrame([("a", "FERG", 9), ("a", "YQRL", 1), ("a", "FERA", 9), ("b", "VGLW", 2), ("c", "YERL", 4), ("c", "YERA", 5)], "family string, hallmarks string, n long")
+    found = {(r.family, r.hallmarks): r.wanted for r in D.hallmark_plan(pool, 32).collect()}
+    assert found == {("a", "YQRL"): 4, ("a", "FERA"): 3, ("a", "FERG"): 3, ("b", "VGLW"): 10, ("c", "YERA"): 6, ("c", "YERL"): 6}
+    # fewer than families: all is left over to the last
+    assert sorted(tuple(r) for r in D.hallmark_plan(pool, 2).collect()) == [("c", "YERA", 1), ("c", "YERL", 1)]
+    assert D.hallmark_plan(pool.limit(0), 5).count() == 0
+
+
 def test_naturalness_without_clusters(spark):
     rows = rows_of(spark, dict(p71="K"), dict(p105="W"))
     found = P.naturalness(rows, C.pattern_clusters(rows), least=5).collect()
