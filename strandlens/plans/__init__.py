@@ -1,5 +1,5 @@
 """Registered queries and their SQL, by kind."""
 
-from strandlens.plans import counting, designs, extents, ingest, rulework, working
+from strandlens.plans import counting, designs, extents, ingest, quotas, rulework, working
 
-PLANS = [counting, working, designs, ingest, rulework, extents]
+PLANS = [counting, working, designs, ingest, rulework, extents, quotas]
