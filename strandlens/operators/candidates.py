@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from strandlens.functions import residues as R
 from strandlens.operators.counts import features
 from strandlens.operators.score import applicable_rules
-from strandlens.sources.sequences import long_residues, valid
+from strandlens.sources.sequences import long_residues, once, valid
 
 #: Pairs of residues that go together (position, residue, partner's position and residue, confidence).
 PARTNERS = [(68, "A", 69, "D", 0.85), (68, "A", 71, "V", 0.80), (69, "D", 68, "A", 0.85), (69, "D", 71, "V", 0.82), (71, "V", 69, "D", 0.82), (71, "V", 76, "F", 0.90), (71, "V", 68, "A", 0.80),
@@ -62,14 +62,14 @@ def combined_score(frame: DataFrame, by: str, loss: str | None = "loss", rule: s
     return frame.withColumn("combined", F.when(F.col("is_lead"), 999.0).otherwise(F.round(out, 9))).drop("__low", "__high")
 
 
-def partner_completion(rows: DataFrame, spark: SparkSession, least: float = 0.8) -> DataFrame:
+def partner_completion(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """For residues that ask for partners: whether each partner is there, is to be added, or can't be as its place is
-    protected or another of the row's residues asks for something else there (conflict)."""
-    pairs = spark.createDataFrame([x for x in PARTNERS if x[4] >= least], "pos int, aa string, partner int, wanted string, confidence double")
-    long = long_residues(rows, sorted({x[0] for x in PARTNERS}), ["doc_id", "v"])
-    met = long.join(F.broadcast(pairs), ["pos", "aa"]).withColumn("own", F.expr("substring(v, partner, 1)"))
-    asked = F.size(F.collect_set("wanted").over(Window.partitionBy("doc_id", "partner")))
-    state = F.when(F.col("own") == F.col("wanted"), "present").when(F.col("partner").isin(PROTECTED), "protected").when(asked > 1, "conflict").otherwise("added")
+    protected or another of the row's residues asks for something else there (conflict). All of it is in the row."""
+    asking = [F.when(R.residue("v", pos) == aa, F.struct(F.lit(pos).alias("pos"), F.lit(aa).alias("aa"), F.lit(partner).alias("partner"), F.lit(wanted).alias("wanted"), R.residue("v", partner).alias("own"))) for pos, aa, partner, wanted, c in PARTNERS if c >= least]
+    met = rows.select("doc_id", once(F.array_compact(F.array(*asking))).alias("all"))
+    met = met.select("doc_id", "all", F.explode("all").alias("x")).select("doc_id", "all", "x.*")
+    others = F.expr("exists(all, y -> y.partner = partner AND y.wanted <> wanted)")
+    state = F.when(F.col("own") == F.col("wanted"), "present").when(F.col("partner").isin(PROTECTED), "protected").when(others, "conflict").otherwise("added")
     return met.select("doc_id", "pos", "aa", "partner", "wanted", state.alias("state"))
 
 

@@ -71,6 +71,11 @@ def tallied(rows: DataFrame, places: list[int]) -> DataFrame:
     return base.mapInArrow(count, SCHEMA)
 
 
+def mined(rows: DataFrame, mode: str = "fr3fr4", **thresholds) -> DataFrame:
+    """Conditional rules of the rows: what operators.counts.rules() gives, from one counting pass."""
+    return rules_of(tallied(rows, R.positions(mode)), **thresholds)
+
+
 def of_family() -> Column:
     return F.col("condition") == F.concat(F.lit("family="), F.col("family"))
 

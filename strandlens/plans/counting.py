@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandlens.functions import residues as R
-from strandlens.operators import counts as C, coupling as K
+from strandlens.operators import counts as C, coupling as K, tallies as T
 from strandlens.sources.sequences import all_sequences, sequences
 
 
@@ -133,7 +133,7 @@ def every(f):
 
 
 QUERIES = {
-    "A01_rule_mining": seq(C.rules),
+    "A01_rule_mining": seq(T.mined),
     "A02_global_rules": seq(C.global_rules),
     "A03_hallmark_frequency": seq(C.hallmark_counts),
     "A03_family_frequency": seq(C.family_counts),

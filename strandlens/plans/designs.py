@@ -90,10 +90,8 @@ def conditions(s):
 
 
 def long_wide(s):
-    """All positions as columns, by a pivot over the long table."""
-    from strandlens.sources.sequences import long_residues
-
-    return long_residues(s, list(range(1, 129)), ["doc_id"]).groupBy("doc_id").pivot("pos", list(range(1, 129))).agg(F.first("aa")).select("doc_id", *[F.col(str(p)).alias(f"imgt_{p}") for p in range(1, 129)])
+    """All positions as columns, each cut from the row itself."""
+    return s.select("doc_id", *[R.residue("v", p).alias(f"imgt_{p}") for p in range(1, 129)])
 
 
 QUERIES = {

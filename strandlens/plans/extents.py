@@ -11,7 +11,7 @@ from strandlens.plans.counting import SEQS, SOME, letters_in, seq, windows_sql,
 from strandlens.plans.designs import LEAD, graded, scratch
 from strandlens.plans.working import CUT, H, HITS, TAGGED, searched, tagged
 from strandlens.sources import records as X
-from strandlens.sources.sequences import sequences
+from strandlens.sources.sequences import once, sequences
 
 #: Hallmarks that a pool has in any case, and places that a track may change beside the loops.
 ALWAYS = ["YQRL", "FQRA"]
@@ -50,10 +50,10 @@ def legacy(s):
 
 
 def rebuilt(s):
-    """Frameworks put together again from the cells of their grid."""
-    cells = s.select("doc_id", F.explode(A.grid(*[R.region("v", k) for k in ("fr1", "fr2", "fr3", "fr4")])).alias("g")).select("doc_id", "g.*")
-    part = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").between(a, b), F.struct("pos", "aa")))), lambda x: x["aa"]), "")
-    return cells.groupBy("doc_id").agg(part(1, 27).alias("fr1"), part(41, 57).alias("fr2"), part(66, 105).alias("fr3"), part(118, 128).alias("fr4"))
+    """Frameworks put together again from the cells of their grid, row by row."""
+    cells = s.select("doc_id", once(F.array_sort(A.grid(*[R.region("v", k) for k in ("fr1", "fr2", "fr3", "fr4")]))).alias("g"))
+    part = lambda a, b: F.array_join(F.transform(F.filter("g", lambda x: x["pos"].between(a, b)), lambda x: x["aa"]), "")
+    return cells.select("doc_id", part(1, 27).alias("fr1"), part(41, 57).alias("fr2"), part(66, 105).alias("fr3"), part(118, 128).alias("fr4"))
 
 
 def delimited(spark, sf_dir):

@@ -18,7 +18,7 @@ def pool(s):
     """Sequences as candidates of their source: a few controls, tracks by number, buckets by family and loop length."""
     control = (F.col("text_id") % 100 == 0) & (F.col("doc_id") % 1_000_000 == 0)
     track = F.when(control, 0).otherwise((F.col("doc_id") % 4 + 1).cast("int"))
-    scaffold = F.when(F.col("text_id") % 10 == 0, "original").otherwise("universal")
+    scaffold = F.when((F.col("text_id") + F.col("doc_id") % 1_000_000) % 7 == 0, "original").otherwise("universal")
     return s.select(F.col("source").alias("lead"), F.col("doc_id").alias("candidate"), track.alias("track"), F.col("family").alias("kind"), F.concat("family", F.lit("|"), "lang").alias("bucket"), scaffold.alias("scaffold"), R.charge("v").alias("score"))
 
 
@@ -51,6 +51,10 @@ QUERIES = {
 }
 
 SQL = {
-    "D09_quotas_held": with_(f"p AS (SELECT source AS lead, text_id % 100 = 0 AND doc_id % 1000000 = 0 AS control FROM s) SELECT lead, least({CHOSEN}, count(*)) AS n, least({CHOSEN}, count(*)) AS distinct, sum(control::INT)::BIGINT AS controls, true AS minima_held, true AS original_held, true AS cap_held FROM p GROUP BY 1").replace("AS distinct", 'AS "distinct"'),
+    # the cap can hold where the kinds, up to the cap each, fill the slots
+    "D09_quotas_held": with_(f"""p AS (SELECT source AS lead, family AS kind, text_id % 100 = 0 AND doc_id % 1000000 = 0 AS control FROM s),
+l AS (SELECT lead, least({CHOSEN}, count(*)) AS n, sum(control::INT)::BIGINT AS controls FROM p GROUP BY 1),
+k AS (SELECT lead, kind, count(*) AS m FROM p WHERE NOT control GROUP BY ALL)
+SELECT lead, n, n AS "distinct", controls, true AS minima_held, true AS original_held, sum(least(m, greatest({S.LEAST}, floor(({CHOSEN} - controls) * {S.SHARE})))) >= {CHOSEN} - controls AS cap_held FROM l JOIN k USING (lead) GROUP BY lead, n, controls"""),
     "X01_arriving_rules": COUNTED["A01_rule_mining"],
 }

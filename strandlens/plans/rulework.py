@@ -31,11 +31,12 @@ def names_of(doc_id):
 
 
 def constrained(spark, sf_dir):
-    rows = spark.createDataFrame([(R.REGIONS[k][0] + i - 1, a, how) for k, i, a, how in CONSTRAINTS], "pos int, allowed string, how string")
-    met = sequences(spark, sf_dir).select("doc_id", "v").crossJoin(F.broadcast(rows)).withColumn("aa", F.expr("substring(v, pos, 1)"))  # a few constraints
-    alike = reduce(lambda x, y: x | y, [F.col("aa").isin(list(g)) & F.col("allowed").rlike(f"[{g}]") for g in R.GROUPS.values()])
-    good = F.col("allowed").contains(F.col("aa")) | ((F.col("how") == "similar") & alike)
-    return met.groupBy("doc_id").agg(F.bool_and(good).alias("met"), F.count_if(good).alias("n_met"))
+    """Whether each sequence meets all constraints on its residues, and how many; from the row itself."""
+    good = []
+    for region, i, allowed, how in CONSTRAINTS:
+        letters = set(allowed).union(*[g for g in R.GROUPS.values() if how == "similar" and set(g) & set(allowed)])
+        good.append(R.residue("v", R.REGIONS[region][0] + i - 1).isin(sorted(letters)))
+    return sequences(spark, sf_dir).select("doc_id", reduce(lambda x, y: x & y, good).alias("met"), reduce(lambda x, y: x + y, [g.cast("long") for g in good]).alias("n_met"))
 
 
 def anchored(s):
@@ -131,7 +132,7 @@ QUERIES = {
     "J04_applicable_rules": seq(applied),
     "J08_shared_pairs": seq(lambda s: D.shared_motifs(C.archetypes(s, "hallmarks", least=5), "hallmarks", 0.5, sizes=(2,))),
     "J10_framework_library": library_designs,
-    "J11_partners": lambda spark, d: Q.partner_completion(sequences(spark, d), spark),
+    "J11_partners": lambda spark, d: Q.partner_completion(sequences(spark, d)),
     "W01_ranked_suggestions": seq(lambda s: C.rules(s, min_confidence=0.2, top=3).select("family", "condition", "pos", "rank", "aa", "support")),
     "W04_hallmarks_by_cluster": seq(lambda s: P.capped(s.groupBy("family", "hallmarks").agg(F.count(F.lit(1)).alias("n")), "family", [F.desc("n"), "hallmarks"], 2)),
     "T03_ruled_hits": ruled_hits,
