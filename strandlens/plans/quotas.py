@@ -23,17 +23,18 @@ def pool(s):
 
 
 def held(s):
-    """What the selection holds for each lead: exact number, all controls, minima of tracks and of the original scaffold, the
-    cap on a kind, and no row chosen twice."""
+    """What the selection holds for each lead: exact number, all controls, minima of tracks and of the original scaffold (or all
+    that is there), the cap on a kind, and no row chosen twice."""
     chosen = S.select_by_quotas(pool(s), CHOSEN)
     n = F.count(F.lit(1))
     every = chosen.groupBy("lead").agg(n.alias("n"), F.count_distinct("candidate").alias("distinct"), F.count_if(F.col("track") == 0).alias("controls"), F.count_if((F.col("track") > 0) & (F.col("scaffold") == "original")).alias("originals"), *[F.count_if(F.col("track") == t).alias(f"track{t}") for t in S.MINIMA])
     most = chosen.filter("track > 0").groupBy("lead", "kind").agg(n.alias("m")).groupBy("lead").agg(F.max("m").alias("most"))
     slots = F.lit(CHOSEN) - F.col("controls")
-    reached = lambda x, least, part: F.col(x) >= F.greatest(F.lit(least), F.floor(slots / part))
+    there = pool(s).filter("track > 0").groupBy("lead").agg(F.count_if(F.col("scaffold") == "original").alias("all_originals"), *[F.count_if(F.col("track") == t).alias(f"all_track{t}") for t in S.MINIMA])
+    reached = lambda x, least, part: F.col(x) >= F.least(f"all_{x}", F.greatest(F.lit(least), F.floor(slots / part)))
     minima = [reached(f"track{t}", *x) for t, x in S.MINIMA.items()]
     cap = F.greatest(F.lit(S.LEAST), F.floor(slots * S.SHARE))
-    return every.join(most, "lead").select("lead", "n", "distinct", "controls", (minima[0] & minima[1] & minima[2] & minima[3]).alias("minima_held"), reached("originals", *S.ORIGINAL).alias("original_held"), (F.col("most") <= cap).alias("cap_held"))
+    return every.join(most, "lead").join(there, "lead").select("lead", "n", "distinct", "controls", (minima[0] & minima[1] & minima[2] & minima[3]).alias("minima_held"), reached("originals", *S.ORIGINAL).alias("original_held"), (F.col("most") <= cap).alias("cap_held"))
 
 
 def arriving_rules(spark, sf_dir):
@@ -55,6 +56,6 @@ SQL = {
     "D09_quotas_held": with_(f"""p AS (SELECT source AS lead, family AS kind, text_id % 100 = 0 AND doc_id % 1000000 = 0 AS control FROM s),
 l AS (SELECT lead, least({CHOSEN}, count(*)) AS n, sum(control::INT)::BIGINT AS controls FROM p GROUP BY 1),
 k AS (SELECT lead, kind, count(*) AS m FROM p WHERE NOT control GROUP BY ALL)
-SELECT lead, n, n AS "distinct", controls, true AS minima_held, true AS original_held, sum(least(m, greatest({S.LEAST}, floor(({CHOSEN} - controls) * {S.SHARE})))) >= {CHOSEN} - controls AS cap_held FROM l JOIN k USING (lead) GROUP BY lead, n, controls"""),
+SELECT lead, n, n AS "distinct", controls, true AS minima_held, true AS original_held, sum(least(m, greatest({S.LEAST}, floor(({CHOSEN} - controls) * {S.SHARE})))) >= least({CHOSEN} - controls, sum(m)) AS cap_held FROM l JOIN k USING (lead) GROUP BY lead, n, controls"""),
     "X01_arriving_rules": COUNTED["A01_rule_mining"],
 }
