@@ -15,7 +15,64 @@ from strandlens.sources.sequences import long_residues
 
 
 #: Clusters that are compared with every design at once; more are taken in blocks of about that many.
-MAX_CLUSTERS = 20_000
+MAX_CLUSTERS = 200_000
+
+
+def plain_patterns(patterns: list[str], width: int) -> np.ndarray:
+    """Residue codes of patterns of `width` letters, a row for each; other letters are no residue."""
+    code = np.full(256, len(R.RESIDUES), np.int64)
+    code[np.frombuffer(R.RESIDUES.encode(), np.uint8)] = np.arange(len(R.RESIDUES))
+    return code[np.frombuffer("".join(patterns).encode("ascii", "replace"), np.uint8).reshape(len(patterns), width)]
+
+
+def bitsets(patterns: list[str], width: int) -> np.ndarray:
+    """For each place and residue one bit a pattern, whether it has that residue there, in words of 64."""
+    letters, words = plain_patterns(patterns, width), max(1, -(-len(patterns) // 64))
+    out = np.zeros((width, len(R.RESIDUES) + 1, words), np.uint64)
+    for k in range(width):
+        for a in range(len(R.RESIDUES)):
+            bits = np.packbits(letters[:, k] == a, bitorder="little")
+            out[k, a].view(np.uint8)[: len(bits)] = bits
+    return out
+
+
+def best_of(masks: np.ndarray, own: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(design, pattern, matches) of the `best` patterns of each design: most places alike, one at least, then the earlier
+    pattern. Counts of places are numbers written across words, a word for each binary digit, added for 64 patterns at once."""
+    column, planes = [masks[k, own[:, k]] for k in range(masks.shape[0])], []
+    while column:
+        carried = []
+        while len(column) > 1:  # an adder: two or three words of a digit give one of it and one of the next
+            a, b, *c = column[-3:]
+            half = a ^ b
+            carried.append((a & b) | (half & c[0]) if c else a & b)
+            column[-3:] = [half ^ c[0] if c else half]
+        planes.insert(0, column[0])
+        column = carried
+    left = planes[0].copy()
+    for x in planes[1:]:
+        left |= x
+    above, need = np.zeros_like(left), np.full(len(own), best)
+    for x in planes:  # the best-th largest count, digit by digit: what is above it, and what still can equal it
+        ones = left & x
+        n = np.bitwise_count(ones).sum(axis=1, dtype=np.int64)
+        many = (n >= need)[:, None]
+        above |= np.where(many, np.uint64(0), ones)
+        left = np.where(many, ones, left & ~x)
+        need = np.where(many[:, 0], need, need - n)
+    design, at = [], []
+    for words, most in ((above, np.full(len(own), best)), (left, need)):
+        row, word = np.nonzero(words)
+        near = np.arange(len(row)) - np.searchsorted(row, row) < most[row]  # a word has one bit or more
+        row, word = row[near], word[near]
+        i, bit = np.nonzero(np.unpackbits(words[row, word].view(np.uint8).reshape(len(row), 8), axis=1, bitorder="little"))
+        row, place = row[i], word[i] * 64 + bit
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < most[row]
+        design.append(row[keep])
+        at.append(place[keep])
+    design, at = np.concatenate(design), np.concatenate(at)
+    same = sum(((planes[-1 - k][design, at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << k for k in range(len(planes)))
+    return design, at, same
 
 
 def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, least: int = 100) -> DataFrame:
@@ -26,27 +83,20 @@ def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, leas
     blocks = max(1, -(-wanted.count() // MAX_CLUSTERS))
 
     def passed(block: int) -> DataFrame:
-        held = wanted.filter(F.pmod(F.xxhash64("family", "pattern"), F.lit(blocks)) == block).orderBy(F.desc("n"), "family", "pattern").collect()
-        letters = np.array([list(r.pattern.encode()) for r in held], np.uint8).reshape(len(held), len(R.VERNIER))
-        shared = designs.sparkSession.sparkContext.broadcast((held and [tuple(r) for r in held], letters))
+        held = wanted.filter(F.pmod(F.xxhash64("family", "pattern"), F.lit(blocks)) == block).orderBy(F.desc("n"), "family", "pattern").toArrow().combine_chunks()
+        shared = designs.sparkSession.sparkContext.broadcast((held, bitsets(held.column("pattern").to_pylist(), len(R.VERNIER))))
 
         def compare(batches):
-            rows, letters = shared.value
+            rows, masks = shared.value
+            size = max(1, (1 << 13) // masks.shape[-1])  # designs at a time, so that their words stay in the cache
             for batch in batches:
-                for start in range(0, batch.num_rows if rows else 0, 256):
-                    part = batch.slice(start, 256)
-                    own = np.array([list(x.encode()) for x in part.column("pattern").to_pylist()], np.uint8)
-                    same = np.zeros((len(own), len(rows)), np.int64)
-                    for k in range(letters.shape[1]):
-                        same += own[:, k, None] == letters[None, :, k]
-                    key = same * len(rows) - np.arange(len(rows))  # more matches, then the earlier cluster
-                    k = min(best, len(rows))
-                    top = np.argpartition(-key, k - 1, axis=1)[:, :k]
-                    design, at = np.repeat(np.arange(len(own)), k), top.ravel()
-                    good = same[design, at] > 0
-                    design, at = design[good], at[good]
-                    yield pa.record_batch([part.column("doc_id").take(pa.array(design)), pa.array([rows[i][0] for i in at], pa.string()), pa.array([rows[i][1] for i in at], pa.string()),
-                                           pa.array([rows[i][2] for i in at], pa.int64()), pa.array(same[design, at])], names=["doc_id", "family", "pattern", "n", "matches"])
+                own = plain_patterns(batch.column("pattern").to_pylist(), masks.shape[0])
+                found = [best_of(masks, own[start : start + size], best) for start in range(0, len(own), size)] if rows.num_rows else []
+                if found:
+                    design = np.concatenate([x[0] + i * size for i, x in enumerate(found)])
+                    at, same = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+                    held = rows.take(pa.array(at)).combine_chunks()
+                    yield pa.record_batch([batch.column("doc_id").take(pa.array(design)), *[held.column(k).combine_chunks() for k in ("family", "pattern", "n")], pa.array(same)], names=["doc_id", "family", "pattern", "n", "matches"])
 
         return of.mapInArrow(compare, "doc_id long, family string, pattern string, n long, matches long")
 
