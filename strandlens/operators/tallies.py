@@ -22,12 +22,13 @@ DENSE = 1 << 22
 SCHEMA = "family string, condition string, cell int, n long"
 
 
-def tallied(rows: DataFrame, places: list[int]) -> DataFrame:
+def tallied(rows: DataFrame, places: list[int], family: Column | str = "family", full: bool = False) -> DataFrame:
     """Tallies of about ROWS rows each, to be added up by summed(). A row is never exploded: a task counts condition and
-    residue codes of its Arrow batches, a condition's cells at a time. Rows without a family, and null conditions, don't count."""
+    residue codes of its Arrow batches, a condition's cells at a time. Rows without a family, and null conditions, don't count.
+    `family` is what rows are told apart by; `full` counts all three ends of the third loop."""
     places = sorted(places)
     cells = (np.array(places)[:, None] * WIDE + np.arange(GAP)).ravel()
-    base = features(rows).filter("family IS NOT NULL").select("family", condition_tokens().alias("tokens"), F.rpad(F.coalesce("v", F.lit("")), LENGTH, "-").alias("v"))
+    base = features(rows).select((F.col(family) if isinstance(family, str) else family).alias("family"), condition_tokens(full).alias("tokens"), F.rpad(F.coalesce("v", F.lit("")), LENGTH, "-").alias("v")).filter("family IS NOT NULL")
 
     def flush(parts: list):
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -76,6 +77,22 @@ def mined(rows: DataFrame, mode: str = "fr3fr4", **thresholds) -> DataFrame:
     return rules_of(tallied(rows, R.positions(mode)), **thresholds)
 
 
+def global_mined(rows: DataFrame, mode: str = "vernier", min_support: int = 10, min_confidence: float = 0.6) -> DataFrame:
+    """What operators.counts.global_rules() gives, from one counting pass: all rows as one family, whose residues the third
+    loop's cysteine class, which every row has, adds up to."""
+    sums = summed(tallied(rows, R.positions(mode), F.lit(""), full=True).filter("cell > 0 AND condition IS NOT NULL"))
+    sums = sums.select("condition", "cell", F.col("n").alias("support"), F.expr(f"cell DIV {WIDE}").cast("int").alias("pos"))
+    place = Window.partitionBy("condition", "pos")
+    aa = F.substring(F.lit(R.RESIDUES), F.col("cell") % WIDE + 1, F.lit(1))
+    out = sums.withColumn("aa", aa).withColumns({"n_valid": F.sum("support").over(place), "rank": F.row_number().over(place.orderBy(F.desc("support"), "aa"))}).filter("rank = 1")
+    out = out.withColumn("confidence", F.col("support") * F.lit(1.0) / F.col("n_valid"))
+    base = sums.filter(F.col("condition").startswith("cdr3_cys=")).groupBy("pos", "cell").agg(F.sum("support").alias("n"))
+    base = base.select("cell", (F.col("n") * F.lit(1.0) / F.sum("n").over(Window.partitionBy("pos"))).alias("baseline"))
+    definitional = F.col("condition").startswith("hallmarks=") & F.col("pos").isin(R.HALLMARKS)
+    out = out.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence) & ~definitional)
+    return out.join(F.broadcast(base), "cell").withColumn("lift", F.col("confidence") / F.col("baseline")).select("condition", "pos", "aa", "support", "confidence", "lift")
+
+
 def of_family() -> Column:
     return F.col("condition") == F.concat(F.lit("family="), F.col("family"))
 

@@ -134,7 +134,7 @@ def every(f):
 
 QUERIES = {
     "A01_rule_mining": seq(T.mined),
-    "A02_global_rules": seq(C.global_rules),
+    "A02_global_rules": seq(T.global_mined),
     "A03_hallmark_frequency": seq(C.hallmark_counts),
     "A03_family_frequency": seq(C.family_counts),
     "A04_archetypes": seq(C.archetypes),

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
-from strandlens.operators import counts as C, design as D, merge as M, models as L, score as P
+from strandlens.operators import counts as C, design as D, merge as M, models as L, score as P, tallies as T
 from strandlens.plans.counting import SEQS, archetype_sql, every, letters_in, seq, with_
 from strandlens.plans.working import TAGGED, gapped, tagged
 from strandlens.sources.sequences import all_sequences, sequences, table
@@ -85,7 +85,7 @@ def back_from_fasta(spark, sf_dir):
 
 
 def conditions(s):
-    both = C.rules(s).select(F.concat("condition", F.lit(" AND IMGT"), F.col("pos").cast("string"), F.lit("="), F.col("aa")).alias("condition"), "family")
+    both = T.mined(s).select(F.concat("condition", F.lit(" AND IMGT"), F.col("pos").cast("string"), F.lit("="), F.col("aa")).alias("condition"), "family")
     return D.parse_conditions(both).select("family", "condition", "kind", "name", "value")
 
 
@@ -112,7 +112,7 @@ QUERIES = {
     "F23_tempered": seq(lambda s: C.archetypes(s).select("family", "pos", F.round(A.tempered(F.col("frequency") * 0.98 + 0.01, 2.0), 6).alias("p"))),
     "D10_across_tracks": seq(lambda s: D.across_tracks(graded(s), "v")),
     "D12_control_violations": seq(lambda s: D.control_violations(s, LEAD, ALLOWED)),
-    "D15_rule_conversion": seq(lambda s: D.convert_rules(C.rules(s))),
+    "D15_rule_conversion": seq(lambda s: D.convert_rules(T.mined(s))),
     "D16_terminal_fix": seq(lambda s: s.select("doc_id", D.terminal_fix(F.col("v")).alias("v"))),
     "D17_generation_plan": seq(lambda s: D.generation_plan(C.family_counts(s), 1000)),
     "W05_ranks": seq(lambda s: D.ranks(graded(s).select("doc_id", "family", "score"), "family", "score", "doc_id", 100)),
@@ -121,7 +121,7 @@ QUERIES = {
     "A31_shared_motifs": seq(lambda s: D.shared_motifs(C.archetypes(s), frequency=0.1)),
     "A33_breakdown": seq(lambda s: s.cube("family", "lang").agg(F.count(F.lit(1)).alias("n"))),
     "A26_gap_rates": lambda spark, d: gapped(spark, d).select(F.explode(F.array(*[F.struct(F.lit(p).alias("pos"), R.residue("v", p).alias("aa")) for p in R.positions("vernier")])).alias("x")).groupBy("x.pos").agg(F.avg((F.col("x.aa") == "-").cast("double")).alias("gap_rate")),
-    "T01_rule_order": seq(lambda s: C.rules(s).orderBy(F.desc("support"), F.desc("confidence"), F.desc("lift"), "family", "condition", "pos", "aa").limit(25).select("family", "condition", "pos", "aa", "support")),
+    "T01_rule_order": seq(lambda s: T.mined(s).orderBy(F.desc("support"), F.desc("confidence"), F.desc("lift"), "family", "condition", "pos", "aa").limit(25).select("family", "condition", "pos", "aa", "support")),
     "L01_residue_model": seq(lambda s: L.accuracy(L.predict(s, 71))),
     "L02_residue_forest": seq(lambda s: L.importances(s, 71)),
     "L04_residue_scores": seq(lambda s: L.predict(s, 50, forest=True)),

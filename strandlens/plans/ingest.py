@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
-from strandlens.operators import counts as C, coupling as K, design as D, merge as M
+from strandlens.operators import counts as C, coupling as K, design as D, merge as M, tallies as T
 from strandlens.plans.counting import SEQS, SQL as COUNTED, every, letters_in, seq, with_
 from strandlens.plans.designs import scratch
 from strandlens.plans.working import META, PRIORITY
@@ -70,14 +70,14 @@ def atoms(spark, sf_dir):
 
 def model_back(spark, sf_dir):
     path = f"{scratch(spark)}/rules"
-    X.write_model(C.rules(sequences(spark, sf_dir)), path)
+    X.write_model(T.mined(sequences(spark, sf_dir)), path)
     return X.read_model(spark, path).select("family", "condition", "pos", "rank", "aa", "support")
 
 
 def run_folder(spark, sf_dir):
     """A run's outputs in one folder, each as JSON, and how many rows each has."""
     path, s = scratch(spark), sequences(spark, sf_dir)
-    outputs = {"archetypes": C.archetypes(s), "clusters": C.pattern_clusters(s), "correlations": C.feature_correlations(s, 71), "rules": C.rules(s)}
+    outputs = {"archetypes": C.archetypes(s), "clusters": C.pattern_clusters(s), "correlations": C.feature_correlations(s, 71), "rules": T.mined(s)}
     for name, frame in outputs.items():
         frame.write.json(f"{path}/{name}")
     read = [spark.read.text(f"{path}/{name}").select(F.lit(name).alias("output")) for name in outputs]
