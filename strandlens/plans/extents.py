@@ -3,15 +3,16 @@ removal, legacy names, rebuilt frameworks, delimited records, controls by track,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from strandlens.functions import anchors as A, residues as R
 from strandlens.operators import coupling as K, design as D, merge as M, models as L, score as P, search as G
 from strandlens.plans.counting import SEQS, SOME, letters_in, seq, windows_sql, with_
 from strandlens.plans.designs import LEAD, graded, scratch
-from strandlens.plans.working import CUT, H, HITS, TAGGED, searched, tagged
+from strandlens.plans.working import CUT, H, HITS, TAGGED, rows_and_queries, tagged
 from strandlens.sources import records as X
-from strandlens.sources.sequences import once, sequences
+from strandlens.sources.sequences import once, sequences, table
 
 #: Hallmarks that a pool has in any case, and places that a track may change beside the loops.
 ALWAYS = ["YQRL", "FQRA"]
@@ -28,8 +29,11 @@ def pair_combinations(s):
 
 def scan_reasons(spark, sf_dir):
     """Pairs of each source, and of all, by the first loop whose identity is too low, or as hits."""
-    ids = G.identities(searched(spark, sf_dir)[0], ["source"])
-    reason = F.coalesce(*[F.when(F.col(f"id_{k}") < least, k) for k, least in CUT.items()], F.lit("hit"))
+    def first_low(loops):
+        return np.select([loops[k].identity < least for k, least in CUT.items()], np.arange(len(CUT)), len(CUT)).astype(float)
+
+    ids = G.pair_values(*rows_and_queries(spark, sf_dir), ["source"], {"reason": first_low})
+    reason = F.element_at(F.array(*map(F.lit, [*CUT, "hit"])), F.col("reason").cast("int") + 1)
     return ids.select("source", reason.alias("reason")).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("c")).rollup("reason", "source").agg(F.sum("c").alias("n")).filter("reason IS NOT NULL")
 
 
@@ -105,11 +109,10 @@ def weighted_best(spark, sf_dir):
     """Each query's three best rows of the annotated documents by weighted identity of the loops, with the annotation."""
     from strandlens.plans.working import metadata
 
-    pairs = searched(spark, sf_dir)[0]
-    good = metadata(spark, sf_dir).filter("targets <> ''").select("doc_id", "targets", "organism")
-    ids = G.identities(pairs.join(good, "doc_id"), ["query_id", "doc_id", "targets", "organism"], weighted=True)
-    scored = ids.select("query_id", "doc_id", "targets", "organism", F.round(G.weighted_score({k: F.col(f"id_{k}") for k in G.WEIGHTS}), 9).alias("score"))
-    return P.capped(scored, "query_id", [F.desc("score"), "doc_id"], 3)
+    good = metadata(spark, sf_dir).filter("targets <> ''").select("doc_id", "targets", "organism", *[R.region("v", k).alias(k) for k in G.WEIGHTS])
+    score = G.loop_score()
+    best = G.best_pairs(good, G.queries(table(spark, sf_dir, "benchmark")), lambda loops: np.round(score(loops), 9), ["targets", "organism"], weighted=True)
+    return best.withColumn("score", F.round("score", 9))
 
 
 QUERIES = {

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
-from strandlens.operators import candidates as Q, counts as C, coupling as K, design as D, merge as M, models as L, score as P, search as G
+from strandlens.operators import candidates as Q, counts as C, coupling as K, design as D, merge as M, models as L, score as P, search as G, tallies as T
 from strandlens.plans.counting import EVERY, FAMILY, LEFTS, RIGHTS, SEQS, SOME, SQL as COUNTED, TOKENS, archetype_sql, association_sql, letters_in, long_sql, pairs_sql, seq, with_
 from strandlens.plans.designs import FR1, FR2, FR3, FR4, spliced
 from strandlens.plans.ingest import BASES, BEST, frames_sql, heuristic_sql
-from strandlens.plans.working import H, HITS, META, searched
+from strandlens.plans.working import H, HITS, META, rows_and_queries
 from strandlens.sources import records as X
 from strandlens.sources.sequences import sequences, table
 
@@ -72,13 +72,14 @@ def cysteine_class(s):
 
 
 def weighted_hits(spark, sf_dir):
-    made = G.identities(searched(spark, sf_dir)[0], ["query_id", "doc_id"])
-    return made.select("query_id", "doc_id", F.round(G.weighted_score({n: F.col(f"id_{n}") for n in ("cdr1", "cdr3")}), 9).alias("score"))
+    made = G.pair_values(*rows_and_queries(spark, sf_dir), ["doc_id"], {"score": G.loop_score(("cdr1", "cdr3"))})
+    return made.withColumn("score", F.round("score", 9))
 
 
 def ruled_hits(spark, sf_dir):
-    pairs = searched(spark, sf_dir)[0]
-    parts = [G.ordered_hits(pairs, regions).select(F.lit("+".join(regions)).alias("rule"), "query_id", "doc_id", "rank") for regions in (["cdr3"], ["cdr1"], ["cdr1", "cdr2", "cdr3"])]
+    rows, asked = rows_and_queries(spark, sf_dir)
+    rules = {"cdr3": lambda loops: loops["cdr3"].identity, "cdr1": lambda loops: loops["cdr1"].identity, "cdr1+cdr2+cdr3": G.loop_score()}
+    parts = [G.best_pairs(rows, asked, score).select(F.lit(rule).alias("rule"), "query_id", "doc_id", "rank") for rule, score in rules.items()]
     return reduce(lambda a, b: a.union(b), parts)
 
 
@@ -104,7 +105,7 @@ def fitted(spark, sf_dir):
 
 
 def applied(s):
-    return Q.applicable_rules(s, C.rules(s)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("obeyed").alias("obeyed"))
+    return Q.applicable_rules(s, T.mined(s)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("obeyed").alias("obeyed"))
 
 
 def library_designs(spark, sf_dir):
@@ -133,18 +134,18 @@ QUERIES = {
     "J08_shared_pairs": seq(lambda s: D.shared_motifs(C.archetypes(s, "hallmarks", least=5), "hallmarks", 0.5, sizes=(2,))),
     "J10_framework_library": library_designs,
     "J11_partners": lambda spark, d: Q.partner_completion(sequences(spark, d)),
-    "W01_ranked_suggestions": seq(lambda s: C.rules(s, min_confidence=0.2, top=3).select("family", "condition", "pos", "rank", "aa", "support")),
+    "W01_ranked_suggestions": seq(lambda s: T.mined(s, min_confidence=0.2, top=3).select("family", "condition", "pos", "rank", "aa", "support")),
     "W04_hallmarks_by_cluster": seq(lambda s: P.capped(s.groupBy("family", "hallmarks").agg(F.count(F.lit(1)).alias("n")), "family", [F.desc("n"), "hallmarks"], 2)),
     "T03_ruled_hits": ruled_hits,
     "G05_annotated_coverage": annotated_coverage,
-    "U04_rule_merge": seq(lambda s: M.merge_rules(D.convert_rules(C.rules(s)).select("pos", "aa").distinct(), C.rules(s, mode="all", min_confidence=0.5).select("pos", "aa").distinct())),
+    "U04_rule_merge": seq(lambda s: M.merge_rules(D.convert_rules(T.mined(s)).select("pos", "aa").distinct(), T.mined(s, mode="all", min_confidence=0.5).select("pos", "aa").distinct())),
     "M03_capped_information": seq(lambda s: K.mutual_information(s, EVERY, rate=500_000)),
     "M04_capped_sample": seq(lambda s: X.capped_sample(s.select("doc_id", R.residue("v", 71).alias("aa")), ["aa"], "doc_id", 20)),
     "D03_family_probability": seq(lambda s: Q.family_terms(s, C.archetypes(s)).select("doc_id", "family", F.round("probability", 9).alias("probability"))),
-    "D05_rule_naturalness": seq(lambda s: Q.naturalness_by_rules(s, C.archetypes(s), C.rules(s))),
+    "D05_rule_naturalness": seq(lambda s: Q.naturalness_by_rules(s, C.archetypes(s), T.mined(s))),
     "D06_combined_score": scored_candidates,
     "D13_scaffold_fit": fitted,
-    "D14_rule_tiers": seq(lambda s: Q.rule_tiers(s, C.rules(s), UNIVERSAL)),
+    "D14_rule_tiers": seq(lambda s: Q.rule_tiers(s, T.mined(s), UNIVERSAL)),
     "L03_coefficients": seq(lambda s: L.coefficients(s, 71)),
 }
 
