@@ -75,11 +75,13 @@ def best_of(masks: np.ndarray, own: np.ndarray, best: int) -> tuple[np.ndarray,
     return design, at, same
 
 
-def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, least: int = 100) -> DataFrame:
-    """Each design's best clusters (of `least` rows or more) by equal vernier residues, one at least, then by size. Designs
-    pass by a table of MAX_CLUSTERS patterns at most, and keep their `best` of each such table."""
+def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, least: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each design's best clusters (of `least` rows or more) by equal vernier residues, one at least, then by size, with the
+    design's `keep` columns. Designs pass by a table of MAX_CLUSTERS patterns at most, and keep their `best` of each such table."""
     wanted = clusters.filter(F.col("n") >= least).select("family", "pattern", "n")
-    of = designs.select("doc_id", F.concat(*[R.residue("v", p) for p in R.VERNIER]).alias("pattern"))
+    own_columns = ["doc_id", *keep]
+    of = designs.select(*own_columns, F.concat(*[R.residue("v", p) for p in R.VERNIER]).alias("pattern"))
+    kept = ", ".join(f"{k} {of.schema[k].dataType.simpleString()}" for k in own_columns)
     blocks = max(1, -(-wanted.count() // MAX_CLUSTERS))
 
     def passed(block: int) -> DataFrame:
@@ -96,9 +98,9 @@ def cluster_matches(designs: DataFrame, clusters: DataFrame, best: int = 5, leas
                     design = np.concatenate([x[0] + i * size for i, x in enumerate(found)])
                     at, same = (np.concatenate([x[k] for x in found]) for k in (1, 2))
                     held = rows.take(pa.array(at)).combine_chunks()
-                    yield pa.record_batch([batch.column("doc_id").take(pa.array(design)), *[held.column(k).combine_chunks() for k in ("family", "pattern", "n")], pa.array(same)], names=["doc_id", "family", "pattern", "n", "matches"])
+                    yield pa.record_batch([*[batch.column(k).take(pa.array(design)) for k in own_columns], *[held.column(k).combine_chunks() for k in ("family", "pattern", "n")], pa.array(same)], names=[*own_columns, "family", "pattern", "n", "matches"])
 
-        return of.mapInArrow(compare, "doc_id long, family string, pattern string, n long, matches long")
+        return of.mapInArrow(compare, f"{kept}, family string, pattern string, n long, matches long")
 
     met = reduce(DataFrame.union, map(passed, range(blocks)))
     order = Window.partitionBy("doc_id").orderBy(F.desc("matches"), F.desc("n"), "family", "pattern")
@@ -114,20 +116,20 @@ def naturalness(designs: DataFrame, clusters: DataFrame, least: int = 100) -> Da
     """Weighted deviations of cdr3 length, charge and aromatics from the best clusters (weight matches * sqrt(n)), and
     their score; from the mean and population deviation of all clusters' means, weighted by size up to 1000, where the best
     has fewer than two matches."""
-    met = cluster_matches(designs, clusters, least=least)
-    good = met.withColumn("top", F.max("matches").over(Window.partitionBy("doc_id"))).filter("top >= 2").withColumn("weight", F.col("matches") * F.sqrt("n"))
+    rows = features(designs)
+    good = cluster_matches(rows, clusters, least=least, keep=tuple(FEATURES)).withColumn("weight", F.col("matches") * F.sqrt("n"))
     stats = [f"{k}_{x}" for k in FEATURES for x in ("mean", "std")]
-    named = good.join(clusters.select("family", "pattern", *stats), ["family", "pattern"])
-    own = features(designs).select("doc_id", *FEATURES)
+    named = good.join(clusters.filter(F.col("n") >= least).select("family", "pattern", *stats), ["family", "pattern"])
+    own = rows.select("doc_id", *FEATURES)
     z = {k: (F.col(k) - F.col(f"{k}_mean")) / F.greatest(F.col(f"{k}_std"), F.lit(low)) for k, low in FEATURES.items()}
-    near = named.join(own, "doc_id").groupBy("doc_id").agg(*[(F.sum(x * F.col("weight")) / F.sum("weight")).alias(f"z_{k}") for k, x in z.items()], F.max("top").alias("best_match"))
+    near = named.groupBy("doc_id").agg(*[(F.sum(x * F.col("weight")) / F.sum("weight")).alias(f"z_{k}") for k, x in z.items()], F.max("matches").alias("best_match")).filter("best_match >= 2")
     weight = F.least("n", F.lit(1000))
     mean = {k: F.sum(F.col(f"{k}_mean") * weight) / F.sum(weight) for k in FEATURES}
     squares = {k: F.sum(F.col(f"{k}_mean") * F.col(f"{k}_mean") * weight) / F.sum(weight) for k in FEATURES}
     every = clusters.agg(*[F.coalesce(mean[k], F.lit(m)).alias(f"{k}_mean") for k, (m, _) in DEFAULTS.items()],
                          *[F.coalesce(F.when(F.count(F.lit(1)) > 0, F.sqrt(F.greatest(F.round(squares[k] - mean[k] * mean[k], 9), F.lit(0.0)))), F.lit(d)).alias(f"{k}_std") for k, (_, d) in DEFAULTS.items()])  # one row
-    far = own.join(near.select("doc_id"), "doc_id", "left_anti").crossJoin(F.broadcast(every)).select("doc_id", *[x.alias(f"z_{k}") for k, x in z.items()], F.lit(0).cast("long").alias("best_match"))
-    out = near.unionByName(far)
+    both = own.join(near, "doc_id", "left").crossJoin(F.broadcast(every))
+    out = both.select("doc_id", *[F.when(F.col("best_match").isNull(), x).otherwise(F.col(f"z_{k}")).alias(f"z_{k}") for k, x in z.items()], F.coalesce("best_match", F.lit(0).cast("long")).alias("best_match"))
     score = F.col("z_length") * F.col("z_length") + F.col("z_charge") * F.col("z_charge") + 0.5 * F.col("z_aromatic") * F.col("z_aromatic")
     return out.withColumn("score", F.round(score, 9)).withColumns({f"z_{k}": F.round(f"z_{k}", 9) for k in z})
 
