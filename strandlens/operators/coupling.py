@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandlens.functions import residues as R
 from strandlens.operators.counts import features
-from strandlens.operators.gram import shared_bits, value_blocks, value_statistics
+from strandlens.operators.gram import ROWS, shared_bits, value_blocks, value_statistics
+from strandlens.sources.sequences import LENGTH
 
 
 def pairs_of(places: list[int]):
@@ -38,11 +40,63 @@ def mutual_information(rows: DataFrame, places: list[int], top: int | None = Non
     return out.orderBy(F.desc("mi"), "pos1", "pos2").limit(top) if top else out
 
 
+def pair_counts(rows: DataFrame, lefts: list[int], rights: list[int], by: list[str]) -> DataFrame:
+    """`by` columns, pos1, aa1, pos2, aa2, n: how often letters stand at a left and a right place, to be added up. A task counts
+    its Arrow batches, ROWS rows at a time, one pair of places after the other; no row is exploded into its pairs."""
+    of = F.concat_ws("\t", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in by]) if by else F.lit("")
+    kinds = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in by], "pos1 int, aa1 string, pos2 int, aa2 string, n long"])
+
+    def flush(parts: list):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        letters = np.frombuffer("".join(table.column("v").to_pylist()).encode("latin-1", "replace"), np.uint8).reshape(table.num_rows, LENGTH)
+        alphabet = np.unique(letters)
+        place = np.zeros(256, np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        code = {p: place[letters[:, p - 1]] for p in {*lefts, *rights}}
+        named = table.column("of").combine_chunks().dictionary_encode()
+        kind = named.indices.to_numpy().astype(np.int64)
+        first = np.unique(kind, return_index=True)[1]  # a row of each group, in the dictionary's order
+        size = len(alphabet)
+        symbols = pa.array([chr(x) for x in alphabet])
+        for a in lefts:
+            own, found = kind * size + code[a], []
+            for b in rights:
+                key = own * size + code[b]
+                if len(first) * size * size <= DENSE:
+                    n = np.bincount(key)
+                    at = np.flatnonzero(n)
+                    n = n[at]
+                else:
+                    at, n = np.unique(key, return_counts=True)
+                found.append((np.full(len(at), b, np.int32), at, n))
+            right, at, n = map(np.concatenate, zip(*found))
+            group = pa.array(first[at // (size * size)])
+            yield pa.record_batch([*[table.column(k).combine_chunks().take(group) for k in by], pa.array(np.full(len(at), a, np.int32)), symbols.take(pa.array(at // size % size)), pa.array(right), symbols.take(pa.array(at % size)), pa.array(n.astype(np.int64))],
+                                  names=[*by, "pos1", "aa1", "pos2", "aa2", "n"])
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= ROWS:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    return rows.select(*by, of.alias("of"), F.rpad(F.coalesce("v", F.lit("")), LENGTH, "-").alias("v")).mapInArrow(count, kinds)
+
+
+#: Cells that are counted in an array; beyond it keys are sorted.
+DENSE = 1 << 22
+
+
 def associations(rows: DataFrame, lefts: list[int], rights: list[int], least: int = 10, confidence: float = 0.0, by: list[str] | None = None) -> DataFrame:
     """For each residue at a left place, the most frequent residue at a right place, with its share."""
     by = by or []
-    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(a).alias("pos1"), R.residue("v", a).alias("aa1"), F.lit(b).alias("pos2"), R.residue("v", b).alias("aa2")) for a in lefts for b in rights])).alias("x")).select(*by, "x.*")
-    counts = long.groupBy(*by, "pos1", "aa1", "pos2", "aa2").agg(F.count(F.lit(1)).alias("n"))
+    counts = pair_counts(rows, lefts, rights, by).groupBy(*by, "pos1", "aa1", "pos2", "aa2").agg(F.sum("n").alias("n"))
     place = Window.partitionBy(*by, "pos1", "aa1", "pos2")
     out = counts.withColumns({"total": F.sum("n").over(place), "rank": F.row_number().over(place.orderBy(F.desc("n"), "aa2"))}).filter("rank = 1")
     out = out.withColumn("confidence", F.col("n") * F.lit(1.0) / F.col("total"))

@@ -79,3 +79,39 @@ def test_best_clusters_by_bitsets(n, best):
     for own, got in zip(designs, found):
         counts = sorted((-sum(a == b for a, b in zip(own, p)), i) for i, p in enumerate(patterns))
         assert got == {(i, -c) for c, i in counts[:best] if c}
+
+
+def test_more_controls_than_are_chosen(spark):
+    from strandlens.plans.quotas import holds
+
+    made = [("a", i, 0 if i < 40 else 1 + i % 4, "k", "b", "original", 1.0) for i in range(60)]
+    pool = spark.createDataFrame(made, "lead string, candidate long, track int, kind string, bucket string, scaffold string, score double")
+    assert [tuple(r) for r in holds(pool, 30).collect()] == [("a", 30, 30, 40, True, True, True)]
+
+
+def test_pair_counts_and_scaffold_fit(spark):
+    from strandlens.operators import candidates as Q, coupling as K
+
+    rows = random_rows(spark, 150, letters="AACD-")
+    lefts, rights = [27, 56, 106], [42, 49]
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("pos1"), R.residue("v", a).alias("aa1"), F.lit(b).alias("pos2"), R.residue("v", b).alias("aa2")) for a in lefts for b in rights])).alias("x")
+    for by in ([], ["family"]):
+        want = {tuple(r) for r in rows.select(*by, pairs).groupBy(*by, "x.pos1", "x.aa1", "x.pos2", "x.aa2").count().collect()}
+        keys = [*by, "pos1", "aa1", "pos2", "aa2"]
+        assert {tuple(r) for r in K.pair_counts(rows.repartition(3), lefts, rights, by).groupBy(*keys).agg(F.sum("n")).collect()} == want
+    rules = K.associations(rows, lefts, rights, least=2, by=["family"]).collect()
+    cells = [("x", 42, "A"), ("x", 49, "C"), ("y", 42, "D"), ("y", 49, "A")]
+    table = spark.createDataFrame(rules, "family string, pos1 int, aa1 string, pos2 int, predicted string, n long, total long, confidence double")
+    found = {r.doc_id: (r.scaffold, r.fit, r.grafts) for r in Q.scaffold_fit(rows, table, spark.createDataFrame(cells, "scaffold string, pos int, aa string"), cut=40).collect()}
+    for r in rows.collect():
+        best = {}
+        for x in rules:
+            if x.family == r.family and r.v[x.pos1 - 1] == x.aa1 and x.confidence * 100 >= 40:
+                best[x.pos2] = min(best.get(x.pos2, (0, "")), (-x.confidence, x.predicted))
+        fits = []
+        for k in "xy":
+            mine = [(best[p], a) for s, p, a in cells if s == k and p in best]
+            total = sum(-c for (c, _), _ in mine)
+            fits.append((-round(100 * sum(-c for (c, q), a in mine if q == a) / total, 6) if mine else -100.0, k, sum(q != a for (_, q), a in mine)))
+        f, k, grafts = min(fits)
+        assert found[r.doc_id] == (k, pytest.approx(-f, abs=2e-6), grafts)
