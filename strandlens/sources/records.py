@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Three-letter residue names, and header names of a lead table.
@@ -43,14 +45,48 @@ def read_pairs(spark: SparkSession, sequences: str, metadata: str, source: str,
 
 
 def atom_chains(lines: DataFrame, ident: str, line: str, chain: str) -> DataFrame:
-    """`ident` and seq: the residues of one chain by number, from fixed-width ATOM lines; the first CA atom of a number counts."""
+    """`ident` and seq: the residues of one chain by number, from fixed-width ATOM lines; the first CA atom of a number
+    counts. Lines that lie together are shuffled as runs, not one by one."""
     part = lambda a, b: F.trim(F.substring(line, a, b - a + 1))
     atoms = lines.filter(F.col(line).startswith("ATOM") & (part(13, 16) == "CA") & (F.substring(line, 22, 1) == chain))
-    atoms = atoms.select(ident, part(23, 26).cast("int").alias("number"), part(7, 11).cast("int").alias("serial"), part(18, 20).alias("residue"))
-    first = atoms.groupBy(ident, "number").agg(F.min_by("residue", "serial").alias("residue"))
-    letter = F.coalesce(F.create_map(*[F.lit(x) for pair in THREE.items() for x in pair])[F.col("residue")], F.lit("X"))
-    ordered = F.array_sort(F.collect_list(F.struct("number", letter.alias("aa"))))
-    return first.groupBy(ident).agg(F.array_join(F.transform(ordered, lambda x: x["aa"]), "").alias("seq"))
+    letter = F.coalesce(F.create_map(*[F.lit(x) for pair in THREE.items() for x in pair])[part(18, 20)], F.lit("X"))
+    # a missing number stands first, a missing serial last
+    atoms = atoms.select(ident, F.coalesce(part(23, 26).cast("long"), F.lit(-MISSING)).alias("number"), F.coalesce(part(7, 11).cast("long"), F.lit(MISSING)).alias("serial"), letter.alias("aa"))
+    kind = atoms.schema[ident].dataType.simpleString()
+    runs = atoms.mapInArrow(lambda batches: atom_runs(batches, ident), f"{ident} {kind}, number long, serial long, step long, letters string")
+    held = runs.groupBy(ident).agg(F.collect_list(F.struct("number", "serial", "step", "letters")).alias("runs"))
+    one = F.transform("runs", lambda r: F.transform(F.sequence(F.lit(0), F.length(r["letters"]) - 1), lambda i: F.struct((r["number"] + i).alias("number"), (r["serial"] + i * r["step"]).alias("serial"), F.substring(r["letters"], i + 1, F.lit(1)).alias("aa"))))
+    atoms_of = F.when(F.size("runs") > 1, F.array_sort(F.flatten(one)))
+    held = held.select(ident, "runs", F.explode(F.array(atoms_of)).alias("x"))
+    first = F.filter("x", lambda r, i: (i == 0) | (F.get(F.col("x"), i - 1)["number"] != r["number"]))
+    return held.select(ident, F.when(F.size("runs") == 1, F.col("runs")[0]["letters"]).otherwise(F.array_join(F.transform(first, lambda r: r["aa"]), "")).alias("seq"))
+
+
+#: Stands for a number or serial that isn't one; fields of a line hold five digits at most.
+MISSING = 1_000_000_000
+
+
+def atom_runs(batches, ident: str):
+    """Atoms (ident, number, serial, aa) of each Arrow batch as runs: successive numbers of one chain whose serials have one step,
+    with their letters. Of a number's atoms in a batch only the first is kept. Lines of a chain that lie together become a row or two."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number, serial = (batch.column(k).to_numpy() for k in ("number", "serial"))
+        chain = batch.column(ident).dictionary_encode().indices.fill_null(-1).to_numpy()
+        order = np.lexsort((serial, number, chain))
+        c, n = chain[order], number[order]
+        order = order[np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])])]
+        c, n, s = chain[order], number[order], serial[order]
+        step = np.diff(s, prepend=s[0])
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1] + 1)])
+        # a run's own first step is free: its start's is that of the line before
+        new |= np.concatenate([[False], ~new[:-1] & (step[1:] != step[:-1])])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(n))
+        letters = "".join(batch.column("aa").take(pa.array(order)).to_pylist())
+        steps = np.where(ends - starts > 1, step[np.minimum(starts + 1, len(n) - 1)], 0)
+        yield pa.record_batch([batch.column(ident).take(pa.array(order[starts])), pa.array(n[starts]), pa.array(s[starts]), pa.array(steps), pa.array([letters[a:b] for a, b in zip(starts, ends)])], names=[ident, "number", "serial", "step", "letters"])
 
 
 def truthy(x: Column) -> Column:

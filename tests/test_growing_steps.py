@@ -115,3 +115,19 @@ def test_pair_counts_and_scaffold_fit(spark):
             fits.append((-round(100 * sum(-c for (c, q), a in mine if q == a) / total, 6) if mine else -100.0, k, sum(q != a for (_, q), a in mine)))
         f, k, grafts = min(fits)
         assert found[r.doc_id] == (k, pytest.approx(-f, abs=2e-6), grafts)
+
+
+def test_atom_chains_from_scattered_lines(spark):
+    from strandlens.sources.records import THREE, atom_chains
+
+    draw, lines, want = random.Random(8), [], {}
+    for ident in range(12):
+        found = {}
+        for serial in draw.sample(range(1, 400), 90):
+            number, name = draw.choice([draw.randrange(-3, 40), serial // 8]), draw.choice([*THREE, "UNK"])
+            lines.append((ident, f"ATOM  {serial:5d}  CA  {name} H{number:4d}    "))
+            found[number] = min(found.get(number, (999, "")), (serial, THREE.get(name, "X")))
+        want[ident] = "".join(found[k][1] for k in sorted(found))
+    for parts in (1, 5):
+        got = atom_chains(spark.createDataFrame(lines, "id long, line string").repartition(parts), "id", "line", "H").collect()
+        assert {r.id: r.seq for r in got} == want
