@@ -24,7 +24,7 @@ import os
 import zlib
 from collections import deque
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ LENGTH, END = 4096, 2
 #: and tokens for which one sentence's end is enough.
 START, SENTENCE, ANYWHERE, GAP, NEAR = 16, 16, 64, 256, 16
 #: Tokens that are planned at a time; words, and cuts of words, that the encoder keeps.
-BLOCK, MEMO, PARTS = 1 << 20, 1 << 18, 1 << 19
+BLOCK, MEMO, PARTS = 1 << 20, 1 << 19, 1 << 19
 
 
 def default_model() -> str:
@@ -59,12 +59,17 @@ class Table:
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes, dtype=np.int64)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
 
-    def get(self, keys: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The keys' ids end to end, where each key's end, and the keys' numbers."""
-        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
-        sizes = self.at[number + 1] - self.at[number]
+    def find(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' numbers, -1 of those that aren't there, and the places of these."""
+        number = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        return number, np.flatnonzero(number < 0)
+
+    def get(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys of these numbers end to end, and where each key's end."""
+        begin = self.at[number]
+        sizes = self.at[number + 1] - begin
         stop = np.cumsum(sizes)
-        return self.ids[np.repeat(self.at[number] - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)], stop, number
+        return self.ids[np.repeat(begin - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)], stop
 
 
 class Encoder:
@@ -73,10 +78,13 @@ class Encoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.library = Tokenizer.from_file(path)
+        #: The same model for cuts of plain words, which need no normal form and no cutting any more.
+        self.joiner = Tokenizer(self.library.model)
+        self.joiner.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.closes = np.zeros(max(self.library.get_vocab().values()) + 1, bool)  # ids that end a cut
         self.ends = np.zeros(len(self.closes), bool)  # those that end a sentence
         for piece, number in self.library.get_vocab().items():
@@ -89,21 +97,24 @@ class Encoder:
         self.words, self.parts = Table(b"\n", [END]), Table("\n", [])
 
     def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        given = [x.decode("utf-8", "replace") for x in new]
+        given = b"\n".join(new).decode("utf-8", "replace").split("\n")
         odd = [i for i, x in enumerate(given) if not (x.isascii() and x.isprintable() and "<|" not in x or self.plain(x))]
-        self.words.add([new[i] for i in odd], *self._by_library([given[i] for i in odd]))
+        if odd:
+            self.words.add([new[i] for i in odd], *self._by_library([given[i] for i in odd]))
         left = set(odd)
-        plain = [i for i in range(len(new)) if i not in left]
+        plain = [i for i in range(len(new)) if i not in left] if odd else range(len(new))
         parts = self.cuts("".join([given[i] + "\n" for i in plain]).lower())
-        fresh = list(set(parts).difference(self.parts.number))
-        if fresh:
-            ids = np.array(self.library.encode(" ".join(fresh), add_special_tokens=False).ids, np.int64)
+        number, missing = self.parts.find(parts)
+        if len(missing):
+            fresh = list(dict.fromkeys([parts[i] for i in missing.tolist()]))
+            ids = np.array(self.joiner.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.int64)
             self.parts.add(fresh, ids, np.diff(np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1])))
-        ids, stop, number = self.parts.get(parts)
+            number[missing] = self.parts.find([parts[i] for i in missing.tolist()])[0]
+        ids, stop = self.parts.get(number)
         self.words.add([new[i] for i in plain], ids, np.diff(np.concatenate([[0], stop[number == 0]])))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +127,12 @@ class Encoder:
         for text in texts:
             words += text.split()
             words.append(b"\n")
-        new = set(words).difference(self.words.number)
-        if new:
-            self._learn(list(new))
-        ids, stop, number = self.words.get(words)
+        number, missing = self.words.find(words)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            number[missing] = self.words.find(new)[0]
+        ids, stop = self.words.get(number)
         return ids, np.diff(np.concatenate([[0], stop[number == 0]]))
 
 

@@ -110,6 +110,13 @@ def test_ids_equal_the_library_s(monkeypatch):
                 at += n
 
 
+def test_plain_words_need_the_model_alone():
+    encoder = packing.Encoder(packing.default_model())
+    encoder.library = None
+    for text in ("It's what We'LL do, Ça et là: naïve œuvre (12.5%)...?!", "it's ÉTÉ do#what### x_y 4a4 ĲSSEL"):
+        assert encoder.encode([text.encode()])[0].tolist() == library_ids(text) + [packing.END]
+
+
 def test_windows_cost_least():
     rng = np.random.default_rng(4)
     for _ in range(60):
