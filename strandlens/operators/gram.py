@@ -98,34 +98,38 @@ def value_blocks(rows: DataFrame, places: list[int], names: list[str]) -> DataFr
         c = codes(table.column("v").combine_chunks(), places)
         found = table.column("family").combine_chunks().dictionary_encode()
         kinds, family = found.dictionary, found.indices.to_numpy().astype(np.int64)
-        cell = (family[:, None] * len(places) + np.arange(len(places))) * GAP + c
-        held = c < GAP
-        row, cell = np.nonzero(held)[0], cell[held]
-        groups, cells, counts = [], [], []
-        for k, name in enumerate(names):
+        values = []
+        for name in names:
             value = table.column(name).to_numpy().astype(np.int64)
             low = int(value.min())
-            wide = int(value.max()) - low + 1
-            key = cell * wide + (value - low)[row]
-            size = len(kinds) * len(places) * GAP * wide
-            if size <= 1 << 22:
-                n = np.bincount(key, minlength=size)
-                key = np.flatnonzero(n)
-                n = n[key]
-            else:
-                key, n = np.unique(key, return_counts=True)
-            at = key // wide
-            groups.append(at // GAP)
-            cells.append(((at % GAP * len(names) + k) << BITS) + key % wide + (low + ZERO))
-            counts.append(n)
-        group = np.concatenate(groups)
-        order = np.argsort(group, kind="stable")
-        group = group[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-        bounds = pa.py_buffer((8 * np.append(first, len(group))).astype(np.int32).tobytes())
-        packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(np.concatenate(x)[order].astype(np.int64).tobytes())]) for x in (cells, counts)]
-        own = group[first]
-        yield pa.record_batch([kinds.take(pa.array(own // len(places))), pa.array(np.array(places, np.int32)[own % len(places)]), pa.array(np.full(len(own), TaskContext.get().partitionId(), np.int64)), *packed], names=["family", "pos", "part", "cells", "counts"])
+            values.append((value - low, low, int(value.max()) - low + 1))
+        # one place after the other, so that memory is that of the rows and of one place's cells
+        for i, place in enumerate(places):
+            held = np.flatnonzero(c[:, i] < GAP)
+            if not len(held):
+                continue
+            cell, groups, cells, counts = family[held] * GAP + c[held, i], [], [], []
+            for k, (value, low, wide) in enumerate(values):
+                key = cell * wide + value[held]
+                size = len(kinds) * GAP * wide
+                if size <= 1 << 22:
+                    n = np.bincount(key, minlength=size)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                at = key // wide
+                groups.append(at // GAP)
+                cells.append(((at % GAP * len(names) + k) << BITS) + key % wide + (low + ZERO))
+                counts.append(n)
+            group = np.concatenate(groups)
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            bounds = pa.py_buffer((8 * np.append(first, len(group))).astype(np.int32).tobytes())
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, bounds, pa.py_buffer(np.concatenate(x)[order].astype(np.int64).tobytes())]) for x in (cells, counts)]
+            own = [kinds.take(pa.array(group[first])), pa.array(np.full(len(first), place, np.int32)), pa.array(np.full(len(first), TaskContext.get().partitionId(), np.int64))]
+            yield pa.record_batch([*own, *packed], names=["family", "pos", "part", "cells", "counts"])
 
     def count(batches):
         parts, n = [], 0

@@ -158,3 +158,25 @@ def test_available_positions_and_residuals(spark):
     for i, a in enumerate(windows):
         for j, b in enumerate(windows):
             assert found[a, b] == pytest.approx(total[i, j] / d[i] / d[j], abs=2e-6)
+
+
+def test_histograms_take_the_memory_of_one_place(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, count, fields: count
+
+    monkeypatch.setattr(gram, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    rng, n = np.random.default_rng(1), 20_000
+    letters = np.frombuffer(b"ACDEFGHIKLMNPQRSTVWY", np.uint8)[rng.integers(0, 20, (n, 128))]
+    names = [f"x{k}" for k in range(10)]
+    batch = pa.record_batch([pa.array(["f"] * n), pa.array([bytes(x).decode() for x in letters]), *[pa.array(rng.integers(0, 4000, n)) for _ in names]], names=["family", "v", *names])
+    count = gram.value_blocks(Rows(), list(range(1, 94)), names)
+    tracemalloc.start()
+    total = sum(sum(np.frombuffer(x, np.int64).sum() for x in block.column("counts").to_pylist()) for block in count([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 93 * 10 * n and most < 200 << 20
