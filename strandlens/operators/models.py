@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandlens.functions import residues as R
 from strandlens.operators.counts import features
@@ -19,39 +19,58 @@ def measured(rows: DataFrame, place: int) -> DataFrame:
     return VectorAssembler(inputCols=INPUTS, outputCol="raw").transform(base).select("doc_id", "aa", "raw")
 
 
-def classes(base: DataFrame, kinds: int = 8, least: int = 20) -> DataFrame:
-    """aa, n and label of the `kinds` most frequent residues of `least` rows or more."""
-    top = base.groupBy("aa").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "aa").limit(kinds)
-    return top.withColumn("label", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "aa")) - 1).cast("double"))
+def hashed() -> Column:
+    """What the rows of a class are put in order by."""
+    return F.md5(F.col("doc_id").cast("string"))
 
 
-def inputs(rows: DataFrame, place: int, cap: int, kinds: int = 8, least: int = 20) -> DataFrame:
-    """doc_id, label, aa and features that a model is fitted to: rows of classes(), at most `cap` of each (by hash)."""
+#: Digits of the hash by which rows are counted, to know which ones can be among the first.
+DIGITS = 3
+
+
+def classes(base: DataFrame, kinds: int = 8, least: int = 20, cap: int = 100_000) -> DataFrame:
+    """aa, n and label of the `kinds` most frequent residues of `least` rows or more, and cut: no hash of their first `cap` rows
+    begins with more. The rows are counted once; what is returned are these few rows."""
+    counted = base.groupBy("aa", F.substring(hashed(), 1, DIGITS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("before", F.sum("n").over(Window.partitionBy("aa").orderBy("bin")) - F.col("n"))
+    top = counted.groupBy("aa").agg(F.sum("n").alias("n"), F.max(F.when(F.col("before") < cap, F.col("bin"))).alias("cut")).filter(F.col("n") >= least).orderBy(F.desc("n"), "aa").limit(kinds)
+    found = [(r.aa, r.n, float(k), r.cut) for k, r in enumerate(top.collect())]
+    return base.sparkSession.createDataFrame(found, "aa string, n long, label double, cut string")
+
+
+def inputs(rows: DataFrame, place: int, cap: int, kinds: int = 8, least: int = 20, top: DataFrame | None = None) -> DataFrame:
+    """doc_id, label, aa and features that a model is fitted to: rows of classes() (`top`, if they are known), at most `cap` of
+    each (by hash). Only rows whose hash can be among the first are put in order."""
     base = measured(rows, place)
-    sampled = base.join(F.broadcast(classes(base, kinds, least)), "aa").withColumn("place", F.row_number().over(Window.partitionBy("aa").orderBy(F.md5(F.col("doc_id").cast("string"))))).filter(F.col("place") <= cap)
+    known = classes(rows.select("doc_id", R.residue("v", place).alias("aa")), kinds, least, cap) if top is None else top
+    first = base.join(F.broadcast(known), "aa").filter(F.substring(hashed(), 1, DIGITS) <= F.col("cut"))
+    sampled = first.withColumn("place", F.row_number().over(Window.partitionBy("aa").orderBy(hashed()))).filter(F.col("place") <= cap)
     return sampled.select("doc_id", "aa", "label", "n", "raw")
 
 
 def predict(rows: DataFrame, place: int, cap: int = 100_000, forest: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
     """Each row's probability of its own residue, the expected one, and whether they match. Classes weigh the same.
 
-    Fitted to inputs() of `fit_on` (or of the rows), which are bounded; every row is scored, one whose residue has no class with probability 0.
+    Fitted to inputs() of `fit_on` (or of the rows), which are bounded and kept while it lasts; every row is scored, one whose residue has
+    no class with probability 0. All rows are read three times: for the classes, for inputs() and for their scores.
     """
     known = rows if fit_on is None else fit_on
-    data = inputs(known, place, cap).withColumn("weight", 1.0 / F.least("n", F.lit(cap)))
+    top = classes(known.select("doc_id", R.residue("v", place).alias("aa")), cap=cap)
+    data = inputs(known, place, cap, top=top).withColumn("weight", 1.0 / F.least("n", F.lit(cap))).persist()
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data)
     kind = RandomForestClassifier(numTrees=20, maxDepth=5, seed=3, weightCol="weight") if forest else LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight")
     model = kind.fit(scaler.transform(data))
-    base = measured(rows, place)
-    made = model.transform(scaler.transform(base.join(F.broadcast(classes(measured(known, place))), "aa", "left")))
+    data.unpersist()
+    made = model.transform(scaler.transform(measured(rows, place).join(F.broadcast(top), "aa", "left")))
     own = F.coalesce(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0))
     return made.select("doc_id", "aa", F.round(own, 6).alias("p_own"), F.coalesce(F.col("prediction") == F.col("label"), F.lit(False)).alias("match"))
 
 
 def accuracy(predicted: DataFrame) -> DataFrame:
     """One row: accuracy, the majority residue's share, their ratio, and rows of low probability."""
-    share = predicted.groupBy("aa").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("majority"))
-    return predicted.agg(F.avg(F.col("match").cast("double")).alias("accuracy"), F.count_if(F.col("p_own") < 0.1).alias("unlikely")).crossJoin(share).withColumn("lift", F.col("accuracy") / F.col("majority"))
+    each = predicted.groupBy("aa").agg(F.count(F.lit(1)).alias("n"), F.count_if("match").alias("good"), F.count_if(F.col("p_own") < 0.1).alias("low"))
+    out = each.agg((F.sum("good") / F.sum("n")).alias("accuracy"), F.coalesce(F.sum("low"), F.lit(0)).alias("unlikely"), (F.max("n") / F.sum("n")).alias("majority"))
+    return out.withColumn("lift", F.col("accuracy") / F.col("majority"))
 
 
 def importances(rows: DataFrame, place: int, cap: int = 100_000) -> DataFrame:

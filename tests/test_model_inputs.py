@@ -1,0 +1,21 @@
+"""Rows that residue models are fitted to."""
+
+import hashlib
+import random
+
+from strandlens.operators import models
+
+
+def test_only_rows_that_can_be_first_are_put_in_order(spark):
+    rng = random.Random(6)
+    rows = [(i, "f", "".join(rng.choice("AAAC") for _ in range(128)), "ACDKW") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, family string, v string, cdr3 string")
+    top = models.classes(frame.selectExpr("doc_id", "substring(v, 71, 1) AS aa"), cap=50).collect()
+    key = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    found = sorted((r.aa, r.doc_id) for r in models.inputs(frame, 71, 50).select("aa", "doc_id").collect())
+    want = []
+    for r in top:
+        own = [i for i, _, v, _ in rows if v[70] == r.aa]
+        assert r.n == len(own) and sum(key(i)[:3] <= r.cut for i in own) < 60
+        want += [(r.aa, i) for i in sorted(own, key=key)[:50]]
+    assert [(r.aa, r.label) for r in top] == [("A", 0.0), ("C", 1.0)] and found == sorted(want)
