@@ -34,6 +34,8 @@ from strandlens.llm import text as tx
 from strandlens.llm.store import table
 
 SPACE = "▁"
+#: Text bytes whose words are held at a time.
+STEP_BYTES = 1 << 19
 #: Units kept in the memo; bytes of a unit that is searched side by side with others; units searched at once.
 MEMO, SIDE_BY_SIDE, BLOCK = 100_000, 48, 8192
 PAIRS = 1 << 20
@@ -170,7 +172,7 @@ class Pieces:
             for k in range(1, len(word) + 1):
                 nodes.setdefault(word[:k], len(nodes))
         n = len(nodes)
-        self.go = np.zeros((n, 256), np.int32)
+        self.go = np.zeros((n, 256), np.uint16 if n <= 1 << 16 else np.int32)
         self.piece, self.size = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         up, byte, depth = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for word, node in nodes.items():
@@ -296,19 +298,19 @@ class Pieces:
             self.runs[n] = [self.id_of[x] for x in self.merge([SPACE] * n)]
         return self.runs[n]
 
-    def learn(self, units: set[str]) -> None:
-        """Adds the units to the memo."""
+    def learn(self, units: set[str], memo: dict[str, bytes]) -> None:
+        """Adds the units to `memo`."""
         # one space and a word, as most units are, or a word at a text's begin
         whole = [x for x in units if x[0] == SPACE and x[1:2] not in ("", SPACE)]
         words = [x.encode() for x in whole]
-        self.memo.update(zip(whole, self.search(words)) if not words or max(map(len, words)) <= SIDE_BY_SIDE else self._apart(whole, words))
+        memo.update(zip(whole, self.search(words)) if not words or max(map(len, words)) <= SIDE_BY_SIDE else self._apart(whole, words))
         odd: dict[str, str] = {}
         for x in units.difference(whole):
             if self.mode == "bpe" and not x.strip(SPACE):
-                self.memo[x] = np.array(self.run(len(x)), np.int32).tobytes()
+                memo[x] = np.array(self.run(len(x)), np.int32).tobytes()
             elif not self.known.match(x):
                 ids = [self.byte_ids.get(b, self.unknown) for b in x.encode()]
-                self.memo[x] = np.array(ids if self.byte_ids else [self.unknown], np.int32).tobytes()
+                memo[x] = np.array(ids if self.byte_ids else [self.unknown], np.int32).tobytes()
             else:
                 odd[x] = SPACE * (x[0] == SPACE) + x.lstrip(SPACE) if self.mode == "bpe" else x
         for x, ids in self._apart(list(odd), [v.encode() for v in odd.values()]):
@@ -317,7 +319,7 @@ class Pieces:
                 # spaces before the first word's own; a bare one joins them
                 bare = int.from_bytes(ids[:4], "little") == self.id_of[SPACE]
                 ids = np.array(self.run(spaces if bare else spaces - 1), np.int32).tobytes() + ids[4 * bare :]
-            self.memo[x] = ids
+            memo[x] = ids
 
     def _apart(self, names: list[str], units: list[bytes]) -> list[tuple[str, bytes]]:
         """Walks long units one by one, so that they don't widen the grid of the others."""
@@ -329,16 +331,18 @@ class Pieces:
     def _known(self, memo: dict[str, bytes], every: set[str], learn) -> None:
         new = every.difference(memo)
         if new and len(memo) + len(new) > MEMO:
+            kept = {x: memo[x] for x in every.difference(new)}
             memo.clear()
-            new = every
+            memo.update(kept)
         if new:
-            learn(new)
+            learn(new, memo)
 
-    def _learn_words(self, words: set[str]) -> None:
-        """Words that follow one space each; those with characters without a piece are cut there."""
+    def _learn_words(self, words: set[str], memo: dict[str, bytes]) -> None:
+        """Adds words that follow one space each to `memo`; those with characters without a piece are cut there."""
         parts = {x: self.unit.findall(SPACE + x) for x in words}
-        self._known(self.memo, set(chain.from_iterable(parts.values())), self.learn)
-        self.words.update((x, self.memo[own[0]] if len(own) == 1 else b"".join(map(self.memo.__getitem__, own))) for x, own in parts.items())
+        found: dict[str, bytes] = {}  # not kept, so that no word is held with and without its space
+        self.learn(set(chain.from_iterable(parts.values())), found)
+        memo.update((x, found[own[0]] if len(own) == 1 else b"".join(map(found.__getitem__, own))) for x, own in parts.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         simple = [self.prefix and x != "" and x[0] != " " and x[-1] != " " and "  " not in x and SPACE not in x for x in texts]
@@ -354,7 +358,6 @@ class Pieces:
             if len(x) > LONGEST_KEPT:
                 self.words.pop(x, None)
                 self.memo.pop(x, None)
-                self.memo.pop(SPACE + x, None)
         return out
 
     def forget(self) -> None:
@@ -398,7 +401,7 @@ def encode_texts(docs: DataFrame, text: str = "text", model: str | None = None,
 
     def encode(batches):
         pieces = loaded(path, mode)
-        for part in tx.steps(batches, text):
+        for part in tx.steps(batches, text, STEP_BYTES):
             given = part.column(text).to_pylist()
             found = pieces.encode([x or "" for x in given])
             same = [None if x is None else y for x, y in zip(given, pieces.round_trips([x or "" for x in given], found))]

@@ -56,6 +56,19 @@ def test_merges_agree_with_the_library():
         pieces.MEMO = small_memo
 
 
+def test_words_are_held_once_and_those_in_use_stay(monkeypatch):
+    own = pieces.Pieces(pieces.default_model())
+    texts = [prose(i, 80) for i in range(20)]
+    words = {w for x in texts for w in x.split(" ")}
+    own.encode(texts)
+    assert set(own.words) == words and not own.memo and own.go.itemsize == 2
+    asked, learn = [], own._learn_words
+    monkeypatch.setattr(pieces, "MEMO", len(words) + 1)
+    monkeypatch.setattr(own, "_learn_words", lambda *given: (asked.append(set(given[0])), learn(*given)))
+    own.encode([texts[0] + " unmet unmet2"])
+    assert asked == [{"unmet", "unmet2"}] and set(own.words) == {*texts[0].split(" "), "unmet", "unmet2"}
+
+
 def test_long_units_take_time_in_proportion():
     import time
 
