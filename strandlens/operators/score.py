@@ -155,19 +155,27 @@ def family_probability(designs: DataFrame, archetypes: DataFrame) -> DataFrame:
 
 def applicable_rules(designs: DataFrame, rules: DataFrame, confidence: float = 0.5) -> DataFrame:
     """doc_id, family (of the rule), condition, pos, wanted, confidence, obeyed: rules of any family whose condition holds for
-    a design. A condition may join several parts by AND; parts of unknown name hold."""
-    base = features(designs)
-    named = {k: F.col(k) for k in ("family", "hallmarks", "cdr3_len", "cdr3_charge", "cdr3_cys")} | {f"cdr3[-{k}]": F.substring("cdr3", -k, 1) for k in (1, 2, 3)}
-    tokens = base.select("doc_id", F.explode(F.array(*[F.concat(F.lit(f"{k}="), x) for k, x in named.items()])).alias("part"))
-    wanted = rules.filter((F.col("rank") == 1) & (F.col("confidence") >= confidence)).select("family", "condition", "pos", F.col("aa").alias("wanted"), "confidence")
-    # relational division: a condition holds if as many parts are met as it has of known names
-    parts = wanted.select("condition").distinct().select("condition", F.explode(F.split("condition", " AND ")).alias("part"))
-    parts = parts.filter(F.substring_index("part", "=", 1).isin(list(named))).distinct()
-    need = parts.groupBy("condition").agg(F.count(F.lit(1)).alias("need"))
-    met = tokens.join(parts, "part").groupBy("doc_id", "condition").agg(F.count(F.lit(1)).alias("met")).join(need, "condition").filter("met = need").select("doc_id", "condition")
-    free = wanted.select("condition").distinct().join(need, "condition", "left_anti")
-    met = met.union(designs.select("doc_id").crossJoin(F.broadcast(free)))
-    return met.join(wanted, "condition").join(designs.select("doc_id", "v"), "doc_id").withColumn("obeyed", F.expr("substring(v, pos, 1)") == F.col("wanted")).drop("v")
+    a design. A condition may join several parts by AND; parts of unknown name hold.
+
+    A rule meets designs by one of its parts, and the others are looked up in the design's row, which goes along, so that
+    the met rules, some hundreds a design, are never shuffled themselves. Hallmarks are as many as the input has, so rules by
+    them are joined as their size asks; all other parts are of a fixed number, and their rules are broadcast."""
+    names = ("family", "hallmarks", "cdr3_len", "cdr3_charge", "cdr3_cys")
+    named = {k: F.col(k) for k in names} | {f"cdr3[-{k}]": F.substring("cdr3", -k, 1) for k in (1, 2, 3)}
+    own = {k: F.concat(F.lit(f"{k}="), x) for k, x in named.items()}
+    base = features(designs).select("doc_id", "v", F.array(*own.values()).alias("own"))
+    every = F.array_distinct(F.filter(F.split("condition", " AND "), lambda x: F.substring_index(x, "=", 1).isin(list(named))))
+    wanted = rules.filter((F.col("rank") == 1) & (F.col("confidence") >= confidence)).select("family", "condition", "pos", F.col("aa").alias("wanted"), "confidence", every.alias("parts"))
+    # the part to meet by, from a generator, so that filters on it don't make the rules twice; a rule without parts meets all
+    by_marks = F.filter("parts", lambda x: x.startswith("hallmarks="))
+    wanted = wanted.select("*", F.explode(F.slice(F.concat(by_marks, "parts", F.array(F.lit(""))), 1, 1)).alias("part"))
+    marks = F.col("part").startswith("hallmarks=")
+    own_marks = F.explode(F.slice("own", names.index("hallmarks") + 1, 1))
+    others = F.explode(F.concat(F.filter("own", lambda x: ~x.startswith("hallmarks=")), F.array(F.lit(""))))
+    met = base.select("*", others.alias("part")).join(F.broadcast(wanted.filter(~marks)), "part")
+    met = met.union(base.select("*", own_marks.alias("part")).join(wanted.filter(marks), "part"))
+    met = met.filter((F.size("parts") <= 1) | F.forall("parts", lambda x: F.array_contains("own", x)))
+    return met.select("doc_id", "family", "condition", "pos", "wanted", "confidence", (F.expr("substring(v, pos, 1)") == F.col("wanted")).alias("obeyed"))
 
 
 def rule_compliance(designs: DataFrame, rules: DataFrame, confidence: float = 0.5, shown: int = 5) -> DataFrame:

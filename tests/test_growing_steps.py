@@ -131,3 +131,21 @@ def test_atom_chains_from_scattered_lines(spark):
     for parts in (1, 5):
         got = atom_chains(spark.createDataFrame(lines, "id long, line string").repartition(parts), "id", "line", "H").collect()
         assert {r.id: r.seq for r in got} == want
+
+
+def test_met_rules_are_not_shuffled(spark):
+    from strandlens.operators import candidates as Q
+
+    rows = random_rows(spark, 60)
+    base = C.features(rows).collect()
+    own = [{f"{k}={r[k]}" for k in ("family", "hallmarks", "cdr3_len", "cdr3_charge", "cdr3_cys")} | {f"cdr3[-{k}]={r.cdr3[-k]}" for k in (1, 2, 3) if len(r.cdr3) >= k} for r in base]
+    one = base[0]
+    conditions = [f"hallmarks={one.hallmarks}", f"cdr3_len={one.cdr3_len} AND hallmarks={one.hallmarks}", f"cdr3_cys={one.cdr3_cys} AND cdr3_charge={one.cdr3_charge}", f"cdr3[-1]={one.cdr3[-1]} AND other=x", "other=x", f"family={one.family} AND family={one.family}", "cdr3_len=never AND other=x"]
+    rules = spark.createDataFrame([("F_C2", c, 70, "A", 0.9, 1) for c in conditions] + [("F_C2", conditions[0], 71, "A", 0.3, 1)], "family string, condition string, pos int, aa string, confidence double, rank int")
+    found = P.applicable_rules(rows, rules)
+    known = ("family=", "hallmarks=", "cdr3")
+    right = sorted((r.doc_id, c, r.v[69] == "A") for r, o in zip(base, own) for c in conditions if all(p in o for p in c.split(" AND ") if p.startswith(known)))
+    assert sorted((r.doc_id, r.condition, r.obeyed) for r in found.collect()) == right
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+    kinds = spark.createDataFrame([("F_C2", p, "A") for p in (40, 70)], "family string, pos int, consensus string")
+    assert Q.family_terms(rows, kinds)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc_id") == 1
