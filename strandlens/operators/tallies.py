@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandlens.functions import residues as R
+from strandlens.operators import blocks
 from strandlens.operators.counts import condition_tokens, features
 from strandlens.operators.gram import GAP, ROWS, codes
 from strandlens.sources.sequences import LENGTH
@@ -74,7 +75,8 @@ def tallied(rows: DataFrame, places: list[int], family: Column | str = "family",
 
 def mined(rows: DataFrame, mode: str = "fr3fr4", **thresholds) -> DataFrame:
     """Conditional rules of the rows: what operators.counts.rules() gives, from one counting pass."""
-    return rules_of(tallied(rows, R.positions(mode)), **thresholds)
+    places = R.positions(mode)
+    return blocks.rules_of(blocks.packed(rows, places), places, **thresholds)
 
 
 def global_mined(rows: DataFrame, mode: str = "vernier", min_support: int = 10, min_confidence: float = 0.6) -> DataFrame:

@@ -149,3 +149,37 @@ def test_met_rules_are_not_shuffled(spark):
     assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
     kinds = spark.createDataFrame([("F_C2", p, "A") for p in (40, 70)], "family string, pos int, consensus string")
     assert Q.family_terms(rows, kinds)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc_id") == 1
+
+
+def test_blocks_of_parts_give_the_rules_of_the_whole(spark, monkeypatch):
+    from strandlens.operators import blocks as B
+
+    monkeypatch.setattr(B, "AT_ONCE", 7)
+    rows = random_rows(spark, 900, letters="AAAAAC-")
+    rows = rows.withColumn("family", F.when(F.col("doc_id") % 17 != 0, F.col("family"))).repartition(3)
+    places = R.positions("fr3fr4")
+    parts = [B.packed(rows.filter(F.col("doc_id") % 3 == k), places) for k in range(3)]
+    kept = B.compacted(parts[0].union(B.compacted(parts[1].union(parts[2]), len(places))), len(places))
+    assert kept.groupBy("family", "condition").count().filter("count > 1").count() == 0
+    plain = lambda f: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in f.collect())
+    want = T.rules_of(T.tallied(rows, places), min_confidence=0.6, min_lift=0.5, top=3)
+    for blocks in (kept, parts[0].union(parts[1]).union(parts[2])):
+        assert plain(B.rules_of(blocks, places, min_confidence=0.6, min_lift=0.5, top=3).select(want.columns)) == plain(want)
+    assert len(plain(want)) > 20
+    both = B.both_found(rows)
+    assert plain(B.family_rules(both)) == plain(T.rules_of(T.tallied(rows, places))) and plain(B.global_rules(both)) == plain(T.global_mined(rows))
+
+
+def test_a_batch_writes_its_own_rows_and_levels_are_merged(spark, tmp_path, monkeypatch):
+    from strandlens.streaming import rules as A
+
+    monkeypatch.setattr(A, "FAN", 2)
+    rows, path, places = random_rows(spark, 70, letters="AC"), f"file://{tmp_path}/counts", [50, 70]
+    batch = lambda k: rows.filter(F.col("doc_id") % 7 == k).select("family", "hallmarks", "cdr3", "v")
+    for k in range(7):
+        A.merge(batch(k), k, path, places)
+        levels = [x["level"] for x in A.manifest(spark, path, k)]
+        assert levels == [i for i in (2, 1, 0) if (k + 1) >> i & 1]
+    assert A.current(spark, path).filter("condition LIKE 'family=%'").agg(F.sum("n")).first()[0] == 70
+    kept = {x["at"] for k in A.versions(spark, path) for x in A.manifest(spark, path, k)}
+    assert {x.name for x in (tmp_path / "counts").iterdir() if x.name.startswith("blocks")} == kept
