@@ -172,7 +172,7 @@ QUERIES = {
     "K04_run_config": run_config,
     "K05_matrix_file": matrix_file,
     "P12_read_quality": lambda spark, d: reads(spark, d).select("doc_id", read_reasons().alias("reasons")),
-    "F08_translate_reads": lambda spark, d: reads(spark, d).select("doc_id", "sequence", once(F.translate("sequence", "N", "A")).alias("filled")).select("doc_id", M.translate_frame(F.col("sequence"), 0).alias("with_x"), M.translate_frame(F.col("filled"), 0).alias("with_a")),
+    "F08_translate_reads": lambda spark, d: M.first_frame(reads(spark, d), "doc_id", "sequence", {"with_x": "N", "with_a": "A"}),
     "F25_assembled_ids": seq(assembled_ids),
     "I01_reads_to_sequences": translated_reads,
     "I03_production_table": production,
