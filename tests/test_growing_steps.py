@@ -68,6 +68,16 @@ def test_read_frames_equal_columns(spark):
     assert [M.read_frames(x) for x in reads] == [list(r.f) for r in want]
 
 
+def test_first_frame_equals_columns(spark):
+    draw = random.Random(4)
+    reads = ["", "A", "AC", "NNN", "ATGN", *["".join(draw.choice("ACGTN") for _ in range(draw.randrange(90))) for _ in range(40)]]
+    rows = spark.createDataFrame(list(enumerate(reads)), "doc_id long, sequence string")
+    want = rows.select("doc_id", M.translate_frame(F.col("sequence"), 0).alias("x"), M.translate_frame(F.translate("sequence", "N", "A"), 0).alias("a")).collect()
+    found = M.first_frame(rows.repartition(3), "doc_id", "sequence", {"x": "N", "a": "A"})
+    assert sorted(found.collect()) == sorted(want)
+    assert "transform(" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n, best", [(3, 5), (64, 5), (700, 5), (700, 1)])
 def test_best_clusters_by_bitsets(n, best):
     draw = random.Random(n)
@@ -183,3 +193,21 @@ def test_a_batch_writes_its_own_rows_and_levels_are_merged(spark, tmp_path, monk
     assert A.current(spark, path).filter("condition LIKE 'family=%'").agg(F.sum("n")).first()[0] == 70
     kept = {x["at"] for k in A.versions(spark, path) for x in A.manifest(spark, path, k)}
     assert {x.name for x in (tmp_path / "counts").iterdir() if x.name.startswith("blocks")} == kept
+
+
+def test_merged_rules_come_from_one_counting_pass(spark, monkeypatch):
+    from strandlens.operators import blocks as B, design as D
+    from strandlens.plans import rulework, working
+    from strandlens.sources.sequences import sequences
+
+    sf, passes, packed = "/root/testdata/sf0.001", [], B.packed
+    rows = sequences(spark, sf).cache()
+    monkeypatch.setattr(B, "packed", lambda *a, **b: passes.append(a) or packed(*a, **b))
+    names = ["condition", "pos", "aa"]
+    want = M.merge_rules(C.rules(rows).select(*names), C.global_rules(rows).select(*names))
+    found = working.QUERIES["J09_rules_not_known"](spark, sf)
+    assert sorted(found.collect()) == sorted(want.collect()) and len(passes) == 1
+    want = M.merge_rules(D.convert_rules(C.rules(rows)).select("pos", "aa").distinct(), C.rules(rows, mode="all", min_confidence=0.5).select("pos", "aa").distinct())
+    found = rulework.QUERIES["U04_rule_merge"](spark, sf)
+    assert sorted(found.collect()) == sorted(want.collect()) and len(passes) == 2
+    rows.unpersist()
