@@ -244,6 +244,14 @@ def family_rules(rows: DataFrame, min_lift: float = 1.1, top: int = 2) -> DataFr
     return out.select("family", "condition", "pos", "aa", F.col("n").alias("support"), "n_valid", "confidence", "confidence_all", "lift", "baseline", "rank")
 
 
+def family_archetypes(rows: DataFrame, least: int = 10) -> DataFrame:
+    """The vernier positions' consensus in families of `least` rows or more, as operators.counts.archetypes() gives it, from found()'s
+    baseline."""
+    first = F.row_number().over(Window.partitionBy("family", "pos").orderBy(F.desc("n"), "aa"))
+    held = rows.filter((F.col("scope") == 0) & F.col("own") & (F.col("n_condition") >= least) & F.col("pos").isin(R.VERNIER))
+    return held.withColumn("rank", first).filter("rank = 1").select("family", "pos", "rank", F.col("aa").alias("consensus"), (F.col("n") * F.lit(1.0) / F.col("n_valid")).alias("frequency"), F.col("n").alias("support"))
+
+
 def global_rules(rows: DataFrame) -> DataFrame:
     """Rules of found()'s scope 1, as operators.counts.global_rules() defines them."""
     n = F.sum(F.when(F.col("own"), F.col("n")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from strandlens.functions import anchors as A, residues as R
-from strandlens.operators import candidates as Q, counts as C, coupling as K, design as D, merge as M, models as L, score as P, search as G, tallies as T
+from strandlens.operators import blocks as B, candidates as Q, counts as C, coupling as K, design as D, merge as M, models as L, score as P, search as G, tallies as T
 from strandlens.plans.counting import EVERY, FAMILY, LEFTS, RIGHTS, SEQS, SOME, SQL as COUNTED, TOKENS, archetype_sql, association_sql, letters_in, long_sql, pairs_sql, seq, with_
 from strandlens.plans.designs import FR1, FR2, FR3, FR4, scratch, spliced
 from strandlens.plans.ingest import BASES, BEST, frames_sql, heuristic_sql
@@ -119,6 +119,14 @@ def merged_rules(spark, sf_dir):
     return M.merge_rules(D.convert_rules(strict).select("pos", "aa").distinct(), weaker.select("pos", "aa").distinct())
 
 
+def natural_designs(spark, sf_dir):
+    """Rules and archetypes come from one counting pass; what they are made of is stored, as it is read three times."""
+    s, path, places = sequences(spark, sf_dir), f"{scratch(spark)}/found", R.positions("fr3fr4")
+    B.found(B.packed(s, places), places, {"obs": 5, "support": 3, "confidence": 0.7}).write.parquet(path)
+    found = spark.read.parquet(path)
+    return Q.naturalness_by_rules(s, B.family_archetypes(found), B.family_rules(found))
+
+
 def library_designs(spark, sf_dir):
     s = sequences(spark, sf_dir)
     designs = s.select("doc_id", names_of(F.col("doc_id")).alias("name"), *[R.region("v", k).alias(k) for k in ("cdr1", "cdr2", "cdr3")])
@@ -153,7 +161,7 @@ QUERIES = {
     "M03_capped_information": seq(lambda s: K.mutual_information(s, EVERY, rate=500_000)),
     "M04_capped_sample": seq(lambda s: X.capped_sample(s.select("doc_id", R.residue("v", 71).alias("aa")), ["aa"], "doc_id", 20)),
     "D03_family_probability": seq(lambda s: Q.family_terms(s, C.archetypes(s)).select("doc_id", "family", F.round("probability", 9).alias("probability"))),
-    "D05_rule_naturalness": seq(lambda s: Q.naturalness_by_rules(s, C.archetypes(s), T.mined(s))),
+    "D05_rule_naturalness": natural_designs,
     "D06_combined_score": scored_candidates,
     "D13_scaffold_fit": fitted,
     "D14_rule_tiers": seq(lambda s: Q.rule_tiers(s, T.mined(s), UNIVERSAL)),

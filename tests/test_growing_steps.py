@@ -211,3 +211,29 @@ def test_merged_rules_come_from_one_counting_pass(spark, monkeypatch):
     found = rulework.QUERIES["U04_rule_merge"](spark, sf)
     assert sorted(found.collect()) == sorted(want.collect()) and len(passes) == 2
     rows.unpersist()
+
+
+def test_rule_naturalness_is_looked_up_in_the_row(spark):
+    from strandlens.operators import candidates as Q
+
+    rows = random_rows(spark, 80, seed=6, letters="ACDFY-")
+    some = rows.select("hallmarks").limit(3).collect()
+    marks = [f"hallmarks={r.hallmarks}" for r in some]
+    conditions = [*marks, f"cdr3_cys=multi_cys AND {marks[0]}", "cdr3_len=medium AND cdr3_cys=multi_cys", "cdr3[-1]=A AND other=x", "other=x", "family=F_C2"]
+    made = [(f, c, p, a, 0.5 + (i % 7) / 20, 1) for i, (f, c, p, a) in enumerate((f, c, p, a) for f in ("F_C2", "Y_C4", "VH_like") for c in conditions for p, a in ((70, "A"), (71, "D")))]
+    rules = spark.createDataFrame([*made, ("F_C2", marks[0], 80, "A", 0.4, 1), ("F_C2", marks[0], 80, "C", 0.9, 2)], "family string, condition string, pos int, aa string, confidence double, rank int")
+    kinds = spark.createDataFrame([(f, p, a) for f, a in (("F_C2", "F"), ("Y_C4", "Y"), ("Other_VHH", "A"), ("VH_like", "A")) for p in (42, 50, 70, 90)], "family string, pos int, consensus string")
+    found = Q.naturalness_by_rules(rows, kinds, rules)
+    met = {}
+    for r in P.applicable_rules(rows, rules).collect():
+        met.setdefault((r.doc_id, r.family), []).append((r.confidence, r.obeyed))
+    terms = {}
+    for r in Q.family_terms(rows, kinds).collect():
+        terms.setdefault(r.doc_id, []).append(r)
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == 80 and any(k[1] == "F_C2" for k in met)
+    for doc, own in terms.items():
+        comply = {r.family: (lambda x: sum(c for c, o in x if o) / sum(c for c, _ in x) if x else 1.0)(met.get((doc, r.family), [])) for r in own}
+        best = min(own, key=lambda r: (-round(r.probability, 9), r.family))
+        assert got[doc].family == best.family and got[doc].naturalness == pytest.approx(sum(r.probability * comply[r.family] for r in own if r.probability >= 0.15), abs=2e-9)
+    assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
