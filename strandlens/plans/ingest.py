@@ -59,13 +59,8 @@ def pair_rows(spark, sf_dir):
 
 
 def atoms(spark, sf_dir):
-    """Each sequence as a structure's ATOM lines: N and CA atoms of chain H, and a second CA of every fifth number."""
-    names = F.create_map(*[F.lit(x) for k, v in X.THREE.items() for x in (v, k)])
-    long = sequences(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.rtrim("v", F.lit("-")), "")).alias("i", "aa")).filter("aa <> ''")
-    line = lambda serial, atom, residue: F.concat(F.lit("ATOM  "), F.lpad(serial.cast("string"), 5, " "), F.lit(" "), F.rpad(F.lit(f" {atom}"), 4, " "), F.lit(" "), residue, F.lit(" H"), F.lpad((F.col("i") + 1).cast("string"), 4, " "), F.lit("    "))
-    own = names[F.col("aa")]
-    made = F.array(line(F.col("i") * 3 + 1, "N", own), line(F.col("i") * 3 + 2, "CA", own), F.when(F.col("i") % 5 == 0, line(F.col("i") * 3 + 3, "CA", F.lit("GLY"))))
-    return long.select("doc_id", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("line"))
+    """Each sequence as a structure's ATOM lines."""
+    return X.atom_lines(sequences(spark, sf_dir).select("doc_id", F.rtrim("v", F.lit("-")).alias("seq")), "doc_id", "seq")
 
 
 def model_back(spark, sf_dir):

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Three-letter residue names, and header names of a lead table.
@@ -45,36 +46,125 @@ def read_pairs(spark: SparkSession, sequences: str, metadata: str, source: str,
 
 
 def atom_chains(lines: DataFrame, ident: str, line: str, chain: str) -> DataFrame:
-    """`ident` and seq: the residues of one chain by number, from fixed-width ATOM lines; the first CA atom of a number
-    counts. Lines that lie together are shuffled as runs, not one by one."""
-    part = lambda a, b: F.trim(F.substring(line, a, b - a + 1))
-    atoms = lines.filter(F.col(line).startswith("ATOM") & (part(13, 16) == "CA") & (F.substring(line, 22, 1) == chain))
-    letter = F.coalesce(F.create_map(*[F.lit(x) for pair in THREE.items() for x in pair])[part(18, 20)], F.lit("X"))
-    # a missing number stands first, a missing serial last
-    atoms = atoms.select(ident, F.coalesce(part(23, 26).cast("long"), F.lit(-MISSING)).alias("number"), F.coalesce(part(7, 11).cast("long"), F.lit(MISSING)).alias("serial"), letter.alias("aa"))
-    kind = atoms.schema[ident].dataType.simpleString()
-    runs = atoms.mapInArrow(lambda batches: atom_runs(batches, ident), f"{ident} {kind}, number long, serial long, step long, letters string")
+    """`ident` and seq: the residues of one chain by number, from fixed-width ATOM lines (a cell may hold several); the first
+    CA atom of a number counts. Lines are read in Arrow batches; those that lie together are shuffled as runs, not one by one."""
+    kind = lines.schema[ident].dataType.simpleString()
+    runs = lines.select(ident, F.col(line).alias("line")).mapInArrow(lambda batches: atom_runs(atoms_of(batches, ident, chain), ident), f"{ident} {kind}, number long, serial long, step long, letters string")
     held = runs.groupBy(ident).agg(F.collect_list(F.struct("number", "serial", "step", "letters")).alias("runs"))
     one = F.transform("runs", lambda r: F.transform(F.sequence(F.lit(0), F.length(r["letters"]) - 1), lambda i: F.struct((r["number"] + i).alias("number"), (r["serial"] + i * r["step"]).alias("serial"), F.substring(r["letters"], i + 1, F.lit(1)).alias("aa"))))
-    atoms_of = F.when(F.size("runs") > 1, F.array_sort(F.flatten(one)))
-    held = held.select(ident, "runs", F.explode(F.array(atoms_of)).alias("x"))
+    atoms = F.when(F.size("runs") > 1, F.array_sort(F.flatten(one)))
+    held = held.select(ident, "runs", F.explode(F.array(atoms)).alias("x"))
     first = F.filter("x", lambda r, i: (i == 0) | (F.get(F.col("x"), i - 1)["number"] != r["number"]))
     return held.select(ident, F.when(F.size("runs") == 1, F.col("runs")[0]["letters"]).otherwise(F.array_join(F.transform(first, lambda r: r["aa"]), "")).alias("seq"))
 
 
+#: Letters of an ATOM line that are read, how "CA" can stand among the four of an atom's name, and cells read at a time.
+READ, CA, CHAINS = 26, [b"CA  ", b" CA ", b"  CA"], 256
+
+
+def cells(column: pa.Array) -> np.ndarray:
+    """The first READ letters of each line, a row of bytes for each; spaces behind a line's end and for nulls."""
+    raw = column.buffers()
+    if len(column) and not column.null_count and raw[2] is not None:
+        ends = np.frombuffer(raw[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+        size = np.diff(ends)
+        letters = np.frombuffer(raw[2], np.uint8)[ends[0] : ends[-1]]
+        if size[0] >= READ and (size == size[0]).all() and not (letters >= 128).any():
+            return letters.reshape(len(column), -1)[:, :READ]
+    cut = b"".join((x or "")[:READ].ljust(READ).encode("latin-1", "replace") for x in column.to_pylist())
+    return np.frombuffer(cut, np.uint8).reshape(len(column), READ)
+
+
+def fields(lines: np.ndarray, a: int, b: int, value) -> np.ndarray:
+    """`value` of each line's letters a to b (from 1), without the spaces around them; each different text is looked at once."""
+    part = pa.Array.from_buffers(pa.binary(b - a + 1), len(lines), [None, pa.py_buffer(lines[:, a - 1 : b].tobytes())]).dictionary_encode()
+    return np.array([value(x.decode("latin-1").strip(" ")) for x in part.dictionary.to_pylist()])[part.indices.to_numpy()]
+
+
+def whole(missing: int):
+    return lambda x: int(x) if re.fullmatch(r"[+-]?[0-9]+", x) else missing
+
+
+def atoms_of(batches, ident: str, chain: str):
+    """ident, number, serial and aa (a letter's code) of a chain's CA atoms, from batches of (ident, line); a cell may hold several lines."""
+    four = lambda x: np.frombuffer(x, "<u4")[0]
+    for batch in (b.slice(k, 1 << 14) for b in batches for k in range(0, b.num_rows, 1 << 14)):
+        several = pc.any(pc.match_substring(batch.column("line"), "\n")).as_py()
+        for start in range(0, batch.num_rows, CHAINS if several else 1 << 14):
+            part = batch.slice(start, CHAINS) if several else batch
+            column, ids = part.column("line"), part.column(ident)
+            if several:
+                split = pc.split_pattern(column, "\n")
+                column, ids = split.flatten(), ids.take(pc.list_parent_indices(split))
+            lines = cells(column)
+            word = lambda a: np.ascontiguousarray(lines[:, a - 1 : a + 3]).view("<u4")[:, 0]
+            name = word(13)
+            own = np.flatnonzero((word(1) == four(b"ATOM")) & (lines[:, 21] == ord(chain)) & ((name == four(CA[0])) | (name == four(CA[1])) | (name == four(CA[2]))))
+            if not len(own):
+                continue
+            lines = lines[own]
+            # a missing number stands first, a missing serial last
+            number, serial = fields(lines, 23, 26, whole(-MISSING)), fields(lines, 7, 11, whole(MISSING))
+            letter = fields(lines, 18, 20, lambda x: ord(THREE.get(x, "X")))
+            yield pa.record_batch([ids.take(pa.array(own)), pa.array(number, pa.int64()), pa.array(serial, pa.int64()), pa.array(letter, pa.uint8())], names=[ident, "number", "serial", "aa"])
+
+
+def atom_lines(rows: DataFrame, ident: str, sequence: str) -> DataFrame:
+    """`ident` and line: each sequence as a structure's ATOM lines, all of them in one cell: N and CA atoms of chain H, and a second CA
+    of every fifth number. Letters that are no residue have no atoms of their own; a structure without atoms is no row."""
+    kind = rows.schema[ident].dataType.simpleString()
+    letters = sorted(THREE.values())
+    full = {v: k for k, v in THREE.items()}
+    code = np.full(256, len(letters), np.int64)
+    code[[ord(x) for x in letters]] = np.arange(len(letters))
+    made: list[np.ndarray] = []
+
+    def templates(size: int) -> np.ndarray:
+        """The three lines of each place and letter, as bytes."""
+        for i in range(len(made), size):
+            line = lambda serial, atom, residue: f"ATOM  {str(serial)[:5]:>5} {' ' + atom:<4} {residue} H{str(i + 1)[:4]:>4}    \n"
+            own = [line(i * 3 + 1, "N", full.get(x, "UNK")) + line(i * 3 + 2, "CA", full.get(x, "UNK")) + line(i * 3 + 3, "CA", "GLY") for x in [*letters, ""]]
+            made.append(np.frombuffer("".join(own).encode(), np.uint8).reshape(len(own), 3, -1))
+        return np.stack(made)
+
+    def write(batches):
+        table = templates(1)
+        for batch in batches:
+            for start in range(0, batch.num_rows, CHAINS):
+                part = batch.slice(start, CHAINS)
+                texts = part.column("seq").fill_null("").to_pylist()
+                size = max(map(len, texts), default=0)
+                if not size:
+                    continue
+                table = table if len(table) >= size else templates(size)
+                c = code[np.frombuffer("".join(x.ljust(size) for x in texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), size)]
+                there = np.arange(size) < np.array([len(x) for x in texts])[:, None]
+                held = np.stack([there & (c < len(letters)), there & (c < len(letters)), there & (np.arange(size) % 5 == 0)], axis=2)
+                lines = table[np.arange(size), c][held]
+                n = held.sum(axis=(1, 2))
+                some = np.flatnonzero(n)
+                # a line's end behind each but a cell's last
+                ends, raw, wide = np.cumsum(n), lines.tobytes(), lines.shape[1]
+                text = [raw[(b - k) * wide : b * wide - 1].decode() for b, k in zip(ends[some].tolist(), n[some].tolist())]
+                yield pa.record_batch([part.column(ident).take(pa.array(some)), pa.array(text, pa.string())], names=[ident, "line"])
+
+    return rows.select(ident, F.col(sequence).alias("seq")).mapInArrow(write, f"{ident} {kind}, line string")
+
+
 #: Stands for a number or serial that isn't one; fields of a line hold five digits at most.
 MISSING = 1_000_000_000
 
 
 def atom_runs(batches, ident: str):
-    """Atoms (ident, number, serial, aa) of each Arrow batch as runs: successive numbers of one chain whose serials have one step,
+    """Atoms (ident, number, serial, a letter's code) of each Arrow batch as runs: successive numbers of one chain whose serials have one step,
     with their letters. Of a number's atoms in a batch only the first is kept. Lines of a chain that lie together become a row or two."""
     for batch in batches:
         if not batch.num_rows:
             continue
         number, serial = (batch.column(k).to_numpy() for k in ("number", "serial"))
         chain = batch.column(ident).dictionary_encode().indices.fill_null(-1).to_numpy()
-        order = np.lexsort((serial, number, chain))
+        up = lambda x, rest: (x[1:] > x[:-1]) | ((x[1:] == x[:-1]) & rest)
+        order = np.arange(len(chain)) if up(chain, up(number, serial[1:] >= serial[:-1])).all() else np.lexsort((serial, number, chain))
         c, n = chain[order], number[order]
         order = order[np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])])]
         c, n, s = chain[order], number[order], serial[order]
@@ -84,7 +174,7 @@ def atom_runs(batches, ident: str):
         new |= np.concatenate([[False], ~new[:-1] & (step[1:] != step[:-1])])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(n))
-        letters = "".join(batch.column("aa").take(pa.array(order)).to_pylist())
+        letters = batch.column("aa").to_numpy()[order].tobytes().decode()
         steps = np.where(ends - starts > 1, step[np.minimum(starts + 1, len(n) - 1)], 0)
         yield pa.record_batch([batch.column(ident).take(pa.array(order[starts])), pa.array(n[starts]), pa.array(s[starts]), pa.array(steps), pa.array([letters[a:b] for a, b in zip(starts, ends)])], names=[ident, "number", "serial", "step", "letters"])
 

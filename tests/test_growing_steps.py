@@ -237,3 +237,26 @@ def test_rule_naturalness_is_looked_up_in_the_row(spark):
         best = min(own, key=lambda r: (-round(r.probability, 9), r.family))
         assert got[doc].family == best.family and got[doc].naturalness == pytest.approx(sum(r.probability * comply[r.family] for r in own if r.probability >= 0.15), abs=2e-9)
     assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_atom_lines_of_cells_and_of_rows_give_the_chain(spark):
+    from strandlens.sources.records import THREE, atom_chains, atom_lines
+
+    seqs = ["ACDEFGHIKLMNPQRSTVWY" * 7, "A", "", "WX-Y", "C" * 128]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, s string")
+    made = atom_lines(rows.repartition(2), "id", "s")
+    one = {r.id: r.line.split("\n") for r in made.collect()}
+    name = {v: k for k, v in THREE.items()}
+    want = {}
+    for k, x in enumerate(seqs):
+        for i, a in enumerate(x):
+            own = [(3 * i + 1, "N", name[a]), (3 * i + 2, "CA", name[a])] if a in name else []
+            own += [(3 * i + 3, "CA", "GLY")] if i % 5 == 0 else []
+            want.setdefault(k, []).extend(f"ATOM  {n:5d}  {at:<2s}  {res} H{i + 1:4d}    " for n, at, res in own)
+    assert {k: [x.rstrip() for x in v] for k, v in one.items()} == {k: [x.rstrip() for x in v] for k, v in want.items() if v}
+    chains = {0: seqs[0], 1: "A", 3: "WY", 4: seqs[4]}
+    assert {r.id: r.seq for r in atom_chains(made, "id", "line", "H").collect()} == chains
+    lines = [(k, x) for k, v in one.items() for x in v]
+    odd = [(0, None), (0, "ATOM"), (0, "HETATM    1  CA  ALA H   1    "), (0, "ATOM      1  CA  ALA L   1    "), (9, "ATOM   é   1  CA ALA H   1"), (5, "ATOM      x  CA  ALA H   y    "), (5, "ATOM      7  CA  UNK H   2")]
+    single = atom_chains(spark.createDataFrame(lines + odd, "id long, line string").repartition(3), "id", "line", "H").collect()
+    assert {r.id: r.seq for r in single if r.id != 9} == chains | {5: "AX"}
